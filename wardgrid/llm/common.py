@@ -42,3 +42,16 @@ def fold(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of doc_id as text, modulo; a null id counts as the text ''."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % modulus
+
+
+def windows(items: Column, width: int) -> Column:
+    """64-bit hashes of every `width` neighbours in an array of hashes; one hash of all if there are fewer, none of none.
+
+    Shifted copies are zipped, so each step costs one pass: a lambda that looks into an outer array would compute that
+    array again for each element.
+    """
+    size = F.size(items)
+    out = items
+    for k in range(1, width):
+        out = F.zip_with(out, F.slice(items, F.lit(k + 1), F.greatest(size, F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    return F.slice(out, F.lit(1), F.when(size == 0, 0).otherwise(F.greatest(size - (width - 1), F.lit(1))))

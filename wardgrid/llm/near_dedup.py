@@ -4,7 +4,7 @@ Shingles are five words in a row (fewer if the text has fewer), weighted 1 + ln(
 every shingle is a Poisson process whose rate is its weight; an arrival carries a register, each register keeps its
 first arrival, and a shingle stops once it is later than every register. Two registers agree with the probability
 Jaccard similarity of the weighted sets. Registers are banded; a bucket's members are compared with its most central
-member, and what stays apart is compared again, so that no bucket emits all its pairs. Links are verified exactly:
+member; what stays apart is joined by a prefix filter, which loses no link and emits no bucket's pairs. Links are verified exactly:
 the Jaccard similarity of the shingle sets is at least THRESHOLD. Classes are the connected components of links.
 
 Texts with the same words in a row are one node from the start, so a group of exact copies costs one row. A null or
@@ -22,15 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardgrid.llm.common import staged, words_of
+from wardgrid.llm.common import staged, windows, words_of
 from wardgrid.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5  # a pair at the threshold shares a band with probability 0.9999
-LEADER_ROUNDS = 3
 BLOCK = 400_000
-BROADCAST_REQUESTS = 400_000  # rows of (document, pair) sent to all executors; more of them are joined by a shuffle
+BROADCAST_WANTED = 400_000  # rows of (key, doc_id) sent to all executors; more of them are joined by a shuffle
 U = np.uint64
 
 
@@ -124,27 +123,49 @@ def signatures(docs: DataFrame) -> DataFrame:
     return ready.mapInArrow(run, f"doc_id {kind}, key binary, size int, bands array<long>")
 
 
-def shingle_set(norm: Column) -> Column:
+def shingle_set(norm: Column | str) -> Column:
     """Distinct shingles of a text of single-spaced words."""
-    w = F.split(norm, " ")
-    n = F.greatest(F.size(w) - (WORDS - 1), F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, WORDS))))
-
-
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) of those pairs (a, b, doc_a, doc_b) whose texts are similar enough. The texts of pairs alone are moved."""
-    asked = pairs.select("a", "b", F.col("doc_a").alias("doc_id"), F.col("a").alias("key"), F.lit(0).alias("side")).unionByName(pairs.select("a", "b", F.col("doc_b").alias("doc_id"), F.col("b").alias("key"), F.lit(1).alias("side")))
-    asked = staged(asked, "asked")
-    if asked.count() <= BROADCAST_REQUESTS:
-        asked = F.broadcast(asked)
-    norm = docs.select("doc_id", "text").join(asked, "doc_id").select("a", "b", "key", "side", F.concat_ws(" ", words_of("text")).alias("norm"))
+    return F.array_distinct(windows(F.transform(F.split(norm, " "), lambda w: F.xxhash64(w)), WORDS))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, norm): the single-spaced words of the wanted (key, doc_id)."""
+    if wanted.count() <= BROADCAST_WANTED:
+        wanted = F.broadcast(wanted)
+    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("key", F.concat_ws(" ", words_of("text")).alias("norm"))
+    return found.where(F.unhex(F.md5("norm")) == F.col("key")).dropDuplicates(["key"])
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) of those pairs of keys whose texts are similar enough."""
+    asked = pairs.select("a", "b", F.col("a").alias("key"), F.lit(0).alias("side")).unionByName(pairs.select("a", "b", F.col("b").alias("key"), F.lit(1).alias("side")))
     side = lambda n: F.max(F.when(F.col("side") == n, F.col("norm")))
-    both = norm.where(F.unhex(F.md5("norm")) == F.col("key")).groupBy("a", "b").agg(side(0).alias("x"), side(1).alias("y"))
-    sets = both.select("a", "b", shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y"))
+    both = texts.join(asked, "key").groupBy("a", "b").agg(side(0).alias("x"), side(1).alias("y"))
+    sets = both.select("a", "b", shingle_set("x").alias("x"), shingle_set("y").alias("y"))
     same = F.size(F.array_intersect("x", "y"))
     return sets.select("a", "b", same.alias("same"), (F.size("x") + F.size("y") - same).alias("either")).where(F.col("same") >= THRESHOLD * F.col("either")).select("a", "b")
 
 
+def prefix_pairs(texts: DataFrame, open_: DataFrame) -> DataFrame:
+    """(a, b) of open (key, component) that may be linked across components, by an exact prefix filter: of two sets
+    that are similar enough, the rarest 1 - THRESHOLD of the one's shingles (and one more) meet the other's."""
+    sets = texts.join(open_, "key").select("key", "component", shingle_set("norm").alias("s"))
+    rows = sets.select("key", "component", F.size("s").alias("n"), F.explode("s").alias("s"))
+    met = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
+    met = staged(met.select("s", "df", (F.col("lo") < F.col("hi")).alias("across")), "shingles")
+    near = rows.join(met, "s").groupBy("key", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s", "across"))).alias("common"))
+    alone = F.col("n") - F.size("common")  # shingles of this text alone lead the prefix
+    prefix = F.greatest(F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1 - alone, F.lit(0)).cast("int")
+    post = near.select("key", "component", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), prefix)).alias("at", "c")).where("c.across")
+    # `rest`: this shingle and those that follow it
+    post = post.select(F.col("c.s").alias("s"), "key", "component", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+    post = staged(post, "prefixes")
+    other = post.select("s", F.col("key").alias("b"), F.col("component").alias("with"), F.col("n").alias("m"), F.col("rest").alias("rest_b"))
+    enough = F.least("rest", "rest_b") >= (F.col("n") + F.col("m")) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9  # what the first shared shingle leaves room for
+    pairs = post.join(other, "s").where((F.col("component") < F.col("with")) & (F.col("n") >= THRESHOLD * F.col("m")) & (F.col("m") >= THRESHOLD * F.col("n")) & enough)
+    return pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+
+
 def key_classes(docs: DataFrame, seen: DataFrame) -> DataFrame:
     """(key, class_id) of every key of the written signatures."""
     nodes = seen.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -154,45 +175,22 @@ def key_classes(docs: DataFrame, seen: DataFrame) -> DataFrame:
     member = staged(member.join(crowd, "bucket"), "members")
     central = staged(member.groupBy("key").agg(F.sum("crowd").alias("central")), "central")
     member = staged(member.join(central, "key"), "members")
-    tested = None
-    of = None  # (key, component) so far
-    for turn in range(LEADER_ROUNDS + 1):
-        if of is None:
-            now = member.withColumn("component", F.col("key"))
-            pick = F.struct("central", "key")
-        else:
-            now = staged(member.join(of, "key", "left").withColumn("component", F.coalesce("component", "key")), "now")
-            open_ = staged(now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "open")
-            now = staged(now.join(open_, "bucket"), "now")
-            if now.isEmpty():
-                break
-            pick = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.col("key").alias("key"))
-        if turn < LEADER_ROUNDS:
-            lead = now.groupBy("bucket").agg(F.max_by(F.struct(F.col("key").alias("b"), F.col("doc").alias("doc_b"), F.col("size").alias("size_b"), F.col("component").alias("with")), pick).alias("lead"))
-            met = now.join(staged(lead.select("bucket", "lead.*"), "leads"), "bucket").where(F.col("component") != F.col("with"))
-        else:  # what is still apart: every pair of different components that share a bucket
-            other = now.select("bucket", F.col("key").alias("b"), F.col("doc").alias("doc_b"), F.col("size").alias("size_b"), F.col("component").alias("with"))
-            met = now.join(other, "bucket").where(F.col("component") < F.col("with"))
-        # sets of too different sizes cannot be similar
-        met = met.where((F.col("size") >= THRESHOLD * F.col("size_b")) & (F.col("size_b") >= THRESHOLD * F.col("size")))
-        swap = F.col("key") > F.col("b")
-        pairs = met.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"), F.when(swap, F.col("doc_b")).otherwise(F.col("doc")).alias("doc_a"), F.when(swap, F.col("doc")).otherwise(F.col("doc_b")).alias("doc_b")).dropDuplicates(["a", "b"])
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        links = staged(verified(docs, pairs), "links")
-        if of is None:
-            of = components(links).withColumnRenamed("node", "key")
-        else:  # only components that met are joined
-            name = lambda side: of.select(F.col("key").alias(side), F.col("component").alias(f"c{side}"))  # noqa: E731, B023
-            over = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            merged = components(over).withColumnRenamed("component", "into")
-            old = of.join(merged, of["component"] == merged["node"], "left").select("key", F.coalesce("into", "component").alias("component"))
-            of = old.unionByName(merged.join(of, merged["node"] == of["key"], "left_anti").select(F.col("node").alias("key"), F.col("into").alias("component")))
-        of = staged(of, "components")
-    placed = nodes.select("key", "doc").join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    placed = staged(placed, "placed")
+    texts = staged(texts_of(docs, staged(member.select("key", F.col("doc").alias("doc_id")).distinct(), "wanted")), "texts")
+    # each member against the most central one of its bucket; sets of too different sizes cannot be similar
+    lead = member.groupBy("bucket").agg(F.max_by(F.struct(F.col("key").alias("b"), F.col("size").alias("size_b")), F.struct("central", "key")).alias("lead"))
+    met = member.join(staged(lead.select("bucket", "lead.*"), "leads"), "bucket")
+    met = met.where((F.col("key") != F.col("b")) & (F.col("size") >= THRESHOLD * F.col("size_b")) & (F.col("size_b") >= THRESHOLD * F.col("size")))
+    pairs = staged(met.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct(), "pairs")
+    links = staged(verified(texts, pairs), "links")
+    of = staged(components(links).withColumnRenamed("node", "key"), "components")
+    # buckets that still hold several components: their members may have links that no leader has shown
+    now = staged(member.select("key", "bucket").join(of, "key", "left").withColumn("component", F.coalesce("component", "key")), "now")
+    apart = staged(now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "apart")
+    open_ = staged(now.join(apart, "bucket").select("key", "component").distinct(), "open")
+    more = staged(verified(texts, staged(prefix_pairs(texts, open_).join(pairs, ["a", "b"], "left_anti"), "pairs")), "links")
+    if not more.isEmpty():
+        of = staged(components(links.unionByName(more)).withColumnRenamed("node", "key"), "components")
+    placed = staged(nodes.select("key", "doc").join(of, "key", "left").withColumn("component", F.coalesce("component", "key")), "placed")
     least = staged(placed.groupBy("component").agg(F.min("doc").alias("class_id")), "least")
     return staged(placed.join(least, "component").select("key", "class_id"), "classes")
 
