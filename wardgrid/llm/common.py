@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +45,17 @@ def fold(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % modulus
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: as a lambda's variable it is not copied into each place that names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def windows(items: Column, width: int) -> Column:
-    """64-bit hashes of every `width` neighbours in an array of hashes; one hash of all if there are fewer, none of none.
-
-    Shifted copies are zipped, so each step costs one pass: a lambda that looks into an outer array would compute that
-    array again for each element.
-    """
-    size = F.size(items)
-    out = items
-    for k in range(1, width):
-        out = F.zip_with(out, F.slice(items, F.lit(k + 1), F.greatest(size, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    return F.slice(out, F.lit(1), F.when(size == 0, 0).otherwise(F.greatest(size - (width - 1), F.lit(1))))
+    """64-bit hashes of every `width` neighbours in an array of hashes; one hash of all if there are fewer, none of none."""
+
+    def body(h: Column) -> Column:
+        n = F.size(h)
+        each = F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
+        return each
+
+    return let(items, lambda h: F.when(F.size(h) > 0, body(h)).otherwise(F.array().cast("array<bigint>")))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardgrid.llm.common import staged, windows, words_of
+from wardgrid.llm.common import let, staged, windows, words_of
 from wardgrid.llm.components import components
 
 WORDS = 5
@@ -104,8 +104,8 @@ def banded(words: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, key, size, bands): key stands for the words in their order; null for wordless texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    words = docs.select("doc_id", words_of("text").alias("w"))
-    ready = words.select("doc_id", F.when(F.size("w") > 0, F.unhex(F.md5(F.concat_ws(" ", "w")))).alias("key"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    both = let(words_of("text"), lambda w: F.struct(F.when(F.size(w) > 0, F.unhex(F.md5(F.array_join(w, " ")))).alias("key"), F.transform(w, lambda x: F.xxhash64(x)).alias("h")))
+    ready = docs.select("doc_id", both.alias("s")).select("doc_id", "s.key", "s.h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardgrid.llm.common import fold, staged, words_of
+from wardgrid.llm.common import fold, let, staged, words_of
 
 DIMENSIONS = 1 << 20
 SAMPLE_TOXIC = 6000
@@ -34,9 +34,8 @@ HELD_OUT_OF = 5
 def term_columns(docs: DataFrame) -> DataFrame:
     """Adds terms: hashed words, then hashed word starts."""
     slot = lambda x: F.pmod(F.xxhash64(x), F.lit(DIMENSIONS)).cast("int")
-    with_words = docs.withColumn("_words", words_of("text"))
-    starts = F.transform("_words", lambda w: slot(F.concat(F.lit("^"), F.substring(w, 1, START_LETTERS))))
-    return with_words.withColumn("terms", F.concat(F.transform("_words", slot), starts)).drop("_words")
+    start = lambda w: slot(F.concat(F.lit("^"), F.substring(w, 1, START_LETTERS)))
+    return docs.withColumn("terms", let(words_of("text"), lambda words: F.concat(F.transform(words, slot), F.transform(words, start))))
 
 
 def informative_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
