@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardgrid.llm.common import table
+from wardgrid.llm.chat import format_chats
+from wardgrid.llm.common import shared_dir, table
 from wardgrid.llm.decontamination import leaks
+from wardgrid.llm.licenses import RULES, SENTENCES, scan_licenses
 from wardgrid.llm.near_dedup import near_duplicates
+from wardgrid.llm.neighbours import search
 from wardgrid.llm.packing import pack
+from wardgrid.llm.sharding import shard_documents
 from wardgrid.llm.token_counts import count_tokens
 from wardgrid.llm.toxicity import score_toxicity
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,10 +31,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,5 +55,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_token_counts, op7_best_fit_packing, op9_decontamination, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_token_counts, op5_nearest_neighbours, op6_sharding, op7_best_fit_packing, op8_chat_formatting, op9_decontamination, op10_toxicity)}
+
+
+def _license_sql() -> str:
+    """Rules are tried one after the other: each step takes its matches out of the sequence."""
+    known = ", ".join(f"({i}, '{t}')" for i, t in SENTENCES.items())
+    steps, last, names, hits = [], "seq", [], []
+    for k, (name, ids) in enumerate(RULES):
+        pattern = "," + ",,".join(map(str, ids)) + ","
+        steps.append(f"s{k} as (select *, (length(replace(r{k}, '{pattern}', '{pattern}!')) - length(r{k}))::int as h{k}, replace(r{k}, '{pattern}', ',!,') as r{k + 1} from {last})")
+        last = f"s{k}"
+        names.append(f"case when h{k} > 0 then '{name}' end")
+        hits.append(f"h{k}")
+    return f"""
+    with known(id, sentence) as (values {known}),
+    docs as (select distinct doc_id, text from documents),
+    lines as (select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as nr from docs),
+    met as (select doc_id, text, nr, id from lines join known on trim(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) = sentence),
+    found as (select doc_id, text, string_agg(id::varchar, ',,' order by nr) as ids, count(*) as n from met group by doc_id, text),
+    seq as (select d.doc_id, coalesce(f.n, 0)::int as n_sentences, ',' || coalesce(f.ids, '') || ',' as r0 from docs d left join found f on d.doc_id = f.doc_id and d.text = f.text),
+    {", ".join(steps)}
+    select doc_id, array_to_string(list_sort(list_distinct(list_filter([{", ".join(names)}], lambda x: x is not null))), ',') as licenses, n_sentences, ({" + ".join(hits)})::int as n_matches from {last}
+    """
+
+
+_CHAT_SQL = """
+with turns as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+told as (select conv_id, count(*) as n_turns, list(role || chr(1) || text order by turn, role, text) as t, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn, role, text) as rendered from turns group by conv_id),
+one as (select min(conv_id) as conv_id, n_turns, count(*) as n_copies, t, any_value(rendered) as rendered from told group by n_turns, t),
+cut as (select distinct k as n_turns, t[1:k] as t from (select t, unnest(range(1, n_turns)) as k from one))
+select conv_id, n_turns, n_copies, rendered from one where not exists (select 1 from cut where cut.n_turns = one.n_turns and cut.t = one.t)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": _license_sql(), "op8_chat_formatting": _CHAT_SQL}
