@@ -11,6 +11,7 @@ from wardgrid.llm.chat import format_chats
 from wardgrid.llm.common import shared_dir, table
 from wardgrid.llm.decontamination import leaks
 from wardgrid.llm.licenses import RULES, SENTENCES, scan_licenses
+from wardgrid.llm.lm_scoring import score_texts
 from wardgrid.llm.near_dedup import near_duplicates
 from wardgrid.llm.neighbours import search
 from wardgrid.llm.packing import pack
@@ -31,6 +32,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_token_counts, op5_nearest_neighbours, op6_sharding, op7_best_fit_packing, op8_chat_formatting, op9_decontamination, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_token_counts, op4_lm_scoring, op5_nearest_neighbours, op6_sharding, op7_best_fit_packing, op8_chat_formatting, op9_decontamination, op10_toxicity)}
 
 
 def _license_sql() -> str:
