@@ -29,20 +29,20 @@ UNITS = ["mm", "cm", "km", "kg", "mg", "ml", "mph", "kph", "hz", "khz", "mhz", "
 
 
 def words(text: str) -> Column:
-    """Words of a text, each led by '.' if it opens a line or sentence."""
-    t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(^|[.!?:;\n]+)[^\p{L}\p{N}]*", " .")
-    return F.filter(F.split(F.regexp_replace(t, r"[^\p{L}\p{N}.]+|\.(?![\p{L}\p{N}])", " "), " "), lambda w: w != "")
+    """Words of a text, each led by '.' if it opens a line or sentence; one empty word if there are none."""
+    opened = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(^|[.!?:;\n]+)[^\p{L}\p{N}]*", " .")
+    return F.split(F.ltrim(F.rtrim(F.regexp_replace(opened, r"[^\p{L}\p{N}.]+", " "), F.lit(" ."))), " ")
 
 
 def bare(word: Column) -> Column:
-    return F.lower(F.ltrim(word, F.lit(".")))
+    return F.lower(F.when(word.startswith("."), F.substring(word, 2, 1 << 30)).otherwise(word))
 
 
 def template(word: Column) -> Column:
     """The word, or the placeholder of its type."""
     low = bare(word)
-    first = F.substring(word, 1, 1)
-    return F.when(word.rlike(r"\d"), "<num>").when(low.isin(UNITS), "<unit>").when((first != ".") & (first != F.lower(first)), "<name>").otherwise(low)
+    plain = F.when(low.isin(UNITS), "<unit>").otherwise(low)
+    return F.when(word.rlike(r"^\p{Lu}|\d"), F.when(word.rlike(r"\d"), "<num>").when(low.isin(UNITS), "<unit>").otherwise("<name>")).otherwise(plain)
 
 
 def template_windows(rows: DataFrame, text: str) -> DataFrame:
