@@ -1,0 +1 @@
+"""No streaming operator is in scope: everything here is batch."""
