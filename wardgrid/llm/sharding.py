@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 RUN_ROWS = 1024
 TARGET_BYTES = 8 << 20  # of text
@@ -40,6 +41,11 @@ def read_manifest(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest/{version}")
 
 
+def read_files(spark: SparkSession, schema: StructType, place: str) -> DataFrame:
+    """All files below a folder; names of folders are no columns."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(place)
+
+
 def described(rows: DataFrame) -> DataFrame:
     """Manifest rows of what was just written, from the files themselves."""
     size = F.coalesce(F.octet_length("text").cast("long"), F.lit(0))
@@ -52,7 +58,7 @@ def append(docs: DataFrame, root: str, version: int) -> None:
     """Write docs as small shards and commit them together with the shards of the version before."""
     spark, place = docs.sparkSession, f"{root}/data/{version}"
     docs.write.option("maxRecordsPerFile", RUN_ROWS).option("compression", "zstd").parquet(place)
-    added = described(spark.read.schema(docs.schema).parquet(place))
+    added = described(read_files(spark, docs.schema, place))
     commit(added if version == 0 else read_manifest(spark, root, version - 1).unionByName(added), root, version)
 
 
@@ -68,18 +74,16 @@ def merge_groups(manifest: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     return placed.select("shard", F.concat_ws("-", F.lit("merged"), "tier", F.floor((F.col("before") + F.col("own")) / target)).alias("merged"))
 
 
-def compact(spark: SparkSession, schema, root: str, version: int, target: int = TARGET_BYTES) -> None:
+def compact(spark: SparkSession, schema: StructType, root: str, version: int, target: int = TARGET_BYTES) -> None:
     """Merge the small shards of a version and commit the result as the next version; old files stay readable."""
     manifest = read_manifest(spark, root, version)
     groups = merge_groups(manifest, target)
-    paths = f"{root}/data/*"
-    rows = spark.read.schema(schema).parquet(paths).withColumn("_shard", F.col("_metadata.file_path"))
-    names = [c for c in schema.names]
-    moved = rows.join(groups, rows["_shard"] == groups["shard"]).select(*names, "merged")
+    rows = read_files(spark, schema, f"{root}/data").withColumn("_shard", F.col("_metadata.file_path"))
+    moved = rows.join(groups, rows["_shard"] == groups["shard"]).select(*schema.names, "merged")
     place = f"{root}/data/{version + 1}"
     # a group is at most the target and one run more, so one task can hold it
     moved.repartition("merged").write.option("compression", "zstd").partitionBy("merged").parquet(place)
-    added = described(spark.read.schema(schema).parquet(f"{place}/merged=*"))
+    added = described(read_files(spark, schema, place))
     commit(manifest.where(F.col("n_bytes") >= target).unionByName(added), root, version + 1)
 
 
