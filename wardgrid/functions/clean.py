@@ -65,7 +65,8 @@ def lenient_time(*cs: Column) -> Column:
 
 def age(c: Column) -> Column:
     """'> 89' is 90; at most 120."""
-    return F.least(F.when(F.trim(c).startswith(">"), F.lit(90.0)).otherwise(c.try_cast("double")), F.lit(120.0))
+    years = F.when(F.trim(c).startswith(">"), F.lit(90.0)).otherwise(c.try_cast("double"))
+    return F.when(years > 120, 120.0).otherwise(years)
 
 
 def sex_male(c: Column) -> Column:

@@ -24,7 +24,7 @@ def hour_grid(stays: DataFrame, max_hour: Column) -> DataFrame:
 
 
 def los_horizon(cap: int = 168) -> Column:
-    return F.floor(F.greatest(F.lit(0.0), F.least(F.col("los_hours"), F.lit(float(cap)))))
+    return F.when(F.col("los_hours").isNotNull(), F.floor(F.greatest(F.lit(0.0), F.least(F.col("los_hours"), F.lit(float(cap))))))  # least() skips nulls
 
 
 def hourly_median(events: DataFrame, stays: DataFrame, max_hour: Column) -> DataFrame:
