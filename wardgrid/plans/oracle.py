@@ -108,4 +108,15 @@ ORACLE_SQL: dict[str, str] = {
     "accuracy_metrics": f"with {SC}, h as (select y, ((score >= 0.5)::int = y)::int::double as hit from sc) select {_num('avg(hit)')} as accuracy, {_num('(avg(hit) filter (y = 1) + avg(hit) filter (y = 0)) / 2')} as balanced_accuracy from h",
     "js_divergence": f"with {EV}, b as (select floor(value)::bigint as key, count(*) filter (concept = 'click') / (select count(*) from ev where concept = 'click')::double as p, count(*) filter (concept = 'view') / (select count(*) from ev where concept = 'view')::double as q from ev where concept in ('click', 'view') group by 1) select {_num('sum(case when p > 0 then p * ln(2 * p / (p + q)) else 0 end + case when q > 0 then q * ln(2 * q / (p + q)) else 0 end) / 2')} as jsd from b",
     "grid_summary": f"with {EV} select concept, stay_id % 4 as cell, {_num('avg(value)')} as mean, {_num('stddev_samp(value)')} as std, count(*) as n, count(distinct stay_id % 3) < 4 as under_seeded from ev group by 1, 2",
+    "attach_rows_to_stays": f"with {ST} select s.stay_id, count(*) as n, {_num('sum(e.value)')} as total from stays s join ev e on e.stay_id % 100 = s.patient_id and e.t between s.a - 86400000000 and s.a + 360000000000 group by 1",
+    "single_key_rows": "select l_orderkey, l_suppkey, l_linenumber from lineitem qualify count(*) over (partition by l_orderkey, l_suppkey) = 1",
+    "first_order_per_customer": "select o_custkey, o_orderkey, o_orderstatus from orders qualify row_number() over (partition by o_custkey order by o_orderkey) = 1",
+    "large_care_units": "select s_nationkey as careunit, s_suppkey from supplier qualify count(*) over (partition by s_nationkey) >= 4",
+    "unpivot_vitals": "select l_orderkey, l_linenumber, 'l_quantity' as concept, l_quantity as value from lineitem union all select l_orderkey, l_linenumber, 'l_discount', l_discount from lineitem",
+    "score_sum": f"with {EV}, p as (select stay_id, date_trunc('day', charttime) as d, sum(value) as value from ev where concept in ('click', 'view') group by 1, 2) select stay_id, 'score' as concept, count(*) as n, {_num('sum(value)')} as total from p group by 1 union all select stay_id, concept, count(*), {_num('sum(value)')} from ev where concept not in ('click', 'view') group by 1, 2",
+    "derived_mean_pressure": f"with {EV} select stay_id, epoch_us(date_trunc('day', charttime)) as charttime_us, {_num("(avg(value) filter (concept = 'click') + 2 * avg(value) filter (concept = 'view')) / 3")} as value from ev group by 1, 2 having count(*) filter (concept = 'click') > 0 and count(*) filter (concept = 'view') > 0",
+    "counter_differences": f"with {EV} select stay_id, concept, t as charttime_us, {_num('case when lag(value) over (partition by stay_id, concept order by t, value) is null then value else greatest(value - lag(value) over (partition by stay_id, concept order by t, value), 0) end')} as value from ev",
+    "infusion_intervals": f"with {IV} select stay_id, drug, s as starttime_us, least(coalesce(lead(s) over (partition by stay_id, drug order by s), s + 3600000000), s + 172800000000) as endtime_us from iv",
+    "code_groups": "with g as (select distinct upper(p_brand) as c from part where p_size > 40) select p_partkey, p_brand as code, coalesce(g.c, substr(upper(p_brand), 1, 3)) as \"group\", case when g.c is null then 'root' else 'map' end as group_source from part left join g on g.c = upper(p_brand)",
+    "code_coverage": f"with {CODES} select code, count(*) as n_rows, count(distinct stay_id) as n_stays, {_num('count(distinct stay_id) / (select count(*) from orders)::double')} as share from codes group by 1",
 }

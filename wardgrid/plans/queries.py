@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardgrid.functions import clean
-from wardgrid.operators import align, blocks, checks, cohort, labels, metrics, models, prep, sofa, splits
+from wardgrid.operators import align, blocks, checks, cohort, derive, labels, metrics, models, prep, sofa, splits
 from wardgrid.operators import timegrid as tg
 from wardgrid.plans.adapters import CONCEPTS, codes, day_events, day_stays, events, intervals, order_stays, r6, scored, stays, table
 
@@ -364,3 +364,66 @@ def baseline_logistic(s: SparkSession, d: str) -> DataFrame:
     rows = scored(s, d).select("doc_id", F.col("toxic").alias("label"), "score").withColumnRenamed("score", "x")
     fitted = models.fit_baseline(rows.where("doc_id % 5 <> 0"), ["x"], "logistic")
     return models.predict(fitted, rows.where("doc_id % 5 = 0")).select("doc_id", "y", "score")
+
+
+@query
+def attach_rows_to_stays(s: SparkSession, d: str) -> DataFrame:
+    spans = stays(s, d).select("patient_id", "stay_id", F.col("admit_time").alias("intime"), F.timestamp_micros(tg.micros("admit_time") + 100 * tg.HOUR).alias("outtime"))
+    rows = events(s, d).select((F.col("stay_id") % 100).alias("patient_id"), "charttime", "value")
+    return derive.attach_to_stays(rows, spans, ["patient_id"], 24).groupBy("stay_id").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
+
+
+@query
+def single_key_rows(s: SparkSession, d: str) -> DataFrame:
+    return derive.single_keys(table(s, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber"), ["l_orderkey", "l_suppkey"])
+
+
+@query
+def first_order_per_customer(s: SparkSession, d: str) -> DataFrame:
+    return derive.one_per_key(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderkey"])
+
+
+@query
+def large_care_units(s: SparkSession, d: str) -> DataFrame:
+    return derive.large_units(table(s, d, "supplier").select(F.col("s_nationkey").alias("careunit"), "s_suppkey"), 4)
+
+
+@query
+def unpivot_vitals(s: SparkSession, d: str) -> DataFrame:
+    wide = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    return derive.long_vitals(wide, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount"])
+
+
+@query
+def score_sum(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d).withColumn("charttime", F.date_trunc("day", "charttime"))
+    return derive.sum_parts(e, ["click", "view"], "score").groupBy("stay_id", "concept").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
+
+
+@query
+def derived_mean_pressure(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d).withColumn("charttime", F.date_trunc("day", "charttime"))
+    return derive.mean_pressure(e, "click", "view").select("stay_id", us("charttime"), r6("value").alias("value"))
+
+
+@query
+def counter_differences(s: SparkSession, d: str) -> DataFrame:
+    return derive.counter_to_amounts(events(s, d)).select("stay_id", "concept", us("charttime"), r6("value").alias("value"))
+
+
+@query
+def infusion_intervals(s: SparkSession, d: str) -> DataFrame:
+    return derive.infusion_ends(intervals(s, d).select("stay_id", "drug", "starttime"), 48).select("stay_id", "drug", us("starttime"), us("endtime"))
+
+
+@query
+def code_groups(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "part").select("p_partkey", F.col("p_brand").alias("code"))
+    groups = table(s, d, "part").where("p_size > 40").select(F.upper("p_brand").alias("code"), F.upper("p_brand").alias("group")).distinct()
+    return derive.group_codes(rows, groups)
+
+
+@query
+def code_coverage(s: SparkSession, d: str) -> DataFrame:
+    all_stays = table(s, d, "orders").select(F.col("o_orderkey").alias("stay_id"))
+    return derive.coverage(codes(s, d), all_stays, "code").select("code", "n_rows", "n_stays", r6("share").alias("share"))
