@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardgrid.llm.chat import format_chats
 from wardgrid.llm.common import shared_dir, table
-from wardgrid.llm.decontamination import leaks
+from wardgrid.llm.decontamination import MIN_WORDS, SHARE, UNITS, WINDOW, leaks
 from wardgrid.llm.licenses import RULES, SENTENCES, scan_licenses
 from wardgrid.llm.lm_scoring import score_texts
 from wardgrid.llm.near_dedup import near_duplicates
@@ -93,4 +93,26 @@ cut as (select distinct k as n_turns, t[1:k] as t from (select t, unnest(range(1
 select conv_id, n_turns, n_copies, rendered from one where not exists (select 1 from cut where cut.n_turns = one.n_turns and cut.t = one.t)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": _license_sql(), "op8_chat_formatting": _CHAT_SQL}
+
+
+def _leak_sql() -> str:
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    words = r"string_split(ltrim(rtrim(regexp_replace(regexp_replace(coalesce(text, ''), '(^|[.!?:;\n]+)[^\p{L}\p{N}]*', ' .', 'g'), '[^\p{L}\p{N}.]+', ' ', 'g'), ' .'), ' '), ' ')"
+    bare = "lower(ltrim(x, '.'))"
+    template = rf"case when regexp_matches(x, '\d') then '<num>' when {bare} in ({units}) then '<unit>' when regexp_matches(x, '^\p{{Lu}}') then '<name>' else {bare} end"
+    cut = lambda rows, key: f"select {key}, i as at, list_transform(w[i:i + {WINDOW - 1}], lambda x: {template}) as h, list_transform(list_filter(w[i:i + {WINDOW - 1}], lambda x: ({template})[1] = '<'), lambda x: {bare}) as v from (select *, unnest(range(1, greatest(len(w) - {WINDOW - 2}, 2))) as i from {rows})"
+    return f"""
+    with items as (select * from (select text, {words} as w from (select distinct text from benchmark where text is not null)) where len(w) >= {MIN_WORDS}),
+    docs as (select doc_id, {words} as w from documents),
+    bw as ({cut("items", "text")}),
+    dw as ({cut("docs", "doc_id")}),
+    met as (select dw.doc_id, bw.text, dw.at - bw.at as shift, h, bw.v as g, dw.v as f from dw join bw using (h)),
+    slots as (select doc_id, text, shift, unnest(g) as g, unnest(f) as f from met),
+    torn as (select doc_id, text, shift from slots group by all having count(distinct (g, f)) <> count(distinct g) or count(distinct (g, f)) <> count(distinct f)),
+    need as (select text, greatest(1, ceil(count(distinct h) * {SHARE})) as need from bw group by 1),
+    found as (select doc_id, text, count(distinct h) as n_windows from met anti join torn using (doc_id, text, shift) group by 1, 2)
+    select distinct doc_id, item_id, n_windows from found join need using (text) join benchmark using (text) where n_windows >= need
+    """
+
+
+ORACLE_SQL: dict[str, str] = {"op9_decontamination": _leak_sql(), "op1_license_scan": _license_sql(), "op8_chat_formatting": _CHAT_SQL}
