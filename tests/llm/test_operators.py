@@ -264,6 +264,20 @@ def test_neighbours(spark):
     assert neighbours.search(same.limit(0)).count() == 0
 
 
+def test_neighbours_visit_as_many_lists_as_recall_needs(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 100)  # 60 lists, as a table of 245,760 rows has
+    x = np.random.default_rng(5).normal(size=(6000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.search(df).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.arange(0, 6000, 20)
+    products = x[asked] @ x.T
+    products[np.arange(len(asked)), asked] = -np.inf
+    true = np.argsort(-products, axis=1)[:, :20]
+    assert np.mean([len(found[q] & set(t.tolist())) / 20 for q, t in zip(asked.tolist(), true, strict=True)]) >= 0.95
+
+
 def test_licenses(spark, odd, none):
     text = "intro\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software\nThe above copyright notice and this permission notice shall be included in all copies.\nwords between\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND\nLicensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."
     df = spark.createDataFrame([(1, text, 3), (1, text, 3), (2, "Nothing.", 3)], "doc_id long, text string, id int")

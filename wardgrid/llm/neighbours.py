@@ -2,8 +2,11 @@
 
 Vectors are quantised by product codes of four bits per two dimensions. Codebooks and codes minimise a loss that
 weighs the residual along the vector PARALLEL times as much as the rest, as that part is what errs in large inner
-products. Vectors are dealt to lists by their nearest coarse centre; a query visits its PROBES best lists, scans their
-codes with a table of partial products in small integers, and ranks the RERANK best of each block by exact products.
+products. Vectors are dealt to lists by their nearest coarse centre; a query visits its best lists, scans their codes
+with a table of partial products in small integers, and ranks the RERANK best of each block by exact products.
+
+How many lists a query visits is measured, not set: the true neighbours of CHECKED queries are found by brute force over
+all rows, and the least number of lists (PROBES or more, up to all) that hold the share FOUND of them is taken.
 
 Everything is fitted on a bounded sample (SAMPLE vectors, the smallest hashes of vec_id); every row is indexed. Lists
 are cut into blocks of about BLOCK candidates and QUERIES queries, so a list that holds a third of all rows is many
@@ -23,7 +26,9 @@ from wardgrid.llm.common import staged
 SAMPLE = 20_000
 LIST_ROWS = 4096  # rows of a list on average
 MAX_LISTS = 4096
-PROBES = 8
+PROBES = 8  # lists visited at least
+CHECKED = 512  # queries whose neighbours are looked up by brute force
+FOUND = 0.98
 RERANK = 240
 BLOCK, QUERIES = 4096, 512
 PARALLEL = 4.0
@@ -97,9 +102,10 @@ class Quantiser:
     def lists_of(self, x: np.ndarray) -> np.ndarray:
         return self._nearest(self.padded(x))
 
-    def probes_of(self, x: np.ndarray) -> np.ndarray:
+    def probes_of(self, x: np.ndarray, probes: int | None = None) -> np.ndarray:
+        """The lists of each query, best first."""
         products = self.padded(x) @ self.centres.T
-        return np.argsort(-products, axis=1, kind="stable")[:, :PROBES]
+        return np.argsort(-products, axis=1, kind="stable")[:, :probes]
 
     def scan(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Approximate products as sums of 8-bit table entries, (queries, candidates)."""
@@ -126,6 +132,42 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def probes_needed(coded: DataFrame, asked: DataFrame, model: Quantiser, k: int) -> int:
+    """How many lists hold the share FOUND of the k true neighbours, by brute force for CHECKED queries."""
+    lists = len(model.centres)
+    if lists <= PROBES:
+        return lists
+    some = asked.orderBy(F.xxhash64("vec_id", F.lit(2)), "vec_id").limit(CHECKED).toArrow()
+    if not some.num_rows:
+        return PROBES
+    names, q = some.column("vec_id").to_numpy(), matrix(some.column("v").combine_chunks())
+    told = coded.sparkSession.sparkContext.broadcast((names, q))
+
+    def nearest(batches):
+        names, q = told.value
+        score, found, held = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64), np.zeros((len(q), k), np.int32)
+        for b in batches:
+            ids, x = b.column(0).to_numpy(), matrix(b.column(1))
+            new = q @ x.T
+            new[names[:, None] == ids[None, :]] = -np.inf
+            score = np.hstack([score, new])
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            score = np.take_along_axis(score, top, 1)
+            found = np.take_along_axis(np.hstack([found, np.broadcast_to(ids, new.shape)]), top, 1)
+            held = np.take_along_axis(np.hstack([held, np.broadcast_to(b.column(2).to_numpy(), new.shape)]), top, 1)
+        keep = np.isfinite(score)
+        at = np.repeat(np.arange(len(q)), keep.sum(1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[keep]), pa.array(score[keep]), pa.array(held[keep])], ["at", "vec_id", "score", "list"])
+
+    true = coded.select("vec_id", "v", "list").mapInArrow(nearest, "at int, vec_id long, score double, list int")
+    place = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("score"), "vec_id"))
+    true = true.withColumn("rank", place).where(F.col("rank") <= k).select("at", "list").toArrow()  # bounded: CHECKED * k rows
+    turn = np.argsort(model.probes_of(q), axis=1)  # when a query visits each list
+    late = turn[true.column("at").to_numpy(), true.column("list").to_numpy()]
+    share = np.cumsum(np.bincount(late, minlength=lists)) / max(len(late), 1)
+    return max(PROBES, int(np.searchsorted(share, FOUND)) + 1) if len(late) else PROBES
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
@@ -149,12 +191,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     def route(batches):
         for b in batches:
             if len(b):
-                probes = model.value.probes_of(matrix(b.column(1)))
+                probes = model.value.probes_of(matrix(b.column(1)), visited)
                 at = pa.array(np.repeat(np.arange(len(b)), probes.shape[1]))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(probes.ravel().astype(np.int32))], ["query_id", "q", "list"])
 
     coded = staged(good.mapInArrow(index, "vec_id long, v array<double>, codes binary, list int"), "codes")
-    asked = staged(good.where(F.col("vec_id") % every == 0).mapInArrow(route, "query_id long, q array<double>, list int"), "queries")
+    chosen = good.where(F.col("vec_id") % every == 0)
+    visited = probes_needed(coded, chosen, model.value, k)
+    asked = staged(chosen.mapInArrow(route, "query_id long, q array<double>, list int"), "queries")
     # how many blocks each list is cut into, on either side: at most MAX_LISTS rows
     cuts = coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns")), "list")
     cuts = F.broadcast(staged(cuts, "cuts"))
