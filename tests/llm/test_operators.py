@@ -184,6 +184,23 @@ def test_decontamination_finds_all_verbatim_passages(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == want
 
 
+def test_decontamination_finds_short_items_inside_documents(spark):
+    items = [(1, "The red fox owns 12 hens"), (2, "Where does the old river meet the sea?"), (3, "which road leads over hills")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    lead, tail = "Long before this line there was some other prose and ", " and a good deal of other prose came after it"
+    docs = spark.createDataFrame([
+        (1, lead + "The red fox owns 12 hens" + tail),
+        (2, lead + "he asked Where does the old river meet the sea" + tail),
+        (3, lead + "which road leads over hills" + tail),
+        (4, lead + "Bob red fox owns 12 hens" + tail),
+        (5, lead + "the red fox owns few hens" + tail),
+        (6, "Prose. The red fox owns 9 hens. More prose of no matter at all."),
+        (7, "which road leads over hills"),
+    ], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_windows) for r in decontamination.leaks(docs, bench).collect())
+    assert got == [(1, 1, 1), (2, 2, 1), (3, 3, 1), (6, 1, 1), (7, 3, 1)]
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["the", "of", "and", "house", "tree"]) for _ in range(40)) + (" foulword" if i % 9 == 0 else "")) for i in range(900)]

@@ -6,7 +6,8 @@ WINDOW template words are hash-joined with those of the benchmark. Windows that
 form an alignment, whose slots must be consistent: equal values of the item are equal in the document, and different
 ones differ; so a question with new numbers or names is caught, while text that merely has placeholders in the same
 places is not. A shorter benchmark
-item is one window of all its words, and is looked for only if it has MIN_WORDS.
+item is one window of all its words, and is looked for only if it has MIN_WORDS: at every place of a document, by windows
+of its width. Items of one window are also looked for in mid-sentence, where their first word may look like a name.
 
 A document is contaminated by an item if at least half of the item's windows occur in it (one, for a short item).
 Null and empty texts are never contaminated; a null item_id counts as an item of its own; repeated benchmark rows
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardgrid.llm.common import staged, windows
+from wardgrid.llm.common import let, staged, windows
 
 WINDOW = 8
 MIN_WORDS = 5
@@ -45,33 +46,51 @@ def template(word: Column) -> Column:
     return F.when(word.rlike(r"^\p{Lu}|\d"), F.when(word.rlike(r"\d"), "<num>").when(low.isin(UNITS), "<unit>").otherwise("<name>")).otherwise(plain)
 
 
-def template_windows(rows: DataFrame, text: str) -> DataFrame:
-    """Adds h, the window hashes of the template."""
-    return rows.withColumn("h", windows(F.transform(words(text), lambda w: F.xxhash64(template(w))), WINDOW))
+def hashes(found: Column) -> Column:
+    """The hash of each word's template."""
+    return F.transform(found, lambda w: F.xxhash64(template(w)))
 
 
-def slot_values(rows: DataFrame, text: str, at: str, name: str) -> DataFrame:
-    """Adds the slot values of the window at position `at`, in order."""
-    window = F.slice(words(text), F.col(at) + 1, F.lit(WINDOW))
-    return rows.withColumn(name, F.transform(F.filter(window, lambda w: template(w).startswith("<")), bare))
+def document_windows(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """(doc_id, text, at, key): hashes of all windows of WINDOW template words, and of the shorter widths given."""
+    rows = docs.select("doc_id", "text")
+    if not widths:
+        return rows.select("doc_id", "text", F.posexplode(windows(hashes(words("text")), WINDOW)).alias("at", "key"))
+    placed = lambda h, width: F.transform(windows(h, width), lambda x, i: F.struct(i.alias("at"), x.alias("key")))
+    every = let(hashes(words("text")), lambda h: F.flatten(F.array(*[placed(h, width) for width in [WINDOW, *widths]])))
+    return rows.select("doc_id", "text", F.explode(every).alias("e")).select("doc_id", "text", "e.at", "e.key")
+
+
+def slot_values(found: Column, at: str, width: str) -> Column:
+    """The slot values of the window of `width` words at position `at`, in order."""
+    window = F.slice(found, F.col(at) + 1, F.col(width))
+    return F.transform(F.filter(window, lambda w: template(w).startswith("<")), bare)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item, h, place, given, need): windows of each benchmark text, their slot values, and how many make a leak."""
-    items = benchmark.select("text").where("text is not null").distinct().withColumn("item", F.xxhash64("text"))
-    items = items.where(F.size(words("text")) >= MIN_WORDS)
-    placed = slot_values(template_windows(items, "text").select("item", "text", F.posexplode("h").alias("place", "h")), "text", "place", "given").drop("text")
+    """(item, key, h, width, place, turned, given, need): windows of each benchmark text, their slot values, and how many make a leak.
+
+    key is the hash to look for; it is h but for windows that are turned: their first word stands as in mid-sentence.
+    """
+    items = benchmark.select("text").where("text is not null").distinct().select(F.xxhash64("text").alias("item"), words("text").alias("w"))
+    items = items.where(F.size("w") >= MIN_WORDS).withColumn("width", F.least(F.size("w"), F.lit(WINDOW)))
+    placed = items.select("item", "w", "width", F.posexplode(windows(hashes(F.col("w")), WINDOW)).alias("place", "h")).withColumn("key", F.col("h")).withColumn("turned", F.lit(False))
     need = placed.groupBy("item").agg(F.greatest(F.lit(1), F.ceil(F.count_distinct("h") * SHARE)).alias("need"))
-    return placed.join(need, "item")
+    inside = F.concat(F.array(F.ltrim(F.get("w", F.lit(0)), F.lit("."))), F.slice("w", 2, WINDOW))
+    turned = placed.where(F.size("w") <= WINDOW).withColumn("w", inside).withColumn("key", F.get(windows(hashes(F.col("w")), WINDOW), F.lit(0))).withColumn("turned", F.lit(True))
+    both = placed.unionByName(turned.where("key <> h"))
+    return both.withColumn("given", slot_values(F.col("w"), "place", "width")).drop("w").join(need, "item")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item, n_windows): documents that hold at least half of an item; item is the hash of its text."""
     bench = staged(benchmark_windows(benchmark), "benchmark")
+    widths = sorted(r[0] for r in bench.where(F.col("width") < WINDOW).select("width").distinct().collect())  # less than WINDOW rows
     if bench.count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
-    rows = template_windows(docs.select("doc_id", "text"), "text").select("doc_id", "text", F.posexplode("h").alias("at", "h"))
-    met = slot_values(rows.join(bench, "h"), "text", "at", "found")
+    met = document_windows(docs, widths).join(bench, "key").withColumn("found", slot_values(words("text"), "at", "width"))
+    # the first word of a turned window is a slot by its place only, so it must be the item's own
+    met = met.where(~F.col("turned") | (F.get("given", F.lit(0)) == F.get("found", F.lit(0))))
     # windows that stand alike in item and document are one alignment: its slots must map one to one throughout
     pair = F.arrays_zip("given", "found")
     aligned = met.groupBy("doc_id", "item", "need", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("h").alias("h"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
