@@ -152,6 +152,16 @@ def test_near_duplicates(spark, odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_where_one_side_repeats_lines(spark):
+    rng, rows = random.Random(8), []
+    for i in range(80):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        other = [*words[:70], "x", *words[71:101], "y", "y", "y"]  # 92 of 112 shingles are shared
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, "\n".join([" ".join(other[:44])] * 50 + [" ".join(other[44:])]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.class_id == r.doc_id - r.doc_id % 2 for r in got) == 160
+
+
 def test_probability_jaccard_estimate():
     rng = np.random.default_rng(1)
     items = rng.integers(0, 2**63, 300).astype(np.uint64)

@@ -3,7 +3,8 @@
 Shingles are five words in a row (fewer if the text has fewer), weighted 1 + ln(times they occur). In each document
 every shingle is a Poisson process whose rate is its weight; an arrival carries a register, each register keeps its
 first arrival, and a shingle stops once it is later than every register. Two registers agree with the probability
-Jaccard similarity of the weighted sets. Registers are banded; a bucket's members are compared with its most central
+Jaccard similarity of the weighted sets. Links are defined by the plain sets, so a text that repeats shingles is hashed
+with unit weights too; for other texts both are the same. Registers are banded; a bucket's members are compared with its most central
 member; what stays apart is joined by a prefix filter, which loses no link and emits no bucket's pairs. Links are verified exactly:
 the Jaccard similarity of the shingle sets is at least THRESHOLD. Classes are the connected components of links.
 
@@ -90,15 +91,25 @@ def prob_min_hash(rows: np.ndarray, items: np.ndarray, weights: np.ndarray, n: i
     return holder.reshape(n, registers)
 
 
-def banded(words: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingles of each document, its BANDS bucket hashes)."""
+def banded(words: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles of each document, its bucket hashes, where those of each document start, and the end).
+
+    BANDS buckets by weight, and as many by unit weights if the document repeats shingles.
+    """
     n = len(edges) - 1
     rows, items, weights = weighted(*shingles(words, edges))
-    held = prob_min_hash(rows, items, weights, n, BANDS * ROWS).reshape(n, BANDS, ROWS)
-    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
+    repeats = np.zeros(n, bool)
+    repeats[rows[weights > 1]] = True
+    again = np.cumsum(repeats) - 1 + n  # these documents stand a second time, after all others
+    twice = repeats[rows]
+    held = prob_min_hash(np.append(rows, again[rows[twice]]), np.append(items, items[twice]), np.append(weights, np.ones(twice.sum())), n + repeats.sum(), BANDS * ROWS)
+    held = held.reshape(-1, BANDS, ROWS)
+    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(held), 1))
     for k in range(ROWS):
         out = mix(out * U(0x9E3779B97F4A7C15) + held[:, :, k])
-    return np.bincount(rows, minlength=n), out.view(np.int64)
+    order = np.argsort(np.append(np.arange(n), np.flatnonzero(repeats)), kind="stable")
+    starts = np.append(0, np.cumsum(BANDS * (1 + repeats)))
+    return np.bincount(rows, minlength=n), out[order].ravel().view(np.int64), starts
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -115,8 +126,8 @@ def signatures(docs: DataFrame) -> DataFrame:
             while at < len(b):
                 to = max(at + 1, int(np.searchsorted(edges, edges[at] + BLOCK, side="right")) - 1)
                 part = edges[at : to + 1]
-                size, bands = banded(words[part[0] : part[-1]], part - part[0])
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))
+                size, bands, starts = banded(words[part[0] : part[-1]], part - part[0])
+                flat = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(bands))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), pa.array(size.astype(np.int32)), flat], ["doc_id", "key", "size", "bands"])
                 at = to
 
@@ -170,7 +181,7 @@ def key_classes(docs: DataFrame, seen: DataFrame) -> DataFrame:
     """(key, class_id) of every key of the written signatures."""
     nodes = seen.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = staged(nodes, "nodes")
-    member = nodes.where("doc is not null").select("key", "doc", "size", F.explode("bands").alias("bucket"))
+    member = nodes.where("doc is not null").select("key", "doc", "size", F.explode(F.array_distinct("bands")).alias("bucket"))
     crowd = staged(member.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "buckets")
     member = staged(member.join(crowd, "bucket"), "members")
     central = staged(member.groupBy("key").agg(F.sum("crowd").alias("central")), "central")
