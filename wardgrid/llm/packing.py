@@ -4,7 +4,9 @@ Documents become token ids plus one end id. Longer ones are cut into full sequen
 must be packed is then a multiset of lengths of at most `capacity`, so the search runs on the histogram of lengths
 (at most `capacity` rows whatever the corpus): bin completion around the largest length enumerates undominated
 fillings, prunes by waste bounds and keeps the best-fit packing as incumbent. Its plan is a list of patterns with
-multiplicities; pieces find their place by their rank within their length, an equi-join with that small plan.
+multiplicities; pieces find their place by their rank within their length, an equi-join with that small plan. Packing is
+NP-hard and each search is bounded, so the result states how many sequences there are and a proven lower bound: where
+both are equal the packing is optimal, else the difference is the gap.
 
 Null text is empty (one end id). Repeated rows are packed as often as they occur. An empty table gives no rows.
 """
@@ -13,7 +15,9 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +26,10 @@ from pyspark.sql import functions as F
 
 from wardgrid.llm.common import staged
 
-COMPLETION_NODES = 4000  # fillings looked at for one bin before the best so far is taken
-SEARCH_NODES = 400  # bins that branch-and-bound may open again; the incumbent stands beyond that
-Pattern = tuple[tuple[tuple[int, int], ...], int]
+ALLOWED = (8, 16, 2, 32)  # waste of a bin up to which few lengths are preferred to a tighter filling, in order of trial
+SEARCH_NODES = 200  # bins that one search may open beyond those of a single descent
+Filling = tuple[tuple[int, int], ...]
+Pattern = tuple[Filling, int]
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -42,49 +47,64 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def completions(counts: np.ndarray, largest: int, capacity: int, keep: int) -> list[tuple[tuple[int, int], ...]]:
-    """Fillings of one bin around its largest item, least waste first. A filling that one larger item could replace
-    is dominated: lengths are tried from the largest that fits, so the dominating one is met first."""
-    sizes = [int(s) for s in np.flatnonzero(counts[: largest + 1])[::-1]]
-    smallest, found, nodes = sizes[-1], {}, 0
-    least = [capacity + 1]
-
-    def descend(i: int, room: int, chosen: list[tuple[int, int]]) -> bool:
-        nonlocal nodes
-        nodes += 1
-        if room < smallest or i >= len(sizes):
-            if room < least[0] or len(found) < keep:
-                found.setdefault(tuple(chosen), room)
-                least[0] = min(least[0], room)
-            return room == 0 and len(found) >= keep or nodes > COMPLETION_NODES
-        lo, hi = i, len(sizes)
-        while lo < hi:  # first length that fits
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if sizes[mid] > room else (lo, mid)
-        if lo == len(sizes):
-            found.setdefault(tuple(chosen), room)
-            least[0] = min(least[0], room)
-            return nodes > COMPLETION_NODES
-        for j in range(lo, len(sizes)):
-            s = sizes[j]
-            have = int(counts[s]) - (s == largest)
-            for m in range(min(have, room // s), 0, -1):
-                if descend(j + 1, room - m * s, [*chosen, (s, m)]):
-                    return True
-            if nodes > COMPLETION_NODES:
-                return True
-        return False
-
-    descend(0, capacity - largest, [])
-    out = []
-    for rest, _ in sorted(found.items(), key=lambda x: x[1])[:keep]:
-        merged = {largest: 1}
-        for s, m in rest:
-            merged[s] = merged.get(s, 0) + m
-        out.append(tuple(sorted(merged.items(), reverse=True)))
+def reachable(sizes: list[int], counts: list[int], room: int) -> list[int]:
+    """For each place in sizes, the sums up to room that the sizes from there on can give, as bits of a number."""
+    out = [1] * (len(sizes) + 1)
+    for j in range(len(sizes) - 1, -1, -1):
+        sums, left, step = out[j + 1], min(counts[j], room // sizes[j]), 1
+        while left > 0:
+            take = min(step, left)
+            sums |= sums << (sizes[j] * take)
+            left, step = left - take, step * 2
+        out[j] = sums & ((1 << (room + 1)) - 1)
     return out
 
 
+def tight_fillings(left: np.ndarray, room: int) -> Iterator[tuple[int, Filling]]:
+    """(waste, filling) of a room with any number of lengths: least waste first, then larger lengths first. Only sums that
+    can be met are followed, so each step leads to a filling."""
+    sizes = [int(s) for s in np.flatnonzero(left[: room + 1])[::-1]]
+    counts = [int(left[s]) for s in sizes]
+    sums = reachable(sizes, counts, room)
+
+    def descend(j: int, rest: int, chosen: Filling) -> Iterator[Filling]:
+        if rest == 0:
+            yield chosen
+            return
+        while j < len(sizes) and sizes[j] > rest:
+            j += 1
+        if j == len(sizes) or not sums[j] >> rest & 1:
+            return
+        s = sizes[j]
+        for m in range(min(counts[j], rest // s), -1, -1):
+            if sums[j + 1] >> (rest - m * s) & 1:
+                yield from descend(j + 1, rest - m * s, (*chosen, (s, m)) if m else chosen)
+
+    for waste in range(room + 1):
+        if sums[0] >> (room - waste) & 1:
+            for filling in descend(0, room - waste, ()):
+                yield waste, filling
+
+
+def completions(left: np.ndarray, room: int, keep: int) -> list[tuple[int, Filling]]:
+    """(waste, filling) of the room beside the largest document: the undominated ones of one and of two lengths, then the
+    tightest of more. A filling is dominated if one of its lengths could give way to a larger one."""
+    sizes = np.flatnonzero(left[: room + 1])
+    if not len(sizes):
+        return [(room, ())]
+    top = int(sizes[-1])
+    out: dict[Filling, int] = {((top, 1),): room - top}
+    if len(sizes) > 1 or left[top] > 1:
+        # with each first length, the largest second one that still fits
+        at = np.searchsorted(sizes, room - sizes, side="right") - 1
+        at = np.where((at >= 0) & (sizes[np.maximum(at, 0)] == sizes) & (left[sizes] < 2), at - 1, at)
+        for a, b in sorted(((int(s), int(sizes[k])) for s, k in zip(sizes, at, strict=True) if k >= 0 and sizes[k] <= s), key=lambda x: (room - sum(x), -x[0]))[:keep]:
+            out.setdefault(((a, 2),) if a == b else ((a, 1), (b, 1)), room - a - b)
+    for waste, filling in islice(tight_fillings(left, room), keep):
+        out.setdefault(filling, waste)
+    return [(w, f) for f, w in out.items()]
+
+
 def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     """Best-fit decreasing on the histogram: each bin takes the largest length that still fits, again and again."""
     left, out = counts.copy(), []
@@ -111,43 +131,55 @@ def bins(plan: list[Pattern]) -> int:
     return sum(times for _, times in plan)
 
 
-def plan_bins(histogram: dict[int, int], capacity: int) -> list[Pattern]:
-    """Patterns ((length, how many), ...) and how many bins use each; covers the histogram exactly."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for s, n in histogram.items():
-        counts[s] += n
-    best = [best_fit(counts, capacity)]
-    goal, opened = lower_bound(counts, capacity), [0]
+def complete(counts: np.ndarray, capacity: int, allowed: int, best: list[Pattern], least: int, nodes: int) -> list[Pattern]:
+    """Bin completion by depth first: the best packing found before nodes bins were opened, or the one given.
 
-    def dive(left: np.ndarray, done: list[Pattern], used: int, width: int) -> bool:
-        """True once the bound is met."""
+    Of the completions whose waste is allowed, those of few lengths come first, as they leave small documents for later;
+    tighter ones follow, then looser ones. A branch ends once its waste exceeds what a better packing can lose in all, or
+    once the bound on what is left shows that it cannot become one.
+    """
+    volume, opened, known = int((np.arange(len(counts)) * counts).sum()), 0, bins(best)
+    stack: list[tuple[np.ndarray, list[Pattern], int, int]] = [(counts, [], 0, 0)]
+    while stack and known > least and opened < nodes:
+        left, done, used, waste = stack.pop()
         if not left.any():
-            if used < bins(best[0]):
-                best[0] = list(done)
-            return bins(best[0]) <= goal
-        if used + lower_bound(left, capacity) >= bins(best[0]):
-            return False
-        opened[0] += 1
+            if used < known:
+                best, known = done, used
+            continue
+        if waste > (known - 1) * capacity - volume or used + lower_bound(left, capacity) >= known:
+            continue
+        opened += 1
         largest = int(np.flatnonzero(left)[-1])
-        for pattern in completions(left, largest, capacity, width):
-            times = min(int(left[s]) // m for s, m in pattern)
+        rest = left.copy()
+        rest[largest] -= 1
+        ranked = sorted(completions(rest, capacity - largest, 24), key=lambda x: (x[0] > allowed, sum(m for _, m in x[1]) if x[0] <= allowed else x[0], x[0]))
+        for lost, filling in reversed(ranked[:3]):
+            whole = Counter({largest: 1})
+            whole.update(dict(filling))
+            times = min(int(left[s]) // m for s, m in whole.items())
             after = left.copy()
-            for s, m in pattern:
+            for s, m in whole.items():
                 after[s] -= m * times
-            if dive(after, [*done, (pattern, times)], used + times, width):
-                return True
-            if opened[0] > SEARCH_NODES + 2 * capacity:
-                return False
-        return False
+            stack.append((after, [*done, (tuple(sorted(whole.items(), reverse=True)), times)], used + times, waste + lost * times))
+    return best
+
 
-    import sys
+def plan_bins(histogram: dict[int, int], capacity: int) -> tuple[list[Pattern], int]:
+    """(patterns ((length, how many), ...) with how many bins use each, a proven lower bound): covers the histogram exactly.
 
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * capacity + 1000))
-    for width in (1, 3):
-        opened[0] = 0
-        if bins(best[0]) <= goal or dive(counts, [], 0, width):
-            break
-    return best[0]
+    The best-fit packing is the incumbent; searches with other allowances for waste try to better it until one meets the
+    bound. Where none does, the best so far stands, and its gap to the bound tells.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for s, n in histogram.items():
+        counts[s] += n
+    full = [(((capacity, 1),), int(counts[capacity]))] if counts[capacity] else []
+    counts[capacity] = 0
+    best, least = best_fit(counts, capacity), lower_bound(counts, capacity)
+    nodes = SEARCH_NODES + int(min(counts.sum(), 2 * capacity))  # one descent opens no more than this less SEARCH_NODES
+    for allowed in ALLOWED:
+        best = complete(counts, capacity, allowed, best, least, nodes)
+    return full + best, bins(full) + least
 
 
 def plan_rows(plan: list[Pattern], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -230,7 +262,8 @@ def pieces_of(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int)
 
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer_file: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, n_sequences, least), one row per piece; n_sequences
+    is how many sequences there are in all, least a proven lower bound of it."""
     if tokenizer_file is None:
         import public_tokenizers
 
@@ -239,13 +272,16 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer_file:
     pieces = staged(pieces_of(docs, tokenizer_file, end_id, capacity), "pieces")
     per_part = staged(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     histogram = {r[0]: r[1] for r in per_part.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
-    plan = spark.createDataFrame(plan_rows(plan_bins(histogram, capacity), capacity), "length long, first long, ranks long, sequence long, per long, place long")
+    patterns, least = plan_bins(histogram, capacity)
+    plan = spark.createDataFrame(plan_rows(patterns, capacity), "length long, first long, ranks long, sequence long, per long, place long")
     before = per_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
-    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # lengths x partitions grows with the input, so it is never broadcast
+    ranked = pieces.join(before.hint("shuffle_hash"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     at = F.col("rank") - F.col("first")
     # each pattern uses up at least one length, so the plan is bounded by the capacity
     return ranked.join(F.broadcast(plan), "length").where((at >= 0) & (at < F.col("ranks"))).select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("sequence") + F.floor(at / F.col("per"))).cast("long").alias("sequence_id"),
         (F.col("place") + at % F.col("per") * F.col("length")).cast("long").alias("offset"),
+        F.lit(bins(patterns)).cast("long").alias("n_sequences"), F.lit(least).cast("long").alias("least"),
     )
