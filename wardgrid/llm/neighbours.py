@@ -6,12 +6,16 @@ products. Vectors are dealt to lists by their nearest coarse centre; a query vis
 with a table of partial products in small integers, and ranks the RERANK best of each block by exact products.
 
 How many lists a query visits is measured, not set: the true neighbours of CHECKED queries are found by brute force over
-all rows, and the least number of lists (PROBES or more, up to all) that hold the share FOUND of them is taken.
+all rows, and the least number of lists (PROBES or more, up to all) that hold the share FOUND of them is taken. A query
+first visits its best list; the k-th best product found there is its floor, and the other lists give only what reaches
+it, so what they give follows the queries and not the lists. A query that still has less than k visits all other lists.
+With exact=True every list is visited and every product is computed, in blocks.
 
 Everything is fitted on a bounded sample (SAMPLE vectors, the smallest hashes of vec_id); every row is indexed. Lists
 are cut into blocks of about BLOCK candidates and QUERIES queries, so a list that holds a third of all rows is many
-groups. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
-Repeated rows count once; a null vec_id takes no part. Ties go to the smaller vec_id. No usable vector, no rows.
+groups. Vectors that are null, zero, empty, or hold null or non-finite components take no part; products exist between
+vectors of the same length only, so each length is searched for itself. Repeated rows count once; a null vec_id takes no
+part. Ties go to the smaller vec_id. No usable vector, no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +29,13 @@ from wardgrid.llm.common import staged
 
 SAMPLE = 20_000
 LIST_ROWS = 4096  # rows of a list on average
-MAX_LISTS = 4096
+MAX_LISTS = 1024
 PROBES = 8  # lists visited at least
 CHECKED = 512  # queries whose neighbours are looked up by brute force
 FOUND = 0.98
 RERANK = 240
-BLOCK, QUERIES = 4096, 512
+BLOCK, QUERIES = 8192, 4096
+CHUNK = 128  # queries whose products with a block are held at once
 PARALLEL = 4.0
 CODES = 16
 WIDTH = 2
@@ -120,12 +125,11 @@ class Quantiser:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Distinct (vec_id, v) whose vector takes part, v in double precision."""
+    """Distinct (vec_id, v) whose vector takes part, v in double precision; an empty one has no component that is not 0."""
     good = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(
         F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     )
-    length = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.where(F.size("v") == (length[0] if length else 0)).distinct()
+    return good.distinct()
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -168,16 +172,29 @@ def probes_needed(coded: DataFrame, asked: DataFrame, model: Quantiser, k: int)
     return max(PROBES, int(np.searchsorted(share, FOUND)) + 1) if len(late) else PROBES
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by `every`."""
-    spark = vectors.sparkSession
-    out = "query_id long, vec_id long, score double"
     good = staged(usable(vectors), "vectors")
+    out = None
+    for (length,) in good.select(F.size("v").alias("n")).distinct().orderBy("n").collect():
+        found = search_one(good.where(F.size("v") == length), every, k, exact)
+        out = found if out is None else out.unionByName(found)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
+
+
+def search_one(good: DataFrame, every: int, k: int, exact: bool) -> DataFrame:
+    """search() over vectors of one length."""
+    spark = good.sparkSession
     n = good.count()
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    model = spark.sparkContext.broadcast(Quantiser(matrix(sample.column(0).combine_chunks()), min(MAX_LISTS, -(-n // LIST_ROWS))))
+    lists = min(MAX_LISTS, -(-n // LIST_ROWS))
+    model = spark.sparkContext.broadcast(Quantiser(matrix(sample.column(0).combine_chunks()), lists))
+    lists = len(model.value.centres)
 
     def index(batches):
         for b in batches:
@@ -188,43 +205,67 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
                 flat = pa.array([c.tobytes() for c in even[:, ::2] | (even[:, 1::2] << 4)], pa.binary())  # two codes a byte
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat, pa.array(model.value.lists_of(x).astype(np.int32))], ["vec_id", "v", "codes", "list"])
 
-    def route(batches):
-        for b in batches:
-            if len(b):
-                probes = model.value.probes_of(matrix(b.column(1)), visited)
-                at = pa.array(np.repeat(np.arange(len(b)), probes.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(probes.ravel().astype(np.int32))], ["query_id", "q", "list"])
-
     coded = staged(good.mapInArrow(index, "vec_id long, v array<double>, codes binary, list int"), "codes")
-    chosen = good.where(F.col("vec_id") % every == 0)
-    visited = probes_needed(coded, chosen, model.value, k)
-    asked = staged(chosen.mapInArrow(route, "query_id long, q array<double>, list int"), "queries")
-    # how many blocks each list is cut into, on either side: at most MAX_LISTS rows
-    cuts = coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns")), "list")
-    cuts = F.broadcast(staged(cuts, "cuts"))
-    candidates = coded.join(cuts, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "vec_id", "v", "codes")
-    questions = asked.join(cuts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id", F.lit(1)), F.col("turns")).cast("int").alias("turn"), "query_id", "q")
+    chosen = good.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    visited = lists if exact else probes_needed(coded, chosen.select(F.col("query_id").alias("vec_id"), F.col("q").alias("v")), model.value, k)
+    blocks = coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return none
         right = right.sort_by("vec_id")
         ids, x = right.column("vec_id").to_numpy(), matrix(right.column("v").combine_chunks())
         packed = np.stack([np.frombuffer(c, np.uint8) for c in right.column("codes").to_pylist()])
         codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(ids), -1)[:, : model.value.parts]
-        names, q = left.column("query_id").to_numpy(), matrix(left.column("q").combine_chunks())
-        # equal scores go to the smaller vec_id, as candidates are in that order
-        keys = model.value.scan(q, codes).astype(np.int64) * len(ids) - np.arange(len(ids))
-        keys[names[:, None] == ids[None, :]] = np.iinfo(np.int64).min
-        top = np.argpartition(-keys, min(RERANK, len(ids)) - 1, axis=1)[:, :RERANK]
-        exact = np.einsum("qd,qrd->qr", q, x[top])
-        exact[names[:, None] == ids[top]] = -np.inf
-        order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-        score, found = np.take_along_axis(exact, order, 1), np.take_along_axis(ids[top], order, 1)
-        keep = np.isfinite(score)
-        return pa.table({"query_id": np.repeat(names, keep.sum(1)), "vec_id": found[keep], "score": score[keep]})
-
-    parts = ["list", "block", "turn"]
-    met = questions.groupBy(*parts).cogroup(candidates.groupBy(*parts)).applyInArrow(best, out)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        names, q, floor = left.column("query_id").to_numpy(), matrix(left.column("q").combine_chunks()), left.column("floor").to_numpy()
+        out = [none]
+        for i in range(0, len(names), CHUNK):
+            own, asked = names[i : i + CHUNK], q[i : i + CHUNK]
+            if exact:
+                top = np.broadcast_to(np.arange(len(ids)), (len(own), len(ids)))
+                product = asked @ x.T
+            else:
+                # equal scores go to the smaller vec_id, as candidates are in that order
+                keys = model.value.scan(asked, codes).astype(np.int64) * len(ids) - np.arange(len(ids))
+                keys[own[:, None] == ids[None, :]] = np.iinfo(np.int64).min
+                top = np.argpartition(-keys, min(RERANK, len(ids)) - 1, axis=1)[:, :RERANK]
+                product = np.einsum("qd,qrd->qr", asked, x[top])
+            product = np.where((own[:, None] == ids[top]) | (product < floor[i : i + CHUNK, None]), -np.inf, product)
+            order = np.lexsort((ids[top], -product), axis=1)[:, :k]
+            score, found = np.take_along_axis(product, order, 1), np.take_along_axis(ids[top], order, 1)
+            keep = np.isfinite(score)
+            out.append(pa.table({"query_id": np.repeat(own, keep.sum(1)), "vec_id": found[keep], "score": score[keep]}))
+        return pa.concat_tables(out)
+
+    def visit(questions: DataFrame, first: int, last: int) -> DataFrame:
+        """What the queries (query_id, q, floor) find in their lists from the first-th to before the last-th best."""
+
+        def route(batches):
+            for b in batches:
+                if len(b):
+                    probes = model.value.probes_of(matrix(b.column(1)))[:, first:last]
+                    at = pa.array(np.repeat(np.arange(len(b)), probes.shape[1]))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(3)), pa.array(probes.ravel().astype(np.int32))], ["query_id", "q", "floor", "list"])
+
+        asked = staged(questions.select("query_id", "q", "floor").mapInArrow(route, "query_id long, q array<double>, floor double, list int"), "queries")
+        # how many blocks each list is cut into, on either side: at most MAX_LISTS rows
+        cuts = F.broadcast(staged(blocks.join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns")), "list"), "cuts"))
+        candidates = coded.join(cuts, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "vec_id", "v", "codes")
+        met = asked.join(cuts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id", F.lit(1)), F.col("turns")).cast("int").alias("turn"), "query_id", "q", "floor")
+        parts = ["list", "block", "turn"]
+        return met.groupBy(*parts).cogroup(candidates.groupBy(*parts)).applyInArrow(best, "query_id long, vec_id long, score double")
+
+    def floors(found: DataFrame) -> DataFrame:
+        """The k-th best of each query that has found k; minus infinity for the others."""
+        per = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        return chosen.join(per, "query_id", "left").select("query_id", "q", F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf")).alias("floor"))
+
+    found = staged(ranked(visit(chosen.withColumn("floor", F.lit(float("-inf"))), 0, 1), k), "found")
+    if visited > 1:
+        found = staged(ranked(found.drop("rank").unionByName(visit(floors(found), 1, visited)), k), "found")
+    if visited < lists:
+        short = floors(found).where(F.col("floor") == float("-inf"))
+        if not short.isEmpty():
+            found = ranked(found.drop("rank").unionByName(visit(short, visited, lists)), k)
+    return found.select("query_id", "rank", "vec_id", "score")
