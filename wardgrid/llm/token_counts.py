@@ -1,11 +1,15 @@
-"""Token counts by a compiled finite-state transducer.
+"""Token counts by compiled finite-state transducers.
 
-The byte-level tokenizer's splitting pattern is compiled into a deterministic transducer over character classes.
-Each transition carries how many pre-tokens it emits, and where they start. Text is cut into fixed chunks; a chunk
-becomes a state map (entry state -> exit state), chunk maps are composed by a parallel prefix scan, and a replay from
-the known entry states gives every start. Weights of the emitted pre-tokens come from a lexicon that is compiled on
-demand from the tokenizer itself (pre-token -> number of tokens), as the merge rules of one pre-token depend on
-nothing outside it. A full merge automaton of 50,000 rules would hold no other information and far more states.
+Two transducers are compiled from the tokenizer's file. The first reads character classes and splits text into
+pre-tokens: it has 12 states; each transition carries how many pre-tokens it emits, and where they start. Text is cut into
+fixed chunks; a chunk becomes a state map (entry state -> exit state), chunk maps are composed by a parallel prefix scan,
+and a replay from the known entry states gives every start.
+
+The second reads the bytes of a pre-token: its state is the prefix read so far, as far as it matters: the last token of the
+encoding of each of its own prefixes. A transition carries the change in the number of tokens. It is determinised on demand:
+a prefix ends in the one vocabulary token that ends there and may follow the last token of what is left before it, where
+two tokens may follow each other if the merge rules leave their joint text as these two. So its count is that of the
+shorter prefix plus one. Whole pre-tokens that were read once are remembered with their sum.
 
 Null text counts as empty (0 tokens); repeated rows give repeated results; a null doc_id is kept. The tokenizer's
 special strings inside a text count one each, as the library does by default.
@@ -14,8 +18,8 @@ special strings inside a text count one each, as the library does by default.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,6 @@ HERE, BEFORE = 1, 2  # a pre-token starts at this symbol; one starts at the symb
 CHUNK = 64
 BLOCK_CHARS = 1_000_000
 LEXICON_ENTRIES = 400_000
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
 def _fresh(symbol: int) -> int:
     """State after a pre-token that starts with this symbol."""
     if symbol == NUMBER:
@@ -122,34 +122,143 @@ def emissions(symbols: np.ndarray, nxt: np.ndarray, emit: np.ndarray) -> np.ndar
     return out.T.reshape(-1)[:n]
 
 
+class Merges:
+    """The byte transducer: numbers of tokens of pre-tokens, from the vocabulary and the merge rules alone.
+
+    Tokens are numbered by the order of their rules: bytes first, then each rule's product.
+    """
+
+    def __init__(self, spec: dict):
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(c): c for c in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        pairs = [tuple(r.split(" ")) if isinstance(r, str) else tuple(r) for r in spec["model"]["merges"]]
+        number = {c: byte_of[c] for c in byte_of}
+        left, right = np.full(256 + len(pairs), -1, np.int64), np.full(256 + len(pairs), -1, np.int64)
+        for i, (a, b) in enumerate(pairs):
+            number.setdefault(a + b, 256 + i)
+            left[256 + i], right[256 + i] = number[a], number[b]
+        self.left, self.right = left, right
+        # the rules by pair
+        keys = left[256:] * self.SPAN + right[256:]
+        self.pair_keys, first = np.unique(keys, return_index=True)
+        self.pair_token = first + 256
+        # the vocabulary as a trie, one edge a key: node * 256 + byte -> node
+        edges: dict[int, int] = {}
+        token_at = [-1]
+        for text, token in number.items():
+            node = 0
+            for c in text:
+                key = node * 256 + byte_of[c]
+                if key not in edges:
+                    edges[key] = len(token_at)
+                    token_at.append(-1)
+                node = edges[key]
+            token_at[node] = token
+        self.edge_keys = np.array(sorted(edges), np.int64)
+        self.edge_to = np.array([edges[k] for k in self.edge_keys.tolist()], np.int64)
+        self.token_at = np.array(token_at, np.int64)
+
+    SPAN = 1 << 20
+
+    def _found(self, keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return at, keys[at] == asked
+
+    def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the merge rules leave the joint text of tokens a and b as these two.
+
+        Undo rules at the border of a and b, the later one first: if at any time a rule would have joined the two parts
+        that meet there before the rules undone so far were used, it would have been used instead.
+
+        A rule of the right part wins over an equal one that is found to its left only if it is earlier, so the limit on that
+        side is one higher.
+        """
+        free = np.ones(len(a), bool)
+        x, y = a.copy(), b.copy()
+        limit = np.full(len(a), np.iinfo(np.int64).max)
+        live = np.arange(len(a))
+        while len(live):
+            at, is_rule = self._found(self.pair_keys, x[live] * self.SPAN + y[live])
+            joined = is_rule & (self.pair_token[at] < limit[live])
+            free[live[joined]] = False
+            live = live[~joined]
+            u, v = x[live], y[live]
+            # the part made by the later rule is taken apart; bytes stay
+            take_left = (u > v) & (u >= 256) | (v < 256)
+            whole = (u < 256) & (v < 256)
+            live, take_left, u, v = live[~whole], take_left[~whole], u[~whole], v[~whole]
+            limit[live] = np.where(take_left, u, v + 1)
+            x[live] = np.where(take_left, self.right[u], u)
+            y[live] = np.where(take_left, v, self.left[v])
+        return free
+
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        """Tokens of each word, all words one byte further at a time."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        begin = np.cumsum(size) - size
+        end_of = np.repeat(begin + size, size)
+        # all vocabulary tokens that stand anywhere: walk the trie from every place
+        place, node, length, hits = np.arange(len(text)), np.zeros(len(text), np.int64), 0, []
+        while len(place):
+            at, ok = self._found(self.edge_keys, node * 256 + text[place + length])
+            place, node, length = place[ok], self.edge_to[at[ok]], length + 1
+            token = self.token_at[node]
+            is_token = token >= 0
+            hits.append(np.stack([place[is_token] + length, place[is_token], token[is_token]]))
+            more = place + length < end_of[place]
+            place, node = place[more], node[more]
+        ends, starts, tokens = np.concatenate(hits, 1) if hits else np.zeros((3, 0), np.int64)
+        # a transition a byte: the words' prefixes of one length together
+        depth = ends - begin[np.searchsorted(begin, starts, side="right") - 1] if len(ends) else ends
+        order = np.argsort(depth, kind="stable")
+        ends, starts, tokens, depth = ends[order], starts[order], tokens[order], depth[order]
+        last, count = np.full(len(text) + 1, -1, np.int64), np.zeros(len(text) + 1, np.int64)
+        first_of = np.zeros(len(text) + 1, bool)
+        first_of[begin] = True
+        cuts = np.searchsorted(depth, np.arange(1, (size.max() if len(size) else 0) + 2))
+        state = np.zeros((2, len(text) + 1), np.int64)  # last token and count of the prefix that ends before each place
+        state[0] = -1
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s == e:
+                continue
+            stop, start, token = ends[s:e], starts[s:e], tokens[s:e]
+            opens = first_of[start]
+            before = last[start]
+            good = opens.copy()
+            inner = np.flatnonzero(~opens)
+            good[inner] = self.may_follow(before[inner], token[inner])
+            stop, start, token, opens = stop[good], start[good], token[good], opens[good]
+            state[0, stop], state[1, stop] = token, np.where(opens, 0, count[start]) + 1
+            # the end of one word is the start of the next, so what a prefix leaves is kept apart from where words start
+            inside = ~first_of[stop]
+            last[stop[inside]], count[stop[inside]] = token[inside], state[1, stop[inside]]
+        return state[1, begin + size]
+
+
 class TokenCounter:
     """Counts tokens of texts; keeps what it has compiled for the life of a Python worker."""
 
     def __init__(self, tokenizer_json: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.special = [t["content"] for t in json.loads(tokenizer_json)["added_tokens"]]
+        spec = json.loads(tokenizer_json)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.merges = Merges(spec)
         self.nxt, self.emit = compile_splitter()
         self.symbols = symbol_table()
-        mixed = np.arange(0x110000, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019)
-        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(by)
-        self.mixed = mixed ^ (mixed >> np.uint64(31))
-        self.lexicon: dict[int, int] = {}
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _weights(self, keys: np.ndarray, first: np.ndarray, last: np.ndarray, text: str) -> np.ndarray:
-        """Tokens of each distinct pre-token, compiling those that the lexicon lacks."""
-        if len(self.lexicon) > LEXICON_ENTRIES:
-            self.lexicon = {}
-        known = list(map(self.lexicon.get, keys.tolist()))
-        missing = [i for i, x in enumerate(known) if x is None]
-        made = self.tokenizer.encode_batch_fast([text[first[i] : last[i]] for i in missing], add_special_tokens=False)
-        for i, x in zip(missing, made, strict=True):
-            known[i] = self.lexicon[int(keys[i])] = len(x.ids)
-        return np.array(known, np.int64)
+        self.lexicon: dict[str, int] = {}
+
+    def _weights(self, words: list[str]) -> np.ndarray:
+        """Tokens of each pre-token; those that were not read yet go through the byte transducer."""
+        found = np.fromiter(map(self.lexicon.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            if len(self.lexicon) > LEXICON_ENTRIES:
+                self.lexicon = {}
+            missing_words = [words[i] for i in missing.tolist()]
+            new = list(set(missing_words))
+            self.lexicon.update(zip(new, self.merges.counts([w.encode() for w in new]).tolist(), strict=True))
+            found[missing] = [self.lexicon[w] for w in missing_words]
+        return found
 
     def _block(self, pieces: list[str]) -> np.ndarray:
         text = "\0".join(pieces) + "\0"
@@ -165,16 +274,7 @@ class TokenCounter:
         first, last = at[:-1], at[1:]
         real = symbols[first] != END
         first, last = first[real], last[real]
-        if not len(first):
-            return np.zeros(len(pieces), np.int64)
-        if len(self.powers) <= len(points):
-            n = len(points) + 1
-            self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE)]))
-            self.inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE_INVERSE)]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.mixed[points] * self.powers[: len(points)])])
-        keys = (sums[last] - sums[first]) * self.inverses[first] + (last - first).astype(np.uint64)
-        distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        weights = self._weights(distinct, first[where], last[where], text)[back]
+        weights = self._weights([text[s:e] for s, e in zip(first.tolist(), last.tolist(), strict=True)])
         total = np.concatenate([[0], np.cumsum(weights)])
         edge = np.searchsorted(first, np.concatenate([[0], ends]))
         return total[edge[1:]] - total[edge[:-1]]
