@@ -1,13 +1,13 @@
 """License scans by sentence rules; DataFrame functions only.
 
-A text is cut at line ends; a line is normalised to lower-case words (lower(), then runs of anything but letters and
-digits become one space). A broadcast join with the table of known sentences gives each document its sequence of
-sentence identifiers, in order; a rule is an ordered list of identifiers that must follow each other with no other known
-sentence between. Rules are tried in order, and a rule that is part of an earlier rule that matched at the same place
-does not count again: matches are taken out as they are found.
-
-Null and empty texts have no licences. Repeated rows (doc_id and text alike) are one document; rows that share a
-doc_id but not a text are scanned apart, so each (doc_id, text) gives one row. A null doc_id is kept.
+A text is normalised to lower-case words (lower(), then runs of anything but letters and digits become one space), so line
+wraps, comment marks and punctuation do not matter. Known sentences are found in it wherever their words stand in a row, from
+left to right, the longest first where one begins another; that gives each document its sequence of sentence identifiers, in
+order. A rule is an ordered list of identifiers that must follow each other with no other known sentence between. Rules are
+tried in order, and a rule that is part of an earlier rule that matched at the same place does not count again: matches are
+taken out as they are found.
+
+One pass without a shuffle, one row per row of docs. Null and empty texts have no licences; a null doc_id is kept.
 """
 
 from __future__ import annotations
@@ -21,68 +21,148 @@ SENTENCES: dict[int, str] = {
     2: "permission is hereby granted free of charge to any person obtaining a copy of this software",
     3: "the above copyright notice and this permission notice shall be included in all copies",
     4: "the software is provided as is without warranty of any kind",
+    5: "licensed under the mit license",
+    6: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    7: "the above copyright notice and this permission notice appear in all copies",
+    8: "the software is provided as is and the author disclaims all warranties",
+    9: "licensed under the isc license",
     10: "licensed under the apache license version 2 0",
     11: "you may not use this file except in compliance with the license",
     12: "you may obtain a copy of the license at",
     13: "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+    14: "licensed under the apache license 2 0",
     20: "this work is licensed under the gnu general public license version 3",
     21: "this program is free software you can redistribute it and or modify it",
     22: "this program is distributed in the hope that it will be useful but without any warranty",
     23: "you should have received a copy of the gnu general public license along with this program",
+    24: "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    25: "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    26: "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    27: "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    28: "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    29: "you should have received a copy of the gnu lesser general public license along with this",
     30: "licensed under cc by nc 4 0",
     31: "licensed under cc by 4 0",
     32: "licensed under cc by sa 4 0",
+    33: "licensed under a creative commons attribution 4 0 international license",
+    34: "licensed under a creative commons attribution sharealike 4 0 international license",
+    35: "licensed under a creative commons attribution noncommercial 4 0 international license",
+    36: "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    37: "cc0 1 0 universal",
+    38: "you should have received a copy of the gnu affero general public license along with this program",
+    39: "licensed under the gnu general public license version 2",
     40: "redistribution and use in source and binary forms with or without modification are permitted",
     41: "redistributions of source code must retain the above copyright notice",
     42: "redistributions in binary form must reproduce the above copyright notice",
     43: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
+    44: "licensed under the bsd 3 clause license",
+    45: "licensed under the bsd 2 clause license",
     50: "this source code form is subject to the terms of the mozilla public license v 2 0",
+    51: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    52: "boost software license version 1 0",
+    53: "this is free and unencumbered software released into the public domain",
+    54: "anyone is free to copy modify publish use compile sell or distribute this software",
+    55: "this software is provided as is without any express or implied warranty",
+    56: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    57: "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
     60: "all rights reserved",
 }
 #: Licence rules in the order in which they are tried.
 RULES: list[tuple[str, list[int]]] = [
     ("MIT", [2, 3, 4]),
     ("Apache-2.0", [10, 11, 12, 13]),
+    ("LGPL-3.0", [26, 29]),
+    ("LGPL-2.1", [27, 29]),
+    ("AGPL-3.0", [21, 28, 22, 38]),
+    ("GPL-3.0", [21, 24, 22, 23]),
+    ("GPL-2.0", [21, 25, 22, 23]),
     ("GPL-3.0", [21, 22, 23]),
     ("BSD-3-Clause", [40, 41, 42, 43]),
     ("BSD-2-Clause", [40, 41, 42]),
+    ("ISC", [6, 7, 8]),
+    ("Zlib", [55, 56, 57]),
+    ("Unlicense", [53, 54]),
     ("MIT", [1]),
+    ("MIT", [5]),
     ("MIT", [2]),
+    ("ISC", [6]),
+    ("ISC", [9]),
     ("Apache-2.0", [10]),
+    ("Apache-2.0", [14]),
+    ("Apache-2.0", [11, 12, 13]),
+    ("LGPL-3.0", [26]),
+    ("LGPL-2.1", [27]),
+    ("AGPL-3.0", [28]),
+    ("AGPL-3.0", [38]),
+    ("GPL-3.0", [24]),
+    ("GPL-2.0", [25]),
+    ("GPL-2.0", [39]),
     ("GPL-3.0", [20]),
     ("GPL-3.0", [23]),
+    ("BSD-3-Clause", [44]),
+    ("BSD-2-Clause", [45]),
     ("CC-BY-NC-4.0", [30]),
     ("CC-BY-4.0", [31]),
     ("CC-BY-SA-4.0", [32]),
+    ("CC-BY-4.0", [33]),
+    ("CC-BY-SA-4.0", [34]),
+    ("CC-BY-NC-4.0", [35]),
+    ("CC0-1.0", [36]),
+    ("CC0-1.0", [37]),
     ("MPL-2.0", [50]),
+    ("EPL-2.0", [51]),
+    ("BSL-1.0", [52]),
+    ("Unlicense", [53]),
+    ("Zlib", [56]),
     ("proprietary", [60]),
 ]
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def pattern(sentences: dict[int, str]) -> str:
+    """Matches a known sentence with two blanks about each word: it takes one blank on either side and leaves the other, so
+    neighbours are found too. Longer sentences come first."""
+    spaced = [s.replace(" ", "  ") for s in sorted(sentences.values(), key=lambda s: (-len(s), s))]
+    return " (" + "|".join(spaced) + ") "
+
+
+def anchors(sentences: dict[int, str]) -> list[str]:
+    """A few words of which each sentence holds one; texts without any of them need no closer look."""
+    left, out = [set(s.split()) for s in sentences.values()], []
+    while left:
+        common = max({w for s in left for w in s}, key=lambda w: (len(w) >= 7, sum(w in s for s in left), len(w), w))
+        out.append(common)
+        left = [s for s in left if common not in s]
+    return out
+
+
+def normalised(text: Column) -> Column:
+    """Words with two blanks about each."""
+    return F.concat(F.lit("  "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "  ")), F.lit("  "))
 
 
 def match_rules(docs: DataFrame, rules: list[tuple[str, list[int]]]) -> DataFrame:
     """Adds licenses, the sorted names of the rules that match the text `ids` (',1,,2,'), and n_matches."""
-    rest, names, n = F.col("ids"), [], F.lit(0)
-    for name, sequence in rules:
-        pattern = "," + ",,".join(map(str, sequence)) + ","
-        left = F.replace(rest, F.lit(pattern), F.lit(",!,"))
-        hits = (F.length(F.replace(rest, F.lit(pattern), F.lit(pattern + "!"))) - F.length(rest)).cast("int")
-        names.append(F.when(hits > 0, name))
-        n, rest = n + hits, left
-    return docs.select("*", F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))), ",").alias("licenses"), n.alias("n_matches"))
+
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",,".join(map(str, sequence)) + ",").alias("key")) for name, sequence in rules])
+
+    def step(state: Column, rule: Column) -> Column:
+        rest, key = state["rest"], rule["key"]
+        hits = ((F.length(rest) - F.length(F.replace(rest, key, F.lit("")))) / F.length(key)).cast("int")
+        return F.struct(F.replace(rest, key, F.lit(",!,")).alias("rest"), F.when(hits > 0, F.array_append(state["names"], rule["name"])).otherwise(state["names"]).alias("names"), (state["n"] + hits).alias("n"))
+
+    start = F.struct(F.col("ids").alias("rest"), F.array().cast("array<string>").alias("names"), F.lit(0).alias("n"))
+    told = docs.withColumn("_told", F.when(F.col("n_sentences") > 0, F.aggregate(each, start, step)).otherwise(start))
+    return told.select(*docs.columns, F.array_join(F.array_sort(F.array_distinct("_told.names")), ",").alias("licenses"), F.col("_told.n").alias("n_matches"))
 
 
 def scan_licenses(docs: DataFrame, sentences: dict[int, str] | None = None, rules: list[tuple[str, list[int]]] | None = None) -> DataFrame:
-    """(doc_id, licenses, n_sentences, n_matches), one row per distinct (doc_id, text)."""
-    known = docs.sparkSession.createDataFrame([(s, i) for i, s in (sentences or SENTENCES).items()], "sentence string, id int")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    # position -1 stands for the document itself, so that one without licences keeps its row
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.posexplode(F.concat(F.array(F.lit("\n")), lines)).alias("at", "line"))
-    rows = rows.where((F.col("at") == 0) | (F.length("line") >= min(map(len, (sentences or SENTENCES).values()))))  # shorter lines hold no known sentence
-    met = rows.withColumn("sentence", normalised(F.col("line"))).join(F.broadcast(known), "sentence", "left").where("at = 0 or id is not null")
-    found = met.groupBy("doc_id", "_h").agg(F.array_sort(F.collect_set(F.when(F.col("at") > 0, F.struct("at", "id")))).alias("found"))
-    ids = F.concat(F.lit(","), F.array_join(F.transform("found", lambda x: x["id"].cast("string")), ",,"), F.lit(","))
-    return match_rules(found.select("doc_id", F.size("found").alias("n_sentences"), ids.alias("ids")), rules or RULES).select("doc_id", "licenses", "n_sentences", "n_matches")
+    """(doc_id, licenses, n_sentences, n_matches), one row per row of docs."""
+    known = sentences or SENTENCES
+    text = F.coalesce(F.col("text"), F.lit(""))
+    likely = F.lower(text).rlike("|".join(anchors(known)))
+    spaced = {s.replace(" ", "  "): str(i) for i, s in known.items()}
+    number = F.create_map(*[F.lit(x) for pair in spaced.items() for x in pair])
+    found = F.when(likely, F.regexp_extract_all(normalised(text), F.lit(pattern(known)), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    ids = docs.select("doc_id", F.transform(found, lambda s: F.element_at(number, s)).alias("found"))
+    ids = ids.select("doc_id", F.size("found").alias("n_sentences"), F.concat(F.lit(","), F.array_join("found", ",,"), F.lit(",")).alias("ids"))
+    return match_rules(ids, rules or RULES).select("doc_id", "licenses", "n_sentences", "n_matches")

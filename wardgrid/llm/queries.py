@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wardgrid.llm.chat import format_chats
 from wardgrid.llm.common import shared_dir, table
 from wardgrid.llm.decontamination import MIN_WORDS, SHARE, UNITS, WINDOW, leaks
-from wardgrid.llm.licenses import RULES, SENTENCES, scan_licenses
+from wardgrid.llm.licenses import RULES, SENTENCES, pattern, scan_licenses
 from wardgrid.llm.lm_scoring import score_texts
 from wardgrid.llm.near_dedup import near_duplicates
 from wardgrid.llm.neighbours import search
@@ -65,21 +65,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 def _license_sql() -> str:
     """Rules are tried one after the other: each step takes its matches out of the sequence."""
-    known = ", ".join(f"({i}, '{t}')" for i, t in SENTENCES.items())
+    known = ", ".join(f"('{i}', '{t.replace(' ', '  ')}')" for i, t in SENTENCES.items())
     steps, last, names, hits = [], "seq", [], []
     for k, (name, ids) in enumerate(RULES):
-        pattern = "," + ",,".join(map(str, ids)) + ","
-        steps.append(f"s{k} as (select *, (length(replace(r{k}, '{pattern}', '{pattern}!')) - length(r{k}))::int as h{k}, replace(r{k}, '{pattern}', ',!,') as r{k + 1} from {last})")
+        key = "," + ",,".join(map(str, ids)) + ","
+        steps.append(f"s{k} as (select *, ((length(r{k}) - length(replace(r{k}, '{key}', ''))) / {len(key)})::int as h{k}, replace(r{k}, '{key}', ',!,') as r{k + 1} from {last})")
         last = f"s{k}"
         names.append(f"case when h{k} > 0 then '{name}' end")
         hits.append(f"h{k}")
     return f"""
     with known(id, sentence) as (values {known}),
-    docs as (select distinct doc_id, text from documents),
-    lines as (select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as nr from docs),
-    met as (select doc_id, text, nr, id from lines join known on trim(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) = sentence),
-    found as (select doc_id, text, string_agg(id::varchar, ',,' order by nr) as ids, count(*) as n from met group by doc_id, text),
-    seq as (select d.doc_id, coalesce(f.n, 0)::int as n_sentences, ',' || coalesce(f.ids, '') || ',' as r0 from docs d left join found f on d.doc_id = f.doc_id and d.text = f.text),
+    docs as (select doc_id, row_number() over () as nr, '  ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || '  ' as words from documents),
+    hits as (select nr, unnest(m) as sentence, generate_subscripts(m, 1) as place from (select nr, regexp_extract_all(words, '{pattern(SENTENCES)}', 1) as m from docs)),
+    found as (select nr, string_agg(id, ',,' order by place) as ids, count(*) as n from hits join known using (sentence) group by nr),
+    seq as (select doc_id, coalesce(n, 0)::int as n_sentences, ',' || coalesce(ids, '') || ',' as r0 from docs left join found using (nr)),
     {", ".join(steps)}
     select doc_id, array_to_string(list_sort(list_distinct(list_filter([{", ".join(names)}], lambda x: x is not null))), ',') as licenses, n_sentences, ({" + ".join(hits)})::int as n_matches from {last}
     """
