@@ -40,6 +40,30 @@ def library():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def library_json():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def test_token_counts_of_whole_tables_equal_the_library(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    tok = library()
+    want = {r.doc_id: len(tok.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs).collect()} == want
+
+
+def test_byte_transducer_on_random_letters():
+    import json
+
+    tok, rng = library(), random.Random(3)
+    merges = token_counts.Merges(json.loads(library_json()))
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüあ") for _ in range(rng.randint(1, 30))) for _ in range(2000)] + ["a" * 300, "ab" * 200]
+    assert merges.counts([w.encode() for w in words]).tolist() == [len(tok.encode(w, add_special_tokens=False).ids) for w in words]
+    assert len(merges.counts([])) == 0
+
+
 def test_token_counts(spark, odd, none):
     tok, rng = library(), random.Random(1)
     texts = ["".join(rng.choice(" \n\t'sstmdrvelxÉ1२½,.!　<|endoftext|>é") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
@@ -105,11 +129,23 @@ def test_plan_is_optimal_on_small_cases(capacity, n):
 
     for seed in range(6):
         items = sorted((random.Random(seed).randint(1, capacity) for _ in range(n)), reverse=True)
-        plan = packing.plan_bins(collections.Counter(items), capacity)
-        assert packing.bins(plan) == fewest(items, [])
+        plan, least = packing.plan_bins(collections.Counter(items), capacity)
+        assert least <= packing.bins(plan) == fewest(items, [])
         assert collections.Counter({s: sum(m * t for p, t in plan for x, m in p if x == s) for s in set(items)}) == collections.Counter(items)
 
 
+@pytest.mark.parametrize("sf,most", [("sf0.001", 193), ("sf0.01", 962)])
+def test_packing_of_whole_tables(spark, sf, most):
+    """Ids are the library's; sf0.01 meets its lower bound, which best fit misses by two."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    rows, n = packed_well(packing.pack(docs), docs)
+    assert n == rows[0]["n_sequences"] <= most and rows[0]["least"] >= most - 1 - (sf == "sf0.01") + (sf == "sf0.01")
+    tok = library()
+    ids = {r.doc_id: np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4") for r in docs.collect()}
+    assert sum(r["length"] for r in rows) == sum(map(len, ids.values()))
+    assert all(zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in rows)
+
+
 def brute_classes(rows):
     sets = {}
     for d, t in rows:
@@ -149,6 +185,10 @@ def test_near_duplicates(spark, odd, none):
     assert sorted(map(str, out)) == sorted(map(str, [(1, 1), (2, 2), (None, None), (3, 3), (4, 4), (4, 4)]))
     kept = near_dedup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and kept.count() == 5
+    # rows are judged by id and text: two unrelated texts of one id stay, copies without an id go, also among themselves
+    a, b, c = ("a b c d e f g h", "other words stand here and no copy of them", "one more text that has no id at all here")
+    some = spark.createDataFrame([(3, a), (5, a), (5, b), (None, a), (None, c), (None, c), (8, None), (8, None)], "doc_id long, text string")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(some).collect()))) == sorted(map(str, [(3, a), (5, b), (None, c), (8, None), (8, None)]))
     assert near_dedup.near_duplicates(none).count() == 0
 
 
@@ -176,7 +216,7 @@ def test_decontamination(spark, odd, none):
     docs = spark.createDataFrame([
         (1, "Before. Mister Tom Smith has 5 apples and 7 pears, so Tom Smith buys 12 kg of fruit in London today. After."),
         (2, "Mister Ann Jones has 8 apples and 9 pears, so Ann Jones buys 31 miles of fruit in Paris today."),
-        (3, "Mister Ann Jones has 8 apples and 9 pears, so Bob Brown buys 31 miles of fruit in Paris today."),
+        (3, "Mister Ann Jones has 8 apples and 9 pears, so Bob Brown buys 31 miles of fruit in Rome, then."),
         (4, "Nothing of this kind stands here at all, not even one apple or pear."), (5, None),
     ], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()) == [(1, 7), (2, 7)]
@@ -184,6 +224,43 @@ def test_decontamination(spark, odd, none):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5] and kept.columns == ["doc_id", "text", "h"]
     assert decontamination.drop_contaminated(odd, bench).count() == 6
     assert decontamination.leaks(none, bench).count() == 0
+    # rows that share an id, or have none, are judged apart
+    mixed = spark.createDataFrame([(None, docs.first().text), (None, "clean"), (1, docs.first().text), (1, "clean too")], "doc_id long, text string")
+    assert sorted(r.text for r in decontamination.drop_contaminated(mixed, bench).collect()) == ["clean", "clean too"]
+
+
+@pytest.mark.parametrize("text,found", [
+    ("So: Bob Lee buys three apples and four pears at the old market for Ann Lee in the rain.", True),
+    ("Alice buys 7 apples and 7 pears at the old market for Tom in the rain.", True),
+    ("Alice buys 1,000 apples and 3.5 pears at the old market for Tom in the rain.", True),
+    ("They say 3km of wire for $5 at the old market is a lot of money for Bob there.", False),
+    ("Alice sells 3 books and 4 pens at a new shop for Tim in the sun.", False),
+])
+def test_decontamination_reads_slots_whole(spark, text, found):
+    bench = spark.createDataFrame([(1, "Alice buys 3 apples and 4 pears at the old market for Tom in the rain.")], "item_id long, text string")
+    docs = spark.createDataFrame([(5, text)], "doc_id long, text string")
+    assert decontamination.leaks(docs, bench).isEmpty() != found
+
+
+def test_decontamination_finds_long_verbatim_runs_of_long_items(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[30:50]) + " y"), (2, "x " + " ".join(words[30:48]) + " y")], "doc_id long, text string")
+    assert [r.doc_id for r in decontamination.leaks(docs, bench).collect()] == [1]
+
+
+def test_decontamination_by_several_turns_of_keys(spark, monkeypatch):
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = sorted(decontamination.leaks(docs, bench).collect())
+    monkeypatch.setattr(decontamination, "BROADCAST_KEYS", 100)
+    assert sorted(decontamination.leaks(docs, bench).collect()) == want
+
+
+def test_whole_text_hashes_equal_those_of_words(spark):
+    texts = ["Three 4 5 km. Ann Lee has A4 paper, Bob's 3.5kg; x\n\nYes! $5 and 7%", "", "... 5", "I", "a B C d E 1 2 f Twenty one", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", decontamination.hashes("text").alias("a"), decontamination.word_hashes(decontamination.words("text")).alias("b")).collect():
+        assert r.a == r.b, r.text
 
 
 def test_decontamination_finds_all_verbatim_passages(spark):
@@ -220,6 +297,8 @@ def test_toxicity(spark, odd, none):
     assert all(out[i].predicted == int(i % 9 == 0) for i in out)
     assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in out)
     assert toxicity.drop_toxic(df, marks).count() == 800
+    rowwise = spark.createDataFrame([(None, "the foulword of house"), (None, "the house of tree"), (0, "tree and house")], "doc_id long, text string")
+    assert sorted(r.text for r in toxicity.drop_toxic(df.unionByName(rowwise), marks).where("doc_id is null or doc_id = 0").collect()) == ["the house of tree", "tree and house"]
     assert toxicity.score_toxicity(odd, marks).count() == 6 and toxicity.score_toxicity(none, marks).count() == 0
     assert all(r.score < 1e-6 for r in toxicity.score_toxicity(odd, marks.limit(0)).collect())
 
@@ -263,11 +342,73 @@ def test_windows_score_each_id_once_and_causally():
     rng = np.random.default_rng(0)
     ids, sizes = rng.integers(0, 50, 200).astype(np.int32), np.array([1, 31, 32, 33, 103])
     nxt, starts = rng.integers(0, 50, 200).astype(np.int32), np.arange(200)
-    whole, mixes = m.log_probabilities(ids, nxt, sizes, starts)
+    whole, mixes = m.read(ids, nxt, sizes, starts)
     assert np.isfinite(whole).all() and np.allclose(mixes.sum(1), 1, atol=1e-5) and np.allclose(m.emit.sum(0), 1, atol=1e-4)
     changed = ids.copy()
     changed[150:] = 7
-    assert np.allclose(m.log_probabilities(changed, nxt, sizes, starts)[0][:150], whole[:150], atol=1e-5)
+    assert np.allclose(m.read(changed, nxt, sizes, starts)[0][:150], whole[:150], atol=1e-5)
+    # a plain loop over one id at a time
+    w, d, edges = m.w, lm_scoring.DEPTH, np.concatenate([[0], np.cumsum(sizes)])
+    for text in range(len(sizes)):
+        for i in range(sizes[text]):
+            at = edges[text] + i
+            x = w["embed"][ids[at]].astype(float)
+            first = max(0, (i // lm_scoring.STRIDE - 1) * lm_scoring.STRIDE)
+            keys = np.arange(first, i + 1)
+            past = w["embed"][ids[edges[text] + keys]].astype(float)
+            a = np.exp(past @ w["k"] @ ((x @ w["q"]) * d**-0.5) + w["near"][i - keys])
+            h = np.tanh(x + (a / a.sum()) @ (past @ w["v"]))
+            mix = np.exp(h @ w["out"] + w["bias"])
+            assert abs(np.log((mix / mix.sum()) @ m.emit[nxt[at]]) - whole[at]) < 1e-3
+
+
+def test_gradient_is_that_of_the_log_probability(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STRIDE", 4)
+    m, rng = lm_scoring.AttentionModel(20), np.random.default_rng(1)
+    window, nxt = rng.integers(0, 20, (3, 8)), rng.integers(0, 20, 12)
+    first, there = np.array([True, False, False]), np.ones(12, bool)
+
+    def loss():
+        got = m.forward(m.project(m.w["embed"][window].reshape(-1, lm_scoring.DEPTH)).reshape(3, 8, -1), first)
+        return -np.log((got["mix"].astype(float) * m.emit[nxt]).sum(1)).mean()
+
+    grad = m.gradient(window, first, nxt, there)
+    for name in ("q", "k", "v", "out", "near"):
+        way = rng.normal(size=m.w[name].shape).astype(np.float32)
+        keep = m.w[name].copy()
+        m.w[name] = keep + np.float32(1e-2) * way
+        up = loss()
+        m.w[name] = keep - np.float32(1e-2) * way
+        assert abs((up - loss()) / 2e-2 - (grad[name] * way).sum()) < 2e-2, name
+        m.w[name] = keep
+
+
+def test_word_probabilities_sum_to_one():
+    """Over all training words and the one that stands for all others; the spelling's part over every string of ids."""
+    tokenizer = library_json()
+    head = [("\n", 5), ("the", 9), ("house", 4), ("zyxq", 1)]
+    smoothed = sum(c for _, c in head) + len(head) + 1
+    s = lm_scoring.Scorer(tokenizer, head, smoothed).start(["the house the house", "house the zyxq", "the the"])
+    at, p = s.parts([[b"the", b"house", b"other", lm_scoring.END]], s.share)
+    assert at.tolist() == [1, 2, -1, 0] and abs(s.weights.sum() - 1) < 1e-9
+    assert abs(s.share.sum() - 1) < 1e-9  # the last is the share of unseen words
+    assert np.allclose(s.by_class.sum(0), 1, atol=1e-4) and np.allclose(s.model.emit.sum(0), 1, atol=1e-4)
+    # what begins a word, and what goes on or ends it, share one distribution
+    opens = s.lexicon.opens
+    assert np.allclose(s.opening + s.model.emit[~opens].sum(0), 1, atol=1e-4)
+    assert (p > 0)[:, [0, 2]].all() and (p <= 1).all() and p[2, 1] == 0
+
+
+def test_lm_scores_do_not_depend_on_how_words_are_sent(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).cache()
+    monkeypatch.setattr(lm_scoring, "TOP", 50)
+    of = lambda: {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in lm_scoring.score_texts(docs).collect()}
+    want = of()
+    monkeypatch.setattr(lm_scoring, "HEAD", 300)
+    got = of()
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+    # the weights of the parts are fitted with the counts that a task knows, so scores may differ a little
+    assert all(abs(got[k][2] - want[k][2]) < 0.02 * abs(want[k][2]) + 0.1 for k in want)
 
 
 def test_neighbours(spark):
@@ -289,6 +430,11 @@ def test_neighbours(spark):
     ties = [r.vec_id for r in neighbours.search(same).where("query_id = 20").orderBy("rank").collect()]
     assert ties == [i for i in range(21) if i != 20]
     assert neighbours.search(same.limit(0)).count() == 0
+    # each length for itself; clashing columns; fewer candidates than asked for
+    mixed = spark.createDataFrame([(i, [1.0, float(i)], 0, 0.0) for i in range(5)] + [(20 + i, [1.0, 0.0, float(i)], 0, 0.0) for i in range(3)], "vec_id long, embedding array<float>, rank int, score double")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.search(mixed).collect())
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 4), (20, 1, 21), (20, 2, 22)]
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.search(mixed, exact=True).collect()) == got
 
 
 def test_neighbours_visit_as_many_lists_as_recall_needs(spark, monkeypatch):
@@ -309,8 +455,20 @@ def test_licenses(spark, odd, none):
     text = "intro\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software\nThe above copyright notice and this permission notice shall be included in all copies.\nwords between\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND\nLicensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."
     df = spark.createDataFrame([(1, text, 3), (1, text, 3), (2, "Nothing.", 3)], "doc_id long, text string, id int")
     got = sorted(tuple(r) for r in licenses.scan_licenses(df).collect())
-    assert got == [(1, "CC-BY-NC-4.0,MIT", 5, 3), (2, "", 0, 0)]
-    assert licenses.scan_licenses(odd).count() == 5 and licenses.scan_licenses(none).count() == 0
+    assert got == [(1, "CC-BY-NC-4.0,MIT", 5, 3), (1, "CC-BY-NC-4.0,MIT", 5, 3), (2, "", 0, 0)]
+    assert licenses.scan_licenses(odd).count() == 6 and licenses.scan_licenses(none).count() == 0
+
+
+@pytest.mark.parametrize("text,names", [
+    ('// Licensed under the Apache License, Version 2.0 (the "License"); you may not use this\n// file except in compliance with the License.', "Apache-2.0"),
+    ("Some prose. Released under the MIT license. More prose.", "MIT"),
+    ("Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and", "MIT"),
+    ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.", "GPL-3.0"),
+    ("licensed under cc by 4 0 licensed under cc by nc 4 0", "CC-BY-4.0,CC-BY-NC-4.0"),
+    ("unlicensed under the mit licenses", ""),
+])
+def test_licenses_in_wrapped_and_running_text(spark, text, names):
+    assert licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses == names
 
 
 def test_chats(spark):
@@ -330,3 +488,36 @@ def test_sharding(spark, tmp_path, odd):
     with pytest.raises(FileExistsError):
         sharding.commit(sharding.read_manifest(spark, root, 0), root, 1)
     assert sharding.shard_documents(docs.limit(0), f"file://{tmp_path}/b").count() == 0
+
+
+def test_sharding_takes_any_columns_and_survives_crashes(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(f"id{i}", "t" * (i % 7), i, "x", i) for i in range(3000)], "doc_id string, text string, merged int, shard string, tier int")
+    root = f"file://{tmp_path}/c"
+    whole = sharding.commit
+    monkeypatch.setattr(sharding, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        sharding.append(docs, root, 0)
+    monkeypatch.setattr(sharding, "commit", whole)
+    last = sharding.shard_documents(docs.coalesce(2), root, 1 << 20).collect()
+    assert len(last) == 1 and (last[0].min_id, last[0].max_id, last[0].n_rows) == ("id0", "id999", 3000)
+    back = spark.read.parquet(last[0].shard)
+    assert back.select(*docs.columns).exceptAll(docs).isEmpty()
+    # a second arrival, and a compaction with nothing to merge
+    sharding.append(docs.limit(10), root, 2)
+    sharding.compact(spark, docs.schema, root, 2, 1)
+    assert sharding.read_manifest(spark, root, 3).count() == 2
+
+
+def test_components(spark):
+    from wardgrid.llm.components import components
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (5, 5), (7, 8), (None, 4), (9, None)] + [(20 + i, 21 + i) for i in range(40)], "a long, b long")
+    assert {(r.node, r.component) for r in components(links).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)} | {(20 + i, 20) for i in range(41)}
+
+
+def test_chats_of_odd_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, n_turns int, a string"
+    long = "x" * 300_000
+    df = spark.createDataFrame([(1, 0, "user", long, 3, "z"), (1, 1, None, "", 3, "z"), (2, None, "user", long, 3, "z")], schema)
+    assert sorted((r.conv_id, r.n_turns) for r in chat.format_chats(df).collect()) == [(1, 2)]
+    assert chat.format_chats(df.limit(0)).count() == 0

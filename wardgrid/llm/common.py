@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session, whose executors
+    are its driver, gets a folder of its own; on a cluster that is an error, as executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="wardgrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -29,7 +32,32 @@ def staged(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def same_rows(left: DataFrame, right: DataFrame, *also: str) -> DataFrame:
+    """Inner join on doc_id (null equals null), th, the hash of the text, and what is named; right's keys are left out."""
+    keys = ["th", *also]
+    other = right.select(F.struct("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in keys], *[c for c in right.columns if c not in ("doc_id", *keys)])
+    on = F.struct("doc_id") == F.col("_id")
+    for c in keys:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    return left.join(other, on).drop("_id", *[f"_{c}" for c in keys])
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id (null equals null) and hash of text are not in gone (doc_id, th)."""
+    gone = gone.select(F.struct("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th"))
+    return docs.join(gone, (F.struct(docs["doc_id"].alias("doc_id")) == gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_th"]), "left_anti")
 
 
 def words_of(text: Column | str) -> Column:

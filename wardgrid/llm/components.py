@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardgrid.llm.common import staged
+from wardgrid.llm.common import forget, staged
 
 MAX_STEPS = 60
 
@@ -36,8 +36,9 @@ def components(links: DataFrame) -> DataFrame:
         least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = _stars(both.where(F.col("v") > F.col("u")), least).distinct()
         large = staged(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = staged(_stars(large, least).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        nearest = large.groupBy("u").agg(F.min("v").alias("m"))
+        before, edges = edges, staged(_stars(large, nearest).unionByName(nearest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(before, least, large)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardgrid.llm.common import let, staged, windows, words_of
+from wardgrid.llm.common import let, staged, windows, without_rows, words_of
 from wardgrid.llm.components import components
 
 WORDS = 5
@@ -113,14 +113,14 @@ def banded(words: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, size, bands): key stands for the words in their order; null for wordless texts."""
+    """(doc_id, th, key, size, bands): th is the text's hash; key stands for the words in their order, null for wordless texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = let(words_of("text"), lambda w: F.struct(F.when(F.size(w) > 0, F.unhex(F.md5(F.array_join(w, " ")))).alias("key"), F.transform(w, lambda x: F.xxhash64(x)).alias("h")))
-    ready = docs.select("doc_id", both.alias("s")).select("doc_id", "s.key", "s.h")
+    ready = docs.select("doc_id", F.xxhash64("text").alias("th"), both.alias("s")).select("doc_id", "th", "s.key", "s.h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(2)
+            lists = b.column(3)
             edges, words = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)
             at = 0
             while at < len(b):
@@ -128,10 +128,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 part = edges[at : to + 1]
                 size, bands, starts = banded(words[part[0] : part[-1]], part - part[0])
                 flat = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(bands))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), pa.array(size.astype(np.int32)), flat], ["doc_id", "key", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, to - at) for c in range(3)), pa.array(size.astype(np.int32)), flat], ["doc_id", "th", "key", "size", "bands"])
                 at = to
 
-    return ready.mapInArrow(run, f"doc_id {kind}, key binary, size int, bands array<long>")
+    return ready.mapInArrow(run, f"doc_id {kind}, th long, key binary, size int, bands array<long>")
 
 
 def shingle_set(norm: Column | str) -> Column:
@@ -178,7 +178,7 @@ def prefix_pairs(texts: DataFrame, open_: DataFrame) -> DataFrame:
 
 
 def key_classes(docs: DataFrame, seen: DataFrame) -> DataFrame:
-    """(key, class_id) of every key of the written signatures."""
+    """(key, component, class_id) of every key of the written signatures."""
     nodes = seen.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = staged(nodes, "nodes")
     member = nodes.where("doc is not null").select("key", "doc", "size", F.explode(F.array_distinct("bands")).alias("bucket"))
@@ -203,7 +203,7 @@ def key_classes(docs: DataFrame, seen: DataFrame) -> DataFrame:
         of = staged(components(links.unionByName(more)).withColumnRenamed("node", "key"), "components")
     placed = staged(nodes.select("key", "doc").join(of, "key", "left").withColumn("component", F.coalesce("component", "key")), "placed")
     least = staged(placed.groupBy("component").agg(F.min("doc").alias("class_id")), "least")
-    return staged(placed.join(least, "component").select("key", "class_id"), "classes")
+    return staged(placed.join(least, "component").select("key", "component", "class_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -214,14 +214,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their class, with all their columns; rows without doc_id stay.
+    """The rows of docs that stand for their class, with all their columns.
 
-    Of a class, the row of the least doc_id stays. Rows repeated under one doc_id in one class stay once; of texts
-    that differ under one doc_id, the one whose class it names stays.
+    Of a class, the row of the least doc_id stays (of several texts under it, that of the least hash); a row without doc_id
+    stands for its class only if no row of it has one. Rows that repeat both doc_id and text stay once. Texts without words are
+    alone in their class, so all such rows stay. Columns beside doc_id and text do not matter: of repeated rows any one stays.
     """
-    gone = near_duplicates(docs).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    repeated = staged(left.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice")), "twice")
-    once = left.join(repeated, left["doc_id"] == repeated["_twice"], "left_anti")
-    more = left.join(repeated, left["doc_id"] == repeated["_twice"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more)
+    seen = staged(signatures(docs), "signatures")
+    of = seen.where("key is not null").select("doc_id", "th", "key").join(key_classes(docs, seen).select("key", "component"), "key")
+    rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "th")
+    stays = staged(of.groupBy("component").agg(F.min(rank).alias("r"), F.count("*").alias("n")).select("r.doc_id", "r.th", "n"), "stays")
+    gone = of.select("doc_id", "th").distinct().join(stays.select(F.struct("doc_id").alias("_id"), F.col("th").alias("_th")), (F.struct("doc_id") == F.col("_id")) & (F.col("th") == F.col("_th")), "left_anti")
+    left = without_rows(docs, gone)
+    repeated = of.groupBy("doc_id", "th").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    repeated = staged(repeated.join(stays.select(F.struct("doc_id").alias("_id"), F.col("th").alias("_th")), (F.struct("doc_id") == F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi"), "repeated")
+    if repeated.isEmpty():
+        return left
+    once = without_rows(left, repeated)
+    more = left.join(repeated, (F.struct(left["doc_id"].alias("doc_id")) == F.struct(repeated["doc_id"].alias("doc_id"))) & (F.xxhash64(left["text"]) == repeated["th"]), "left_semi")
+    return once.unionByName(more.dropDuplicates(["doc_id", "text"]))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardgrid.llm.chat import format_chats
 from wardgrid.llm.common import shared_dir, table
-from wardgrid.llm.decontamination import MIN_WORDS, SHARE, UNITS, WINDOW, leaks
+from wardgrid.llm.decontamination import JOINT, MIN_WORDS, NUMBERS, SHARE, SIGNS, UNITS, VERBATIM_WORDS, WINDOW, leaks
 from wardgrid.llm.licenses import RULES, SENTENCES, pattern, scan_licenses
 from wardgrid.llm.lm_scoring import score_texts
 from wardgrid.llm.near_dedup import near_duplicates
@@ -95,22 +95,35 @@ select conv_id, n_turns, n_copies, rendered from one where not exists (select 1
 
 
 def _leak_sql() -> str:
-    units = ", ".join(f"'{u}'" for u in UNITS)
-    words = r"string_split(ltrim(rtrim(regexp_replace(regexp_replace(coalesce(text, ''), '(^|[.!?:;\n]+)[^\p{L}\p{N}]*', ' .', 'g'), '[^\p{L}\p{N}.]+', ' ', 'g'), ' .'), ' '), ' ')"
+    units, numbers = (", ".join(f"'{u}'" for u in listed) for listed in (UNITS, NUMBERS))
+    plain = "coalesce(text, '')"
+    for sign, name in SIGNS.items():
+        plain = f"replace({plain}, '{sign}', ' {name} ')"
+    apart = rf"regexp_replace(regexp_replace({plain}, '(\d)[.,](\d)', '\1{JOINT}\2', 'g'), '(\d)(\p{{L}})', '\1 \2', 'g')"
+    words = rf"string_split(substring(rtrim(regexp_replace(regexp_replace('.' || {apart}, '[.!?:;\n][^\p{{L}}\p{{N}}]*', ' .', 'g'), '[^\p{{L}}\p{{N}}.{JOINT}]+', ' ', 'g'), ' .'), 2), ' ')"
     bare = "lower(ltrim(x, '.'))"
-    template = rf"case when regexp_matches(x, '\d') then '<num>' when {bare} in ({units}) then '<unit>' when regexp_matches(x, '^\p{{Lu}}') then '<name>' else {bare} end"
-    cut = lambda rows, key: f"select {key}, i as at, list_transform(w[i:i + {WINDOW - 1}], lambda x: {template}) as h, list_transform(list_filter(w[i:i + {WINDOW - 1}], lambda x: ({template})[1] = '<'), lambda x: {bare}) as v from (select *, unnest(range(1, greatest(len(w) - {WINDOW - 2}, 2))) as i from {rows})"
+    template = rf"case when regexp_matches(x, '\d') then '<num>' when regexp_matches(x, '^\p{{Lu}}') then '<name>' when {bare} in ({units}) then '<unit>' when {bare} in ({numbers}) then '<number>' else {bare} end"
+    # t: template words; c: where runs start; h and v: template word and value of each run
+    runs = lambda rows: f"""(select *, list_transform(c, lambda i: case t[i] when '<number>' then '<num>' else t[i] end) as h, list_transform(range(1, len(c) + 1), lambda j: array_to_string(list_transform(w[c[j]:coalesce(c[j + 1] - 1, len(w))], lambda x: {bare}), ' ')) as v
+        from (select *, list_filter(range(1, len(t) + 1), lambda i: i = 1 or t[i] <> t[i - 1] or t[i] not in ('<name>', '<num>')) as c from (select *, list_transform(w, lambda x: {template}) as t from {rows})))"""
+    cut = lambda rows, key: f"select {key}, k, i as place, h[i:i + k - 1] as h, list_transform(list_filter(range(i, i + k), lambda j: h[j][1] = '<'), lambda j: v[j]) as v from (select *, unnest(range(1, len(h) - k + 2)) as i from {rows})"
     return f"""
-    with items as (select * from (select text, {words} as w from (select distinct text from benchmark where text is not null)) where len(w) >= {MIN_WORDS}),
-    docs as (select doc_id, {words} as w from documents),
-    bw as ({cut("items", "text")}),
-    dw as ({cut("docs", "doc_id")}),
-    met as (select dw.doc_id, bw.text, dw.at - bw.at as shift, h, bw.v as g, dw.v as f from dw join bw using (h)),
-    slots as (select doc_id, text, shift, unnest(g) as g, unnest(f) as f from met),
-    torn as (select doc_id, text, shift from slots group by all having count(distinct (g, f)) <> count(distinct g) or count(distinct (g, f)) <> count(distinct f)),
-    need as (select text, greatest(1, ceil(count(distinct h) * {SHARE})) as need from bw group by 1),
-    found as (select doc_id, text, count(distinct h) as n_windows from met anti join torn using (doc_id, text, shift) group by 1, 2)
-    select distinct doc_id, item_id, n_windows from found join need using (text) join benchmark using (text) where n_windows >= need
+    with texts as (select text, {words} as w from (select distinct text from benchmark where text is not null)),
+    items as (select *, false as turned, least(len(h), {WINDOW}) as k from {runs("texts")} where len(h) >= {MIN_WORDS}),
+    inside as (select text, list_prepend(ltrim(w[1], '.'), w[2:]) as w, h as own from items where len(h) <= {WINDOW}),
+    turned as (select *, true as turned, least(len(h), {WINDOW}) as k from {runs("inside")} where len(h) >= {MIN_WORDS} and h <> own),
+    bw as (select *, h as key from ({cut("items", "text, turned")}) union all select text, turned, k, place, own, v, h from ({cut("turned", "text, turned, own")})),
+    docs as (select * from {runs(f"(select distinct doc_id, text as body, {words} as w from documents)")}),
+    dw as ({cut("(select *, unnest(range(" + str(MIN_WORDS) + ", " + str(WINDOW + 1) + ")) as k from docs)", "doc_id, body")}),
+    met as (select dw.doc_id, dw.body, bw.text, dw.place - bw.place as shift, bw.place, bw.h, bw.v as g, dw.v as f, bw.v = dw.v as verbatim from dw join bw on dw.k = bw.k and dw.h = bw.key where len(bw.v) = len(dw.v) and (not turned or bw.v[1] = dw.v[1])),
+    slots as (select doc_id, body, text, shift, unnest(g) as g, unnest(f) as f from met),
+    torn as (select doc_id, body, text, shift, true as torn from slots group by all having count(distinct (g, f)) <> count(distinct g)),
+    rows as (select doc_id, body, text, shift, count(distinct case when verbatim then place end) as n from met group by all),
+    need as (select text, greatest(1, ceil(count(distinct h) * {SHARE})) as need from bw where not turned group by 1),
+    kept as (select met.doc_id, met.body, met.text, met.h, n from met left join torn on met.doc_id is not distinct from torn.doc_id and met.body = torn.body and met.text = torn.text and met.shift = torn.shift
+        join rows on met.doc_id is not distinct from rows.doc_id and met.body = rows.body and met.text = rows.text and met.shift = rows.shift where torn is null or verbatim),
+    found as (select doc_id, body, text, count(distinct h) as n_windows, max(n) as n from kept group by all)
+    select doc_id, item_id, max(n_windows) as n_windows from found join need using (text) join (select distinct item_id, text from benchmark) using (text) where n_windows >= need or n > {VERBATIM_WORDS - WINDOW} group by all
     """
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardgrid.llm.common import fold, let, staged, words_of
+from wardgrid.llm.common import fold, let, staged, without_rows, words_of
 
 DIMENSIONS = 1 << 20
 SAMPLE_TOXIC = 6000
@@ -144,27 +144,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Factor
     return place, FactorizationMachine(len(best)).fit(np.repeat(np.arange(len(y)), sizes), terms, y, weight)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per row of docs."""
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, th, score, predicted), one row per row of docs; th is the text's hash."""
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, machine = model.value
         for b in batches:
-            terms = b.column(2)
+            terms = b.column(3)
             rows, at = presence(terms.offsets.to_numpy() - terms.offsets[0].as_py(), terms.flatten().to_numpy(), place)
             score = machine.scores(rows, at, len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "th", "score", "predicted"])
 
-    ready = term_columns(docs.select("doc_id", "text")).select("doc_id", (fold("doc_id", HELD_OUT_OF) == 0).alias("held_out"), "terms")
-    return ready.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    ready = term_columns(docs.select("doc_id", "text")).select("doc_id", (fold("doc_id", HELD_OUT_OF) == 0).alias("held_out"), F.xxhash64("text").alias("th"), "terms")
+    return ready.mapInArrow(run, f"doc_id {kind}, held_out boolean, th long, score double, predicted int")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the machine does not reject, with all their columns.
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted), one row per row of docs."""
+    return scored(docs, labels).drop("th")
+
 
-    A rejected doc_id goes with all its rows; rows without doc_id are judged together under the null id.
-    """
-    rejected = score_toxicity(docs, labels).where(F.col("predicted") == 1).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_rejected"]), "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the machine does not reject, with all their columns. Each text is judged for itself, also where
+    rows share a doc_id or have none."""
+    return without_rows(docs, scored(docs, labels).where(F.col("predicted") == 1).select("doc_id", "th").distinct())
