@@ -392,17 +392,16 @@ def test_word_probabilities_sum_to_one():
     at, p = s.parts([[b"the", b"house", b"other", lm_scoring.END]], s.share)
     assert at.tolist() == [1, 2, -1, 0] and abs(s.weights.sum() - 1) < 1e-9
     assert abs(s.share.sum() - 1) < 1e-9  # the last is the share of unseen words
-    assert np.allclose(s.by_class.sum(0), 1, atol=1e-4) and np.allclose(s.model.emit.sum(0), 1, atol=1e-4)
+    assert np.allclose(s.by_class.sum(0), 1, atol=1e-4) and np.allclose(s.model.emit.sum(0, dtype=float), 1, atol=1e-4)
     # what begins a word, and what goes on or ends it, share one distribution
     opens = s.lexicon.opens
-    assert np.allclose(s.opening + s.model.emit[~opens].sum(0), 1, atol=1e-4)
+    assert np.allclose(s.opening + s.model.emit[~opens].sum(0, dtype=float), 1, atol=1e-4)
     assert (p > 0)[:, [0, 2]].all() and (p <= 1).all() and p[2, 1] == 0
 
 
 def test_lm_scores_do_not_depend_on_how_words_are_sent(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).cache()
-    monkeypatch.setattr(lm_scoring, "TOP", 50)
-    of = lambda: {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in lm_scoring.score_texts(docs).collect()}
+    of = lambda: {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in lm_scoring.score_texts(docs, top=50).collect()}
     want = of()
     monkeypatch.setattr(lm_scoring, "HEAD", 300)
     got = of()
