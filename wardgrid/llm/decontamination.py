@@ -139,6 +139,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     turns = max(1, -(-keys.count() // BROADCAST_KEYS))
     found = [document_windows(docs, widths).join(F.broadcast(keys.where(F.pmod("key", F.lit(turns)) == k)), "key", "left_semi") for k in range(turns)]
     hits = staged(reduce(DataFrame.unionByName, found).distinct(), "hits")
+    # most texts with a hit hold too few windows of any item, whatever their slots: only the others are read again
+    enough = (F.col("n") >= F.col("need")) | (F.col("n") > VERBATIM_WORDS - WINDOW)
+    able = hits.join(bench.select("key", "item", "h", "need"), "key").groupBy("doc_id", "th", "item", "need").agg(F.count_distinct("h").alias("n")).where(enough)
+    hits = staged(same_rows(hits, able.select("doc_id", "th").distinct()), "hits")
     # the slot values of those windows alone, from the texts that hold them
     asked = hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "width")).alias("places"))
     texts = same_rows(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), asked)
