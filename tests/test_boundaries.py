@@ -161,3 +161,96 @@ def test_sources(spark, tmp_path):
     tables.append_new(row, str(tmp_path / "n"), "stay_id")
     tables.append_new(row, str(tmp_path / "n"), "stay_id")
     assert spark.read.parquet(str(tmp_path / "n")).count() == 1
+
+
+def test_gap_ends_at_the_whole_hours_of_a_stay(spark):
+    """24 h, measured in hours 0 to 11: the gap is 12, not 13, and the stay is kept."""
+    from wardgrid.operators import cohort
+
+    st = spark.createDataFrame([(1, T0, T0 + 24 * H, 24.0, 50.0), (2, T0, T0 + 24 * H, 24.0, 50.0)], "stay_id int, admit_time timestamp, discharge_time timestamp, los_hours double, age double")
+    ev = spark.createDataFrame([(1, T0 + h * H, "hr", 1.0) for h in range(12)] + [(2, T0 + h * H, "zzz", None) for h in range(24)], "stay_id int, charttime timestamp, concept string, value double")
+    hours = ev.select("stay_id", tg.hour_index("charttime", F.lit(T0)).alias("hour"))
+    assert {r.stay_id: (r.n_hours, r.gap) for r in tg.longest_gap(hours.where("stay_id = 1"), st.where("stay_id = 1"), tg.los_cap()).collect()} == {1: (12, 12)}
+    tagged = {r.stay_id: r.failed_at for r in cohort.gated(st, ev, concepts=["hr"]).collect()}
+    assert tagged == {1: None, 2: 2}
+    report = {r.criterion: (r.n_before, r.n_after, r.pct_dropped) for r in cohort.attrition_report(cohort.gated(st, ev)).collect()}
+    assert report["measured_hours"] == (2, 1, 50.0) and report["final"] == (2, 1, 50.0)
+
+
+def test_urine_arm_sums_rates(spark):
+    """60 ml every 2 h at 70 kg is 30 ml/h; three such rates in 6 h make 90 / 70, which is not low."""
+    st = spark.createDataFrame([(1, T0, 70.0), (2, T0, 70.0)], "stay_id int, admit_time timestamp, weight double")
+    rows = [(1, T0 + 2 * k * H, 60.0) for k in range(1, 13)] + [(2, T0 + 2 * k * H, 10.0) for k in range(1, 13)]
+    ur = spark.createDataFrame(rows, "stay_id int, charttime timestamp, value double")
+    assert {r.stay_id: r.onset for r in labels.urine_onset(ur, st).collect()} == {2: T0 + 6 * H}
+    # charted rates are taken as they are
+    assert {r.stay_id: r.onset for r in labels.urine_onset(ur, st, rates=True).collect()} == {2: T0 + 6 * H}
+    assert labels.urine_onset(ur.withColumn("value", F.lit(2001.0)), st, rates=True).isEmpty()
+
+
+def test_charted_rates_of_zero_count(spark):
+    none, no = F.lit(None).cast("double"), F.lit(False)
+    row = spark.range(1).select(
+        sofa.cardiovascular(F.lit(80.0), none, F.lit(0.0), none, no, no).alias("norepi"), sofa.cardiovascular(F.lit(80.0), F.lit(0.0), none, none, no, no).alias("dopa"),
+        sofa.cardiovascular(F.lit(80.0), none, F.lit(0.11), none, no, no).alias("high"), sofa.cardiovascular(F.lit(69.0), none, none, none, no, no).alias("map"),
+    ).first()
+    assert tuple(row) == (3, 2, 4, 1)
+
+
+@pytest.mark.parametrize("source,target,value", [("F", "C", 37.777777777777779), ("oz", "g", 2834.95), ("lb", "kg", 45.35924), ("mg/dL_crea", "μmol/L_crea", 8840.0), ("mmol/L_glu", "mg/dL_glu", 1801.82), ("cm", "cm", 100.0)])
+def test_unit_pairs(spark, source, target, value):
+    assert abs(spark.range(1).select(clean.convert_unit(F.lit(100.0), source, target).alias("v")).first().v - value) < 1e-9
+
+
+def test_half_life_of_zero_takes_the_last(spark):
+    from wardgrid.operators import blocks
+
+    v = spark.createDataFrame([(1, 0, [1.0]), (1, 5, [3.0])], "k int, t int, embedding array<double>")
+    assert [r.value for r in blocks.mean_pool(v, "k", at="t", half_life=0.0).collect()] == [3.0]
+
+
+def test_standardised_skips_groups_without_variance(spark):
+    from wardgrid.operators import blocks
+
+    rows = spark.createDataFrame([(1, "a", 5.0), (2, "a", 5.0), (1, "b", 1.0), (2, "b", 3.0)], "stay_id int, treatment string, dose double")
+    got = {(r.stay_id, r.treatment): r.scaled for r in blocks.standardised(rows, rows, "dose", "treatment").collect()}
+    assert got == {(1, "a"): 5.0, (2, "a"): 5.0, (1, "b"): -1.0, (2, "b"): 1.0}
+
+
+def test_a_table_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    good = spark.createDataFrame([("s", T0, None)], "stay_id string, starttime timestamp, endtime timestamp")
+    tables.write_canonical(good, "abx_duration", path)
+    with pytest.raises(ValueError):
+        tables.write_canonical(good.withColumn("starttime", F.lit(None).cast("timestamp")), "abx_duration", path)
+    assert spark.read.parquet(path).count() == 1
+    tables.write_canonical(good.unionByName(good), "abx_duration", path)
+    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_grouped_folds(spark):
+    st = spark.createDataFrame([(p, 10 * p + k, p % 2) for p in range(20) for k in range(2)], "patient_id long, stay_id long, label int")
+    got = splits.grouped_folds(st, 5, repeats=2)
+    assert got.count() == 80 and got.groupBy("rep", F.floor(F.col("stay_id") / 10)).agg(F.count_distinct("fold").alias("n")).where("n > 1").isEmpty()
+    assert {r["count"] for r in got.where("rep = 0").groupBy("fold").count().collect()} == {8}
+    for bad in (st.withColumn("label", F.lit(2)), st.limit(4), st.withColumn("label", F.lit(1)).withColumn("patient_id", F.lit(1))):
+        with pytest.raises(ValueError):
+            splits.grouped_folds(bad, 5)
+
+
+def test_sepsis_routing(spark):
+    st = spark.createDataFrame([(1, 1, T0, 100.0)], "patient_id int, stay_id int, admit_time timestamp, los_hours double")
+    abx = spark.createDataFrame([(1, T0 + 20 * H, T0 + 90 * H)], "stay_id int, starttime timestamp, endtime timestamp")
+    score = spark.createDataFrame([(1, h, 0 if h < 18 else 3) for h in range(100)], "stay_id int, hour int, sofa int")
+    got = labels.sepsis_labels(st, abx, score, None).where("label_value = 1").collect()
+    assert sorted(r.hour for r in got) == list(range(14, 27))
+    far = spark.createDataFrame([(1, T0 + 60 * H)], "stay_id int, charttime timestamp")
+    assert labels.sepsis_labels(st, abx, score, far).where("label_value = 1").isEmpty()
+
+
+def test_no_plan_holds_all_scores_in_one_task(spark):
+    scored = spark.range(1000).selectExpr("cast(id % 2 as int) as y", "id / 7 as score")
+    plan = metrics.auroc(scored)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window " in line]
+    assert windows and all("_b#" in line for line in windows)
+    assert metrics.auroc(scored).first().n == 1000

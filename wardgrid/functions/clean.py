@@ -8,20 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NULL_TOKENS = ["", "NA", "NULL", "null", "nan", "NaN"]
-#: Molar and unit conversions (source, target) -> factor.
-FACTORS: dict[tuple[str, str], float] = {
-    ("umol/L", "mg/dL:creatinine"): 1 / 88.42,
-    ("umol/L", "mg/dL:bilirubin"): 1 / 17.1,
-    ("mmol/L", "mg/dL:glucose"): 18.0182,
-    ("mmol/L", "mg/dL:urea"): 2.8,
-    ("g/L", "g/dL"): 0.1,
-    ("kPa", "mmHg"): 7.50062,
-    ("g", "kg"): 0.001,
-    ("lb", "kg"): 0.45359237,
-    ("oz", "kg"): 0.028349523125,
-    ("in", "cm"): 2.54,
+#: Factors of unit conversions.
+OUNCE_G, POUND_KG, INCH_CM, GLUCOSE, CREATININE = 28.3495, 0.4535924, 2.54, 18.0182, 88.4
+#: Unit conversions (source, target).
+CONVERSIONS: dict[tuple[str, str], Callable[[Column], Column]] = {
+    ("F", "C"): lambda v: (v - 32.0) * (5.0 / 9.0),
+    ("C", "F"): lambda v: v * (9.0 / 5.0) + 32.0,
+    ("in", "cm"): lambda v: v * INCH_CM,
+    ("cm", "in"): lambda v: v / INCH_CM,
+    ("oz", "g"): lambda v: v * OUNCE_G,
+    ("g", "oz"): lambda v: v / OUNCE_G,
+    ("lb", "kg"): lambda v: v * POUND_KG,
+    ("kg", "lb"): lambda v: v / POUND_KG,
+    ("mg/dL_glu", "mmol/L_glu"): lambda v: v / GLUCOSE,
+    ("mmol/L_glu", "mg/dL_glu"): lambda v: v * GLUCOSE,
+    ("mg/dL_crea", "μmol/L_crea"): lambda v: v * CREATININE,
+    ("μmol/L_crea", "mg/dL_crea"): lambda v: v / CREATININE,
 }
-FORMULAS: dict[tuple[str, str], Callable[[Column], Column]] = {("F", "C"): lambda v: (v - 32) * 5 / 9, ("fraction", "percent"): lambda v: F.when(v <= 1, v * 100).otherwise(v)}
 
 
 def null_tokens(c: Column) -> Column:
@@ -41,9 +44,7 @@ def convert_unit(v: Column, source: str, target: str) -> Column:
     """v in the target unit; an unknown pair is an error."""
     if source == target:
         return v
-    if (source, target) in FORMULAS:
-        return FORMULAS[source, target](v)
-    return v * FACTORS[source, target]
+    return CONVERSIONS[source, target](v)
 
 
 def stay_key(c: Column, dataset: str) -> Column:

@@ -32,7 +32,8 @@ def tfidf(codes: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def mean_pool(vectors: DataFrame, key: str, vector: str = "embedding", at: str | None = None, half_life: float | None = None) -> DataFrame:
-    """(key, pos, value): mean vector of a group, weighted 2^((at - latest) / half_life) if a half-life is given.
+    """(key, pos, value): mean vector of a group, weighted 2^((at - latest) / half_life) if a half-life is given; a half-life of
+    0 takes the latest alone.
 
     Dimensions are exploded, so partial sums combine before the shuffle and no group is collected.
     """
@@ -40,7 +41,8 @@ def mean_pool(vectors: DataFrame, key: str, vector: str = "embedding", at: str |
         weighted = vectors.withColumn("_w", F.lit(1.0))
     else:
         latest = vectors.groupBy(key).agg(F.max(at).alias("_latest"))
-        weighted = vectors.join(latest, key).withColumn("_w", F.pow(F.lit(2.0), (F.col(at) - F.col("_latest")) / half_life))
+        fade = F.pow(F.lit(2.0), (F.col(at) - F.col("_latest")) / half_life) if half_life else (F.col(at) == F.col("_latest")).cast("double")
+        weighted = vectors.join(latest, key).withColumn("_w", fade)
     cells = weighted.select(key, "_w", F.posexplode(vector).alias("pos", "x"))
     return cells.groupBy(key, "pos").agg((F.sum(F.col("_w") * F.col("x").cast("double")) / F.sum("_w")).alias("value"))
 
@@ -75,9 +77,9 @@ def last_dose(aligned: DataFrame, cutoff: float) -> DataFrame:
 
 
 def standardised(rows: DataFrame, train: DataFrame, value: str, by: str) -> DataFrame:
-    """value less the train mean over the train deviation (population), per group; groups without variance are left as 0."""
+    """value less the train mean over the train deviation (population), per group; groups without train values or variance keep their values."""
     fit = rows.join(train.select("stay_id").distinct(), "stay_id", "left_semi").groupBy(by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    scaled = F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0)
+    scaled = F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(F.col(value))
     return rows.join(fit, by, "left").withColumn("scaled", scaled).drop("_m", "_s")
 
 

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardgrid.operators.timegrid import hour_index, longest_gap, los_horizon, micros
+from wardgrid.operators.timegrid import hour_index, longest_gap, los_cap, micros
 
 #: Gates in their order.
 GATES = ["valid_times", "los", "measured_hours", "gap", "age"]
 MIN_LOS, MIN_HOURS, MAX_GAP, MIN_AGE = 6.0, 4, 12, 18.0
 
 
-def gated(stays: DataFrame, events: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
-    """stays with failed_at: the number of the first gate that a stay fails (null: none). One pass tags them all."""
-    horizon = los_horizon()
-    measured = events.join(stays.select("stay_id", "admit_time"), "stay_id").select("stay_id", hour_index("charttime", "admit_time").alias("hour"))
-    gaps = longest_gap(measured, stays, horizon)
+def gated(stays: DataFrame, events: DataFrame, max_gap: int = MAX_GAP, concepts: list[str] | None = None) -> DataFrame:
+    """stays with failed_at: the number of the first gate that a stay fails (null: none). One pass tags them all.
+
+    An hour is measured if it has a value, not null, of one of the dynamic concepts (all concepts, if none are given).
+    """
+    known = events.where("value is not null")
+    known = known if concepts is None else known.where(F.col("concept").isin(concepts))
+    measured = known.join(stays.select("stay_id", "admit_time"), "stay_id").select("stay_id", hour_index("charttime", "admit_time").alias("hour"))
+    gaps = longest_gap(measured, stays, los_cap())
     tagged = stays.join(gaps, "stay_id", "left")
     passes: list[Column] = [
         micros("discharge_time") > micros("admit_time"),
@@ -31,8 +35,8 @@ def gated(stays: DataFrame, events: DataFrame, max_gap: int = MAX_GAP) -> DataFr
     return tagged.withColumn("failed_at", failed.cast("int")).drop("n_hours", "gap")
 
 
-def base_cohort(stays: DataFrame, events: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
-    return gated(stays, events, max_gap).where("failed_at is null").drop("failed_at")
+def base_cohort(stays: DataFrame, events: DataFrame, max_gap: int = MAX_GAP, concepts: list[str] | None = None) -> DataFrame:
+    return gated(stays, events, max_gap, concepts).where("failed_at is null").drop("failed_at")
 
 
 def attrition(tagged: DataFrame) -> DataFrame:
@@ -44,3 +48,12 @@ def attrition(tagged: DataFrame) -> DataFrame:
     before = F.col("n") - F.aggregate(F.slice(dropped, F.lit(1), F.col("step")), F.lit(0).cast("long"), lambda a, x: a + x)
     out = steps.join(F.broadcast(counts)).withColumn("n_before", before).withColumn("n_dropped", F.get(dropped, F.col("step")))  # one row of counts
     return out.select("step", "criterion", "n_before", (F.col("n_before") - F.col("n_dropped")).alias("n_after"), "n_dropped")
+
+
+def attrition_report(tagged: DataFrame) -> DataFrame:
+    """attrition() with pct_dropped, and a last row `final` for all gates together."""
+    steps = attrition(tagged)
+    share = lambda: F.round(F.when(F.col("n_before") > 0, 100.0 * F.col("n_dropped") / F.col("n_before")).otherwise(0.0), 2).alias("pct_dropped")
+    whole = tagged.agg(F.count("*").alias("n_before"), F.count_if(F.col("failed_at").isNull()).alias("n_after")).withColumn("n_dropped", F.col("n_before") - F.col("n_after"))
+    final = whole.select(F.lit(len(GATES)).alias("step"), F.lit("final").alias("criterion"), "n_before", "n_after", "n_dropped", share())
+    return steps.select("step", "criterion", "n_before", "n_after", "n_dropped", share()).unionByName(final)

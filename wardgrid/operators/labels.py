@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardgrid.operators.timegrid import HOUR, hour_grid, hour_index, los_horizon, micros, trailing
+from wardgrid.operators.timegrid import HOUR, build_dyn, hour_grid, hour_index, los_horizon, micros, trailing
 
 WEIGHT_DEFAULT = 75.0
 
@@ -35,18 +35,21 @@ def creatinine_onset(creatinine: DataFrame) -> DataFrame:
     return risen.groupBy("stay_id").agg(F.min("charttime").alias("onset"))
 
 
-def urine_onset(urine: DataFrame, stays: DataFrame) -> DataFrame:
-    """(stay_id, onset): first time that output per kg and hour stays too low over 6, 12 or 24 h.
+def urine_onset(urine: DataFrame, stays: DataFrame, rates: bool = False) -> DataFrame:
+    """(stay_id, onset): first time that the output per kg is too low over 6, 12 or 24 h.
 
-    urine is (stay_id, charttime, value in ml); a volume counts for the time since the last one, 1 h if that is unknown
-    or above a day. Sums run over (t - w, t] and are divided by w.
+    urine is (stay_id, charttime, value): volumes in ml (0 to 5000), each made a rate by the hours since the last one, 1 h if
+    that is unknown or above a day; or, with rates, charted rates in ml/h (0 to 2000). The rates in (t - w, t] are summed and
+    divided by the weight alone.
     """
     order = Window.partitionBy("stay_id").orderBy(micros("charttime"))
-    known = urine.where("value between 0 and 5000").join(stays.select("stay_id", "admit_time", F.coalesce("weight", F.lit(WEIGHT_DEFAULT)).cast("double").alias("weight")), "stay_id")
+    known = urine.where(f"value between 0 and {2000 if rates else 5000}").join(stays.select("stay_id", "admit_time", F.coalesce("weight", F.lit(WEIGHT_DEFAULT)).cast("double").alias("weight")), "stay_id")
     gap = (micros("charttime") - F.lag(micros("charttime")).over(order)) / F.lit(HOUR)
-    rated = known.withColumn("gap", gap).withColumn("rate", F.col("value") / F.when(F.col("gap").isNull() | (F.col("gap") > 24) | (F.col("gap") <= 0), 1.0).otherwise(F.col("gap")))
+    # two volumes of one time have no gap to divide by: the second counts for 1 h
+    hours = F.when(F.col("gap").isNull() | (F.col("gap") > 24) | (F.col("gap") <= 0), 1.0).otherwise(F.col("gap"))
+    rated = known.withColumn("gap", gap).withColumn("rate", F.col("value").cast("double") if rates else F.col("value") / hours)
     for h in (6, 12, 24):
-        rated = rated.withColumn(f"r{h}", F.sum("value").over(trailing(["stay_id"], "charttime", h)) / F.col("weight") / h)
+        rated = rated.withColumn(f"r{h}", F.sum("rate").over(trailing(["stay_id"], "charttime", h)) / F.col("weight"))
     since = (micros("charttime") - micros("admit_time")) / F.lit(HOUR)
     low = ((since >= 24) & (F.col("r24") < 0.3)) | ((since >= 12) & ((F.col("r12") == 0) | (F.col("r12") < 0.5))) | ((since >= 6) & (F.col("r6") < 0.5))
     return rated.where(low).groupBy("stay_id").agg(F.min("charttime").alias("onset"))
@@ -115,6 +118,39 @@ def suspected_infection(episodes: DataFrame, samples: DataFrame | None) -> DataF
     return pairs.where((apart >= -72 * HOUR) & (apart <= 24 * HOUR)).groupBy("stay_id").agg(F.min(F.least(F.col("starttime").cast("timestamp"), F.col("sample").cast("timestamp"))).alias("si"))
 
 
+def antibiotic_episodes(meds: DataFrame, window_h: int = 72, max_gap_h: int = 24) -> DataFrame:
+    """(stay_id, starttime): continuous_episodes() of the antibiotics among meds, without deaths: each row stands for itself."""
+    return continuous_episodes(meds.where("drug_class = 'antibiotic'").select("stay_id", "starttime", "endtime"), None, window_h, max_gap_h)
+
+
+def antibiotic_span(meds: DataFrame, days: int = 3) -> DataFrame:
+    """(stay_id, first, span_h, long): first antibiotic of a stay, hours from it to the last start or end, and whether they are
+    `days` days or more."""
+    of = meds.where("drug_class = 'antibiotic'").groupBy("stay_id").agg(F.min("starttime").alias("first"), F.max(F.greatest("starttime", "endtime")).alias("last"))
+    span = (micros("last") - micros("first")) / F.lit(HOUR)
+    return of.select("stay_id", "first", span.alias("span_h"), (span >= 24 * days).alias("long"))
+
+
+def sepsis_labels(stays: DataFrame, abx: DataFrame, sofa: DataFrame, samples: DataFrame | None, death: DataFrame | None = None) -> DataFrame:
+    """Hourly sepsis labels. samples: cultures, where the source has them; without, every episode start is a suspicion."""
+    onset = sepsis_onset(suspected_infection(continuous_episodes(abx, death), samples), sofa, stays)
+    kept = exclude_early(stays, onset)
+    return onset_labels(kept, onset.join(kept.select("stay_id"), "stay_id", "left_semi"))
+
+
+def build_task(stays: DataFrame, outc: DataFrame, events: DataFrame, concepts: list[str], max_hour: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sta, dyn, outc) of a task: the cohort is the stays with an outcome."""
+    cohort = stays.join(outc.select("stay_id").distinct(), "stay_id", "left_semi")
+    return build_sta(cohort), build_dyn(cohort, events, concepts, max_hour), outc
+
+
+def build_sta(stays: DataFrame) -> DataFrame:
+    """One row per stay: age, sex_male (1, 0, or 0.5 if unknown), weight, height."""
+    sex = F.lower(F.trim("sex"))
+    male = F.when(sex.isin("m", "male"), 1.0).when(sex.isin("f", "female"), 0.0).otherwise(0.5)
+    return stays.select("patient_id", "stay_id", F.col("age").cast("float").alias("age"), male.cast("float").alias("sex_male"), F.col("weight").cast("float").alias("weight"), F.col("height").cast("float").alias("height"))
+
+
 def sepsis_onset(si: DataFrame, sofa: DataFrame, stays: DataFrame, rise: int = 2) -> DataFrame:
     """(stay_id, onset): the earliest suspected time around which (48 h before, 24 h after) the score rises enough."""
     at = si.join(stays.select("stay_id", "admit_time"), "stay_id").select("stay_id", "si", hour_index("si", "admit_time").alias("si_hour"))

@@ -5,24 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 256
+
 
 def _tied(scored: DataFrame) -> DataFrame:
     """(score, pos, neg): one row per distinct score, so ties are exact and later sorts are small."""
     return scored.where("y is not null and score is not null").groupBy("score").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
 
 
+def _running(tied: DataFrame, order: str) -> DataFrame:
+    """tied with upto_pos and upto_neg: sums over all scores up to this one in the given order.
+
+    Scores are cut into BUCKETS ranges by approximate quantiles; sums of whole buckets come first, then a window in each
+    bucket, so no task holds all scores.
+    """
+    cuts = tied.agg(F.percentile_approx(order, [k / BUCKETS for k in range(1, BUCKETS)], 10_000).alias("_cuts"))  # one row
+    at = tied.join(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows
+    sums = at.groupBy("_b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select("_b", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in "pn"])
+    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return at.join(F.broadcast(sums), "_b").select(*tied.columns, (F.col("_p") + F.sum("pos").over(inside)).alias("upto_pos"), (F.col("_n") + F.sum("neg").over(inside)).alias("upto_neg"))
+
+
 def auroc(scored: DataFrame) -> DataFrame:
     """(n, n_pos, auroc) from (y, score): rank sum with tied ranks; null if one class is missing."""
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = _tied(scored).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    won = _running(_tied(scored), "score").withColumn("won", F.col("pos") * (F.col("upto_neg") - F.col("neg") / 2))
     pos, neg = F.sum("pos"), F.sum("neg")
     return won.agg((pos + neg).alias("n"), pos.alias("n_pos"), F.when((pos > 0) & (neg > 0), F.sum("won") / (pos * neg)).alias("auroc"))
 
 
 def curve(scored: DataFrame) -> DataFrame:
     """(score, tp, fp): counts at or above each threshold, for ROC and precision-recall curves."""
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return _tied(scored).select("score", "pos", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    down = _running(_tied(scored).withColumn("down", -F.col("score").cast("double")), "down")
+    return down.select("score", "pos", F.col("upto_pos").alias("tp"), F.col("upto_neg").alias("fp"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:

@@ -18,10 +18,11 @@ def missing_mask(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("*", *[F.col(c).isNull().cast("int").alias(f"{c}_is_null") for c in columns])
 
 
-def train_stats(rows: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: mean, population deviation, least, most and median of each column over the train stays."""
+def train_stats(rows: DataFrame, train: DataFrame, columns: list[str], median: bool = True) -> DataFrame:
+    """One row: mean, population deviation, least, most and, if asked, median of each column over the train stays. Exact medians
+    hold all distinct values of a column in one task, so only ask for them where they are few."""
     of = rows.join(train.select("stay_id").distinct(), "stay_id", "left_semi")
-    each = [(F.avg, "mean"), (F.stddev_pop, "std"), (F.min, "min"), (F.max, "max"), (F.median, "median")]
+    each = [(F.avg, "mean"), (F.stddev_pop, "std"), (F.min, "min"), (F.max, "max"), *([(F.median, "median")] if median else [])]
     return of.agg(*[f(F.col(c).cast("double")).alias(f"{c}_{name}") for c in columns for f, name in each])
 
 
@@ -50,7 +51,7 @@ def minmax_scale(rows: DataFrame, stats: DataFrame, columns: list[str]) -> DataF
 
 def preprocess(rows: DataFrame, train: DataFrame, columns: list[str], history: bool = False) -> DataFrame:
     """Mask, forward fill, train mean, train min-max; then expanding statistics of the scaled values if asked."""
-    stats = train_stats(rows, train, columns)
+    stats = train_stats(rows, train, columns, median=False)
     ready = minmax_scale(impute(missing_mask(rows, columns), stats, columns, "mean"), stats, columns)
     return history_features(ready, columns) if history else ready
 

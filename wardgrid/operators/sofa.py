@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardgrid.operators.timegrid import consolidate_open, hour_grid, hour_index, interval_hours
+
 #: Fixed values: (upper bound, exclusive; points), in order.
 PLATELETS = [(20, 4), (50, 3), (100, 2), (150, 1)]
 GCS = [(6, 4), (10, 3), (13, 2), (15, 1)]
@@ -15,6 +17,8 @@ URINE24 = [(200, 4), (500, 3)]
 #: Fixed values: (lower bound, inclusive; points), in order.
 BILIRUBIN = [(12, 4), (6, 3), (2, 2), (1.2, 1)]
 CREATININE = [(5, 4), (3.5, 3), (2, 2), (1.2, 1)]
+#: Concepts that are carried forward, with the inputs that they become.
+CARRIED = {"plt": "platelets", "bili": "bilirubin", "tgcs": "gcs", "crea": "creatinine", "map": "mean_pressure", "po2": "po2", "fio2": "fio2"}
 COMPONENTS = ["resp", "coag", "liver", "cardio", "cns", "renal"]
 
 
@@ -47,13 +51,13 @@ def renal(creatinine: Column, urine24: Column) -> Column:
 
 
 def cardiovascular(mean_pressure: Column, dopamine: Column, norepinephrine: Column, epinephrine: Column, strong: Column, dobutamine: Column) -> Column:
-    """Rates in ug/kg/min or null; strong and dobutamine tell whether such a drug runs at all."""
+    """Rates in ug/kg/min or null; a charted rate counts, even of 0. strong and dobutamine tell whether such a drug runs at all."""
     no_rate = dopamine.isNull() & norepinephrine.isNull() & epinephrine.isNull()
     on = lambda c: F.coalesce(c, F.lit(False))
     return (
         F.when((dopamine > 15) | (norepinephrine > 0.1) | (epinephrine > 0.1), 4)
-        .when((dopamine > 5) | (norepinephrine > 0) | (epinephrine > 0) | (on(strong) & no_rate), 3)
-        .when((dopamine > 0) | on(dobutamine), 2)
+        .when((dopamine > 5) | norepinephrine.isNotNull() | epinephrine.isNotNull() | (on(strong) & no_rate), 3)
+        .when(dopamine.isNotNull() | on(dobutamine), 2)
         .when(mean_pressure < 70, 1)
         .otherwise(0)
     )
@@ -69,6 +73,44 @@ def urine_of_day(hourly: str = "urine") -> Column:
     return F.sum(hourly).over(Window.partitionBy("stay_id").orderBy("hour").rowsBetween(-23, 0))
 
 
+def urine_by_hour(events: DataFrame, stays: DataFrame) -> DataFrame:
+    """(stay_id, hour, urine): sums of each hour since admission."""
+    at = events.where("concept = 'urine' and value is not null").join(stays.select("stay_id", "admit_time"), "stay_id")
+    return at.groupBy("stay_id", hour_index("charttime", "admit_time").alias("hour")).agg(F.sum(F.col("value").cast("double")).alias("urine"))
+
+
+def pressors_by_hour(meds: DataFrame, stays: DataFrame, max_hour: Column) -> DataFrame:
+    """(stay_id, hour, dopamine, norepinephrine, epinephrine, dobutamine_rate, strong, dobutamine): largest rates in ug/kg/min,
+    and whether any such drug runs. Open intervals are consolidated before they are spread over hours."""
+    name = F.lower("drug")
+    own = meds.where("drug_class = 'vasopressor'").withColumn("kind", F.when(name.contains("dobutamine"), "dobu").when(name.contains("dopamine"), "dopa").when(name.contains("norepinephrine"), "norepi").when(name.contains("epinephrine"), "epi").otherwise("other"))
+    own = own.withColumn("rate", F.when(F.col("dose_unit") == "mcg/kg/min", F.col("dose").cast("double")))
+    hours = interval_hours(consolidate_open(own, ["stay_id", "kind", "rate"]), stays, max_hour)
+    most = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("rate")))
+    return hours.groupBy("stay_id", "hour").agg(most("dopa").alias("dopamine"), most("norepi").alias("norepinephrine"), most("epi").alias("epinephrine"), most("dobu").alias("dobutamine_rate"), F.bool_or(F.col("kind") != "dobu").alias("strong"), F.bool_or(F.col("kind") == "dobu").alias("dobutamine"))
+
+
+def sofa_inputs(stays: DataFrame, events: DataFrame, meds: DataFrame, interventions: DataFrame, max_hour: Column) -> DataFrame:
+    """One row per stay and hour with what sofa_per_hour() takes: carried laboratory values and vital signs, PaO2 / FiO2 (FiO2
+    in per cent), ventilation, urine of the last day, vasopressors."""
+    grid = hour_grid(stays, max_hour)
+    wide = hourly_last(events.where(F.col("concept").isin(*CARRIED)), stays, list(CARRIED))
+    order = Window.partitionBy("stay_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
+    carried = grid.join(wide, ["stay_id", "hour"], "left").select("stay_id", "hour", *[F.last(c, ignorenulls=True).over(order).alias(n) for c, n in CARRIED.items()])
+    vents = interval_hours(consolidate_open(interventions.where("intervention = 'mech_vent'"), ["stay_id"]), stays, max_hour).select("stay_id", "hour", F.lit(True).alias("ventilated")).distinct()
+    met = carried.join(vents, ["stay_id", "hour"], "left").join(urine_by_hour(events, stays), ["stay_id", "hour"], "left").join(pressors_by_hour(meds, stays, max_hour), ["stay_id", "hour"], "left")
+    pafi = F.when(F.col("fio2") > 0, F.col("po2") / (F.col("fio2") / 100.0))
+    return met.select("stay_id", "hour", "platelets", "bilirubin", "gcs", "creatinine", "mean_pressure", pafi.alias("pafi"), F.coalesce("ventilated", F.lit(False)).alias("ventilated"), urine_of_day("urine").alias("urine24"), "dopamine", "norepinephrine", "epinephrine", F.coalesce("strong", F.lit(False)).alias("strong"), (F.coalesce("dobutamine", F.lit(False)) | F.col("dobutamine_rate").isNotNull()).alias("dobutamine"))
+
+
+def hourly_last(events: DataFrame, stays: DataFrame, concepts: list[str]) -> DataFrame:
+    """The last value of each concept in each hour, one column per concept; before admission counts as hour 0."""
+    hour = F.greatest(hour_index("charttime", "admit_time"), F.lit(0))
+    at = events.where("value is not null").join(stays.select("stay_id", "admit_time"), "stay_id")
+    of = lambda c: F.max_by(F.when(F.col("concept") == c, F.col("value").cast("double")), F.when(F.col("concept") == c, F.struct("charttime", "value")))
+    return at.groupBy("stay_id", hour.alias("hour")).agg(*[of(c).alias(c) for c in concepts])
+
+
 def sofa_per_hour(inputs: DataFrame) -> DataFrame:
     """(stay_id, hour, sofa, sofa_*) from one row per stay and hour of carried inputs: platelets, bilirubin, gcs, pafi,
     ventilated, creatinine, urine24, mean_pressure, dopamine, norepinephrine, epinephrine, strong, dobutamine."""

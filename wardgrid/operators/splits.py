@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def folds(patients: DataFrame, k: int, seed: str, by: list[str]) -> Column:
-    """Fold of a patient: round robin in the order of a hash, within each stratum."""
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("patient_id").cast("string")))
-    return (F.row_number().over(Window.partitionBy(*by).orderBy(order, "patient_id")) - 1) % k
+def with_fold(patients: DataFrame, name: str, k: int, seed: str, by: list[str]) -> DataFrame:
+    """patients with their fold: round robin in the order of a hash, within each stratum.
+
+    A stratum is cut into 4,096 ranges of the hash; ranks go on from the counts of the ranges before, so no task holds a
+    whole stratum.
+    """
+    at = patients.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col("patient_id").cast("string")))).withColumn("_r", F.substring("_h", 1, 3))
+    earlier = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = at.groupBy(*by, "_r").agg(F.count("*").alias("_n")).select(*by, "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_r").orderBy("_h", "patient_id")) - 1
+    return at.withColumn("_rank", rank).join(before, [*by, "_r"]).withColumn(name, ((F.col("_before") + F.col("_rank")) % k).cast("int")).select(*patients.columns, name)
 
 
 def patient_labels(stays: DataFrame) -> DataFrame:
@@ -20,21 +29,43 @@ def patient_labels(stays: DataFrame) -> DataFrame:
 def nested_splits(stays: DataFrame, outer: int = 5, inner: int = 5, seed: str = "42") -> DataFrame:
     """(rep, fold, stay_id, split): for each outer fold (test) and inner fold (val), the rest is train.
 
-    stays is (patient_id, stay_id, label). Strata are ordered in one sort each; labels are few, patients are many, but
-    a row is an id and a hash.
+    stays is (patient_id, stay_id, label).
     """
     if outer < 2 or inner < 2:
         raise ValueError("at least two folds")
     who = patient_labels(stays)
-    at = who.withColumn("o", folds(who, outer, f"{seed}:outer", ["label"]))
+    at = with_fold(who, "o", outer, f"{seed}:outer", ["label"])
     reps = at.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))))
     kept = reps.where("o <> rep")
-    kept = kept.withColumn("i", folds(kept, inner, f"{seed}:inner", ["rep", "label"]))
+    kept = with_fold(kept, "i", inner, f"{seed}:inner", ["rep", "label"])
     placed = kept.select("patient_id", "rep", F.explode(F.sequence(F.lit(0), F.lit(inner - 1))).alias("fold"), "i").select("patient_id", "rep", "fold", F.when(F.col("i") == F.col("fold"), "val").otherwise("train").alias("split"))
     tests = at.select("patient_id", F.col("o").cast("int").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(inner - 1))).alias("fold"), F.lit("test").alias("split"))
     return stays.select("patient_id", "stay_id").join(placed.unionByName(tests), "patient_id").select("rep", "fold", "stay_id", "split")
 
 
+def grouped_folds(stays: DataFrame, k: int = 5, repeats: int = 1, seed: str = "42", stratify: bool = True) -> DataFrame:
+    """(rep, fold, stay_id): the fold in which a stay is tested, grouped by patient, repeated with other seeds.
+
+    Fewer than two folds, fewer patients than folds, and, if stratified, labels that are missing or not 0 and 1, or a class
+    with fewer patients than folds are errors.
+    """
+    if k < 2:
+        raise ValueError("at least two folds")
+    who = patient_labels(stays) if stratify else stays.select("patient_id").distinct().withColumn("label", F.lit(0))
+    sizes = {r[0]: r[1] for r in who.groupBy("label").count().limit(3).collect()}
+    if stratify and not set(sizes) <= {0, 1}:
+        raise ValueError("labels are not 0 and 1")
+    if sum(sizes.values()) < k or stratify and min(sizes.values(), default=0) < k:
+        raise ValueError("fewer patients than folds")
+    runs = [with_fold(who, "fold", k, f"{seed}:{rep}", ["label"]).select(F.lit(rep).alias("rep"), "patient_id", "fold") for rep in range(repeats)]
+    return stays.select("patient_id", "stay_id").join(reduce(DataFrame.unionByName, runs), "patient_id").select("rep", "fold", "stay_id")
+
+
+def partition(rows: DataFrame, splits: DataFrame, rep: int, fold: int) -> DataFrame:
+    """rows with the split of their stay in one fold; stays of the fold without rows stay, as nulls."""
+    return rows.join(splits.where((F.col("rep") == rep) & (F.col("fold") == fold)).select("stay_id", "split"), "stay_id", "right")
+
+
 def leaking_patients(splits: DataFrame, stays: DataFrame) -> DataFrame:
     """(rep, fold, patient_id) of patients in more than one split."""
     met = splits.join(stays.select("stay_id", "patient_id"), "stay_id")

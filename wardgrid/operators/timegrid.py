@@ -27,6 +27,11 @@ def los_horizon(cap: int = 168) -> Column:
     return F.when(F.col("los_hours").isNotNull(), F.floor(F.greatest(F.lit(0.0), F.least(F.col("los_hours"), F.lit(float(cap))))))  # least() skips nulls
 
 
+def los_cap(cap: int = 168) -> Column:
+    """Hours of a stay, at most cap; null if unknown."""
+    return F.when(F.col("los_hours").isNotNull(), F.greatest(F.lit(0.0), F.least(F.col("los_hours").cast("double"), F.lit(float(cap)))))  # least() skips nulls
+
+
 def hourly_median(events: DataFrame, stays: DataFrame, max_hour: Column) -> DataFrame:
     """Exact median of each (stay, hour, concept) inside the horizon, in double precision."""
     at = events.join(stays.withColumn("_max", max_hour.cast("int")).select("stay_id", "admit_time", "_max"), "stay_id").withColumn("hour", hour_index("charttime", "admit_time"))
@@ -105,10 +110,14 @@ def trailing(keys: list[str], t: str, hours: int) -> Window:
 
 
 def longest_gap(measured: DataFrame, stays: DataFrame, max_hour: Column) -> DataFrame:
-    """(stay_id, n_hours, gap): distinct measured hours of a stay, and the longest run of hours without one."""
-    base = stays.withColumn("_max", max_hour.cast("int")).where("_max is not null").select("stay_id", "_max")
-    hours = measured.select("stay_id", "hour").distinct().join(base, "stay_id").where("hour between 0 and _max").withColumn("real", F.lit(1))
-    ends = base.select("stay_id", F.explode(F.array(F.lit(-1), F.col("_max") + 1)).alias("hour"), F.lit(0).alias("real"))
+    """(stay_id, n_hours, gap): distinct measured hours of a stay, and the longest run of hours without one.
+
+    max_hour is the stay's length in hours, not rounded: measured hours are those below it, and its whole part stands as the
+    end of the last run, as -1 does for the beginning of the first.
+    """
+    base = stays.withColumn("_cap", max_hour.cast("double")).where("_cap is not null").select("stay_id", "_cap")
+    hours = measured.select("stay_id", "hour").distinct().join(base, "stay_id").where("hour >= 0 and hour < _cap").withColumn("real", F.lit(1))
+    ends = base.select("stay_id", F.explode(F.array(F.lit(-1), F.floor("_cap").cast("int"))).alias("hour"), F.lit(0).alias("real"))
     w = Window.partitionBy("stay_id").orderBy("hour")
     gaps = hours.select("stay_id", "hour", "real").unionByName(ends).withColumn("gap", F.col("hour") - F.lag("hour").over(w) - 1)
     return gaps.groupBy("stay_id").agg(F.sum("real").cast("long").alias("n_hours"), F.greatest(F.max("gap"), F.lit(0)).cast("int").alias("gap"))

@@ -7,14 +7,14 @@ ST = f"{EV}, stays as (select stay_id % 100 as patient_id, stay_id, min(t) as a,
 AT = f"{ST}, tt as (select ev.*, s.a, s.mh, s.los_hours, cast(floor((t - s.a) / 3600000000.0) as int) as hour from ev join stays s using (stay_id))"
 GRID = f"{AT}, grid as (select stay_id, a, mh, unnest(range(0, mh + 1))::int as hour from stays)"
 IV = f"{GRID}, iv as (select stay_id, t as s, case when concept = 'purchase' then t + cast(floor(value * 60) as bigint) * 1000000 end as e, concept as drug from ev where concept in ('purchase', 'signup'))"
-DYN = f"{AT}, grid as (select stay_id, unnest(range(0, 48))::int as hour from stays), med as (select stay_id, hour, concept, median(value) as v from tt where hour between 0 and 47 group by all), dyn as (select g.stay_id, g.hour, c.v as click, w.v as view from grid g left join med c on c.stay_id = g.stay_id and c.hour = g.hour and c.concept = 'click' left join med w on w.stay_id = g.stay_id and w.hour = g.hour and w.concept = 'view')"
+DYN = f"{AT}, grid as (select stay_id, unnest(range(0, mh + 1))::int as hour from stays), med as (select stay_id, hour, concept, median(value) as v from tt where hour between 0 and mh group by all), dyn as (select g.stay_id, g.hour, c.v as click, w.v as view from grid g left join med c on c.stay_id = g.stay_id and c.hour = g.hour and c.concept = 'click' left join med w on w.stay_id = g.stay_id and w.hour = g.hour and w.concept = 'view')"
 FIT = f"{DYN}, fit as (select avg(click) as cm, min(click) as clo, max(click) as chi, median(click) as cmed, stddev_pop(click) as csd, avg(view) as vm, min(view) as vlo, max(view) as vhi from dyn where stay_id % 4 <> 0), filled as (select stay_id, hour, (click is null)::int as click_is_null, last_value(click ignore nulls) over w as cf, last_value(view ignore nulls) over w as vf from dyn window w as (partition by stay_id order by hour rows unbounded preceding)), scaled as (select stay_id, hour, click_is_null, (coalesce(cf, cm) - clo) / (chi - clo) as click, (coalesce(vf, vm) - vlo) / (vhi - vlo) as view from filled, fit)"
 PAIR = f"{AT}, sus as (select c.stay_id, min(least(c.t, s.t)) as si from ev c join ev s on c.stay_id = s.stay_id and c.concept = 'click' and s.concept = 'error' and s.t - c.t between -259200000000 and 86400000000 group by 1)"
 CODES = "codes as (select l_orderkey as stay_id, p_brand as code from lineitem join part on l_partkey = p_partkey), train as (select o_orderkey as stay_id from orders where o_orderkey % 5 <> 0), vocab as (select code, count(distinct stay_id) as n_stays, (select count(*) from train) as n_train from codes where stay_id in (select stay_id from train) group by code)"
 SC = "sc as (select doc_id, quality as y, toxic, round(least(n_chars / 4000.0, 1.0), 2) as score from labels join documents using (doc_id))"
 ORD = "os as (select o_custkey as patient_id, o_orderkey as stay_id, o_orderdate as intime, (first_value(o_orderstatus) over (partition by o_custkey order by o_orderkey) = 'F')::int as label from orders)"
 STREAM = f"{ORD}, st as (select o_custkey as patient_id, case when o_orderkey % 3 = 0 then o_orderkey end as bound, o_orderkey as src, o_orderpriority as code, o_orderdate as k from orders), met as (select os.stay_id, st.src, st.code, st.k, (epoch_us(st.k) - epoch_us(os.intime)) / 3600000000.0 as delta_h from st join os on (st.bound is not null and st.bound = os.stay_id) or (st.bound is null and st.patient_id = os.patient_id))"
-DAY = "de as (select user_id || '_' || strftime(ts, '%Y-%m-%d') as stay_id, user_id, ts, date_trunc('day', ts) as day, event_type, value from events), ds as (select stay_id, any_value(user_id) % 60 + 10.0 as age, epoch_us(any_value(day)) as a, (epoch_us(max(ts)) - epoch_us(any_value(day))) / 3600000000.0 as los_hours from de group by stay_id), hrs as (select distinct de.stay_id, cast(floor((epoch_us(ts) - a) / 3600000000.0) as int) as hour from de join ds using (stay_id)), pts as (select stay_id, hour, 1 as r from hrs union all select stay_id, -1, 0 from ds union all select stay_id, cast(floor(los_hours) as int) + 1, 0 from ds), gp as (select stay_id, r, hour - lag(hour) over (partition by stay_id order by hour) - 1 as g from pts), ga as (select stay_id, sum(r) as n, greatest(max(g), 0) as g from gp group by stay_id), tag as (select *, case when not los_hours > 0 then 0 when los_hours < 6 then 1 when n < 4 then 2 when g > 12 then 3 when age < 18 then 4 else 9 end as f from ds join ga using (stay_id))"
+DAY = "de as (select user_id || '_' || strftime(ts, '%Y-%m-%d') as stay_id, user_id, ts, date_trunc('day', ts) as day, event_type, value from events), ds as (select stay_id, any_value(user_id) % 60 + 10.0 as age, epoch_us(any_value(day)) as a, (epoch_us(max(ts)) - epoch_us(any_value(day))) / 3600000000.0 as los_hours from de group by stay_id), hrs as (select distinct de.stay_id, cast(floor((epoch_us(ts) - a) / 3600000000.0) as int) as hour from de join ds using (stay_id) where value is not null and floor((epoch_us(ts) - a) / 3600000000.0) < least(los_hours, 168)), pts as (select stay_id, hour, 1 as r from hrs union all select stay_id, -1, 0 from ds union all select stay_id, cast(floor(least(los_hours, 168)) as int), 0 from ds), gp as (select stay_id, r, hour - lag(hour) over (partition by stay_id order by hour) - 1 as g from pts), ga as (select stay_id, sum(r) as n, greatest(max(g), 0) as g from gp group by stay_id), tag as (select *, case when not los_hours > 0 then 0 when los_hours < 6 then 1 when n < 4 then 2 when g > 12 then 3 when age < 18 then 4 else 9 end as f from ds join ga using (stay_id))"
 
 
 def _num(x: str) -> str:
@@ -39,7 +39,7 @@ _SOFA_NOW = ", ".join([
     _points("case when click * 10 < 200 and not coalesce(error > 20, false) then 200 else click * 10 end", [(100, 4), (200, 3), (300, 2), (400, 1)], "<") + " as resp",
     _points("click * 5", [(20, 4), (50, 3), (100, 2), (150, 1)], "<") + " as coag",
     _points("error / 5", [(12, 4), (6, 3), (2, 2), (1.2, 1)], ">=") + " as liver",
-    "case when purchase / 4 > 15 or signup / 400 > 0.1 then 4 when purchase / 4 > 5 or signup / 400 > 0 or (click > 60 and purchase is null and signup is null) then 3 when purchase / 4 > 0 or view > 60 then 2 when view * 3 < 70 then 1 else 0 end as cardio",
+    "case when purchase / 4 > 15 or signup / 400 > 0.1 then 4 when purchase / 4 > 5 or signup is not null or (click > 60 and purchase is null and signup is null) then 3 when purchase is not null or view > 60 then 2 when view * 3 < 70 then 1 else 0 end as cardio",
     _points("view / 5", [(6, 4), (10, 3), (13, 2), (15, 1)], "<") + " as cns",
     "greatest(" + _points("purchase / 10", [(5, 4), (3.5, 3), (2, 2), (1.2, 1)], ">=") + ", " + _points("u24", [(200, 4), (500, 3)], "<") + ") as renal",
 ])
@@ -47,15 +47,29 @@ _PARTS = ["resp", "coag", "liver", "cardio", "cns", "renal"]
 _PIVOT = ", ".join(f"median(value) filter (concept = '{c}') as {c}" for c in ("click", "error", "purchase", "signup", "view"))
 _WIDE = f"{GRID}, wide as (select stay_id, hour, {_PIVOT} from tt where hour between 0 and mh group by 1, 2), full_ as (select g.stay_id, g.hour, click, error, purchase, signup, view from grid g left join wide using (stay_id, hour))"
 
+_CONVERTED = [("F", "C", "(value - 32.0) * 5.0 / 9.0"), ("C", "F", "value * 9.0 / 5.0 + 32.0"), ("in", "cm", "value * 2.54"), ("cm", "in", "value / 2.54"), ("oz", "g", "value * 28.3495"), ("g", "oz", "value / 28.3495"), ("lb", "kg", "value * 0.4535924"), ("kg", "lb", "value / 0.4535924"), ("mg/dL_glu", "mmol/L_glu", "value / 18.0182"), ("mmol/L_glu", "mg/dL_glu", "value * 18.0182"), ("mg/dL_crea", "μmol/L_crea", "value * 88.4"), ("μmol/L_crea", "mg/dL_crea", "value / 88.4")]
+_MEDS = f"{GRID}, md as (select stay_id, s, e, case drug when 'purchase' then 'Norepinephrine' else 'dobutamine' end as drug, case when drug = 'purchase' then 'mcg/kg/min' else 'mg' end as unit, (s // 1000000 % 100) / 400.0 as dose from (select stay_id, t as s, case when concept = 'purchase' then t + cast(floor(value * 60) as bigint) * 1000000 end as e, concept as drug from ev where concept in ('purchase', 'signup')))"
+_RUNS = f"{_MEDS}, run as (select g.stay_id, g.hour, drug, case when unit = 'mcg/kg/min' then dose end as rate from grid g join md m on m.stay_id = g.stay_id and m.s < g.a + (g.hour + 1) * 3600000000::bigint and (m.e is null or m.e > g.a + g.hour * 3600000000::bigint))"
+
 ORACLE_SQL: dict[str, str] = {
+    "attrition_report": f"with {DAY}, g(step, criterion) as (values (0, 'valid_times'), (1, 'los'), (2, 'measured_hours'), (3, 'gap'), (4, 'age'), (5, 'final')), c as (select step, criterion, (select count(*) from tag where f >= step or criterion = 'final') as n_before, (select count(*) from tag where f > step) as n_after from g) select step, criterion, n_before, n_after, n_before - n_after as n_dropped, round(case when n_before > 0 then 100.0 * (n_before - n_after) / n_before else 0 end, 2) as pct_dropped from c",
+    "unit_convert": f"with {EV} select source, target, count(*) as n, round(sum(v), 4) as total from (" + " union all ".join(f"select '{a}' as source, '{b}' as target, {sql} as v from ev" for a, b, sql in _CONVERTED) + ") group by 1, 2",
+    "urine_by_hour": f"with {AT} select stay_id, hour, {_num('sum(value)')} as urine from tt where concept = 'view' group by 1, 2",
+    "pressors_by_hour": f"with {_RUNS} select stay_id, hour, {_num("max(rate) filter (drug = 'Norepinephrine')")} as norepinephrine, bool_or(drug <> 'dobutamine') as strong, bool_or(drug = 'dobutamine') as dobutamine from run group by 1, 2",
+    "sofa_inputs": f"""with {_RUNS}, p as (select stay_id, hour, max(rate) filter (drug = 'Norepinephrine') as norepinephrine, bool_or(drug <> 'dobutamine') as strong, bool_or(drug = 'dobutamine') as dobutamine from run group by 1, 2),
+        at_ as (select g.stay_id, g.hour, (select arg_max(e.value, e.t) from ev e where e.stay_id = g.stay_id and e.concept = 'click' and e.t < g.a + (g.hour + 1) * 3600000000::bigint) as po2, (select arg_max(e.value, e.t) from ev e where e.stay_id = g.stay_id and e.concept = 'error' and e.t < g.a + (g.hour + 1) * 3600000000::bigint) as fio2, (select sum(e.value) from tt e where e.stay_id = g.stay_id and e.concept = 'view' and e.hour between greatest(g.hour - 23, 0) and g.hour) as urine24 from grid g)
+        select at_.stay_id, at_.hour, {_num('case when fio2 > 0 then po2 / (fio2 / 100.0) end')} as pafi, {_num('urine24')} as urine24, {_num('norepinephrine')} as norepinephrine, coalesce(strong, false) as strong, coalesce(dobutamine, false) as dobutamine from at_ left join p using (stay_id, hour)""",
+    "antibiotic_span": f"with {IV} select stay_id, min(s) as first_us, {_num('(max(greatest(s, coalesce(e, s))) - min(s)) / 3600000000.0')} as span_h, max(greatest(s, coalesce(e, s))) - min(s) >= 259200000000 as long from iv group by 1",
+    "task_build": f"with {_WIDE}, o as (select stay_id from stays where los_hours >= 48 and stay_id in (select stay_id from tt where concept = 'click' and t - a > 86400000000 and t - a <= 172800000000)) select f.stay_id, count(*) as n_hours, {_num('sum(click)')} as click, 0.5::double as sex_male, min(s.los_hours > 0)::boolean as ok from full_ f join o using (stay_id) join stays s using (stay_id) group by 1",
     "dyn_hourly_grid": f"with {_WIDE} select stay_id, hour, {', '.join(f'{_num(c)} as {c}' for c in ('click', 'error', 'purchase', 'signup', 'view'))} from full_",
     "base_cohort_attrition": f"with {DAY}, g(step, criterion) as (values (0, 'valid_times'), (1, 'los'), (2, 'measured_hours'), (3, 'gap'), (4, 'age')) select step, criterion, (select count(*) from tag where f >= step) as n_before, (select count(*) from tag where f > step) as n_after, (select count(*) from tag where f = step) as n_dropped from g",
     "base_cohort": f"with {DAY} select stay_id, {_num('los_hours')} as los_hours, age from tag where f = 9",
-    "longest_gap": f"with {GRID}, h as (select distinct stay_id, hour from tt where hour between 0 and mh), p as (select stay_id, hour, 1 as r from h union all select stay_id, -1, 0 from stays union all select stay_id, mh + 1, 0 from stays), q as (select stay_id, r, hour - lag(hour) over (partition by stay_id order by hour) - 1 as g from p) select stay_id, sum(r)::bigint as n_hours, greatest(max(g), 0)::int as gap from q group by 1",
+    "longest_gap": f"with {GRID}, h as (select distinct stay_id, hour from tt where hour >= 0 and hour < least(los_hours, 168)), p as (select stay_id, hour, 1 as r from h union all select stay_id, -1, 0 from stays union all select stay_id, mh, 0 from stays), q as (select stay_id, r, hour - lag(hour) over (partition by stay_id order by hour) - 1 as g from p) select stay_id, sum(r)::bigint as n_hours, greatest(max(g), 0)::int as gap from q group by 1",
     "rolling_min_onset": f"with {EV}, e as (select stay_id, t, value / 10 as value from ev where concept = 'error'), m as (select x.stay_id, x.t, x.value, min(y.value) filter (y.t > x.t - 172800000000) as a, min(y.value) as b from e x join e y on x.stay_id = y.stay_id and y.t <= x.t and y.t > x.t - 604800000000 group by all) select stay_id, min(t) as onset_us from m where value - a >= 0.3 or value >= 1.5 * b group by 1",
     "rolling_sum_rate": f"""with {AT}, u as (select stay_id, t, a, value * 20 as value from tt where value * 20 between 0 and 5000),
-        g as (select *, (t - lag(t) over (partition by stay_id order by t)) / 3600000000.0 as gap from u),
-        r as (select x.stay_id, x.t, (x.t - x.a) / 3600000000.0 as since, {', '.join(f'(select sum(y.value) from g y where y.stay_id = x.stay_id and y.t <= x.t and y.t > x.t - {h} * 3600000000::bigint) / 75.0 / {h} as r{h}' for h in (6, 12, 24))} from g x)
+        p as (select *, (t - lag(t) over (partition by stay_id order by t)) / 3600000000.0 as gap from u),
+        g as (select *, value / case when gap is null or gap > 24 or gap <= 0 then 1 else gap end as rate from p),
+        r as (select x.stay_id, x.t, (x.t - x.a) / 3600000000.0 as since, {', '.join(f'(select sum(y.rate) from g y where y.stay_id = x.stay_id and y.t <= x.t and y.t > x.t - {h} * 3600000000::bigint) / 75.0 as r{h}' for h in (6, 12, 24))} from g x)
         select stay_id, min(t) as onset_us from r where (since >= 24 and r24 < 0.3) or (since >= 12 and (r12 = 0 or r12 < 0.5)) or (since >= 6 and r6 < 0.5) group by 1""",
     "asof_carry_forward": f"with {GRID} select g.stay_id, g.hour, (select {_num('arg_max(e.value, e.t)')} from ev e where e.stay_id = g.stay_id and e.concept = 'click' and e.t < g.a + (g.hour + 1) * 3600000000::bigint) as carried from grid g",
     "asof_nearest": f"with {EV}, c as (select x.stay_id, x.t, y.value, y.t as u, row_number() over (partition by x.stay_id, x.t order by abs(y.t - x.t), y.t, y.value desc) as k from ev x left join ev y on x.stay_id = y.stay_id and y.concept = 'click' where x.concept = 'error') select stay_id, t as charttime_us, {_num('value')} as near_value, u as near_t_us from c where k = 1",
@@ -64,7 +78,7 @@ ORACLE_SQL: dict[str, str] = {
     "null_end_consolidate": f"with {IV} select stay_id, drug, s as starttime_us, e as endtime_us from iv where e is not null union all select stay_id, drug, min(s), 0 from iv where e is null group by 1, 2",
     "occupancy_by_hour": f"with {IV}, al as (select iv.stay_id, (s - a) / 3600000000.0 as dh, (e - a) / 3600000000.0 as eh from iv join stays using (stay_id)), hh as (select unnest(range(0, 2000))::int as hour) select stay_id, hour, count(*) as n from al join hh on dh <= hour and ((eh is not null and eh >= hour) or (eh is null and floor(dh) = hour)) group by 1, 2",
     "onset_window_label": f"with {GRID}, o as (select stay_id, min(hour) as oh from tt where concept = 'signup' group by 1) select g.stay_id, g.hour, coalesce((abs(g.hour - oh) <= 6)::int, 0) as label_value from grid g left join o using (stay_id)",
-    "onset_exclusions": f"with {AT}, o as (select stay_id, min(t) as o from ev where concept = 'signup' group by 1), h as (select distinct stay_id % 7 as h from o where stay_id % 2 = 0), b as (select stay_id, arg_min(value, t) as v from ev where concept = 'error' group by 1) select s.stay_id from stays s where s.stay_id % 7 in (select h from h) and s.stay_id not in (select stay_id from o join stays using (stay_id) where o - a < 172800000000) and s.stay_id not in (select stay_id from b where v > 40)",
+    "onset_exclusions": f"with {AT}, o as (select stay_id, min(t) as o from ev where concept = 'signup' group by 1), h as (select distinct stay_id % 7 as h from o), b as (select stay_id, arg_min(value, t) as v from ev where concept = 'error' group by 1) select s.stay_id from stays s where s.stay_id % 7 in (select h from h) and s.stay_id not in (select stay_id from o join stays using (stay_id) where o - a < 172800000000) and s.stay_id not in (select stay_id from b where v > 40)",
     "remaining_los": f"with {GRID} select g.stay_id, g.hour, round(cast(cast(greatest(0, least(s.los_hours - g.hour, 168)) as real) as double), 3) as label_value from grid g join stays s using (stay_id)",
     "median_window_label": f"with {AT} select stay_id, {_num('greatest(0, least(15, median(value)))')} as label_value from tt where los_hours >= 48 and t - a > 86400000000 and t - a <= 172800000000 group by 1",
     "mortality_label": f"with {ST} select patient_id, stay_id, a + 86400000000 as label_time_us, (stay_id % 5 = 0)::int as label_value from stays where los_hours >= 30",
@@ -85,19 +99,19 @@ ORACLE_SQL: dict[str, str] = {
     "prior_visit_rank": f"with {STREAM}, kn as (select * from met where delta_h between -720 and 168) select stay_id, (count(distinct k) - 1)::int as visits, count(*) as n from kn group by 1",
     "note_clean_dedup": r"with n as (select doc_id, source, lang, trim(regexp_replace(regexp_replace(regexp_replace(text, '\[\*\*[^\]]*\*\*\]', ' ', 'g'), '_{2,}', ' ', 'g'), '\s+', ' ', 'g')) as text from documents) select max(doc_id) as doc_id, source, lang, length(text) as length from n group by source, lang, text",
     "note_serialise": "select conv_id, string_agg(role || ': ' || text, '; ' order by turn) as text from conversations group by 1",
-    "note_visibility": f"with {AT}, g as (select stay_id, unnest(range(0, least(mh, 48) + 1))::int as hour from stays) select g.stay_id, g.hour, count(*) as n from g join tt on tt.stay_id = g.stay_id and tt.concept = 'error' and (tt.t - tt.a) / 3600000000.0 <= g.hour group by 1, 2",
+    "note_visibility": f"with {AT}, g as (select stay_id, unnest(range(0, mh + 1))::int as hour from stays) select g.stay_id, g.hour, count(*) as n from g join tt on tt.stay_id = g.stay_id and tt.concept = 'error' and (tt.t - tt.a) / 3600000000.0 <= g.hour group by 1, 2",
     "topk_vocab": f"with {CODES} select code, n_stays, n_train from vocab where n_stays >= 0.01 * n_train order by n_stays desc, code limit 10",
     "icd_multihot": f"with {CODES} select stay_id, max((code = 'Brand#1')::int) as b1, max((code = 'Brand#2')::int) as b2, max((code = 'Brand#3')::int) as b3 from codes group by 1",
     "icd_tfidf": f"with {CODES} select stay_id, code, count(*) as tf, {_num('count(*) * ln(any_value(n_train) / any_value(n_stays)::double)')} as weight from codes join vocab using (code) group by 1, 2",
     "vector_mean_pool": f"with x as (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as pos from embeddings) select label, pos::int as pos, {_num('avg(v::double)')} as value from x group by 1, 2",
     "recency_pool": f"with w as (select label, embedding, power(2.0, (vec_id - max(vec_id) over (partition by label)) / 50.0) as w from embeddings), x as (select label, w, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as pos from w) select label, pos::int as pos, {_num('sum(w * v::double) / sum(w)')} as value from x group by 1, 2",
-    "running_recency_pool": f"with p as (select unnest(range(0, 3)) as pos), x as (select a.vec_id % 50 as k, a.vec_id as upto, p.pos, power(2.0, (b.vec_id - a.vec_id) / 50.0) as w, b.embedding[p.pos + 1]::double as v from embeddings a join embeddings b on a.vec_id % 50 = b.vec_id % 50 and b.vec_id <= a.vec_id cross join p) select k, upto, pos::int as pos, {_num('sum(w * v) / sum(w)')} as value from x group by 1, 2, 3",
+    "running_recency_pool": f"with p as (select unnest(range(0, 64)) as pos), x as (select a.vec_id % 50 as k, a.vec_id as upto, p.pos, power(2.0, (b.vec_id - a.vec_id) / 50.0) as w, b.embedding[p.pos + 1]::double as v from embeddings a join embeddings b on a.vec_id % 50 = b.vec_id % 50 and b.vec_id <= a.vec_id cross join p) select k, upto, pos::int as pos, {_num('sum(w * v) / sum(w)')} as value from x group by 1, 2, 3",
     "missing_mask": f"with {DYN} select hour, count(*) - count(click) as click_nulls, count(*) - count(view) as view_nulls from dyn group by 1",
     "ffill_impute_minmax": f"with {FIT} select stay_id, hour, {_num('click')} as click, {_num('view')} as view, click_is_null from scaled",
     "history_features": f"with {FIT} select stay_id, hour, {_num('max(click) over w')} as click_max, {_num('min(click) over w')} as click_min, {_num('avg(click) over w')} as click_mean, (row_number() over w)::int as click_count from scaled window w as (partition by stay_id order by hour rows unbounded preceding)",
     "standard_scale": f"with {FIT} select stay_id, hour, {_num('(coalesce(cf, cmed) - cm) / csd')} as click from filled, fit",
     "last_rows": f"with {DYN} select stay_id, {_num('arg_max(click, hour) filter (click is not null)')} as click, {_num('arg_max(view, hour) filter (view is not null)')} as view from dyn group by 1",
-    "sequence_pack": f"with {DYN} select stay_id, count(*)::int as length, 64 as padded, {_num('sum(coalesce(click, 0))')} as total from dyn group by 1",
+    "sequence_pack": f"with {DYN} select stay_id, count(*)::int as length, 169 as padded, {_num('sum(coalesce(click, 0))')} as total from dyn group by 1",
     "class_weights": f"with {SC} select y as label, count(*) as n, {_num('(select count(*) from sc) / ((select count(distinct y) from sc) * count(*)::double)')} as weight from sc group by 1",
     "patient_splits": _split_sql("select rep, fold, split, count(*) as n_stays from sp group by 1, 2, 3"),
     "patient_split_check": _split_sql("select rep, fold, (select count(*) from os) - count(distinct stay_id) as n_missing, 0::bigint as n_foreign, (select count(*) from (select rep, fold, patient_id from sp group by all having count(distinct split) > 1)) as n_leaking from sp group by 1, 2"),

@@ -47,7 +47,7 @@ def base_cohort(s: SparkSession, d: str) -> DataFrame:
 @query
 def longest_gap(s: SparkSession, d: str) -> DataFrame:
     measured = events(s, d).join(stays(s, d).select("stay_id", "admit_time"), "stay_id").select("stay_id", tg.hour_index("charttime", "admit_time").alias("hour"))
-    return tg.longest_gap(measured, stays(s, d), tg.los_horizon())
+    return tg.longest_gap(measured, stays(s, d), tg.los_cap())
 
 
 @query
@@ -107,7 +107,7 @@ def onset_window_label(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def onset_exclusions(s: SparkSession, d: str) -> DataFrame:
-    kept = labels.hospitals_with_cases(stays(s, d), _onsets(s, d).where("stay_id % 2 = 0"))
+    kept = labels.hospitals_with_cases(stays(s, d), _onsets(s, d))
     kept = labels.exclude_early(kept, _onsets(s, d), 48.0)
     return labels.exclude_high_baseline(kept, events(s, d).where("concept = 'error'"), 40.0).select("stay_id")
 
@@ -211,7 +211,7 @@ def note_serialise(s: SparkSession, d: str) -> DataFrame:
 @query
 def note_visibility(s: SparkSession, d: str) -> DataFrame:
     notes = events(s, d).where("concept = 'error'").join(stays(s, d).select("stay_id", "admit_time"), "stay_id").select("stay_id", align.hours_since("charttime", "admit_time").alias("delta_h_signed"))
-    return align.visible(tg.hour_grid(stays(s, d), F.least(tg.los_horizon(), F.lit(48))), notes).groupBy("stay_id", "hour").agg(F.count("*").alias("n"))
+    return align.visible(tg.hour_grid(stays(s, d), tg.los_horizon()), notes).groupBy("stay_id", "hour").agg(F.count("*").alias("n"))
 
 
 def _train(s: SparkSession, d: str) -> DataFrame:
@@ -246,11 +246,11 @@ def recency_pool(s: SparkSession, d: str) -> DataFrame:
 @query
 def running_recency_pool(s: SparkSession, d: str) -> DataFrame:
     out = blocks.running_pool(table(s, d, "embeddings").withColumn("k", F.col("vec_id") % 50), "k", "vec_id", 50.0)
-    return out.select("k", F.col("at").cast("long").alias("upto"), F.posexplode(F.slice("pooled", 1, 3)).alias("pos", "value")).select("k", "upto", "pos", r6("value").alias("value"))
+    return out.select("k", F.col("at").cast("long").alias("upto"), F.posexplode("pooled").alias("pos", "value")).select("k", "upto", "pos", r6("value").alias("value"))
 
 
 def _dyn(s: SparkSession, d: str) -> DataFrame:
-    return tg.build_dyn(stays(s, d), events(s, d), ["click", "view"], F.lit(47))
+    return tg.build_dyn(stays(s, d), events(s, d), ["click", "view"], tg.los_horizon())
 
 
 def _dyn_train(s: SparkSession, d: str) -> DataFrame:
@@ -288,7 +288,7 @@ def last_rows(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def sequence_pack(s: SparkSession, d: str) -> DataFrame:
-    out = prep.pack_sequences(_dyn(s, d), ["click", "view"], 64)
+    out = prep.pack_sequences(_dyn(s, d), ["click", "view"], 169)
     return out.select("stay_id", F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("length"), F.size("vectors").alias("padded"), r6(F.aggregate("vectors", F.lit(0.0), lambda a, v: a + v[0])).alias("total"))
 
 
@@ -366,6 +366,61 @@ def baseline_logistic(s: SparkSession, d: str) -> DataFrame:
     return models.predict(fitted, rows.where("doc_id % 5 = 0")).select("doc_id", "y", "score")
 
 
+@query
+def attrition_report(s: SparkSession, d: str) -> DataFrame:
+    return cohort.attrition_report(cohort.gated(day_stays(s, d), day_events(s, d)))
+
+
+@query
+def unit_convert(s: SparkSession, d: str) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), clean.convert_unit(F.col("value"), a, b).alias("v")) for a, b in clean.CONVERSIONS])
+    return events(s, d).select(F.explode(each).alias("x")).select("x.*").groupBy("source", "target").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+
+
+def _meds(s: SparkSession, d: str) -> DataFrame:
+    """Purchases as norepinephrine with a rate, signups as dobutamine without one."""
+    dose = F.floor(tg.micros("starttime") / F.lit(1_000_000)) % 100 / 400.0
+    bought = F.col("drug") == "purchase"
+    return intervals(s, d).select("stay_id", "starttime", "endtime", F.when(bought, "Norepinephrine").otherwise("dobutamine").alias("drug"), F.lit("vasopressor").alias("drug_class"), dose.alias("dose"), F.when(bought, "mcg/kg/min").otherwise("mg").alias("dose_unit"))
+
+
+def _renamed(s: SparkSession, d: str) -> DataFrame:
+    of = {"click": "po2", "error": "fio2", "view": "urine"}
+    return events(s, d).withColumn("concept", F.coalesce(*[F.when(F.col("concept") == a, b) for a, b in of.items()], F.col("concept")))
+
+
+@query
+def urine_by_hour(s: SparkSession, d: str) -> DataFrame:
+    return sofa.urine_by_hour(_renamed(s, d), stays(s, d)).select("stay_id", "hour", r6("urine").alias("urine"))
+
+
+@query
+def pressors_by_hour(s: SparkSession, d: str) -> DataFrame:
+    return sofa.pressors_by_hour(_meds(s, d), stays(s, d), tg.los_horizon()).select("stay_id", "hour", r6("norepinephrine").alias("norepinephrine"), "strong", "dobutamine")
+
+
+@query
+def sofa_inputs(s: SparkSession, d: str) -> DataFrame:
+    vents = intervals(s, d).select("stay_id", "starttime", "endtime", F.lit("mech_vent").alias("intervention"))
+    out = sofa.sofa_inputs(stays(s, d), _renamed(s, d), _meds(s, d), vents, tg.los_horizon())
+    return out.select("stay_id", "hour", r6("pafi").alias("pafi"), r6("urine24").alias("urine24"), r6("norepinephrine").alias("norepinephrine"), "strong", "dobutamine")
+
+
+@query
+def antibiotic_span(s: SparkSession, d: str) -> DataFrame:
+    meds = intervals(s, d).withColumn("drug_class", F.lit("antibiotic"))
+    return labels.antibiotic_span(meds).select("stay_id", us("first"), r6("span_h").alias("span_h"), "long")
+
+
+@query
+def task_build(s: SparkSession, d: str) -> DataFrame:
+    st = stays(s, d).select("*", F.lit(60.0).alias("age"), F.lit("Other").alias("sex"), F.lit(None).cast("float").alias("height"))
+    outc = labels.kidney_function(st, events(s, d).where("concept = 'click'"))
+    sta, dyn, outc = labels.build_task(st, outc, events(s, d), CONCEPTS, tg.los_horizon())
+    per = dyn.groupBy("stay_id").agg(F.count("*").alias("n_hours"), r6(F.sum("click")).alias("click"))
+    return sta.join(per, "stay_id").join(outc.select("stay_id"), "stay_id", "left_semi").select("stay_id", "n_hours", "click", F.col("sex_male").cast("double").alias("sex_male"), F.col("age").isNotNull().alias("ok"))
+
+
 @query
 def attach_rows_to_stays(s: SparkSession, d: str) -> DataFrame:
     spans = stays(s, d).select("patient_id", "stay_id", F.col("admit_time").alias("intime"), F.timestamp_micros(tg.micros("admit_time") + 100 * tg.HOUR).alias("outtime"))

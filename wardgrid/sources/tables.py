@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -92,10 +94,19 @@ def validate(rows: DataFrame, table: str) -> None:
 
 
 def write_canonical(rows: DataFrame, table: str, path: str) -> None:
-    """Cast, validate, write; the committer publishes all or nothing."""
+    """Cast, validate, write aside, then put in place by renames: the old table is whole until the new one is."""
     cast = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(table)])
     validate(cast, table)
-    cast.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    spark, mark = rows.sparkSession, uuid.uuid4().hex
+    cast.write.option("compression", "zstd").parquet(f"{path}.new-{mark}")
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    store = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(of(path)):
+        store.rename(of(path), of(f"{path}.old-{mark}"))
+    if not store.rename(of(f"{path}.new-{mark}"), of(path)):
+        store.rename(of(f"{path}.old-{mark}"), of(path))
+        raise OSError(f"{path} could not be replaced")
+    store.delete(of(f"{path}.old-{mark}"), True)
 
 
 def append_new(rows: DataFrame, path: str, key: str, per_file: int = 20_000) -> None:
