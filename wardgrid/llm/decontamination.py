@@ -29,7 +29,7 @@ WINDOW = 8
 MIN_WORDS = 5
 SHARE = 0.5
 VERBATIM_WORDS = 20
-BROADCAST_KEYS = 2_000_000  # hashes of benchmark windows sent to all executors at once; more of them go in turns
+BROADCAST_KEYS = 2_000_000  # hashes sent to all executors at once; of benchmark windows more go in turns, of texts by a shuffle
 #: Unit words that a re-parameterised question may exchange.
 UNITS = ["mm", "cm", "km", "kg", "mg", "ml", "mph", "kph", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "meter", "meters", "metre", "metres", "gram", "grams", "kilogram", "kilograms", "litre", "litres", "liter", "liters", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent"]
 #: Number words.
@@ -142,10 +142,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # most texts with a hit hold too few windows of any item, whatever their slots: only the others are read again
     enough = (F.col("n") >= F.col("need")) | (F.col("n") > VERBATIM_WORDS - WINDOW)
     able = hits.join(bench.select("key", "item", "h", "need"), "key").groupBy("doc_id", "th", "item", "need").agg(F.count_distinct("h").alias("n")).where(enough)
-    hits = staged(same_rows(hits, able.select("doc_id", "th").distinct()), "hits")
+    able = staged(able.select("doc_id", "th").distinct(), "able")
+    hits = staged(same_rows(hits, able), "hits")
     # the slot values of those windows alone, from the texts that hold them
     asked = hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "width")).alias("places"))
-    texts = same_rows(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), asked)
+    again = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    known = able.select("th").distinct()
+    if known.count() <= BROADCAST_KEYS:  # else the join below shuffles all texts, once
+        again = again.join(F.broadcast(known), "th", "left_semi")
+    texts = same_rows(again, asked)
     told = texts.select("doc_id", "th", F.explode(slot_values(words("text"), F.col("places"))).alias("v")).select("doc_id", "th", "v.*").distinct()
     placed = same_rows(hits, told, "at", "width")
     met = placed.withColumnRenamed("values", "found").join(bench.drop("width"), "key")
