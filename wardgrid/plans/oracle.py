@@ -133,4 +133,7 @@ ORACLE_SQL: dict[str, str] = {
     "infusion_intervals": f"with {IV} select stay_id, drug, s as starttime_us, least(coalesce(lead(s) over (partition by stay_id, drug order by s), s + 3600000000), s + 172800000000) as endtime_us from iv",
     "code_groups": "with g as (select distinct upper(p_brand) as c from part where p_size > 40) select p_partkey, p_brand as code, coalesce(g.c, substr(upper(p_brand), 1, 3)) as \"group\", case when g.c is null then 'root' else 'map' end as group_source from part left join g on g.c = upper(p_brand)",
     "code_coverage": f"with {CODES} select code, count(*) as n_rows, count(distinct stay_id) as n_stays, {_num('count(distinct stay_id) / (select count(*) from orders)::double')} as share from codes group by 1",
+    "pressor_equivalents": """with m as (select l_orderkey, case l_suppkey % 5 when 0 then 'norepinephrine' when 1 then 'dopamine' when 2 then 'vasopressin' when 3 then 'phenylephrine' else 'heparin' end as drug, case l_linenumber % 4 when 0 then 'ug/kg/min' when 1 then 'mcg/min' when 2 then 'u/h' else 'mg' end as unit, l_quantity / 10 as rate, case when l_orderkey % 7 <> 0 then 50.0 + l_orderkey % 50 end as weight from lineitem),
+    r as (select l_orderkey, case when unit = 'ug/kg/min' then rate when unit = 'mcg/min' then rate / weight when unit = 'u/h' and drug = 'vasopressin' then rate / 60 * 2.5 end * case drug when 'dopamine' then 0.01 when 'phenylephrine' then 0.1 when 'heparin' then null else 1.0 end as nee from m)
+    select cast(l_orderkey as varchar) as stay_id, count(*) as n, round(cast(max(cast(nee as float)) as double), 4) as most from r where nee > 0 and nee <= 5 group by 1""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardgrid.functions import clean
-from wardgrid.operators import align, blocks, checks, cohort, derive, labels, metrics, models, prep, sofa, splits
+from wardgrid.operators import align, blocks, checks, cohort, derive, labels, metrics, models, prep, sofa, splits, streams
 from wardgrid.operators import timegrid as tg
 from wardgrid.plans.adapters import CONCEPTS, codes, day_events, day_stays, events, intervals, order_stays, r6, scored, stays, table
 
@@ -482,3 +482,15 @@ def code_groups(s: SparkSession, d: str) -> DataFrame:
 def code_coverage(s: SparkSession, d: str) -> DataFrame:
     all_stays = table(s, d, "orders").select(F.col("o_orderkey").alias("stay_id"))
     return derive.coverage(codes(s, d), all_stays, "code").select("code", "n_rows", "n_stays", r6("share").alias("share"))
+
+
+@query
+def pressor_equivalents(s: SparkSession, d: str) -> DataFrame:
+    """Line items as charted infusions of the orders."""
+    pick = lambda c, xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col(c) % len(xs)).cast("int"))
+    drug = pick("l_suppkey", ["Norepinephrin", "Dopamine ", "Vasopressin", "Phenylephrin", "Heparin"])
+    unit = pick("l_linenumber", ["ug/kg/min", "mcg/min", "U/h", "mg"])
+    meds = table(s, d, "lineitem").select(F.lit(None).cast("string").alias("patient_id"), F.col("l_orderkey").alias("stay_id"), F.col("l_shipdate").alias("starttime"), F.lit(None).cast("timestamp").alias("endtime"), drug.alias("drug"), unit.alias("dose_unit"), (F.col("l_quantity") / 10).alias("dose"))
+    weights = table(s, d, "orders").select(F.col("o_orderkey").alias("stay_id"), F.when(F.col("o_orderkey") % 7 != 0, 50.0 + F.col("o_orderkey") % 50).alias("weight"))
+    found = streams.norepinephrine_equivalents(meds, weights, "miiv")
+    return found.groupBy(F.col("source_admission_id").alias("stay_id")).agg(F.count("*").alias("n"), F.round(F.max("dose").cast("double"), 4).alias("most"))
