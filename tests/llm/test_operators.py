@@ -256,6 +256,16 @@ def test_decontamination_by_several_turns_of_keys(spark, monkeypatch):
     assert sorted(decontamination.leaks(docs, bench).collect()) == want
 
 
+def test_decontamination_reads_again_by_a_shuffle_beyond_what_is_broadcast(spark, monkeypatch):
+    item = "a shop sells seven apples and nine pears"
+    docs = spark.createDataFrame([(1, f"Before that, {item} every day."), (2, f"{item} at noon"), (None, f"again {item}"), (4, "nothing of the kind is sold here at all today"), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    want = {(1, 7), (2, 7), (None, 7)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()} == want
+    monkeypatch.setattr(decontamination, "BROADCAST_KEYS", 1)
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()} == want
+
+
 def test_whole_text_hashes_equal_those_of_words(spark):
     texts = ["Three 4 5 km. Ann Lee has A4 paper, Bob's 3.5kg; x\n\nYes! $5 and 7%", "", "... 5", "I", "a B C d E 1 2 f Twenty one", None]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
