@@ -136,7 +136,7 @@ def canonical_units(events: DataFrame, concepts: DataFrame, clip: bool = False,
     concepts is (concept, canonical_unit, low, high). Sentinels become null before ranges apply; nulls are dropped.
     """
     v = F.col("value") if sentinel is None else F.when(F.abs("value") < sentinel, F.col("value"))
-    met = events.withColumn("value", v).join(F.broadcast(concepts), "concept", "left").withColumn("unit", F.coalesce("canonical_unit", "unit"))
+    met = events.withColumn("value", v).join(concepts, "concept", "left").withColumn("unit", F.coalesce("canonical_unit", "unit"))
     if clip:
         met = met.withColumn("value", F.when(F.col("value").isNotNull(), F.greatest(F.least("value", F.coalesce("high", "value")), F.coalesce("low", "value"))))
     else:
