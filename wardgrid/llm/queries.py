@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from wardgrid.llm.chat import format_chats
 from wardgrid.llm.common import shared_dir, table
 from wardgrid.llm.decontamination import JOINT, MIN_WORDS, NUMBERS, SHARE, SIGNS, UNITS, VERBATIM_WORDS, WINDOW, leaks
+from wardgrid.llm.hard_negatives import mine
+from wardgrid.llm.importance import resample
 from wardgrid.llm.licenses import RULES, SENTENCES, pattern, scan_licenses
 from wardgrid.llm.lm_scoring import score_texts
 from wardgrid.llm.near_dedup import near_duplicates
 from wardgrid.llm.neighbours import search
 from wardgrid.llm.packing import pack
+from wardgrid.llm.sentence_pieces import round_trip
 from wardgrid.llm.sharding import shard_documents
 from wardgrid.llm.token_counts import count_tokens
 from wardgrid.llm.toxicity import score_toxicity
@@ -60,7 +63,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_token_counts, op4_lm_scoring, op5_nearest_neighbours, op6_sharding, op7_best_fit_packing, op8_chat_formatting, op9_decontamination, op10_toxicity)}
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_token_counts, op4_lm_scoring, op5_nearest_neighbours, op6_sharding, op7_best_fit_packing, op8_chat_formatting, op9_decontamination, op10_toxicity, op11_sentence_pieces, op12_hard_negatives, op13_importance_resampling)}
 
 
 def _license_sql() -> str:
@@ -127,4 +142,33 @@ def _leak_sql() -> str:
     """
 
 
-ORACLE_SQL: dict[str, str] = {"op9_decontamination": _leak_sql(), "op1_license_scan": _license_sql(), "op8_chat_formatting": _CHAT_SQL}
+_HARD_SQL = """
+with rows as (select distinct vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+    from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+keyed as (select *, row_number() over (order by vec_id, label, v) as nr from rows),
+scored as (select a.nr as anchor, a.vec_id as anchor_id, r.nr, r.vec_id, r.label = a.label as same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i]))::bigint as score
+    from keyed a join keyed r on a.nr <> r.nr and len(a.v) = len(r.v) where a.vec_id % 50 = 0),
+positives as (select anchor, anchor_id, nr as positive, vec_id as positive_id, score as positive_score from scored where same qualify row_number() over (partition by anchor order by score desc, vec_id, nr) <= 5),
+hard as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor, p.positive order by s.score desc, s.vec_id, s.nr)::int as rank
+    from positives p join scored s on s.anchor = p.anchor where not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from hard where rank <= 3
+"""
+
+_IMPORTANCE_SQL = r"""
+with step as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) as crc_of),
+told as (select row_number() over () as nr, 's' as side, doc_id, text from documents union all select row_number() over (), 't', null, text from benchmark),
+words as (select nr, side, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from told),
+counts as (select side, nr, word, count(*) as n from words group by all),
+spelt as (select word, list_transform(range(0, (length(hex(encode(word))) // 2)::bigint), lambda i: ('0x' || hex(encode(word))[2 * i + 1 : 2 * i + 2])::bigint) as bytes from (select distinct word from counts)),
+buckets as (select word, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1]))::bigint, 4294967295) % 10000 as bucket from spelt, step),
+per as (select bucket, coalesce(sum(n) filter (side = 's'), 0) as s, coalesce(sum(n) filter (side = 't'), 0) as t from counts join buckets using (word) group by 1),
+sums as (select coalesce(sum(n) filter (side = 's'), 0) as all_s, coalesce(sum(n) filter (side = 't'), 0) as all_t from counts),
+gains as (select bucket, floor(1000 * ln((t::double + 1.0) * (all_s::double + 10000.0) / ((s::double + 1.0) * (all_t::double + 10000.0))))::bigint as gain from per, sums),
+weights as (select nr, sum(n)::bigint as n_features, sum(n * gain)::bigint as gain from counts join buckets using (word) join gains using (bucket) where side = 's' group by 1),
+scored as (select nr, doc_id, coalesce(n_features, 0) as n_features, coalesce((gain - ((gain % n_features) + n_features) % n_features) // n_features, 0)::bigint as weight, ('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[1:8])::bigint as h from told left join weights using (nr) where side = 's'),
+drawn as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from scored),
+placed as (select nr, row_number() over (order by score desc, doc_id, n_features, weight) as rank, count(*) over () as n from drawn where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= (10 * n) // 100 then rank end as rank from drawn left join placed using (nr)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_decontamination": _leak_sql(), "op1_license_scan": _license_sql(), "op8_chat_formatting": _CHAT_SQL, "op12_hard_negatives": _HARD_SQL, "op13_importance_resampling": _IMPORTANCE_SQL}
