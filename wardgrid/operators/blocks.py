@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardgrid.operators.derive import star_join
+from wardgrid.sources.staging import kept
+
 
 def vocabulary(codes: DataFrame, train: DataFrame, min_prevalence: float = 0.0, top_k: int | None = None) -> DataFrame:
     """(code, n_stays, n_train): codes by the train stays that have them, above a share of all train stays."""
@@ -47,28 +51,84 @@ def mean_pool(vectors: DataFrame, key: str, vector: str = "embedding", at: str |
     return cells.groupBy(key, "pos").agg((F.sum(F.col("_w") * F.col("x").cast("double")) / F.sum("_w")).alias("value"))
 
 
+PART_ROWS = 20_000  # vectors of one task of a running pool, about
+LANES = 64  # dimensions carried together between parts
+
+
+def _fades(times: np.ndarray, half_life: float) -> np.ndarray:
+    """What is left of a weight from one time to the next; rows of one time count together."""
+    step = np.diff(times, prepend=times[:1])
+    return np.where(step == 0, 1.0, 0.0) if half_life == 0 else np.exp2(-step / half_life)
+
+
+def _decayed_sums(fade: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(running sums that fade before each row is added, product of the fades so far): a scan by doubling."""
+    fade, total, step = fade.copy(), total.copy(), 1
+    while step < len(fade):
+        total[step:] += fade[step:, None] * total[:-step]
+        fade[step:] *= fade[:-step].copy()
+        step *= 2
+    return total, fade
+
+
 def running_pool(vectors: DataFrame, key: str, at: str, half_life: float, vector: str = "embedding") -> DataFrame:
-    """(key, at, pooled): recency-weighted mean of all vectors up to each time, anchored at that time.
+    """(key, at, pooled): mean of all vectors of a key up to each time, weighted 2^((time - now) / half_life).
 
-    A stable scan (decay, then add) that pandas batches cannot cut, so one group is one task: groups are stays, whose
-    length is bounded by what happens in one stay. Rows of one time count together.
+    A half-life of infinity is the plain running mean, of 0 the mean of the latest time alone. Rows of one time count together;
+    those without a key, a time or a vector are left out. Rows are dealt to parts of about PART_ROWS by ranges of (key, time), so
+    a key may be spread over many tasks: each part folds its first and last key to a sum and a weight, these are carried along
+    the key's parts, LANES dimensions at a time, and each part then scans its rows with what came before.
     """
     kind = vectors.schema[key].dataType.simpleString()
-
-    def scan(group: pa.Table) -> pa.Table:
-        group = group.sort_by("_at")
-        times = group.column("_at").to_numpy()
-        x = np.array(group.column("_x").to_pylist(), float)
-        total, weight, out = np.zeros(x.shape[1]), 0.0, []
-        for i in range(len(times)):
-            fade = 2.0 ** ((times[i - 1] - times[i]) / half_life) if i else 0.0
-            total, weight = total * fade + x[i], weight * fade + 1.0
-            out.append(total / weight)
-        last = np.append(times[1:] != times[:-1], True)
-        return pa.table({key: group.column(key).filter(pa.array(last)), "at": times[last], "pooled": [o.tolist() for o, k in zip(out, last, strict=True) if k]})
-
-    ready = vectors.select(key, F.col(at).cast("double").alias("_at"), F.col(vector).alias("_x"))
-    return ready.groupBy(key).applyInArrow(scan, f"{key} {kind}, at double, pooled array<double>")
+    ready = vectors.where(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(at).cast("double").alias("_at"), F.col(vector).cast("array<double>").alias("_x"))
+    parts = max(1, -(-ready.count() // PART_ROWS))
+    dealt = kept(ready.repartitionByRange(parts, key, "_at").withColumn("_part", F.spark_partition_id()), "ranges")
+
+    def opened(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, times, where a key begins, vectors with a weight of 1) in order."""
+        rows = rows.sort_by([(key, "ascending"), ("_at", "ascending")])
+        keys, times = rows.column(key).combine_chunks(), rows.column("_at").to_numpy()
+        x = rows.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+        first = np.append(True, pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False))
+        return keys, times, first, np.hstack([x, np.ones((len(x), 1))])
+
+    def fold(rows: pa.Table) -> pa.Table:
+        keys, times, first, x = opened(rows)
+        fade = _fades(times, half_life)
+        fade[first] = 0.0
+        total, _ = _decayed_sums(fade, x)
+        ends = np.flatnonzero(np.append(first[1:], True))[[0, -1]]  # the first and the last key of the part
+        ends = np.unique(ends)
+        part = rows.column("_part")[0].as_py()
+        lanes = [(k, part, lane, times[i], total[i, c : c + LANES].tolist()) for i in ends.tolist() for k in [keys[i]] for lane, c in enumerate(range(0, total.shape[1], LANES))]
+        k, p, lane, t, s = zip(*lanes, strict=True)
+        return pa.table({key: pa.array([v.as_py() for v in k], keys.type), "_part": pa.array(p, pa.int32()), "lane": pa.array(lane, pa.int32()), "_at": pa.array(t, pa.float64()), "s": pa.array(s, pa.list_(pa.float64()))})
+
+    def carry(rows: pa.Table) -> pa.Table:
+        """What each part of a key receives: the sums of the parts before it, as they are at the last time there."""
+        rows = rows.sort_by("_part")
+        times, s = rows.column("_at").to_numpy(), rows.column("s").combine_chunks()
+        total, _ = _decayed_sums(_fades(times, half_life), s.flatten().to_numpy().reshape(len(s), -1))
+        return pa.table({"_part": rows.column("_part")[1:], "lane": rows.column("lane")[1:], "_at": pa.array(times[:-1]), "s": pa.array(total[:-1].tolist(), pa.list_(pa.float64()))})
+
+    def scan(rows: pa.Table, before: pa.Table) -> pa.Table:
+        keys, times, first, x = opened(rows)
+        fade = _fades(times, half_life)
+        fade[first] = 0.0
+        fade[0] = 1.0  # what comes before is of the first key
+        total, left = _decayed_sums(fade, x)
+        if before.num_rows:
+            before = before.sort_by("lane")
+            came = np.array(before.column("s").combine_chunks().flatten().to_numpy())
+            total += left[:, None] * _fades(np.array([before.column("_at")[0].as_py(), times[0]]), half_life)[1] * came
+        last = np.append(first[1:] | (times[1:] != times[:-1]), True)
+        mean = total[last, :-1] / total[last, -1:]
+        ends = pa.array(np.arange(len(mean) + 1, dtype=np.int32) * mean.shape[1])
+        return pa.table({key: keys.filter(pa.array(last)), "at": times[last], "pooled": pa.ListArray.from_arrays(ends, pa.array(mean.ravel()))})
+
+    folded = dealt.groupBy("_part").applyInArrow(fold, f"{key} {kind}, _part int, lane int, _at double, s array<double>")
+    carried = folded.groupBy(key, "lane").applyInArrow(carry, "_part int, lane int, _at double, s array<double>")
+    return dealt.groupBy("_part").cogroup(carried.groupBy("_part")).applyInArrow(scan, f"{key} {kind}, at double, pooled array<double>")
 
 
 def last_dose(aligned: DataFrame, cutoff: float) -> DataFrame:
@@ -84,10 +144,12 @@ def standardised(rows: DataFrame, train: DataFrame, value: str, by: str) -> Data
 
 
 def merge_block(features: DataFrame, block: DataFrame, on: list[str], name: str) -> DataFrame:
-    """features with a block's columns, 0 where it has no row, and whether it has one. block has one row per key."""
+    """features with a block's columns, 0 where it has no row, and <name>_present, 1 where it has one unless the block says otherwise.
+    A key that the block has twice is an error."""
+    flag = f"{name}_present"
     values = [c for c in block.columns if c not in on]
-    met = features.join(block.withColumn(f"{name}_present", F.lit(1)), on, "left")
-    return met.fillna(0, subset=[*values, f"{name}_present"])
+    right = block if flag in values else block.withColumn(flag, F.lit(1))
+    return star_join(features, (right, on)).fillna(0, subset=[*values, flag])
 
 
 def drop_inadmissible(rows: DataFrame, task: str, leaks: DataFrame) -> DataFrame:
@@ -95,21 +157,38 @@ def drop_inadmissible(rows: DataFrame, task: str, leaks: DataFrame) -> DataFrame
     return rows.join(F.broadcast(leaks.where(F.col("task") == task).select(F.col("concept").alias("treatment")).distinct()), "treatment", "left_anti")
 
 
-def encode_texts(notes: DataFrame, dim: int = 8) -> DataFrame:
-    """(note_id, embedding, n_tokens) by a deterministic hash of words, length 1; another encoder has the same shape."""
+def hash_encoder(dim: int = 8) -> Callable[[list[str]], tuple[list[np.ndarray], list[int]]]:
+    """An encoder of texts for tests: sums of vectors that are hashes of words, of length 1. A worker hashes each word once."""
     import hashlib
 
+    known: dict[str, np.ndarray] = {}
+
+    def of(word: str) -> np.ndarray:
+        if word not in known:
+            if len(known) >= 200_000:
+                known.clear()
+            known[word] = np.frombuffer(hashlib.sha256(word.encode()).digest()[:dim], np.uint8) / 127.5 - 1
+        return known[word]
+
+    def encode(texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        split = [text.split() for text in texts]
+        sums = [np.sum([of(w) for w in words], axis=0) if words else np.zeros(dim) for words in split]
+        return [v / (np.linalg.norm(v) or 1) for v in sums], [len(words) for words in split]
+
+    return encode
+
+
+def encode_texts(notes: DataFrame, dim: int = 8, encoder: Callable[[list[str]], tuple[list[np.ndarray], list[int]]] | None = None, batch: int = 256) -> DataFrame:
+    """(note_id, embedding, n_tokens). encoder takes at most `batch` texts, null ones as empty, and gives a vector and a number of tokens
+    for each; without one, hash_encoder(dim)."""
     kind = notes.schema["note_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder or hash_encoder(dim)
         for b in batches:
-            vectors, n = [], []
-            for text in b.column(1).to_pylist():
-                v, words = np.zeros(dim), (text or "").split()
-                for w in words:
-                    v += np.frombuffer(hashlib.sha256(w.encode()).digest()[:dim], np.uint8) / 127.5 - 1
-                vectors.append((v / (np.linalg.norm(v) or 1)).astype(np.float32))
-                n.append(len(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tolist() for v in vectors], pa.list_(pa.float32())), pa.array(n, pa.int64())], ["note_id", "embedding", "n_tokens"])
+            for start in range(0, len(b), batch):
+                part = b.slice(start, batch)
+                vectors, n = encode([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.asarray(v, np.float32).tolist() for v in vectors], pa.list_(pa.float32())), pa.array(n, pa.int64())], ["note_id", "embedding", "n_tokens"])
 
     return notes.select("note_id", "text").mapInArrow(run, f"note_id {kind}, embedding array<float>, n_tokens long")

@@ -28,6 +28,17 @@ def one_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return rows.groupBy(*keys).agg(first).select(*keys, "_r.*").select(*rows.columns)
 
 
+def star_join(fact: DataFrame, *dimensions: tuple[DataFrame, list[str]]) -> DataFrame:
+    """fact with the columns of each dimension (table, keys), by left joins. A key that occurs twice in a dimension is an error,
+    raised where its rows are counted; whether a dimension is broadcast is left to Spark, which knows its size."""
+    for table, keys in dimensions:
+        rest = [c for c in table.columns if c not in keys]
+        once = table.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
+        checked = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"more than one row for {keys}: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))).cast("long")).otherwise(F.col("_n"))
+        fact = fact.join(once.withColumn("_n", checked).where("_n is not null").drop("_n"), keys, "left")
+    return fact
+
+
 def large_units(stays: DataFrame, least: int = 100) -> DataFrame:
     """stays of care units with at least that many stays."""
     return stays.join(stays.groupBy("careunit").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("careunit"), "careunit", "left_semi")
@@ -66,6 +77,13 @@ def time_bounds(*sources: DataFrame) -> DataFrame:
     return every.groupBy("stay_id").agg(F.min("charttime").alias("first"), F.max("charttime").alias("last"))
 
 
+def last_wards(transfers: DataFrame, keys: list[str], ward: str = "careunit") -> DataFrame:
+    """(keys, last_ward): where each admission was before it ended: the row whose next event, in time, is the discharge."""
+    following = F.lead("eventtype").over(Window.partitionBy(*keys).orderBy(micros("intime"), F.when(F.col("eventtype") == "discharge", 1).otherwise(0)))
+    ends = transfers.withColumn("_next", following).where("_next = 'discharge'")
+    return ends.groupBy(*keys).agg(F.max_by(ward, micros("intime")).alias("last_ward"))
+
+
 def infusion_ends(meds: DataFrame, cap_h: int = 168) -> DataFrame:
     """An infusion lasts until the next start of the same drug, an hour if there is none, and at most cap_h."""
     following = F.lead(micros("starttime")).over(Window.partitionBy("stay_id", "drug").orderBy(micros("starttime")))
