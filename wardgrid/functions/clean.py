@@ -121,8 +121,8 @@ def gcs_total(eye: Column, motor: Column, verbal: Column) -> Column:
 
 
 def clean_note(c: Column) -> Column:
-    """Without de-identification brackets and underscore runs, white space collapsed."""
-    t = F.regexp_replace(F.regexp_replace(c, r"\[\*\*[^\]]*\*\*\]", " "), r"_{2,}", " ")
+    """Without de-identification brackets, whole or torn, and underscore runs, white space collapsed."""
+    t = F.regexp_replace(F.regexp_replace(c, r"\[\*\*[^\]]*\*\*\]", " "), r"\[\*\*|\*\*\]|_{2,}", " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 

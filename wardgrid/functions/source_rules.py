@@ -18,6 +18,24 @@ NOTE_TYPES = [("discharge", "discharge"), ("radiology", "radiology"), ("progress
 #: Ranks of diagnoses by their stated priority.
 PRIORITIES = {"Primary": 1, "Major": 2, "Other": 3}
 NO_PRIORITY = 99
+#: Parts of drug names and their classes, first match counts.
+DRUG_HINTS = [
+    ("norepinephrine", "vasopressor"), ("epinephrine", "vasopressor"), ("vasopressin", "vasopressor"), ("dopamine", "vasopressor"),
+    ("phenylephrine", "vasopressor"), ("dobutamine", "vasopressor"), ("propofol", "sedative"), ("midazolam", "sedative"), ("fentanyl", "sedative"),
+    ("morphine", "analgesic"), ("hydromorphone", "analgesic"), ("vancomycin", "antibiotic"), ("piperacillin", "antibiotic"), ("ceftriaxone", "antibiotic"),
+    ("meropenem", "antibiotic"), ("imipenem", "antibiotic"), ("cefepime", "antibiotic"), ("ciprofloxacin", "antibiotic"), ("metronidazole", "antibiotic"),
+    ("ampicillin", "antibiotic"), ("amikacin", "antibiotic"), ("azithromycin", "antibiotic"), ("bactrim", "antibiotic"), ("cefazolin", "antibiotic"),
+    ("clindamycin", "antibiotic"), ("levofloxacin", "antibiotic"), ("levaquin", "antibiotic"), ("maxipime", "antibiotic"), ("ofloxacin", "antibiotic"),
+    ("oxacillin", "antibiotic"), ("penicillin", "antibiotic"), ("rifampin", "antibiotic"), ("rocephin", "antibiotic"), ("tazobactam", "antibiotic"),
+    ("tobramycin", "antibiotic"), ("zithromax", "antibiotic"), ("zosyn", "antibiotic"), ("vancocin", "antibiotic"), ("ceftazidime", "antibiotic"),
+    ("nafcillin", "antibiotic"), ("ancef", "antibiotic"), ("heparin", "anticoagulant"), ("enoxaparin", "anticoagulant"), ("warfarin", "anticoagulant"),
+]
+#: What names antibiotics, by source.
+ANTIBIOTIC_NAMES = {
+    "eicu_infusion": r"bactrim|cipro|flagyl|metronidazole|zithromax|zosyn|(((amika|cleo|ofloxa)|(azithro|clinda|tobra|vanco)my)c|(ampi|oxa|peni|pipera)cill|cefazol|levaqu|rifamp)in",
+    "eicu_medication": r"cipro|flagyl|maxipime|metronidazole|tazobactam|zosyn|cef(azolin|epime)|(((azithro|clinda|vanco)my|ofloxa|vanco)c|levaqu|piperacill|roceph)in",
+    "nwicu": r"bactrim|cipro|flagyl|maxipime|metronidazole|tazobactam|zosyn|cef(azolin|epime|triax|tazid)|(((azithro|clinda|vanco|tobra|amika)my|ofloxa|vanco|ancef)c|levaqu|piperacill|roceph|merop|imip|nafcill|ampicill|oxacill|penicill|rifamp|vancoc)in",
+}
 LOOKBACK_MIN = 30 * 24 * 60
 
 
@@ -84,3 +102,12 @@ def exam_text(category: Column, item: Column, described: Column, finding: Column
 def plausible_offset(minutes: Column) -> Column:
     """Not more than 30 days before admission."""
     return minutes >= -LOOKBACK_MIN
+
+
+def end_or_none(start: Column, end: Column) -> Column:
+    """The end, or null where it lies before the start."""
+    return F.when(end >= start, end)
+
+
+def is_antibiotic(name: Column, source: str) -> Column:
+    return F.coalesce(F.lower(name).rlike(ANTIBIOTIC_NAMES[source]), F.lit(False))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardgrid.functions import clean
-from wardgrid.functions.source_rules import exam_text, icd_roots
+from wardgrid.functions.source_rules import exam_text, icd_roots, plausible_offset
+from wardgrid.operators.timegrid import micros
 
 #: Datasets whose rows belong to one stay.
 STAY_BOUND = {"eicu", "omix"}
@@ -29,6 +30,9 @@ PHARMA_IDS = {1000462: "norepinephrine", 1000656: "norepinephrine", 1000657: "no
 BY_WEIGHT, BY_MINUTE, UNITS_AN_HOUR, UNITS_A_MINUTE = ["ug/kg/min", "mcg/kg/min"], ["ug/min", "mcg/min"], ["u/hr", "u/h", "units/hr", "units/h"], ["u/min", "units/min"]
 VASOPRESSIN_UNIT = 2.5  # ug/kg/min of norepinephrine for a unit a minute
 MOST_NEE = 5.0
+#: Settings of end-expiratory pressure that can be, and units of mass in ug.
+PEEP_RANGE = (0.0, 25.0)
+MASSES = {"mg": 1000.0, "µg": 1.0, "ug": 1.0, "mcg": 1.0}
 #: Labels and values of a charting program that say nothing of the patient.
 UI_LEAVES = ["Obtain Options", "View Options", "Copies", "Print", "Save Options", "Performed - Structured"]
 
@@ -117,6 +121,73 @@ def norepinephrine_equivalents(meds: DataFrame, stays: DataFrame, dataset: str)
     return _treatments(weighed, _keys(dataset), F.lit("vasopressor_nee"), "meds", nee, F.lit("ug/kg/min"))
 
 
+def renal_replacement(rows: DataFrame, dataset: str) -> DataFrame:
+    """Raw signs (patient_id, stay_id, starttime, endtime) that renal replacement runs, as treatments."""
+    return _treatments(rows, _keys(dataset), F.lit("rrt"), "rrt_raw")
+
+
+def _points(rows: DataFrame, dataset: str, treatment: str, origin: str, dose: Column, unit: str) -> DataFrame:
+    """Measured doses (patient_id, stay_id, charttime) as treatments that start and end where they are charted."""
+    at = rows.withColumn("starttime", F.col("charttime")).withColumn("endtime", F.col("charttime"))
+    return _treatments(at, _keys(dataset), F.lit(treatment), origin, dose, F.lit(unit))
+
+
+def end_expiratory_pressures(rows: DataFrame, dataset: str) -> DataFrame:
+    """Ventilator settings (patient_id, stay_id, charttime, value) in cmH2O. Values out of PEEP_RANGE stand for something else, so
+    they are left out and not moved to its ends."""
+    value = F.trim(F.col("value").cast("string")).try_cast("double")
+    return _points(rows, dataset, "peep", "peep_raw", clean.within(value, *PEEP_RANGE), "cmH2O")
+
+
+def infusion_sessions(rows: DataFrame, keys: list[str], gap_min: float, at: str = "charttime") -> DataFrame:
+    """rows with infusion, the number within keys of the run they belong to: a run goes on while the next row comes within gap_min.
+
+    For sources that chart what was given but not which infusion it belongs to. Rows without a time have no infusion.
+    """
+    order = Window.partitionBy(*keys).orderBy(micros(at).asc_nulls_first())
+    step = micros(at) - F.lag(micros(at)).over(order)
+    opens = F.when(micros(at).isNull() | (step <= int(gap_min * 60_000_000)), 0).otherwise(1)
+    return rows.withColumn("_open", opens).withColumn("infusion", F.when(F.col(at).isNotNull(), F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_open")
+
+
+def infused_rates(records: DataFrame, keys: list[str]) -> DataFrame:
+    """records (charttime, given) with rate, what was given since the record before it within keys, by the minute.
+
+    The first record of an infusion has no rate, and records of one time share what they gave: the sum over the time since the
+    last earlier one.
+    """
+    once = records.where(F.col("charttime").isNotNull()).groupBy(*keys, "charttime").agg(F.sum("given").alias("given"))
+    minutes = (micros("charttime") - F.lag(micros("charttime")).over(Window.partitionBy(*keys).orderBy(micros("charttime")))) / 60_000_000.0
+    return once.withColumn("rate", F.when(minutes > 0, F.col("given") / minutes)).where("rate is not null")
+
+
+def infused_equivalents(records: DataFrame, weights: DataFrame, dataset: str) -> DataFrame:
+    """Norepinephrine equivalents of what pumps gave: records (patient_id, stay_id, infusion, drug, charttime, given, unit), amounts
+    since the record before it in the same infusion; weights is (stay_id, weight).
+
+    Masses count in ug, units of vasopressin by VASOPRESSIN_UNIT; the rate is that by minute and kilogram. Drugs without a potency,
+    other units, first records, stays without a weight, and rates that are not in (0, MOST_NEE], give no row.
+    """
+    drug, unit = F.col("drug"), F.lower(F.trim("unit"))
+    mass, potency = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for name, factor in MASSES.items():
+        mass = F.when(unit == name, factor).otherwise(mass)
+    for name, factor in POTENCY.items():
+        potency = F.when(drug == name, factor).otherwise(potency)
+    amount = F.col("given").cast("double") * F.when(drug == "vasopressin", VASOPRESSIN_UNIT).otherwise(mass) * potency
+    keys = ["patient_id", "stay_id", "infusion"]
+    rated = infused_rates(records.withColumn("given", amount).where(drug.isin(*POTENCY)), keys)
+    met = rated.join(weights.select("stay_id", F.col("weight").cast("double").alias("_weight")).where("_weight > 0"), "stay_id")
+    rate = F.col("rate") / F.col("_weight")
+    return _points(met, dataset, "vasopressor_nee", "nee_raw", F.when((rate > 0) & (rate <= MOST_NEE), rate), "ug/kg/min")
+
+
+def charted_equivalents(rows: DataFrame, dataset: str) -> DataFrame:
+    """Norepinephrine by weight and hour (patient_id, stay_id, charttime, value in g/kg/h), where it runs, in ug/kg/min."""
+    rate = F.col("value").cast("double") * 1.0e6 / 60.0
+    return _points(rows, dataset, "vasopressor_nee", "nee_raw", F.when((rate > 0) & (rate <= MOST_NEE), rate), "ug/kg/min")
+
+
 def billing_diagnoses(codes: DataFrame, admissions: DataFrame, prefix: str) -> DataFrame:
     """Codes (subject_id, hadm_id, icd_code, icd_version), known at the discharge (hadm_id, dischtime) they are billed at."""
     met = codes.where("icd_code is not null").join(admissions.select("hadm_id", "dischtime"), "hadm_id")
@@ -164,6 +235,53 @@ def serialised_rows(rows: DataFrame, note_type: str) -> DataFrame:
     return kept.groupBy("stay_id", "hour").agg(text.alias("text")).withColumn("note_type", F.lit(note_type))
 
 
+NOTE_COLUMNS = ["patient_id", "bound_stay_id", "source_admission_id", "hadm_id", "note_id", "note_type", "origin", "language", "text", "knowable_time"]
+
+
+def _note_rows(rows: DataFrame, named: dict[str, Column]) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return rows.select(*[named.get(c, none).alias(c) for c in NOTE_COLUMNS]).where("knowable_time is not null")
+
+
+def prose_notes(rows: DataFrame, prefix: str) -> DataFrame:
+    """Discharge summaries (note_type DS) and radiology reports (note_id, subject_id, hadm_id, note_type, storetime, text), known when
+    they are stored. Of equal texts of a patient and type the last stored is kept, then the least id."""
+    kind = F.when(F.col("note_type") == "DS", "discharge").otherwise("radiology")
+    text = F.coalesce(clean.clean_note(F.col("text")), F.lit(""))
+    out = _note_rows(rows, {
+        "patient_id": F.concat(F.lit(f"{prefix}_"), F.col("subject_id").cast("string")), "source_admission_id": F.col("note_id").cast("string"), "hadm_id": F.col("hadm_id").cast("string"),
+        "note_id": F.col("note_id").cast("string"), "note_type": kind, "origin": kind, "language": F.lit("en"), "text": text, "knowable_time": F.try_to_timestamp("storetime"),
+    })
+    rest = [c for c in NOTE_COLUMNS if c not in ("patient_id", "note_type", "text")]
+    last = F.min_by(F.struct(*rest), F.struct(-micros("knowable_time"), "note_id"))
+    return out.groupBy("patient_id", "note_type", "text").agg(last.alias("_r")).select("patient_id", "note_type", "text", "_r.*").select(*NOTE_COLUMNS)
+
+
+def exam_report_notes(rows: DataFrame, stays: DataFrame, anchor: Column, prefix: str = "omix") -> DataFrame:
+    """Reports (hospital_id, day, category, item, described, finding) of stays, known at their day after the anchor, numbered from 0 in
+    the order of their parts among those of one admission and time. Of stays with one hospital_id the least counts."""
+    keys = stays.groupBy(F.col("hospital_id").cast("string").alias("hospital_id")).agg(F.min(F.struct("stay_id", "patient_id")).alias("_s")).select("hospital_id", "_s.*")
+    met = rows.withColumn("hospital_id", F.col("hospital_id").cast("string")).join(keys, "hospital_id").withColumn("text", exam_text(F.col("category"), F.col("item"), F.col("described"), F.col("finding")))
+    place = F.row_number().over(Window.partitionBy("hospital_id", "day").orderBy("category", "item", "text")) - 1
+    kind = F.lit("exam_report")
+    return _note_rows(met.withColumn("_seq", place), {
+        "patient_id": F.col("patient_id"), "bound_stay_id": F.col("stay_id"), "source_admission_id": F.col("stay_id"), "note_type": kind, "origin": kind, "language": F.lit("zh"), "text": F.col("text"),
+        "note_id": F.concat_ws("_", F.lit(prefix), F.lit("exam"), "hospital_id", F.col("day").cast("string"), F.col("_seq").cast("string")), "knowable_time": clean.offset_time(anchor, F.col("day").cast("double"), "day"),
+    })
+
+
+def charted_notes(rows: DataFrame, patients: DataFrame, anchor: Column, note_type: str, source: str) -> DataFrame:
+    """Charted labels and values (stay_id, offset in minutes, label, value) as one note per stay and hour, known at the first of them;
+    rows more than 30 days before admission are left out. patients is (stay_id, patient_id)."""
+    kept = rows.where(F.col("offset").isNotNull() & plausible_offset(F.col("offset"))).withColumn("hour", F.floor(F.col("offset") / 60))
+    first = kept.groupBy("stay_id", "hour").agg(F.min("offset").alias("_first"))
+    met = serialised_rows(kept, note_type).join(first, ["stay_id", "hour"]).join(patients.select("stay_id", "patient_id"), "stay_id", "left")
+    return _note_rows(met, {
+        "patient_id": F.col("patient_id"), "bound_stay_id": F.col("stay_id"), "source_admission_id": F.col("stay_id"), "note_id": F.concat_ws("_", "stay_id", F.col("hour").cast("string"), F.lit(source)),
+        "note_type": F.col("note_type"), "origin": F.col("note_type"), "language": F.lit("en"), "text": F.col("text"), "knowable_time": clean.offset_time(anchor, F.col("_first"), "min"),
+    })
+
+
 def exam_notes(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Exam reports (category, item, described, finding) with their text and a number from 1 within `by`, in the given order."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardgrid.functions import clean
+from wardgrid.operators import streams
 from wardgrid.operators.derive import counter_to_amounts
 from wardgrid.operators.timegrid import micros, nearest
 from wardgrid.sources.tables import SCHEMAS, empty, read_csv, require_unique, schema_of
 
 WEIGHT, HEIGHT = 10000400, 10000450
+#: Variables of renal replacement (1 is yes) and of the setting of end-expiratory pressure.
+DIALYSIS, PRESSURE = 10002508, 2600
 #: Variable ids by concept.
 VARIABLES = {
     "hr": [200], "sbp": [100], "dbp": [120], "map": [110, 610], "resp": [300, 310, 320], "o2sat": [4000, 8280, 20000800], "temp": [400, 410, 7100],
@@ -138,6 +141,23 @@ def abx_duration(pharma: DataFrame) -> DataFrame:
     return pharma.where(F.col("pharmaid").isin(ANTIBIOTICS)).select(_id("stay_id"), start.alias("starttime"), (start + F.expr("interval 1 minute")).alias("endtime"))
 
 
+def raw_treatments(observations: DataFrame, pharma: DataFrame) -> DataFrame:
+    """Renal replacement, end-expiratory pressure and norepinephrine equivalents, as a stream of treatments. A pump's record says what
+    was given since the one before it in its infusion; weight is the first positive one observed."""
+    at = F.col("datetime").cast("timestamp")
+    value = F.col("value").try_cast("double")
+    signs = observations.where((F.col("variableid") == DIALYSIS) & (value == 1.0)).select(_id("patient_id"), _id("stay_id"), at.alias("starttime"), at.alias("endtime"))
+    pressure = observations.where(F.col("variableid") == PRESSURE).select(_id("patient_id"), _id("stay_id"), at.alias("charttime"), "value")
+    weighed = observations.where((F.col("variableid") == WEIGHT) & (value > 0)).groupBy(_id("stay_id")).agg(F.min_by(value, F.struct(micros("datetime"), value)).alias("weight"))
+    name = F.concat(F.lit("pharmaid_"), F.col("pharmaid").cast("string"))
+    pumps = pharma.select(
+        _id("patient_id"), _id("stay_id"), F.col("infusionid").alias("infusion"), streams.pressor_name(name, "hirid").alias("drug"),
+        F.col("givenat").cast("timestamp").alias("charttime"), F.col("givendose").try_cast("double").alias("given"), F.col("doseunit").alias("unit"),
+    )
+    out = streams.renal_replacement(signs, "hirid").unionByName(streams.end_expiratory_pressures(pressure, "hirid"))
+    return out.unionByName(streams.infused_equivalents(pumps, weighed, "hirid"))
+
+
 def read(spark: SparkSession, root: str, concepts: DataFrame) -> dict[str, DataFrame]:
     """All canonical tables of a folder with general_table.csv and the Parquet folders of the raw stage; those that the source lacks
     are empty."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wardgrid.functions import clean
 from wardgrid.functions.source_rules import sex
+from wardgrid.operators import streams
 from wardgrid.sources.tables import SCHEMAS, empty, read_csv, schema_of
 
 #: The anchor (2013-01-01 UTC, in seconds), and the codes of death in the unit and in the hospital.
@@ -48,6 +49,8 @@ DRUG_PARTS = {
 }
 #: Ids of ranges that are mechanical ventilation.
 VENTILATION = [720, 3041]
+#: Hourly signals of treatments: flow of blood through a filter, end-expiratory pressure, norepinephrine in g/kg/h.
+DIALYSIS, PRESSURE, NOREPINEPHRINE = 723, 2278, 773
 TABLES = ["cases", "laboratory", "data_float_h", "medication", "data_range", "d_references"]
 
 
@@ -106,9 +109,8 @@ def events(cases: DataFrame, laboratory: DataFrame, data_float_h: DataFrame, d_r
     'unknown'. concepts is (concept, canonical_unit, low, high)."""
     rows = _measured(laboratory, "LaboratoryID", "LaboratoryValue", LABS).unionByName(_measured(data_float_h, "DataID", "Val", SIGNALS))
     met = _within_stay(rows, cases).join(_references(d_references), "_id", "left")
-    scaled = F.col("value")
-    for (concept, unit), factor in FACTORS.items():
-        scaled = F.when((F.col("concept") == concept) & (F.lower("_unit") == unit), F.col("value") * factor).otherwise(scaled)
+    factors = F.create_map(*[F.lit(x) for (concept, unit), factor in FACTORS.items() for x in (f"{concept} {unit}", factor)])
+    scaled = F.col("value") * F.coalesce(F.try_element_at(factors, F.concat_ws(" ", "concept", F.lower("_unit"))), F.lit(1.0))
     raw = met.select("patient_id", "stay_id", _time(F.col("_at")).alias("charttime"), "concept", scaled.alias("value"), F.lit("unknown").alias("unit"), F.col("_unit").alias("unit_source"))
     return clean.canonical_units(raw, concepts).withColumn("value", F.col("value").cast("float"))
 
@@ -139,6 +141,16 @@ def abx_duration(medications: DataFrame) -> DataFrame:
     return medications.where("drug_class = 'antibiotic'").select("stay_id", "starttime", "endtime")
 
 
+def raw_treatments(cases: DataFrame, data_float_h: DataFrame) -> DataFrame:
+    """Renal replacement, end-expiratory pressure and norepinephrine equivalents, as a stream of treatments."""
+    signals = {DIALYSIS: "rrt", PRESSURE: "peep", NOREPINEPHRINE: "nee"}
+    met = _within_stay(_measured(data_float_h, "DataID", "Val", signals), cases).withColumn("charttime", _time(F.col("_at")))
+    of = lambda name: met.where(F.col("concept") == name)
+    runs = of("rrt").where("value > 0").withColumn("starttime", F.col("charttime")).withColumn("endtime", F.col("charttime"))
+    out = streams.renal_replacement(runs, "sicdb").unionByName(streams.end_expiratory_pressures(of("peep"), "sicdb"))
+    return out.unionByName(streams.charted_equivalents(of("nee"), "sicdb"))
+
+
 def read(spark: SparkSession, root: str, concepts: DataFrame) -> dict[str, DataFrame]:
     """All canonical tables of the files <root>/<table>.csv.gz (or folders of parts of that name). A compressed file is read by one
     task, so a large table is better kept as many parts. Notes and cultures are not in this source: empty tables."""

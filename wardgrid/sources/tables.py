@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wardgrid.functions.clean import null_tokens
+from wardgrid.sources import publish
 
 #: Canonical schemas; "not null" columns are required.
 SCHEMAS: dict[str, str] = {
@@ -37,6 +38,27 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, e
     return raw.select(*[null_tokens(F.col(c)).alias(c) for c in (columns or raw.columns)])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    of = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return of.getFileSystem(spark._jsc.hadoopConfiguration()).exists(of)
+
+
+def read_csv_or_empty(spark: SparkSession, path: str, columns: list[str], encoding: str = "UTF-8") -> DataFrame:
+    """These columns of a CSV; an empty table where the file, or one of the columns, is not there."""
+    if exists(spark, path):
+        raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
+        if set(columns) <= set(raw.columns):
+            return raw.select(*[null_tokens(F.col(c)).alias(c) for c in columns])
+    return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+
+
+def canonical(rows: DataFrame, table: str) -> DataFrame:
+    """rows in the columns and types of a canonical table, without those that lack a required value."""
+    schema = schema_of(table)
+    cast = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    return cast.dropna(subset=[f.name for f in schema if not f.nullable])
+
+
 def read_strict_csv(spark: SparkSession, path: str, schema: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """Quoted multi-line CSV whose ragged lines are errors; free-text columns are dropped."""
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(path).drop(*drop)
@@ -64,8 +86,19 @@ def read_run_metadata(spark: SparkSession, root: str) -> DataFrame:
     return raw.withColumn("model_dir", model).withColumn("agrees", F.col("model") == model)
 
 
+def read_parquet_parts(spark: SparkSession, pattern: str, columns: list[str] | None = None) -> DataFrame:
+    """These columns (all if None) of the Parquet files of a pattern, such as <root>/part-*.parquet; files may hold more columns."""
+    raw = spark.read.option("mergeSchema", True).parquet(pattern)
+    return raw if columns is None else raw.select(*columns)
+
+
 def read_embeddings(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    return spark.read.parquet(root).select("note_id", "embedding").join(wanted.select("note_id").distinct(), "note_id", "left_semi")
+    """(note_id, embedding) of the wanted notes; the vector's column is the one of embedding, emb and vector that the files have."""
+    raw = spark.read.parquet(root)
+    named = [c for c in ("embedding", "emb", "vector") if c in raw.columns]
+    if not named:
+        raise ValueError(f"{root}: no column of vectors")
+    return raw.select("note_id", F.col(named[0]).alias("embedding")).join(wanted.select("note_id").distinct(), "note_id", "left_semi")
 
 
 def require_codes(dimension: DataFrame, locked: DataFrame, key: str) -> None:
@@ -94,7 +127,8 @@ def validate(rows: DataFrame, table: str) -> None:
 
 
 def write_canonical(rows: DataFrame, table: str, path: str) -> None:
-    """Cast, validate, write aside, then put in place by renames: the old table is whole until the new one is."""
+    """Cast, validate, write aside, then put in place by two renames, for exports that are plain folders of Parquet. A crash between
+    the two leaves the old table under another name; publish_table() has no such gap."""
     cast = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(table)])
     validate(cast, table)
     spark, mark = rows.sparkSession, uuid.uuid4().hex
@@ -109,8 +143,34 @@ def write_canonical(rows: DataFrame, table: str, path: str) -> None:
     store.delete(of(f"{path}.old-{mark}"), True)
 
 
+def publish_table(rows: DataFrame, table: str, root: str) -> int:
+    """Cast, validate and write a new version of a table under root; it is the current one from the step that names it, and until
+    then the version before is. Returns the version's number; of two writers at once the later one gets the next number."""
+    spark, place = rows.sparkSession, f"{root}/data/{uuid.uuid4().hex}"
+    cast = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(table)])
+    validate(cast, table)
+    cast.write.option("compression", "zstd").parquet(place)
+    while True:
+        version = len(publish.names(spark, f"{root}/versions"))
+        try:
+            publish.publish(spark, f"{root}/versions", f"{version:09d}", place)
+            return version
+        except FileExistsError:
+            continue
+
+
+def read_table(spark: SparkSession, table: str, root: str, version: int | None = None) -> DataFrame:
+    """The current, or another, version of a published table; FileNotFoundError if there is none."""
+    known = publish.names(spark, f"{root}/versions")
+    if not known:
+        raise FileNotFoundError(f"no version of {table} under {root}")
+    name = known[-1] if version is None else f"{version:09d}"
+    return spark.read.schema(schema_of(table)).parquet(publish.content_of(spark, f"{root}/versions", name))
+
+
 def append_new(rows: DataFrame, path: str, key: str, per_file: int = 20_000) -> None:
-    """Append the rows whose key is not written yet, in files of at most per_file rows."""
+    """Append the rows whose key is not written yet, in files of at most per_file rows. Of rows of one key in one batch, one is kept."""
+    rows = rows.dropDuplicates([key])
     try:
         rows = rows.join(rows.sparkSession.read.parquet(path).select(key), key, "left_anti")
     except Exception as e:  # the first write
