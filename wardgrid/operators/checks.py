@@ -58,8 +58,14 @@ def cohort_findings(sta: DataFrame, dyn: DataFrame, outc: DataFrame, concepts: l
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
-    """(n_rows, digest): a hash of the content that does not depend on the order of rows."""
-    return rows.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+    """(n_rows, digest): a hash of the content that does not depend on the order of rows, nor on the engine.
+
+    A row is its columns by name, each as the length of its text and the text, -1 for null; the digest is the sum of the first 60 bits
+    of the rows' MD5, so that any engine with MD5 gives the same. Numbers, dates and texts have one text everywhere; give others as text.
+    """
+    one = lambda c: F.coalesce(F.concat(F.octet_length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("-1:"))
+    row = F.conv(F.substring(F.md5(F.concat(*[one(c) for c in sorted(rows.columns)])), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("digest"))
 
 
 def stale(now: DataFrame, stored: DataFrame) -> DataFrame:

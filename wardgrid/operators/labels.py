@@ -87,40 +87,65 @@ def onset_labels(stays: DataFrame, onsets: DataFrame, around: int = 6) -> DataFr
     return hour_grid(stays, los_horizon()).join(at, "stay_id").select("stay_id", "hour", near.cast("int").alias("label_value"))
 
 
-def continuous_episodes(abx: DataFrame, death: DataFrame | None = None, window_h: int = 72, max_gap_h: int = 24) -> DataFrame:
-    """(stay_id, starttime) of every start from which treatment goes on for window_h with no gap above max_gap_h.
+def deaths(stays: DataFrame) -> DataFrame:
+    """(stay_id, death_time) of stays that end with death in the unit."""
+    return stays.where("mortality_in_icu").select("stay_id", F.col("discharge_time").cast("timestamp").alias("death_time"))
 
-    Rows of one start collapse to the last end; an end before the start becomes the start; death (stay_id,
-    death_time) drops later starts and cuts the window. One window per stay, then a fold: no self-join.
-    """
-    one = abx.groupBy("stay_id", "starttime").agg(F.max("endtime").alias("endtime"))
-    one = one.withColumn("s", micros("starttime")).withColumn("e", F.greatest(micros("starttime"), F.coalesce(micros("endtime"), micros("starttime"))))
+
+def _episodes(rows: DataFrame, death: DataFrame | None, window_h: int, max_gap_h: int, drop_after_death: bool) -> DataFrame:
+    """rows (stay_id, starttime, endtime, ...), unique in stay and start, from whose start treatment goes on for window_h, or to death,
+    with no gap above max_gap_h. One window per stay, then a fold: no self-join."""
+    one = rows.withColumn("s", micros("starttime")).withColumn("e", F.greatest(micros("starttime"), F.coalesce(micros("endtime"), micros("starttime"))))
     end = F.col("s") + window_h * HOUR
     if death is not None:
-        one = one.join(death, "stay_id", "left").where("death_time is null or starttime <= death_time")
+        one = one.join(death, "stay_id", "left")
+        one = one.where("death_time is null or starttime <= death_time") if drop_after_death else one
         end = F.least(end, micros("death_time"))
     ahead = Window.partitionBy("stay_id").orderBy("s").rangeBetween(0, window_h * HOUR)
     met = one.withColumn("end", end).withColumn("x", F.array_sort(F.collect_list(F.struct("s", "e")).over(ahead)))
-    inside = F.filter("x", lambda r: r["s"] <= F.col("end"))
+    inside = F.filter("x", lambda r: r["s"] <= F.col("end")) if drop_after_death else F.col("x")
     start = F.struct(F.col("s").alias("m"), F.lit(0).cast("bigint").alias("g"))
     step = lambda a, r: F.struct(F.greatest(a["m"], r["e"]).alias("m"), F.greatest(a["g"], r["s"] - a["m"]).alias("g"))
     done = F.aggregate(inside, start, step)
     gap = F.greatest(done["g"], F.col("end") - done["m"])
-    return met.where(gap <= max_gap_h * HOUR).select("stay_id", "starttime")
+    return met.where(gap <= max_gap_h * HOUR).select(*rows.columns)
+
+
+def continuous_episodes(abx: DataFrame, death: DataFrame | None = None, window_h: int = 72, max_gap_h: int = 24) -> DataFrame:
+    """(stay_id, starttime) of every start from which treatment goes on for window_h with no gap above max_gap_h.
+
+    Rows of one start collapse to the last end; an end before the start becomes the start; death (stay_id,
+    death_time) drops later starts and cuts the window.
+    """
+    one = abx.groupBy("stay_id", "starttime").agg(F.max("endtime").alias("endtime"))
+    return _episodes(one, death, window_h, max_gap_h, True).select("stay_id", "starttime")
 
 
 def suspected_infection(episodes: DataFrame, samples: DataFrame | None) -> DataFrame:
-    """(stay_id, si): the earliest time of a pair with sample - start in [-72 h, 24 h]; without samples, every start."""
+    """(stay_id, si): the earliest time of a pair with sample - start in [-72 h, 24 h]; without samples, every start.
+
+    Starts and samples are laid in one order per stay; the first sample within reach of a start makes its earliest pair, so no
+    pairs are made.
+    """
     if samples is None:
         return episodes.select("stay_id", F.col("starttime").alias("si")).distinct()
-    pairs = episodes.join(samples.select("stay_id", F.col("charttime").alias("sample")), "stay_id")
-    apart = micros("sample") - micros("starttime")
-    return pairs.where((apart >= -72 * HOUR) & (apart <= 24 * HOUR)).groupBy("stay_id").agg(F.min(F.least(F.col("starttime").cast("timestamp"), F.col("sample").cast("timestamp"))).alias("si"))
+    none = F.lit(None).cast("timestamp")
+    starts = episodes.select("stay_id", micros("starttime").alias("t"), F.col("starttime").cast("timestamp").alias("start"), none.alias("sample"))
+    taken = samples.where("charttime is not null").select("stay_id", micros("charttime").alias("t"), none.alias("start"), F.col("charttime").cast("timestamp").alias("sample"))
+    reach = Window.partitionBy("stay_id").orderBy("t").rangeBetween(-72 * HOUR, 24 * HOUR)
+    met = starts.unionByName(taken).withColumn("first", F.min("sample").over(reach)).where("start is not null and first is not null")
+    return met.groupBy("stay_id").agg(F.min(F.least("start", "first")).alias("si"))
 
 
-def antibiotic_episodes(meds: DataFrame, window_h: int = 72, max_gap_h: int = 24) -> DataFrame:
-    """(stay_id, starttime): continuous_episodes() of the antibiotics among meds, without deaths: each row stands for itself."""
-    return continuous_episodes(meds.where("drug_class = 'antibiotic'").select("stay_id", "starttime", "endtime"), None, window_h, max_gap_h)
+def antibiotic_episodes(meds: DataFrame, death: DataFrame | None = None, window_h: int = 72, max_gap_h: int = 24) -> DataFrame:
+    """(stay_id, starttime): the starts of antibiotics among meds from which treatment goes on, one row for each row of meds.
+
+    death (stay_id, death_time) cuts the window at death, but leaves what was charted after it.
+    """
+    abx = meds.where("drug_class = 'antibiotic' and starttime is not null")
+    one = abx.groupBy("stay_id", "starttime").agg(F.max("endtime").alias("endtime"), F.count("*").alias("n"))
+    met = _episodes(one, death, window_h, max_gap_h, False)
+    return met.select("stay_id", "starttime", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_k")).drop("_k")
 
 
 def antibiotic_span(meds: DataFrame, days: int = 3) -> DataFrame:

@@ -75,3 +75,41 @@ def js_divergence(p: DataFrame, q: DataFrame) -> DataFrame:
 def grid_summary(runs: DataFrame, by: list[str], seeds: int = 3) -> DataFrame:
     """Mean, sample deviation and number of runs of each cell, and whether it has too few seeds."""
     return runs.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"), (F.count_distinct("seed") < seeds).alias("under_seeded"))
+
+
+#: What errors of the tasks that are regressions are divided by.
+SCALES = {"los": 168.0, "kidney_function": 15.0}
+#: Tasks that are classifications, rungs that are kept, and what names models that are not compared.
+CLASSIFICATIONS, RUNGS = ["sepsis", "aki", "mortality24"], ["icd", "notes", "icd_notes"]
+FOUNDATION = r"^(MOMENT|Mantis|Chronos|Toto|CM-EHR|ETHOS)|-probe|-ft"
+
+
+def grid_report(runs: DataFrame) -> DataFrame:
+    """Cells of runs (task, dataset, model, seed, value, fold_sha): mean, deviation (0 of one run), number, for regressions the mean and
+    deviation by their scale, whether the cell has fewer runs than the best one, and how many fold hashes it has."""
+    per = runs.groupBy("task", "dataset", "model").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.count("*").alias("n"), F.count_distinct(F.nullif("fold_sha", F.lit(""))).alias("n_fold_shas"))
+    scale = F.lit(None).cast("double")
+    for task, by in SCALES.items():
+        scale = F.when(F.col("task") == task, by).otherwise(scale)
+    most = per.agg(F.max("n").alias("_most"))  # one row
+    return per.crossJoin(F.broadcast(most)).select("task", "dataset", "model", "mean", "std", "n", (F.col("mean") / scale).alias("scaled_mean"), (F.col("std") / scale).alias("scaled_std"), (F.col("n") < F.col("_most")).alias("under_seeded"), "n_fold_shas")
+
+
+def flat_grid(report: DataFrame) -> DataFrame:
+    """(task, dataset, label, metric, seed_mean, n_seeds) of a report whose models may carry a rung after '__': foundation models,
+    ablations and other rungs are left out, a rung becomes '+rung', and of equal labels the first model counts."""
+    parts = F.split("model", "__", 2)
+    rung = F.get(parts, F.lit(1))
+    named = report.withColumn("_model", parts[0]).withColumn("_rung", rung).where(~F.col("_model").rlike(FOUNDATION) & (F.col("_rung").isNull() | (F.col("_rung").isin(RUNGS) & ~F.col("_rung").contains("abl"))))
+    label = F.concat("_model", F.coalesce(F.concat(F.lit("+"), "_rung"), F.lit("")))
+    metric = F.when(F.col("task").isin(CLASSIFICATIONS), "AUROC").otherwise("MAE")
+    first = lambda c: F.min_by(c, "model")
+    return named.groupBy("task", "dataset", label.alias("label"), metric.alias("metric")).agg(first("mean").alias("seed_mean"), first("n").alias("n_seeds"))
+
+
+def top_k_accuracy(scored: DataFrame, k: int) -> DataFrame:
+    """(n, accuracy): how often the class y is among the k highest of scores, an array by class; of equal scores the lower class comes
+    first."""
+    mine = F.get("scores", F.col("y").cast("int"))
+    above = F.size(F.filter(F.transform("scores", lambda s, i: (s > mine) | ((s == mine) & (i < F.col("y")))), lambda x: x))
+    return scored.where("y is not null").agg(F.count("*").alias("n"), F.avg((above < k).cast("double")).alias("accuracy"))

@@ -18,12 +18,60 @@ def missing_mask(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("*", *[F.col(c).isNull().cast("int").alias(f"{c}_is_null") for c in columns])
 
 
+EXACT = 200_000  # distinct values among which a median is looked up at last
+NEAR = 0.001  # share of rows to either side of the middle that is kept at each step
+
+
+def medians(rows: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Exact medians of several columns without a task that holds all their values; None for a column without values.
+
+    A sketch gives each column two bounds around its middle; the values below are counted, and the step is repeated with those
+    between, until they are few distinct ones, whose counts are then added up in order. Nothing but bounds and counts reaches
+    the driver.
+    """
+    of = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    n = of.agg(*[F.count(c).alias(c) for c in columns]).first().asDict() if columns else {}
+    # per column: values below the bounds so far, and the condition that holds between them
+    below, inside = dict.fromkeys(columns, 0), {c: F.col(c).isNotNull() for c in columns}
+    left, found = [c for c in columns if n[c]], {c: None for c in columns}
+    while left:
+        kept = {c: F.when(inside[c], F.col(c)) for c in left}
+        facts = of.agg(*[F.struct(F.count(kept[c]).alias("n"), F.approx_count_distinct(kept[c]).alias("d")).alias(c) for c in left]).first().asDict()
+        ready = [c for c in left if facts[c]["d"] <= EXACT]
+        if ready:
+            found |= _middle(of, {c: kept[c] for c in ready}, {c: ((n[c] - 1) // 2 - below[c], n[c] // 2 - below[c]) for c in ready})
+        left = [c for c in left if c not in ready]
+        if left:
+            middle = {c: ((n[c] - 1) // 2 - below[c] + 0.5) / facts[c]["n"] for c in left}
+            bounds = of.agg(*[F.percentile_approx(kept[c], [max(0.0, middle[c] - NEAR), min(1.0, middle[c] + NEAR)], 10_000).alias(c) for c in left]).first().asDict()
+            less = of.agg(*[F.count_if(inside[c] & (F.col(c) < bounds[c][0])).alias(f"a{i}") for i, c in enumerate(left)], *[F.count_if(inside[c] & (F.col(c) <= bounds[c][1])).alias(f"b{i}") for i, c in enumerate(left)]).first()
+            for i, c in enumerate(left):
+                low, high = (n[c] - 1) // 2 - below[c], n[c] // 2 - below[c]
+                if less[f"a{i}"] <= low:  # the middle is not below the lower bound: sketches may miss by a little
+                    inside[c] = inside[c] & (F.col(c) >= bounds[c][0])
+                    below[c] += less[f"a{i}"]
+                if less[f"b{i}"] > high:
+                    inside[c] = inside[c] & (F.col(c) <= bounds[c][1])
+    return found
+
+
+def _middle(of: DataFrame, kept: dict[str, Column], ranks: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """The mean of the values at two ranks (from 0) of each column; at most EXACT distinct values of each are in order in one task."""
+    long = of.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), v.alias("v")) for c, v in kept.items()])).alias("x")).select("x.*").where("v is not null")
+    upto = F.sum("n").over(Window.partitionBy("c").orderBy("v"))
+    counts = long.groupBy("c", "v").agg(F.count("*").alias("n")).withColumn("upto", upto)
+    at = F.create_map(*[x for c, (low, high) in ranks.items() for x in (F.lit(c), F.array(F.lit(low), F.lit(high)))])[F.col("c")]
+    pick = counts.groupBy("c").agg(F.min(F.when(F.col("upto") > at[0], F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > at[1], F.col("v"))).alias("b"))
+    return {r.c: (r.a + r.b) / 2 for r in pick.collect()}
+
+
 def train_stats(rows: DataFrame, train: DataFrame, columns: list[str], median: bool = True) -> DataFrame:
-    """One row: mean, population deviation, least, most and, if asked, median of each column over the train stays. Exact medians
-    hold all distinct values of a column in one task, so only ask for them where they are few."""
+    """One row: mean, population deviation, least, most and, if asked, the exact median of each column over the train stays."""
     of = rows.join(train.select("stay_id").distinct(), "stay_id", "left_semi")
-    each = [(F.avg, "mean"), (F.stddev_pop, "std"), (F.min, "min"), (F.max, "max"), *([(F.median, "median")] if median else [])]
-    return of.agg(*[f(F.col(c).cast("double")).alias(f"{c}_{name}") for c in columns for f, name in each])
+    each = [(F.avg, "mean"), (F.stddev_pop, "std"), (F.min, "min"), (F.max, "max")]
+    stats = of.agg(*[f(F.col(c).cast("double")).alias(f"{c}_{name}") for c in columns for f, name in each])
+    middle = medians(of, columns) if median else {}
+    return stats.select("*", *[F.lit(v).cast("double").alias(f"{c}_median") for c, v in middle.items()])
 
 
 def with_stats(rows: DataFrame, stats: DataFrame) -> DataFrame:

@@ -61,6 +61,29 @@ def grouped_folds(stays: DataFrame, k: int = 5, repeats: int = 1, seed: str = "4
     return stays.select("patient_id", "stay_id").join(reduce(DataFrame.unionByName, runs), "patient_id").select("rep", "fold", "stay_id")
 
 
+def stratified_folds(stays: DataFrame, labels: DataFrame, k: int = 5, repeats: int = 5, seed: str = "42") -> DataFrame:
+    """grouped_folds() by labels of their own: labels is (patient_id, label). A patient with two rows there, and patients that one of the
+    tables has and the other lacks, are errors."""
+    double = labels.groupBy("patient_id").count().where("count > 1")
+    if not double.isEmpty():
+        raise ValueError("labels have more than one row for a patient")
+    ours, theirs = stays.select("patient_id", F.lit(1).alias("_a")).distinct(), labels.select("patient_id", F.lit(1).alias("_b"))
+    n = ours.join(theirs, "patient_id", "full").agg(F.count_if(F.col("_b").isNull()).alias("a"), F.count_if(F.col("_a").isNull()).alias("b")).first()
+    if n.a or n.b:
+        raise ValueError(f"{n.a} patients have no label, and {n.b} labels no stay")
+    return grouped_folds(stays.select("patient_id", "stay_id").join(labels, "patient_id"), k, repeats, seed)
+
+
+def stay_splits(stays: DataFrame, outer: int = 5, inner: int = 5, seed: str = "42", stratify: bool = True) -> DataFrame:
+    """nested_splits() of stays instead of patients, for comparison with splits made so: a patient may be on both sides.
+
+    stays is (stay_id, label), or hourly labels, of which the greatest counts; without stratify, labels are not looked at.
+    """
+    label = F.max(F.col("label").cast("int")) if stratify else F.lit(0)
+    one = stays.groupBy("stay_id").agg(label.alias("label"))
+    return nested_splits(one.select(F.col("stay_id").alias("patient_id"), "stay_id", "label"), outer, inner, seed)
+
+
 def partition(rows: DataFrame, splits: DataFrame, rep: int, fold: int) -> DataFrame:
     """rows with the split of their stay in one fold; stays of the fold without rows stay, as nulls."""
     return rows.join(splits.where((F.col("rep") == rep) & (F.col("fold") == fold)).select("stay_id", "split"), "stay_id", "right")
@@ -81,3 +104,10 @@ def unsplit_stays(splits: DataFrame, stays: DataFrame) -> DataFrame:
 
 def manifest(splits: DataFrame) -> DataFrame:
     return splits.groupBy("rep", "fold", "split").agg(F.count("*").alias("n_stays"))
+
+
+def fold_manifest(splits: DataFrame) -> DataFrame:
+    """(rep, fold, n_train, n_val, n_test, digest): the sizes of each fold, and a hash of who is where that no order of rows changes."""
+    who = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("stay_id").cast("string"), "split")), 1, 15), 16, 10).cast("decimal(38,0)")
+    sizes = [F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "val", "test")]
+    return splits.groupBy("rep", "fold").agg(*sizes, F.sum(who).cast("string").alias("digest"))
