@@ -99,16 +99,19 @@ def _license_sql() -> str:
     """
 
 
-_CHAT_SQL = """
+_CHAT_SQL = r"""
 with turns as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
-told as (select conv_id, count(*) as n_turns, list(role || chr(1) || text order by turn, role, text) as t, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn, role, text) as rendered from turns group by conv_id),
+plain as (select *, regexp_replace(regexp_replace(role, '[\r\n]+', ' ', 'g'), '<(\\*)\|im_', '<\1\\|im_', 'g') as r, regexp_replace(text, '<(\\*)\|im_', '<\1\\|im_', 'g') as x from turns),
+told as (select conv_id, count(*) as n_turns, list({'role': role, 'text': text} order by turn, role, text) as t, string_agg('<|im_start|>' || r || chr(10) || x || '<|im_end|>' || chr(10), '' order by turn, role, text) as rendered from plain group by conv_id),
 one as (select min(conv_id) as conv_id, n_turns, count(*) as n_copies, t, any_value(rendered) as rendered from told group by n_turns, t),
-cut as (select distinct k as n_turns, t[1:k] as t from (select t, unnest(range(1, n_turns)) as k from one))
-select conv_id, n_turns, n_copies, rendered from one where not exists (select 1 from cut where cut.n_turns = one.n_turns and cut.t = one.t)
+cut as (select distinct k as n_turns, t[1:k] as t from (select t, unnest(range(1, n_turns)) as k from one)),
+kept as (select * from one where not exists (select 1 from cut where cut.n_turns = one.n_turns and cut.t = one.t)),
+homes as (select k as n_turns, t[1:k] as t, min(conv_id) as kept_id from (select conv_id, t, unnest(range(1, n_turns)) as k from kept) group by 1, 2),
+gone as (select kept_id, sum(n_copies) as n_prefixes from one join homes using (n_turns, t) group by 1)
+select conv_id, n_turns, n_copies, coalesce(n_prefixes, 0)::bigint as n_prefixes, rendered from kept left join gone on kept_id = conv_id
 """
 
 
-
 def _leak_sql() -> str:
     units, numbers = (", ".join(f"'{u}'" for u in listed) for listed in (UNITS, NUMBERS))
     plain = "coalesce(text, '')"

@@ -6,8 +6,9 @@ writes each group of two runs or more as one file; a run that has the target siz
 it is.
 
 Each version is a manifest that lists all live shards. Data and manifest go to folders that no other attempt uses; the
-version then exists once its pointer file is created, which fails if it is there already: a reader sees one version or
-the next, of two writers one must try again, and what a crashed attempt has left is listed nowhere and stops no retry.
+version then exists once its pointer file, written whole under a name of this attempt, is renamed to the version's, which fails if
+that is there already: a reader sees one version or the next, of two writers one must try again, and what a crashed attempt has
+left is listed nowhere and stops no retry. The shared folder needs such a rename, as HDFS has it.
 
 Rows keep all their columns, whatever their names, nulls and repeated rows included; a null text counts as 0 bytes. Ids
 keep their type; least and greatest ids of text are by its order. An empty table gives a manifest without shards.
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wardgrid.sources.publish import content_of, publish
+
 RUN_ROWS = 1024
 TARGET_BYTES = 8 << 20  # of text
 TIER_STEP = 4
@@ -29,11 +32,6 @@ BLOCK = 1024  # runs whose sizes are summed in one task
 TASK_BYTES = 128 << 20  # of text that one task rewrites
 
 
-def _path(spark: SparkSession, root: str, version: int):
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/versions/{version}")
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def fresh(root: str, kind: str, version: int) -> str:
     """A folder of this attempt alone."""
     return f"{root}/{kind}/{version}-{uuid.uuid4().hex}"
@@ -43,17 +41,14 @@ def commit(manifest: DataFrame, root: str, version: int) -> None:
     """Publish a version of the manifest, whole or not at all."""
     spark, place = manifest.sparkSession, fresh(root, "manifests", version)
     manifest.write.parquet(place)
-    pointer, store = _path(spark, root, version)
     try:
-        out = store.create(pointer, False)  # fails if there is one
-    except Exception as e:
+        publish(spark, f"{root}/versions", str(version), f"{place}\n{manifest.schema['min_id'].dataType.simpleString()}")
+    except FileExistsError as e:
         raise FileExistsError(f"version {version} of {root} is committed already") from e
-    out.write(bytearray(f"{place}\n{manifest.schema['min_id'].dataType.simpleString()}\n".encode()))
-    out.close()
 
 
 def read_manifest(spark: SparkSession, root: str, version: int) -> DataFrame:
-    place, kind = (r[0] for r in spark.read.option("wholetext", False).text(f"{root}/versions/{version}").take(2))
+    place, kind = content_of(spark, f"{root}/versions", str(version)).split("\n")
     return spark.read.schema(f"shard string, folder string, tier int, n_rows long, n_bytes long, min_id {kind}, max_id {kind}").parquet(place)
 
 
