@@ -475,6 +475,16 @@ def test_licenses(spark, odd, none):
     ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.", "GPL-3.0"),
     ("licensed under cc by 4 0 licensed under cc by nc 4 0", "CC-BY-4.0,CC-BY-NC-4.0"),
     ("unlicensed under the mit licenses", ""),
+    ("Copyright (c) 2020, The Authors. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that\n1. Redistributions of source code must retain the above copyright notice\n2. Redistributions in binary form must reproduce the above copyright notice", "BSD-2-Clause"),
+    ("All rights reserved. Licensed under the Apache License, Version 2.0", "Apache-2.0"),
+    ("(c) Somebody. All rights reserved.", "proprietary"),
+    ("// SPDX-License-Identifier: MIT", "MIT"),
+    ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"),
+    ("# SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Apache-2.0,MIT"),
+    ("This text is not released under the MIT license.", ""),
+    ("It is not licensed under the ISC license, but licensed under the MIT license", "MIT"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "GPL-3.0"),
 ])
 def test_licenses_in_wrapped_and_running_text(spark, text, names):
     assert licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses == names

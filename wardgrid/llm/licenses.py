@@ -1,20 +1,30 @@
 """License scans by sentence rules; DataFrame functions only.
 
 A text is normalised to lower-case words (lower(), then runs of anything but letters and digits become one space), so line
-wraps, comment marks and punctuation do not matter. Known sentences are found in it wherever their words stand in a row, from
-left to right, the longest first where one begins another; that gives each document its sequence of sentence identifiers, in
-order. A rule is an ordered list of identifiers that must follow each other with no other known sentence between. Rules are
+wraps, comment marks and punctuation do not matter. Known sentences are looked up in maps: the first OPENING words of a place say
+which lengths a sentence may have there, and the words of that length, longest first, say which sentence it is. Places are
+read from left to right, and a sentence's words are not read again; that gives each document its sequence of sentence
+identifiers, in order. The work grows with the words of a text and not with the number of sentences; texts that hold none of a
+few words, of which each sentence has one, are not looked at.
+
+A rule is an ordered list of identifiers that must follow each other with no other known sentence between. Rules are
 tried in order, and a rule that is part of an earlier rule that matched at the same place does not count again: matches are
-taken out as they are found.
+taken out as they are found. A rule may stand for a choice of licences. `proprietary` is said only of texts without another licence, as
+"all rights reserved" heads many free ones. Sentences are also known with "not" before them, which no rule names, and as tags of the
+form SPDX-License-Identifier.
 
 One pass without a shuffle, one row per row of docs. Null and empty texts have no licences; a null doc_id is kept.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardgrid.llm.common import let
+
 #: Normalised licence sentences, by identifier.
 SENTENCES: dict[int, str] = {
     1: "released under the mit license",
@@ -67,6 +77,17 @@ SENTENCES: dict[int, str] = {
     57: "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
     60: "all rights reserved",
 }
+#: Choices between two licences.
+CHOICES: dict[int, tuple[str, str]] = {
+    70: ("licensed under either of apache license version 2 0 or mit license at your option", "Apache-2.0,MIT"),
+    71: ("dual licensed under the mit and gpl licenses", "GPL-2.0,MIT"),
+    72: ("licensed under the mit license or the apache license version 2 0", "Apache-2.0,MIT"),
+}
+#: What tags may be called beside the names of licences.
+ALIASES = {"GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0"}
+LAST_RESORT = "proprietary"
+OPENING = 3  # words of a sentence by which its places are found
+TAGS_FROM, NOT_FROM = 100, 1000  # identifiers of tags, and what is added to those of sentences that follow "not"
 #: Licence rules in the order in which they are tried.
 RULES: list[tuple[str, list[int]]] = [
     ("MIT", [2, 3, 4]),
@@ -114,13 +135,29 @@ RULES: list[tuple[str, list[int]]] = [
     ("BSL-1.0", [52]),
     ("Unlicense", [53]),
     ("Zlib", [56]),
-    ("proprietary", [60]),
+    (LAST_RESORT, [60]),
 ]
 
 
+def _words(name: str) -> str:
+    return re.sub(r"[^a-z0-9]+", " ", name.lower()).strip()
+
+
+def everything() -> tuple[dict[int, str], list[tuple[str, list[int]]]]:
+    """All sentences and rules: those above, choices, tags of every licence that a rule names, and sentences after "not"."""
+    sentences, rules = dict(SENTENCES), [(names, [i]) for i, (_, names) in CHOICES.items()] + RULES
+    sentences |= {i: text for i, (text, _) in CHOICES.items()}
+    licenses = {name: name for name, _ in RULES if name != LAST_RESORT} | ALIASES
+    for i, (tag, name) in enumerate(licenses.items(), TAGS_FROM):
+        sentences[i] = f"spdx license identifier {_words(tag)}"
+        rules = [*rules[:-1], (name, [i]), rules[-1]]
+    denied = {NOT_FROM + i: f"not {text}" for i, text in sentences.items() if text.startswith(("licensed ", "released ", "dual "))}
+    return sentences | denied, rules
+
+
 def pattern(sentences: dict[int, str]) -> str:
     """Matches a known sentence with two blanks about each word: it takes one blank on either side and leaves the other, so
-    neighbours are found too. Longer sentences come first."""
+    neighbours are found too. Longer sentences come first. The other way to find sentences, for the SQL."""
     spaced = [s.replace(" ", "  ") for s in sorted(sentences.values(), key=lambda s: (-len(s), s))]
     return " (" + "|".join(spaced) + ") "
 
@@ -135,9 +172,30 @@ def anchors(sentences: dict[int, str]) -> list[str]:
     return out
 
 
-def normalised(text: Column) -> Column:
-    """Words with two blanks about each."""
-    return F.concat(F.lit("  "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "  ")), F.lit("  "))
+def sentence_ids(text: Column, sentences: dict[int, str]) -> Column:
+    """The identifiers, as text, of the sentences in a text, in order."""
+    openers: dict[str, set[int]] = {}
+    for sentence in sentences.values():
+        words = sentence.split()
+        openers.setdefault(" ".join(words[:OPENING]), set()).add(len(words))
+    lengths = F.create_map(*[x for key, sizes in openers.items() for x in (F.lit(key), F.array(*[F.lit(n) for n in sorted(sizes, reverse=True)]))])
+    number = F.create_map(*[F.lit(x) for i, sentence in sentences.items() for x in (sentence, str(i))])
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+
+    def read(w: Column) -> Column:
+        """Known sentences of the words, from left to right."""
+        place = F.transform(w, lambda x, i: F.struct(i.alias("at"), F.try_element_at(lengths, F.array_join(F.slice(w, i + 1, OPENING), " ")).alias("sizes")))
+        open_ = F.filter(place, lambda p: p["sizes"].isNotNull())
+
+        def step(state: Column, p: Column) -> Column:
+            said = F.transform(p["sizes"], lambda n: F.struct(n.alias("n"), F.try_element_at(number, F.array_join(F.slice(w, p["at"] + 1, n), " ")).alias("id")))
+            first = F.get(F.filter(said, lambda x: x["id"].isNotNull()), F.lit(0))
+            new = (p["at"] >= state["free"]) & first["id"].isNotNull()
+            return F.struct(F.when(new, p["at"] + first["n"]).otherwise(state["free"]).alias("free"), F.when(new, F.array_append(state["ids"], first["id"])).otherwise(state["ids"]).alias("ids"))
+
+        return F.aggregate(open_, F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("ids")), step, lambda state: state["ids"])
+
+    return let(words, read)
 
 
 def match_rules(docs: DataFrame, rules: list[tuple[str, list[int]]]) -> DataFrame:
@@ -152,17 +210,17 @@ def match_rules(docs: DataFrame, rules: list[tuple[str, list[int]]]) -> DataFram
 
     start = F.struct(F.col("ids").alias("rest"), F.array().cast("array<string>").alias("names"), F.lit(0).alias("n"))
     told = docs.withColumn("_told", F.when(F.col("n_sentences") > 0, F.aggregate(each, start, step)).otherwise(start))
-    return told.select(*docs.columns, F.array_join(F.array_sort(F.array_distinct("_told.names")), ",").alias("licenses"), F.col("_told.n").alias("n_matches"))
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform("_told.names", lambda x: F.split(x, ",")))))
+    others = F.filter(names, lambda x: x != LAST_RESORT)
+    return told.select(*docs.columns, F.array_join(F.when(F.size(others) > 0, others).otherwise(names), ",").alias("licenses"), F.col("_told.n").alias("n_matches"))
 
 
 def scan_licenses(docs: DataFrame, sentences: dict[int, str] | None = None, rules: list[tuple[str, list[int]]] | None = None) -> DataFrame:
     """(doc_id, licenses, n_sentences, n_matches), one row per row of docs."""
-    known = sentences or SENTENCES
+    all_sentences, all_rules = everything()
+    known = sentences or all_sentences
     text = F.coalesce(F.col("text"), F.lit(""))
     likely = F.lower(text).rlike("|".join(anchors(known)))
-    spaced = {s.replace(" ", "  "): str(i) for i, s in known.items()}
-    number = F.create_map(*[F.lit(x) for pair in spaced.items() for x in pair])
-    found = F.when(likely, F.regexp_extract_all(normalised(text), F.lit(pattern(known)), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    ids = docs.select("doc_id", F.transform(found, lambda s: F.element_at(number, s)).alias("found"))
+    ids = docs.select("doc_id", F.when(likely, sentence_ids(text, known)).otherwise(F.array().cast("array<string>")).alias("found"))
     ids = ids.select("doc_id", F.size("found").alias("n_sentences"), F.concat(F.lit(","), F.array_join("found", ",,"), F.lit(",")).alias("ids"))
-    return match_rules(ids, rules or RULES).select("doc_id", "licenses", "n_sentences", "n_matches")
+    return match_rules(ids, rules or all_rules).select("doc_id", "licenses", "n_sentences", "n_matches")

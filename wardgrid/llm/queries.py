@@ -12,7 +12,7 @@ from wardgrid.llm.common import shared_dir, table
 from wardgrid.llm.decontamination import JOINT, MIN_WORDS, NUMBERS, SHARE, SIGNS, UNITS, VERBATIM_WORDS, WINDOW, leaks
 from wardgrid.llm.hard_negatives import mine
 from wardgrid.llm.importance import resample
-from wardgrid.llm.licenses import RULES, SENTENCES, pattern, scan_licenses
+from wardgrid.llm.licenses import LAST_RESORT, everything, pattern, scan_licenses
 from wardgrid.llm.lm_scoring import score_texts
 from wardgrid.llm.near_dedup import near_duplicates
 from wardgrid.llm.neighbours import search
@@ -80,9 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 def _license_sql() -> str:
     """Rules are tried one after the other: each step takes its matches out of the sequence."""
-    known = ", ".join(f"('{i}', '{t.replace(' ', '  ')}')" for i, t in SENTENCES.items())
+    sentences, rules = everything()
+    known = ", ".join(f"('{i}', '{t.replace(' ', '  ')}')" for i, t in sentences.items())
     steps, last, names, hits = [], "seq", [], []
-    for k, (name, ids) in enumerate(RULES):
+    for k, (name, ids) in enumerate(rules):
         key = "," + ",,".join(map(str, ids)) + ","
         steps.append(f"s{k} as (select *, ((length(r{k}) - length(replace(r{k}, '{key}', ''))) / {len(key)})::int as h{k}, replace(r{k}, '{key}', ',!,') as r{k + 1} from {last})")
         last = f"s{k}"
@@ -91,11 +92,12 @@ def _license_sql() -> str:
     return f"""
     with known(id, sentence) as (values {known}),
     docs as (select doc_id, row_number() over () as nr, '  ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || '  ' as words from documents),
-    hits as (select nr, unnest(m) as sentence, generate_subscripts(m, 1) as place from (select nr, regexp_extract_all(words, '{pattern(SENTENCES)}', 1) as m from docs)),
+    hits as (select nr, unnest(m) as sentence, generate_subscripts(m, 1) as place from (select nr, regexp_extract_all(words, '{pattern(sentences)}', 1) as m from docs)),
     found as (select nr, string_agg(id, ',,' order by place) as ids, count(*) as n from hits join known using (sentence) group by nr),
     seq as (select doc_id, coalesce(n, 0)::int as n_sentences, ',' || coalesce(ids, '') || ',' as r0 from docs left join found using (nr)),
     {", ".join(steps)}
-    select doc_id, array_to_string(list_sort(list_distinct(list_filter([{", ".join(names)}], lambda x: x is not null))), ',') as licenses, n_sentences, ({" + ".join(hits)})::int as n_matches from {last}
+    select doc_id, array_to_string(case when len(list_filter(names, lambda x: x <> '{LAST_RESORT}')) > 0 then list_filter(names, lambda x: x <> '{LAST_RESORT}') else names end, ',') as licenses, n_sentences, n_matches
+    from (select doc_id, n_sentences, list_sort(list_distinct(flatten(list_transform(list_filter([{", ".join(names)}], lambda x: x is not null), lambda x: string_split(x, ','))))) as names, ({" + ".join(hits)})::int as n_matches from {last})
     """
 
 
