@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wardgrid.plans.fusion_queries import ORACLE_SQL as FUSION_SQL
+from wardgrid.plans.view_queries import ORACLE_SQL as VIEW_SQL
 
 EV = "ev as (select user_id as stay_id, ts as charttime, epoch_us(ts) as t, event_type as concept, value from events)"
 ST = f"{EV}, stays as (select stay_id % 100 as patient_id, stay_id, min(t) as a, max(t) as z, (max(t) - min(t)) / 3600000000.0 as los_hours, cast(floor(least((max(t) - min(t)) / 3600000000.0, 168)) as int) as mh from ev group by stay_id)"
@@ -55,6 +56,7 @@ _RUNS = f"{_MEDS}, run as (select g.stay_id, g.hour, drug, case when unit = 'mcg
 
 ORACLE_SQL: dict[str, str] = {
     **FUSION_SQL,
+    **VIEW_SQL,
     "attrition_report": f"with {DAY}, g(step, criterion) as (values (0, 'valid_times'), (1, 'los'), (2, 'measured_hours'), (3, 'gap'), (4, 'age'), (5, 'final')), c as (select step, criterion, (select count(*) from tag where f >= step or criterion = 'final') as n_before, (select count(*) from tag where f > step) as n_after from g) select step, criterion, n_before, n_after, n_before - n_after as n_dropped, round(case when n_before > 0 then 100.0 * (n_before - n_after) / n_before else 0 end, 2) as pct_dropped from c",
     "unit_convert": f"with {EV} select source, target, count(*) as n, round(sum(v), 4) as total from (" + " union all ".join(f"select '{a}' as source, '{b}' as target, {sql} as v from ev" for a, b, sql in _CONVERTED) + ") group by 1, 2",
     "urine_by_hour": f"with {AT} select stay_id, hour, {_num('sum(value)')} as urine from tt where concept = 'view' group by 1, 2",

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from wardgrid.functions import clean
 from wardgrid.operators import align, blocks, checks, cohort, derive, labels, metrics, models, prep, sofa, splits, streams
 from wardgrid.operators import timegrid as tg
-from wardgrid.plans import fusion_queries
+from wardgrid.plans import fusion_queries, view_queries
 from wardgrid.plans.adapters import CONCEPTS, codes, day_events, day_stays, events, intervals, order_stays, r6, scored, stays, table
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = dict(fusion_queries.QUERIES)
+QUERIES: dict[str, Query] = fusion_queries.QUERIES | view_queries.QUERIES
 HINTS = [("red", "warm"), ("ring", "round"), ("small", "little"), ("widget", "gadget")]
 HOW = {"click": "sum", "error": "any", "purchase": "first", "signup": "last", "view": "mode"}
 RANGES = [("click", "u1", 10.0, 40.0), ("error", "u2", 5.0, 60.0), ("view", None, None, 30.0)]
@@ -320,7 +320,7 @@ def cohort_findings(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def table_fingerprint(s: SparkSession, d: str) -> DataFrame:
-    return checks.fingerprint(table(s, d, "orders"))
+    return checks.fingerprint(table(s, d, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")).withColumn("o_orderdate", F.col("o_orderdate").cast("date")))
 
 
 @query
