@@ -579,3 +579,31 @@ def test_sharding_survives_a_crash_between_any_two_steps_of_a_commit(spark, tmp_
     assert sharding.read_manifest(spark, root, 0).agg(F.sum("n_rows")).first()[0] == 20
     with pytest.raises(FileExistsError):
         sharding.append(docs, root, 1)
+
+
+def test_lm_scores_learn_from_long_texts_alone(spark):
+    """Texts that are all longer than what the common start reads of one: the model still beats the base."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 300").select("doc_id", F.expr(f"repeat(text || ' ', cast({lm_scoring.START_CHARS} / length(text) as int) + 1)").alias("text"))
+    assert docs.agg(F.min(F.length("text"))).first()[0] > lm_scoring.START_CHARS
+    got = lm_scoring.score_texts(docs).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert got.score > got.base
+
+
+def test_toxic_rows_go_whole(spark):
+    """Columns beside id and text keep their names and values, also those that the operator uses itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("terms", F.lit("mine")).withColumn("th", F.col("doc_id") * 2).withColumn("row", F.lit(1))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.schema == docs.schema and "Join" not in kept._jdf.queryExecution().executedPlan().toString()
+    told = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert {r.doc_id for r in kept.collect()} == {d for d, p in told.items() if p == 0} and kept.where("terms <> 'mine' or th <> doc_id * 2").isEmpty()
+
+
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_rows_go_by_id_and_text(spark, monkeypatch, most):
+    from wardgrid.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    docs = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (None, "a", 3), (None, None, 4), (2, None, 5), (2, "a", 6)], "doc_id long, text string, th int")
+    gone = docs.where("th in (1, 3, 5)").select("doc_id", F.xxhash64("text").alias("th"))
+    assert sorted(r.th for r in common.without_rows(docs, gone.unionByName(gone)).collect()) == [2, 4, 6]

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BROADCAST_ROWS = 1_000_000  # keys of rows that are broadcast at once
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -55,8 +58,14 @@ def same_rows(left: DataFrame, right: DataFrame, *also: str) -> DataFrame:
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id (null equals null) and hash of text are not in gone (doc_id, th)."""
+    """The rows of docs, with all their columns, whose doc_id (null equals null) and hash of text are not in gone (doc_id, th).
+
+    Up to BROADCAST_ROWS of gone are sent to all tasks, so texts stay where they are; beyond that both sides are shuffled.
+    """
+    gone = staged(gone.select("doc_id", "th").distinct(), "gone")
+    few = gone.count() <= BROADCAST_ROWS
     gone = gone.select(F.struct("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th"))
+    gone = F.broadcast(gone) if few else gone
     return docs.join(gone, (F.struct(docs["doc_id"].alias("doc_id")) == gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_th"]), "left_anti")
 
 

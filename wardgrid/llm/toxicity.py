@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from wardgrid.llm.common import fold, let, staged, without_rows, words_of
+from wardgrid.llm.common import fold, let, staged, words_of
 
 DIMENSIONS = 1 << 20
 SAMPLE_TOXIC = 6000
@@ -145,7 +146,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Factor
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, th, score, predicted), one row per row of docs; th is the text's hash."""
+    """(doc_id, held_out, score, predicted), one row per row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -168,5 +169,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the machine does not reject, with all their columns. Each text is judged for itself, also where
-    rows share a doc_id or have none."""
-    return without_rows(docs, scored(docs, labels).where(F.col("predicted") == 1).select("doc_id", "th").distinct())
+    rows share a doc_id or have none. Rows pass the machine whole, so nothing is joined and no text is shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
+    schema = StructType([StructField("row", docs.schema)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, machine = model.value
+        for b in batches:
+            terms = b.column(1)
+            rows, at = presence(terms.offsets.to_numpy() - terms.offsets[0].as_py(), terms.flatten().to_numpy(), place)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(machine.scores(rows, at, len(b)) < 0.5))], ["row"])
+
+    ready = term_columns(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")).select("row", "terms")
+    return ready.mapInArrow(run, schema).select("row.*")
