@@ -607,3 +607,18 @@ def test_rows_go_by_id_and_text(spark, monkeypatch, most):
     docs = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (None, "a", 3), (None, None, 4), (2, None, 5), (2, "a", 6)], "doc_id long, text string, th int")
     gone = docs.where("th in (1, 3, 5)").select("doc_id", F.xxhash64("text").alias("th"))
     assert sorted(r.th for r in common.without_rows(docs, gone.unionByName(gone)).collect()) == [2, 4, 6]
+
+
+@pytest.mark.parametrize(("item", "text", "found"), [
+    ("A train travels 60 km in 2 hours. Alice then walks 5 km home in total", "A train travels 90 km in 3 hours. Robert then walks 8 km home in total", True),
+    ("Alice buys 3 apples today", "Tom buys 7 apples today", True),
+    ("Alice buys 3 apples today", "And so it goes. Tom buys 7 apples today. The end.", True),
+    ("Alice buys 3 apples today", "Then Tom buys 7 apples today", True),
+    ("Alice buys 3 apples today", "The buys 7 apples today", False),
+    ("Alice buys 3 apples today and Alice eats 2 of them at home tonight", "Tom buys 7 apples today and Ann eats 4 of them at home tonight", False),
+    ("Alice buys 3 apples today and Alice eats 2 of them at home tonight", "Tom buys 7 apples today and Tom eats 4 of them at home tonight", True),
+    ("The river runs down to the old sea", "Alice river runs down to the old sea", False),
+])
+def test_decontamination_reads_names_that_open_sentences(spark, item, text, found):
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert decontamination.leaks(spark.createDataFrame([(5, text)], "doc_id long, text string"), bench).isEmpty() != found

@@ -2,7 +2,8 @@
 
 Words are lower-cased runs of letters and digits. Numbers, units and names become typed placeholders: a word with a digit
 (3.5 and 1,000 are one word, 7km two) or of NUMBERS is <num>, one of UNITS or a sign for money or per cent is <unit>, and a
-word that starts with a capital inside a sentence is <name>; names in a row are one placeholder, and so are numbers in digits.
+word that starts with a capital is <name>, unless it opens a sentence and is one of OPENERS; names in a row inside a sentence are one
+placeholder, and so are numbers in digits. A name that opens a sentence is one placeholder by itself.
 Windows of WINDOW template words are hash-joined with those of the benchmark. Windows that stand alike in item and
 document form an alignment, whose slots must be consistent: equal values of the item are equal in the document; so a
 question with new numbers or names is caught, while text that merely has placeholders in the same places is not. Windows
@@ -36,6 +37,15 @@ UNITS = ["mm", "cm", "km", "kg", "mg", "ml", "mph", "kph", "hz", "khz", "mhz", "
 NUMBERS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "dozen", "half"]
 #: Signs that stand for a unit.
 SIGNS = {"%": "percent", "$": "dollars", "€": "euros", "£": "pounds"}
+#: Words that open sentences without being names.
+OPENERS = [
+    "a", "an", "the", "this", "that", "these", "those", "there", "it", "he", "she", "we", "you", "they", "i", "his", "her", "our", "my", "your", "their", "its", "if", "in", "on", "at", "by", "for", "from", "of",
+    "to", "and", "or", "but", "so", "as", "when", "where", "what", "which", "who", "whom", "whose", "why", "how", "is", "are", "was", "were", "do", "does", "did", "has", "have", "had", "can", "could", "will",
+    "would", "should", "may", "not", "no", "yes", "all", "each", "every", "some", "any", "many", "let", "given", "find", "after", "before", "during", "while", "with", "then", "now", "both",
+    "der", "die", "das", "ein", "eine", "es", "er", "sie", "wir", "ich", "im", "am", "auf", "aus", "bei", "mit", "nach", "von", "zu", "und", "oder", "aber", "wenn", "wann", "wo", "was", "wer", "wie", "ist", "sind",
+    "le", "la", "les", "un", "une", "des", "du", "de", "il", "elle", "nous", "vous", "ils", "et", "ou", "mais", "si", "quand", "que", "qui", "quel", "dans", "en", "sur", "avec", "pour", "est", "sont",
+    "el", "los", "las", "una", "del", "con", "por", "para", "y", "o", "pero", "cuando", "donde", "quien", "como", "es", "son",
+]
 JOINT = "\ue000"  # between the digits of one number, in place of its point or comma
 
 
@@ -60,9 +70,14 @@ def bare(word: Column) -> Column:
     return F.lower(F.when(word.startswith("."), F.substring(word, 2, 1 << 30)).otherwise(word))
 
 
+def opens_with_name(word: Column) -> Column:
+    """Whether the word opens a sentence with what may be a name."""
+    return word.rlike(r"^\.\p{Lu}") & ~bare(word).isin(OPENERS)
+
+
 def template(word: Column) -> Column:
     """The word, or the placeholder of its type: <num> by digits, <number> by name, <name>, <unit>."""
-    return F.when(word.rlike(r"\d"), "<num>").when(word.rlike(r"^\p{Lu}"), "<name>").when(bare(word).isin(UNITS), "<unit>").when(bare(word).isin(NUMBERS), "<number>").otherwise(bare(word))
+    return F.when(word.rlike(r"\d"), "<num>").when(word.rlike(r"^\p{Lu}") | opens_with_name(word), "<name>").when(bare(word).isin(UNITS), "<unit>").when(bare(word).isin(NUMBERS), "<number>").otherwise(bare(word))
 
 
 def digest(t: Column) -> Column:
@@ -74,28 +89,31 @@ def hashes(text: str) -> Column:
     """The hash of each template word; one for a run of names or of digits. The same as by template(), on the whole text at once."""
     digits = r" \.?[^ \d]*+\d[^ ]*+"
     numbered = F.regexp_replace(marked(text), f"{digits}(?:{digits})*+", " <num>")
-    named = F.regexp_replace(numbered, r" \p{Lu}[^ ]*+(?: \p{Lu}[^ ]*+)*+", " <name>")
+    inside = F.regexp_replace(numbered, r" \p{Lu}[^ ]*+(?: \p{Lu}[^ ]*+)*+", " <name>")
+    named = F.regexp_replace(inside, rf" \.(?!(?iu:{'|'.join(OPENERS)})(?: |$))\p{{Lu}}[^ ]*+", " <name>")
     low = F.replace(F.lower(named), F.lit(" ."), F.lit(" "))
     each = F.transform(F.split(F.substring(low, 2, 1 << 30), " "), lambda w: F.xxhash64(w))
     of = lambda listed: [F.xxhash64(F.lit(x)) for x in listed]
     return F.transform(each, lambda h: F.when(h.isin(*of(UNITS)), F.xxhash64(F.lit("<unit>"))).when(h.isin(*of(NUMBERS)), F.xxhash64(F.lit("<num>"))).otherwise(h))
 
 
-def run_starts(t: Column) -> Column:
-    """Where runs of template words start: names in a row are one, and so are numbers in digits."""
-    return F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)) | ~F.get(t, i).isin("<name>", "<num>"))
+def run_starts(found: Column, t: Column) -> Column:
+    """Where runs of template words start: names in a row inside a sentence are one, and so are numbers in digits."""
+    opener = lambda i: F.get(found, i).startswith(".")
+    apart = lambda i: (F.get(t, i) == "<name>") & (opener(i) | opener(i - 1))
+    return F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)) | ~F.get(t, i).isin("<name>", "<num>") | apart(i))
 
 
 def word_hashes(found: Column) -> Column:
     """hashes() of words that are cut already."""
-    return let(F.transform(found, template), lambda t: F.transform(run_starts(t), lambda i: digest(F.get(t, i))))
+    return let(F.transform(found, template), lambda t: F.transform(run_starts(found, t), lambda i: digest(F.get(t, i))))
 
 
 def slot_values(found: Column, places: Column) -> Column:
     """For each of places (at, width), with `values`: the slot values of that window of template words, in order."""
 
     def told(t: Column) -> Column:
-        return let(run_starts(t), lambda at: F.transform(places, lambda p: F.struct(p["at"].alias("at"), p["width"].alias("width"), window(t, at, p).alias("values"))))
+        return let(run_starts(found, t), lambda at: F.transform(places, lambda p: F.struct(p["at"].alias("at"), p["width"].alias("width"), window(t, at, p).alias("values"))))
 
     def window(t: Column, at: Column, p: Column) -> Column:
         slots = F.filter(F.sequence(p["at"], F.least(p["at"] + p["width"], F.size(at)) - 1), lambda j: F.get(t, F.get(at, j)).startswith("<"))

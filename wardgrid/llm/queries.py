@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardgrid.llm.chat import format_chats
 from wardgrid.llm.common import shared_dir, table
-from wardgrid.llm.decontamination import JOINT, MIN_WORDS, NUMBERS, SHARE, SIGNS, UNITS, VERBATIM_WORDS, WINDOW, leaks
+from wardgrid.llm.decontamination import JOINT, MIN_WORDS, NUMBERS, OPENERS, SHARE, SIGNS, UNITS, VERBATIM_WORDS, WINDOW, leaks
 from wardgrid.llm.hard_negatives import mine
 from wardgrid.llm.importance import resample
 from wardgrid.llm.licenses import LAST_RESORT, everything, pattern, scan_licenses
@@ -115,17 +115,17 @@ select conv_id, n_turns, n_copies, coalesce(n_prefixes, 0)::bigint as n_prefixes
 
 
 def _leak_sql() -> str:
-    units, numbers = (", ".join(f"'{u}'" for u in listed) for listed in (UNITS, NUMBERS))
+    units, numbers, openers = (", ".join(f"'{u}'" for u in listed) for listed in (UNITS, NUMBERS, OPENERS))
     plain = "coalesce(text, '')"
     for sign, name in SIGNS.items():
         plain = f"replace({plain}, '{sign}', ' {name} ')"
     apart = rf"regexp_replace(regexp_replace({plain}, '(\d)[.,](\d)', '\1{JOINT}\2', 'g'), '(\d)(\p{{L}})', '\1 \2', 'g')"
     words = rf"string_split(substring(rtrim(regexp_replace(regexp_replace('.' || {apart}, '[.!?:;\n][^\p{{L}}\p{{N}}]*', ' .', 'g'), '[^\p{{L}}\p{{N}}.{JOINT}]+', ' ', 'g'), ' .'), 2), ' ')"
     bare = "lower(ltrim(x, '.'))"
-    template = rf"case when regexp_matches(x, '\d') then '<num>' when regexp_matches(x, '^\p{{Lu}}') then '<name>' when {bare} in ({units}) then '<unit>' when {bare} in ({numbers}) then '<number>' else {bare} end"
+    template = rf"case when regexp_matches(x, '\d') then '<num>' when regexp_matches(x, '^\p{{Lu}}') or regexp_matches(x, '^\.\p{{Lu}}') and {bare} not in ({openers}) then '<name>' when {bare} in ({units}) then '<unit>' when {bare} in ({numbers}) then '<number>' else {bare} end"
     # t: template words; c: where runs start; h and v: template word and value of each run
     runs = lambda rows: f"""(select *, list_transform(c, lambda i: case t[i] when '<number>' then '<num>' else t[i] end) as h, list_transform(range(1, len(c) + 1), lambda j: array_to_string(list_transform(w[c[j]:coalesce(c[j + 1] - 1, len(w))], lambda x: {bare}), ' ')) as v
-        from (select *, list_filter(range(1, len(t) + 1), lambda i: i = 1 or t[i] <> t[i - 1] or t[i] not in ('<name>', '<num>')) as c from (select *, list_transform(w, lambda x: {template}) as t from {rows})))"""
+        from (select *, list_filter(range(1, len(t) + 1), lambda i: i = 1 or t[i] <> t[i - 1] or t[i] not in ('<name>', '<num>') or t[i] = '<name>' and (w[i][1] = '.' or w[i - 1][1] = '.')) as c from (select *, list_transform(w, lambda x: {template}) as t from {rows})))"""
     cut = lambda rows, key: f"select {key}, k, i as place, h[i:i + k - 1] as h, list_transform(list_filter(range(i, i + k), lambda j: h[j][1] = '<'), lambda j: v[j]) as v from (select *, unnest(range(1, len(h) - k + 2)) as i from {rows})"
     return f"""
     with texts as (select text, {words} as w from (select distinct text from benchmark where text is not null)),
