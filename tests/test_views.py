@@ -316,3 +316,45 @@ def test_raw_signals(spark):
     assert sorted(r.dose for r in streams.end_expiratory_pressures(settings, "eicu").collect()) == [0.0, 5.0, 25.0]
     runs = spark.createDataFrame([("p", "s", at(0), None)], "patient_id string, stay_id string, starttime timestamp, endtime timestamp")
     assert [(r.treatment, r.bound_stay_id, r.dose, r.origin) for r in streams.renal_replacement(runs, "omix").collect()] == [("rrt", "s", None, "rrt_raw")]
+
+
+def test_preprocess_with_static_columns(spark):
+    rows = spark.createDataFrame([("a", 0, 1.0, None), ("a", 1, None, None), ("b", 0, 3.0, None), ("c", 0, 9.0, None)], "stay_id string, hour int, x double, never double")
+    static = spark.createDataFrame([("a", 60.0, None), ("b", 80.0, 1.0), ("c", None, 0.0)], "stay_id string, age double, sex_male double")
+    train = spark.createDataFrame([("a",), ("b",)], "stay_id string")
+    got = {(r.stay_id, r.hour): r for r in prep.preprocess(rows, train, ["x", "never"], static=static).collect()}
+    assert [got[k].x for k in sorted(got)] == [0.0, 0.0, 1.0, 4.0] and {r.never for r in got.values()} == {0.0} and {r.never_is_null for r in got.values()} == {1}
+    assert [(got[k].age, got[k].sex_male) for k in sorted(got)] == [(0.0, 0.0), (0.0, 0.0), (1.0, 0.0), (0.5, -1.0)]
+
+
+def test_historical_hours_by_default(spark):
+    rows = [("a", T0 + m * H / 60, c, v) for m, c, v in [(1, "urine", 5.0), (2, "urine", 7.0), (3, "abx", 0.0), (4, "abx", 1.0), (5, "hr", 80.0), (6, "hr", 90.0)]]
+    got = {r.concept: r.value for r in prep.historical(spark.createDataFrame(rows, "stay_id string, charttime timestamp, concept string, value double")).collect()}
+    assert got == {"urine": 12.0, "abx": 1.0, "hr": 85.0}
+
+
+def test_codes_are_mapped_forward_before_they_are_grouped(spark):
+    from wardgrid.operators.derive import group_codes
+
+    codes = spark.createDataFrame([("038.9",), ("A41.9",), ("zzz1",), ("585",)], "code string")
+    groups = spark.createDataFrame([("A419", "SEP")], "code string, group string")
+    forward = spark.createDataFrame([("0389", "A419"), ("585", "N189")], "code string, new_code string")
+    assert sorted((r.code, r.group, r.group_source) for r in group_codes(codes, groups, forward).collect()) == [("038.9", "SEP", "map"), ("585", "N18", "root"), ("A41.9", "SEP", "map"), ("zzz1", "ZZZ", "root")]
+
+
+def test_baseline_equals_a_plain_fit(spark):
+    import numpy as np
+
+    from wardgrid.operators import models
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.7 * x[:, 0] - 1.2 * x[:, 1] + 0.3)))).astype(float)
+    rows = spark.createDataFrame([(int(i), float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "i int, a double, b double, label double")
+    got = {r.i: r.score for r in models.predict(models.fit_baseline(rows, ["a", "b"], "logistic", maxIter=200, tol=1e-10), rows).collect()}
+    design, w = np.hstack([x, np.ones((400, 1))]), np.zeros(3)
+    for _ in range(30):  # Newton's steps
+        p = 1 / (1 + np.exp(-design @ w))
+        w += np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]), design.T @ (y - p))
+    want = 1 / (1 + np.exp(-design @ w))
+    assert max(abs(got[i] - want[i]) for i in range(400)) < 1e-4

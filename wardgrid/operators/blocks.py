@@ -154,7 +154,7 @@ def merge_block(features: DataFrame, block: DataFrame, on: list[str], name: str)
 
 def drop_inadmissible(rows: DataFrame, task: str, leaks: DataFrame) -> DataFrame:
     """rows without those treatments that leak the task's label; leaks is (task, concept)."""
-    return rows.join(F.broadcast(leaks.where(F.col("task") == task).select(F.col("concept").alias("treatment")).distinct()), "treatment", "left_anti")
+    return rows.join(leaks.where(F.col("task") == task).select(F.col("concept").alias("treatment")).distinct(), "treatment", "left_anti")
 
 
 def hash_encoder(dim: int = 8) -> Callable[[list[str]], tuple[list[np.ndarray], list[int]]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardgrid.sources.staging import kept
+
 BUCKETS = 256
 
 
@@ -17,8 +19,9 @@ def _running(tied: DataFrame, order: str) -> DataFrame:
     """tied with upto_pos and upto_neg: sums over all scores up to this one in the given order.
 
     Scores are cut into BUCKETS ranges by approximate quantiles; sums of whole buckets come first, then a window in each
-    bucket, so no task holds all scores.
+    bucket, so no task holds all scores. tied is written once, as it is read three times.
     """
+    tied = kept(tied, "tied")
     cuts = tied.agg(F.percentile_approx(order, [k / BUCKETS for k in range(1, BUCKETS)], 10_000).alias("_cuts"))  # one row
     at = tied.join(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
     earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows

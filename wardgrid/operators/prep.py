@@ -97,11 +97,20 @@ def minmax_scale(rows: DataFrame, stats: DataFrame, columns: list[str]) -> DataF
     return with_stats(rows, stats).select(*[_scaled(c, F.col(f"{c}_min"), F.col(f"{c}_max") - F.col(f"{c}_min")) if c in columns else F.col(c) for c in rows.columns])
 
 
-def preprocess(rows: DataFrame, train: DataFrame, columns: list[str], history: bool = False) -> DataFrame:
-    """Mask, forward fill, train mean, train min-max; then expanding statistics of the scaled values if asked."""
-    stats = train_stats(rows, train, columns, median=False)
+def preprocess(rows: DataFrame, train: DataFrame, columns: list[str], history: bool = False, static: DataFrame | None = None, static_columns: list[str] | None = None) -> DataFrame:
+    """Mask, forward fill, train mean, train min-max; then expanding statistics of the scaled values if asked, and the static columns
+    (of static, one row per stay), filled and scaled alike. A column without train values is 0."""
+    stats = train_stats(rows, train, columns, median=False).fillna(0.0)
     ready = minmax_scale(impute(missing_mask(rows, columns), stats, columns, "mean"), stats, columns)
-    return history_features(ready, columns) if history else ready
+    ready = history_features(ready, columns) if history else ready
+    return ready if static is None else ready.join(scaled_static(static, train, static_columns or [c for c in static.columns if c != "stay_id"]), "stay_id", "left")
+
+
+def scaled_static(static: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
+    """(stay_id, columns): train mean where missing, then train min-max."""
+    stats = train_stats(static, train, columns, median=False).fillna(0.0)
+    filled = with_stats(static, stats).select("stay_id", *[F.coalesce(F.col(c).cast("double"), F.col(f"{c}_mean")).alias(c) for c in columns])
+    return minmax_scale(filled, stats, columns)
 
 
 def history_features(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -110,8 +119,13 @@ def history_features(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("*", *[f(c).over(so_far()).alias(f"{c}_{n}") for c in columns for f, n in made], *[F.row_number().over(in_order()).alias(f"{c}_count") for c in columns])
 
 
-def historical(events: DataFrame, how: dict[str, str], default: str = "median") -> DataFrame:
-    """(stay_id, hour_start, concept, value): clock-aligned hours, each concept by its own aggregate."""
+#: Aggregates of concepts whose hours are no medians.
+HOW = {"urine": "sum", "abx": "any"}
+
+
+def historical(events: DataFrame, how: dict[str, str] | None = None, default: str = "median") -> DataFrame:
+    """(stay_id, hour_start, concept, value): clock-aligned hours, each concept by its own aggregate (HOW if None)."""
+    how = HOW if how is None else how
     v, by = F.col("value").cast("double"), F.struct("charttime", "value")
     made = {"median": F.median(v), "mean": F.avg(v), "sum": F.sum(v), "any": F.max((F.col("value") != 0).cast("double")), "max": F.max(v), "min": F.min(v), "count": F.count(v).cast("double"), "first": F.min_by(v, by), "last": F.max_by(v, by), "mode": F.mode(v, True)}
     groups = events.groupBy("stay_id", F.date_trunc("hour", F.col("charttime").cast("timestamp")).alias("hour_start"), "concept").agg(*[x.alias(f"_{n}") for n, x in made.items() if n in {*how.values(), default}])
@@ -140,4 +154,4 @@ def class_weights(labels: DataFrame) -> DataFrame:
     """labels with weight n / (classes * count of its class)."""
     per = labels.groupBy("label").agg(F.count("*").alias("_n"))
     total = per.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
-    return labels.join(F.broadcast(per), "label").join(F.broadcast(total)).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
+    return labels.join(per, "label").join(F.broadcast(total)).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
