@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardgrid.functions import clean, source_rules
-from wardgrid.operators import align, blocks, derive, labels, metrics, prep, splits, streams, views
+from wardgrid.operators import align, blocks, derive, labels, metrics, prep, sofa, splits, streams, views
 from wardgrid.operators import timegrid as tg
 from wardgrid.plans.adapters import events, intervals, order_stays, r6, scored, stays, table
 from wardgrid.sources.eicu import TREATMENTS
@@ -238,6 +238,34 @@ def top_two_accuracy(s: SparkSession, d: str) -> DataFrame:
     return metrics.top_k_accuracy(rows, 2).select("n", r6("accuracy").alias("accuracy"))
 
 
+PRESSORS = ["Norepinephrine", "Dopamine HCl", "epinephrine", "Dobutamine"]
+MEASURED = [{"click": "plt", "error": "bili", "view": "urine", "purchase": "po2", "signup": "fio2"}, {"click": "tgcs", "error": "crea", "view": "map", "purchase": "po2", "signup": "fio2"}]
+
+
+def _pressors(s: SparkSession, d: str) -> DataFrame:
+    """Purchases as one of four drugs with a rate, signups as open vasopressin without one."""
+    dose = F.floor(tg.micros("starttime") / F.lit(1_000_000)) % 100 / 400.0
+    bought = F.col("drug") == "purchase"
+    return intervals(s, d).select("stay_id", "starttime", "endtime", F.when(bought, _pick("stay_id", PRESSORS)).otherwise("vasopressin").alias("drug"), F.lit("vasopressor").alias("drug_class"), dose.alias("dose"), F.when(bought, "mcg/kg/min").otherwise("mg").alias("dose_unit"))
+
+
+@query
+def pressor_rates_by_hour(s: SparkSession, d: str) -> DataFrame:
+    """All rates of vasopressors in each hour, and which kind runs."""
+    rates = ["dopamine", "norepinephrine", "epinephrine", "dobutamine_rate"]
+    return sofa.pressors_by_hour(_pressors(s, d), stays(s, d), tg.los_horizon()).select("stay_id", "hour", *[r6(c).alias(c) for c in rates], "strong", "dobutamine")
+
+
+@query
+def sofa_inputs_whole(s: SparkSession, d: str) -> DataFrame:
+    """Everything that the score takes, by stay and hour; what an event measures depends on the stay."""
+    named = [F.element_at(F.create_map(*[F.lit(x) for pair in m.items() for x in pair]), F.col("concept")) for m in MEASURED]
+    measured = events(s, d).withColumn("concept", F.when(F.col("stay_id") % 2 == 0, named[0]).otherwise(named[1]))
+    vents = intervals(s, d).where("drug = 'purchase'").select("stay_id", "starttime", "endtime", F.lit("mech_vent").alias("intervention"))
+    out = sofa.sofa_inputs(stays(s, d), measured, _pressors(s, d), vents, tg.los_horizon())
+    return out.select(*[c if t in ("boolean", "int", "bigint") else r6(c).alias(c) for c, t in out.dtypes])
+
+
 _EV = "ev as (select user_id as stay_id, ts as charttime, epoch_us(ts) as t, event_type as concept, value from events), st as (select stay_id, min(t) as a, max(t) as z, (max(t) - min(t)) / 3600000000.0 as los_hours, cast(floor(least((max(t) - min(t)) / 3600000000.0, 168)) as int) as mh from ev group by 1)"
 _GRID = f"{_EV}, grid as (select stay_id, a, unnest(range(0, mh + 1))::int as hour from st)"
 _DYN = f"{_GRID}, med as (select stay_id, cast(floor((t - a) / 3600000000.0) as int) as hour, median(value) filter (concept = 'click') as click, median(value) filter (concept = 'view') as view from ev join st using (stay_id) group by 1, 2), dyn as (select grid.stay_id, grid.hour, click, view from grid left join med using (stay_id, hour))"
@@ -256,6 +284,20 @@ def _class(name: str, hints: list[tuple[str, str]], test: str) -> str:
 
 
 _DRUG, _CODE, _SAID = _at("p_partkey", DRUGS), _at("p_partkey", CODES), _at("p_partkey", SAID)
+_RATED = f"""{_IV}, grid as (select stay_id, a, unnest(range(0, mh + 1))::int as hour from st), md as (select stay_id, s, e, case when drug = 'purchase' then {_at("stay_id", ["norepi", "dopa", "epi", "dobu"])} else 'other' end as kind, case when drug = 'purchase' then (s // 1000000 % 100) / 400.0 end as rate from iv),
+    run as (select g.stay_id, g.hour, kind, rate from grid g join md m on m.stay_id = g.stay_id and m.s < g.a + (g.hour + 1) * 3600000000::bigint and (m.e is null or m.e > g.a + g.hour * 3600000000::bigint)),
+    pr as (select stay_id, hour, max(rate) filter (kind = 'dopa') as dopamine, max(rate) filter (kind = 'norepi') as norepinephrine, max(rate) filter (kind = 'epi') as epinephrine, max(rate) filter (kind = 'dobu') as dobutamine_rate, bool_or(kind <> 'dobu') as strong, bool_or(kind = 'dobu') as dobutamine from run group by 1, 2)"""
+
+
+def _carried(concept: str) -> str:
+    return f"(select arg_max(value, (t, value)) from me where me.stay_id = g.stay_id and c = '{concept}' and t < g.a + (g.hour + 1) * 3600000000::bigint)"
+
+
+def _measured() -> str:
+    told = ["case concept " + " ".join(f"when '{a}' then '{b}'" for a, b in m.items()) + " end" for m in MEASURED]
+    return f"me as (select stay_id, t, value, case when stay_id % 2 = 0 then {told[0]} else {told[1]} end as c from ev)"
+
+
 _GRIDRUN = """c as (select case event_type when 'click' then 'los' when 'view' then 'kidney_function' else event_type end as task, 'd' || user_id % 2 as dataset, 'm' || user_id % 3 || (['', '__icd', '__abl_x', '-ft'])[user_id % 4 + 1] as model, value from events),
     g as (select task, dataset, model, avg(value) as mean, coalesce(stddev_samp(value), 0) as std, count(*) as n, case task when 'los' then 168.0 when 'kidney_function' then 15.0 end as k from c group by 1, 2, 3)"""
 
@@ -321,6 +363,12 @@ ORACLE_SQL: dict[str, str] = {
     "run_grid": f"with {_GRIDRUN} select task, dataset, model, round(mean, 6) as mean, round(std, 6) as std, round(mean / k, 6) as scaled_mean, round(std / k, 6) as scaled_std, n, n < (select max(n) from g) as under_seeded, 1::bigint as n_fold_shas from g",
     "flat_run_grid": f"with {_GRIDRUN} select task, dataset, replace(model, '__', '+') as label, 'MAE' as metric, round(mean, 6) as seed_mean, n as n_seeds from g where not contains(model, '-ft') and not contains(model, 'abl')",
     "top_two_accuracy": "with s as (select quality as y, round(least(n_chars / 4000.0, 1.0), 2) as p from labels join documents using (doc_id)), r as (select y, [1 - p, p, 0.5] as s from s) select count(*) as n, round(avg((len(list_filter(range(1, 4), lambda i: s[i] > s[y + 1] or (s[i] = s[y + 1] and i < y + 1))) < 2)::int), 6) as accuracy from r where y is not null",
+    "pressor_rates_by_hour": f"with {_RATED} select stay_id, hour, round(dopamine, 6) as dopamine, round(norepinephrine, 6) as norepinephrine, round(epinephrine, 6) as epinephrine, round(dobutamine_rate, 6) as dobutamine_rate, strong, dobutamine from pr",
+    "sofa_inputs_whole": f"""with {_RATED}, {_measured()}, c as (select g.stay_id, g.hour, g.a, {_carried("plt")} as platelets, {_carried("bili")} as bilirubin, {_carried("tgcs")} as gcs, {_carried("crea")} as creatinine, {_carried("map")} as mean_pressure, {_carried("po2")} as po2, {_carried("fio2")} as fio2,
+        (select sum(value) from me where me.stay_id = g.stay_id and c = 'urine' and floor((t - g.a) / 3600000000.0) between greatest(g.hour - 23, 0) and g.hour) as urine24,
+        exists (select 1 from iv where iv.stay_id = g.stay_id and drug = 'purchase' and s < g.a + (g.hour + 1) * 3600000000::bigint and e > g.a + g.hour * 3600000000::bigint) as ventilated from grid g)
+        select c.stay_id, c.hour, round(platelets, 6) as platelets, round(bilirubin, 6) as bilirubin, round(gcs, 6) as gcs, round(creatinine, 6) as creatinine, round(mean_pressure, 6) as mean_pressure, round(case when fio2 > 0 then po2 / (fio2 / 100.0) end, 6) as pafi, ventilated, round(urine24, 6) as urine24,
+        round(dopamine, 6) as dopamine, round(norepinephrine, 6) as norepinephrine, round(epinephrine, 6) as epinephrine, coalesce(strong, false) as strong, coalesce(dobutamine, false) or dobutamine_rate is not null as dobutamine from c left join pr using (stay_id, hour)""",
     "table_fingerprint": """with r as (select [coalesce(strlen(o_custkey::varchar) || ':' || o_custkey, '-1:'), coalesce(strlen(o_orderdate::date::varchar) || ':' || o_orderdate::date, '-1:'), coalesce(strlen(o_orderkey::varchar) || ':' || o_orderkey, '-1:'), coalesce(strlen(o_orderpriority) || ':' || o_orderpriority, '-1:'), coalesce(strlen(o_orderstatus) || ':' || o_orderstatus, '-1:'), coalesce(strlen(o_totalprice::decimal(18, 2)::varchar) || ':' || o_totalprice::decimal(18, 2), '-1:')] as c from orders)
         select count(*) as n_rows, coalesce(sum(('0x' || md5(array_to_string(c, ''))[1:15])::hugeint), 0)::varchar as digest from r""",
     "cohort_findings": f"""with {_DYN}, o as (select stay_id, min(t) as o from ev where concept = 'signup' group by 1), outc as (select g.stay_id, (coalesce(abs(g.hour - floor((o - a) / 3600000000.0)) <= 6, false))::int as v from grid g left join o using (stay_id) where g.stay_id % 10 <> 3),
