@@ -81,6 +81,8 @@ def test_reduction_does_not_see_held_out_rows(spark):
     assert np.allclose(a.axes, b.axes) and np.allclose(a.mean, b.mean)
     with pytest.raises(ValueError, match="no train stay"):
         fusion.fit_reduction(frame.limit(0), "v", 2)
+    with pytest.raises(ValueError, match="differ in length"):
+        fusion.fit_reduction(spark.createDataFrame([(1, [2.0, 2.0]), (2, [1.0])], "i long, v array<double>"), "v", 2)
     flat = fusion.fit_reduction(spark.createDataFrame([(1, [2.0, 2.0])], "i long, v array<double>"), "v", 2)
     assert flat.scale.tolist() == [1.0] and flat.total == 0
 

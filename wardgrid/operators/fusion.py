@@ -59,6 +59,25 @@ def _products(rows: DataFrame, vector: str, mean: np.ndarray) -> np.ndarray:
     return np.array([r.s for r in sums.orderBy("i").collect()])  # dimensions by dimensions
 
 
+def _sums(rows: DataFrame, vector: str) -> DataFrame:
+    """(pos, n, s): how many vectors have each position, and their sum there. Each task adds up its own, one row a position."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(0, np.int64), np.zeros(0)
+        for b in batches:
+            if len(b):
+                ends = b.column(0).offsets.to_numpy()
+                place = np.arange(ends[-1] - ends[0]) - np.repeat(ends[:-1] - ends[0], np.diff(ends))
+                most = max(int(np.diff(ends).max()), len(n))
+                n, total = np.pad(n, (0, most - len(n))), np.pad(total, (0, most - len(total)))
+                n += np.bincount(place, minlength=most)
+                total += np.bincount(place, b.column(0).flatten().to_numpy(zero_copy_only=False), most)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n), pa.array(total)], ["pos", "n", "s"])
+
+    each = rows.select(F.col(vector).cast("array<double>")).mapInArrow(partial, "pos int, n long, s double")
+    return each.groupBy("pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
 def fit_reduction(train: DataFrame, vector: str, components: int | None) -> Reduction:
     """Principal components of the vectors of train, each to be scaled to a deviation of 1; None: every dimension for itself.
 
@@ -66,12 +85,12 @@ def fit_reduction(train: DataFrame, vector: str, components: int | None) -> Redu
     without a vector are left out; no row is an error, as fitting on others would leak.
     """
     known = train.where(F.col(vector).isNotNull())
-    sums = known.select(F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "x")).groupBy("pos").agg(F.count("*").alias("n"), F.avg("x").alias("mean")).orderBy("pos").collect()  # one row a dimension
+    sums = _sums(known, vector).orderBy("pos").collect()  # one row a dimension
     if not sums:
         raise ValueError("no train stay has a vector")
     if len({r.n for r in sums}) > 1:
         raise ValueError("vectors differ in length")
-    n, mean = sums[0].n, np.array([r.mean for r in sums])
+    n, mean = sums[0].n, np.array([r.s / r.n for r in sums])
     products = _products(known, vector, mean)
     spread = np.diag(products) / n
     if components is None:
