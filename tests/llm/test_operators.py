@@ -446,6 +446,26 @@ def test_neighbours(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.search(mixed, exact=True).collect()) == got
 
 
+@pytest.mark.parametrize("kind", ["offset", "copies", "tails"])
+def test_neighbours_that_codes_cannot_tell_apart(spark, kind):
+    rng = np.random.default_rng(4)
+    n, d = 3000, 32
+    if kind == "offset":  # a large part that all share, beside a small one that ranks them
+        x = np.where(np.arange(d) < 2, 40.0, 0.0) + rng.normal(0, 0.02, (n, d))
+    elif kind == "copies":  # three places with 1,000 vectors each, closer than codes are apart
+        x = rng.normal(0, 1, (3, d))[np.arange(n) % 3] + rng.normal(0, 1e-3, (n, d))
+    else:
+        x = rng.standard_t(1.5, (n, d))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict[int, list[int]] = {}
+    for r in neighbours.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for i in range(0, n, 20):
+        score = x @ x[i]
+        score[i] = -np.inf
+        assert np.allclose(score[got[i]], np.sort(score)[::-1][:20], rtol=1e-12, atol=0), (kind, i)
+
+
 def test_neighbours_visit_as_many_lists_as_recall_needs(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LIST_ROWS", 100)  # 60 lists, as a table of 245,760 rows has
     x = np.random.default_rng(5).normal(size=(6000, 32))

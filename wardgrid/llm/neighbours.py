@@ -3,7 +3,8 @@
 Vectors are quantised by product codes of four bits per two dimensions. Codebooks and codes minimise a loss that
 weighs the residual along the vector PARALLEL times as much as the rest, as that part is what errs in large inner
 products. Vectors are dealt to lists by their nearest coarse centre; a query visits its best lists, scans their codes
-with a table of partial products in small integers, and ranks the RERANK best of each block by exact products.
+by the products of the vectors that they stand for, and computes exactly the RERANK best of each block, then every other row
+whose code, with the length of its residual, does not rule it out. So within the lists that a query visits nothing is lost.
 
 How many lists a query visits is measured, not set: the true neighbours of CHECKED queries are found by brute force over
 all rows, and the least number of lists (PROBES or more, up to all) that hold the share FOUND of them is taken. A query
@@ -36,6 +37,8 @@ FOUND = 0.98
 RERANK = 240
 BLOCK, QUERIES = 8192, 4096
 CHUNK = 128  # queries whose products with a block are held at once
+PAIRS = 4_000_000  # components of pairs that are multiplied at once
+DENSE = 0.05  # share of pairs left by their codes from which a product of matrices costs less than the pairs
 PARALLEL = 4.0
 CODES = 16
 WIDTH = 2
@@ -112,16 +115,54 @@ class Quantiser:
         products = self.padded(x) @ self.centres.T
         return np.argsort(-products, axis=1, kind="stable")[:, :probes]
 
-    def scan(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Approximate products as sums of 8-bit table entries, (queries, candidates)."""
-        sub = self.padded(queries).reshape(len(queries), self.parts, WIDTH)
-        table = np.einsum("qsd,skd->sqk", sub, self.books)
-        step = np.abs(table).max((0, 2)) / 127 + 1e-30
-        small = np.rint(table / step[None, :, None]).astype(np.int16)
-        out = np.zeros((len(queries), len(codes)), np.int16 if self.parts <= 256 else np.int32)
-        for s in range(self.parts):
-            out += small[s][:, codes[:, s]]
-        return out
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return self.books[np.arange(self.parts), codes].reshape(len(codes), -1)
+
+
+def pair_products(q: np.ndarray, x: np.ndarray, at: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """q[at] . x[found], pair by pair, so that equal vectors have equal products, which a product of matrices does not promise."""
+    step = max(1, PAIRS // x.shape[1])
+    return np.concatenate([np.zeros(0), *(np.einsum("nd,nd->n", q[at[s : s + step]], x[found[s : s + step]]) for s in range(0, len(at), step))])
+
+
+def kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row; minus infinity if there are fewer."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+
+def nearest(q: np.ndarray, x: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int, coded: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row of x, product) of the k largest products of each query that reach its floor; equal ones go to the earlier row.
+
+    coded is (decoded vectors as columns, how far each is from its own). A product errs by no more than the lengths of the
+    query and of that gap allow. The RERANK best by codes are computed first; their k-th product leaves out every row that cannot
+    reach it, and what is left is computed exactly. So codes save work, but lose no row. None: all rows are computed.
+    """
+    length = np.linalg.norm(q, axis=1)
+    blur = 1e-12 * length * np.linalg.norm(x, axis=1).max(initial=0)  # rounding of sums
+    open_ = ~own
+    if coded is not None:
+        told = q @ coded[0]
+        told[own] = -np.inf
+        if len(x) > RERANK:
+            top = np.argpartition(told, len(x) - RERANK, axis=1)[:, len(x) - RERANK :]
+            some = pair_products(q, x, np.repeat(np.arange(len(q)), RERANK), top.ravel()).reshape(top.shape)
+            some[np.take_along_axis(own, top, 1)] = -np.inf
+            floor = np.maximum(floor, kth(some, k) - blur)
+        told += length[:, None] * coded[1] + blur[:, None]
+        open_ &= told >= floor[:, None]
+    if open_.mean() > DENSE:
+        products = np.where(open_, q @ x.T, -np.inf)
+        floor = np.maximum(floor, kth(products, k) - 2 * blur)
+        open_ &= products >= (floor - blur)[:, None]
+    at, found = np.nonzero(open_)
+    score = pair_products(q, x, at, found)
+    order = np.lexsort((found, -score, at))
+    at, found, score = at[order], found[order], score[order]
+    keep = (np.arange(len(at)) - np.searchsorted(at, at) < k) & (score >= floor[at])
+    return at[keep], found[keep], score[keep]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -219,23 +260,14 @@ def search_one(good: DataFrame, every: int, k: int, exact: bool) -> DataFrame:
         packed = np.stack([np.frombuffer(c, np.uint8) for c in right.column("codes").to_pylist()])
         codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(ids), -1)[:, : model.value.parts]
         names, q, floor = left.column("query_id").to_numpy(), matrix(left.column("q").combine_chunks()), left.column("floor").to_numpy()
+        near = model.value.decode(codes)
+        err = np.linalg.norm(model.value.padded(x) - near, axis=1)
+        near = near[:, : x.shape[1]].T
         out = [none]
         for i in range(0, len(names), CHUNK):
-            own, asked = names[i : i + CHUNK], q[i : i + CHUNK]
-            if exact:
-                top = np.broadcast_to(np.arange(len(ids)), (len(own), len(ids)))
-                product = asked @ x.T
-            else:
-                # equal scores go to the smaller vec_id, as candidates are in that order
-                keys = model.value.scan(asked, codes).astype(np.int64) * len(ids) - np.arange(len(ids))
-                keys[own[:, None] == ids[None, :]] = np.iinfo(np.int64).min
-                top = np.argpartition(-keys, min(RERANK, len(ids)) - 1, axis=1)[:, :RERANK]
-                product = np.einsum("qd,qrd->qr", asked, x[top])
-            product = np.where((own[:, None] == ids[top]) | (product < floor[i : i + CHUNK, None]), -np.inf, product)
-            order = np.lexsort((ids[top], -product), axis=1)[:, :k]
-            score, found = np.take_along_axis(product, order, 1), np.take_along_axis(ids[top], order, 1)
-            keep = np.isfinite(score)
-            out.append(pa.table({"query_id": np.repeat(own, keep.sum(1)), "vec_id": found[keep], "score": score[keep]}))
+            own = names[i : i + CHUNK, None] == ids[None, :]
+            at, found, score = nearest(q[i : i + CHUNK], x, own, floor[i : i + CHUNK], k, None if exact else (near, err))
+            out.append(pa.table({"query_id": names[i : i + CHUNK][at], "vec_id": ids[found], "score": score}))
         return pa.concat_tables(out)
 
     def visit(questions: DataFrame, first: int, last: int) -> DataFrame:
