@@ -143,6 +143,25 @@ def test_splits_hold_invariants(spark):
         splits.nested_splits(st, outer=1)
 
 
+def test_splits_are_spread_behind_their_joins(spark):
+    st = spark.createDataFrame([(p, 10 * p, p % 2) for p in range(30)], "patient_id long, stay_id long, label int")
+    for rows in (splits.nested_splits(st), splits.stay_splits(st)):
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("Generate")
+        assert len(plan) == 2 and "Exchange" not in plan[0]  # what is above the only one in the tree
+
+
+def test_leaks_and_gaps_are_found_at_their_fold(spark):
+    st = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (3, 30)], "patient_id long, stay_id long")
+    held = {70: [(10, "train"), (11, "test"), (20, "val"), (99, "val")], 3: [(10, "val"), (11, "val"), (20, "test"), (30, "train")]}
+    rows = [(cell // 10, cell % 10, stay, split) for cell, found in held.items() for stay, split in found]
+    parts = spark.createDataFrame(rows, "rep int, fold int, stay_id long, split string")
+    for shape in (None, (8, 10)):  # 80 folds are more than one word has bits
+        assert [tuple(r) for r in splits.leaking_patients(parts, st, shape).collect()] == [(7, 0, 1)]
+        assert sorted(tuple(r) for r in splits.unsplit_stays(parts, st, shape).collect()) == [(0, 3, 0, 0), (7, 0, 1, 1)]
+    with pytest.raises(Exception, match="unknown rep, fold or split"):
+        splits.leaking_patients(parts, st, (2, 5)).collect()
+
+
 def test_findings_and_fingerprint(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 1.0), (2, 1.0)], "stay_id int, x double")
     assert [r.check for r in checks.key_findings(a, ["stay_id"], "sta").collect()] == ["duplicate_sta"]

@@ -307,8 +307,8 @@ def patient_splits(s: SparkSession, d: str) -> DataFrame:
 def patient_split_check(s: SparkSession, d: str) -> DataFrame:
     st = order_stays(s, d)
     parts = splits.nested_splits(st)
-    leaks = splits.leaking_patients(parts, st).agg(F.count("*").alias("n_leaking"))
-    return splits.unsplit_stays(parts, st).join(F.broadcast(leaks))
+    leaks = splits.leaking_patients(parts, st, (5, 5)).agg(F.count("*").alias("n_leaking"))
+    return splits.unsplit_stays(parts, st, (5, 5)).join(F.broadcast(leaks))
 
 
 @query
