@@ -193,7 +193,7 @@ def folds_by_label(s: SparkSession, d: str) -> DataFrame:
 @query
 def stay_level_splits(s: SparkSession, d: str) -> DataFrame:
     """Splits of orders that do not look at customers: their sizes and who is where."""
-    return splits.fold_manifest(splits.stay_splits(order_stays(s, d)))
+    return splits.stay_manifest(order_stays(s, d))
 
 
 @query
