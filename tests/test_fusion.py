@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardgrid.operators import blocks, fusion
+from wardgrid.sources import staging
 
 
 def close(a, b, digits=5):
@@ -218,3 +219,19 @@ def test_as_of_hours_takes_the_latest_state(spark):
     got = {(r.stay_id, r.hour): r.v for r in fusion.as_of_hours(states, grid, "v").collect()}
     assert got == {("a", 0): 1, ("a", 1): 1, ("a", 2): 2, ("a", 3): 3, ("a", 4): 3}
     assert fusion.as_of_hours(states, grid, "v").groupBy().agg(F.count("*")).first()[0] == 5
+
+
+def test_wide_vectors_are_dealt_to_more_parts(spark, monkeypatch):
+    """A task's memory is in proportion to components, not to rows."""
+    parts: list[int] = []
+
+    def spied(df, name):
+        out = staging.kept(df, name)
+        parts.append(out.select("_part").distinct().count())
+        return out
+
+    monkeypatch.setattr(blocks, "kept", spied)
+    rows = spark.range(600).select((F.col("id") % 7).alias("k"), F.col("id").cast("double").alias("t"), F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: (i * F.col("id") % 11).cast("double")).alias("embedding"))
+    got = {(r.k, r.at): r.pooled for r in blocks.running_pool(rows, "k", "t", float("inf")).where("k = 3").collect()}
+    assert parts[0] >= 3
+    assert np.allclose(got[3, 17.0], [np.mean([i * t % 11 for t in (3, 10, 17)]) for i in range(1, 2001)])

@@ -51,7 +51,8 @@ def mean_pool(vectors: DataFrame, key: str, vector: str = "embedding", at: str |
     return cells.groupBy(key, "pos").agg((F.sum(F.col("_w") * F.col("x").cast("double")) / F.sum("_w")).alias("value"))
 
 
-PART_ROWS = 20_000  # vectors of one task of a running pool, about
+PART_ROWS = 20_000  # vectors of one task of a running pool at most, about
+PART_NUMBERS = 320_000  # and components of these together: a task holds several copies of them in double precision
 LANES = 64  # dimensions carried together between parts
 
 
@@ -75,13 +76,14 @@ def running_pool(vectors: DataFrame, key: str, at: str, half_life: float, vector
     """(key, at, pooled): mean of all vectors of a key up to each time, weighted 2^((time - now) / half_life).
 
     A half-life of infinity is the plain running mean, of 0 the mean of the latest time alone. Rows of one time count together;
-    those without a key, a time or a vector are left out. Rows are dealt to parts of about PART_ROWS by ranges of (key, time), so
+    those without a key, a time or a vector are left out. Rows are dealt to parts of about PART_ROWS, or of PART_NUMBERS components, by ranges of (key, time), so
     a key may be spread over many tasks: each part folds its first and last key to a sum and a weight, these are carried along
     the key's parts, LANES dimensions at a time, and each part then scans its rows with what came before.
     """
     kind = vectors.schema[key].dataType.simpleString()
     ready = vectors.where(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(at).cast("double").alias("_at"), F.col(vector).cast("array<double>").alias("_x"))
-    parts = max(1, -(-ready.count() // PART_ROWS))
+    n, wide = ready.agg(F.count("*"), F.max(F.size("_x"))).first()
+    parts = max(1, -(-n // min(PART_ROWS, max(1, PART_NUMBERS // max(1, wide or 1)))))
     dealt = kept(ready.repartitionByRange(parts, key, "_at").withColumn("_part", F.spark_partition_id()), "ranges")
 
     def opened(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
