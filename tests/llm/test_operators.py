@@ -446,6 +446,19 @@ def test_neighbours(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.search(mixed, exact=True).collect()) == got
 
 
+def test_attention_is_fitted_on_every_window(monkeypatch):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        scorer = lm_scoring.Scorer(f.read(), [("\n", 40), ("a", 100), ("bc", 50)], 200.0)
+    seen, plain = [], lm_scoring.AttentionModel.gradient
+    monkeypatch.setattr(lm_scoring.AttentionModel, "gradient", lambda self, window, first, nxt, there: seen.append((len(window), int(there.sum()))) or plain(self, window, first, nxt, there))
+    texts = ["a bc " * n for n in range(1, 400)]
+    windows = scorer.learn(texts, scorer.heat(), np.random.default_rng(1))
+    assert windows == sum(n for n, _ in seen) == sum(-(-(2 * n + 1) // lm_scoring.STRIDE) for n in range(1, 400))
+    assert sum(n for _, n in seen) == sum(2 * n + 1 for n in range(1, 400))  # one id a word and the end
+
+
 @pytest.mark.parametrize("kind", ["offset", "copies", "tails"])
 def test_neighbours_that_codes_cannot_tell_apart(spark, kind):
     rng = np.random.default_rng(4)

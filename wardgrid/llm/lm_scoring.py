@@ -14,9 +14,10 @@ spelling's, which is what it gets. So the probabilities of the training words an
 
 All training rows (crc32(doc_id as text) mod 7 is not 2) are learnt from, whole: word counts in one pass, the model in
 another. In that pass each task starts from the same model, reads its rows once, adds up expected counts of ids and words
-for each class over every window, and takes gradient steps for the attention on each GRADIENT_EVERY-th batch of windows;
+for each class over every window, and takes gradient steps for the attention on every window;
 sums are then added and weights averaged over all tasks, by keys. The common start is a short fit on at most START_DOCS texts, of
-long ones a stretch of START_CHARS, without which the classes of two tasks would not mean the same. The share of rare words is joined in, never cut off:
+long ones a stretch of START_CHARS, without which the classes of two tasks would not mean the same; none of its counts stays
+in the model, and its texts are learnt from whole in the pass like all others. The share of rare words is joined in, never cut off:
 HEAD only says how many frequent words are sent to all tasks, so that no key of that join is heavy.
 
 Null text counts as empty (one token, the end). Repeated rows give repeated results and count as often in training;
@@ -47,7 +48,6 @@ TOP = 20_000  # words with a distribution per class
 CLASSES, DEPTH = 32, 16
 STRIDE = 16
 EPOCHS = 2
-GRADIENT_EVERY = 8  # batches of windows per gradient step in the pass over all rows; expected counts are of every window
 PRIOR = 5.0  # ids that the share of all classes counts for in a class
 WORD_PRIOR = 2000.0
 RARE = pa.list_(pa.struct([("word", pa.string()), ("p", pa.float64())]))
@@ -288,9 +288,9 @@ class Scorer:
         last = len(self.by_class) - 1
         return np.where((at >= 0) & (at < last), at, last)
 
-    def learn(self, texts: list[str], every: int, heat: dict[str, np.ndarray], rng: np.random.Generator, rate: float = 0.05, batch: int = 128) -> int:
-        """Adds the expected counts of all windows of some texts, then takes a gradient step on each every-th batch of them,
-        chosen at random. Returns how many windows there were."""
+    def learn(self, texts: list[str], heat: dict[str, np.ndarray], rng: np.random.Generator, rate: float = 0.05, batch: int = 128) -> int:
+        """Adds the expected counts of all windows of some texts, then takes gradient steps on all of them, in batches dealt at
+        random. Returns how many windows there were."""
         split = [[*words(t), END] for t in texts]
         at, p, before, ids, per, sums, blames = self.parts(split, self.without_self, True)
         blame = p * self.weights
@@ -306,7 +306,7 @@ class Scorer:
         here, nxt, real = np.zeros((len(first), STRIDE), np.int64), np.zeros((len(first), STRIDE), np.int64), np.zeros((len(first), STRIDE), bool)
         here.ravel()[place], nxt.ravel()[place], real.ravel()[place] = before, ids, True
         order = rng.permutation(len(first))
-        for i in range(0, -(-len(order) // every), batch):
+        for i in range(0, len(order), batch):
             some = order[i : i + batch]
             n = np.float32(max(real[some].sum(), 1))
             grad = model.gradient(np.concatenate([here[some - 1], here[some]], 1), first[some], nxt[some].ravel(), real[some].ravel())  # the step before a text's first one is masked
@@ -336,7 +336,7 @@ class Scorer:
                 self.seen *= np.float32(0.2)
                 self.word_seen *= np.float32(0.2)
             for s, e in blocks(texts, 60_000):
-                self.learn(texts[s:e], 1, heat, rng)
+                self.learn(texts[s:e], heat, rng)
         return self
 
     def state(self) -> tuple:
@@ -452,7 +452,7 @@ def learn_all(train: DataFrame, scorer: Scorer, words_told: Broadcast) -> Scorer
         def flush() -> None:
             nonlocal windows, size
             before = own.seen.sum(1)
-            windows += own.learn(waiting, GRADIENT_EVERY, heat, rng)
+            windows += own.learn(waiting, heat, rng)
             visits[:] += np.maximum(own.seen.sum(1) - before, 0)
             waiting.clear()
             size = 0
