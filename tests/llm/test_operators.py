@@ -281,6 +281,13 @@ def test_decontamination_finds_all_verbatim_passages(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == want
 
 
+def test_decontamination_cuts_a_text_once_for_all_its_slots(spark):
+    rows = spark.createDataFrame([("Ann had 7 km and 9 kg of 12 eggs", [(0, 8)])], "text string, places array<struct<at:int,width:int>>")
+    found = rows.select(decontamination.slots_of("text", F.col("places")).alias("v"))
+    assert found.first().v[0]["values"] == ["ann", "7", "km", "9", "kg"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_decontamination_finds_short_items_inside_documents(spark):
     items = [(1, "The red fox owns 12 hens"), (2, "Where does the old river meet the sea?"), (3, "which road leads over hills")]
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -122,6 +122,11 @@ def slot_values(found: Column, places: Column) -> Column:
     return let(F.transform(found, template), told)
 
 
+def slots_of(text: str, places: Column) -> Column:
+    """slot_values() of a text. Its words are cut once: as a plain column they would be cut again for each slot."""
+    return let(words(text), lambda found: slot_values(found, places))
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item, key, h, width, place, turned, given, need): windows of each benchmark text, their slot values, and how many make a leak.
 
@@ -169,7 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if known.count() <= BROADCAST_KEYS:  # else the join below shuffles all texts, once
         again = again.join(F.broadcast(known), "th", "left_semi")
     texts = same_rows(again, asked)
-    told = texts.select("doc_id", "th", F.explode(slot_values(words("text"), F.col("places"))).alias("v")).select("doc_id", "th", "v.*").distinct()
+    told = texts.select("doc_id", "th", F.explode(slots_of("text", F.col("places"))).alias("v")).select("doc_id", "th", "v.*").distinct()
     placed = same_rows(hits, told, "at", "width")
     met = placed.withColumnRenamed("values", "found").join(bench.drop("width"), "key")
     # the first word of a turned window is a slot by its place only, so it must be the item's own
