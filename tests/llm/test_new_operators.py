@@ -121,6 +121,26 @@ def test_hard_negatives(spark, monkeypatch, tile):
     assert got == brute_mine(rows) and len(got) > 200
 
 
+def test_hard_negatives_search_together(monkeypatch):
+    """Work in Python is by groups of anchors, not by anchor and node; what is found is what a plain scan finds."""
+    rng = np.random.default_rng(8)
+    x, labels, q = rng.integers(-300, 300, (1000, 12)), rng.integers(0, 4, 1000), rng.integers(-300, 300, (60, 12))
+    tree = hard_negatives.RTree(labels, x)
+    ids, keys, own = tree.order.copy(), tree.order * 7, (np.arange(60) * 3, np.arange(60) * 21)
+    calls, plain = [], hard_negatives.intervals
+    monkeypatch.setattr(hard_negatives, "intervals", lambda q, low, high: calls.append(len(q)) or plain(q, low, high))
+    of = np.repeat(np.arange(60), 2)
+    floor, top = np.tile([-(2**62), 20_000], 60), np.tile([2**62, 90_000], 60)
+    for same in (True, False):
+        at, row, score = hard_negatives.best_first(tree, tree.x.astype(float), ids, keys, own, q.astype(float), np.arange(60) % 4, same, of, floor, top, 3)
+        for w in range(len(of)):
+            a = of[w]
+            scores = x @ q[a]
+            fits = [(-scores[i], i) for i in range(1000) if (labels[i] == a % 4) == same and i != own[0][a] and floor[w] <= scores[i] <= top[w]]
+            assert list(zip(score[at == w], ids[row[at == w]], strict=True)) == [(-s, i) for s, i in sorted(fits)[:3]]
+    assert len(calls) <= 2 * 2 * 4 and set(calls) == {60}
+
+
 def test_hard_negatives_of_few_rows(spark):
     assert hard_negatives.mine(vectors(spark, [])).count() == 0
     assert hard_negatives.mine(vectors(spark, [(50, [1.0, 1.0], 1)])).count() == 0

@@ -6,9 +6,9 @@ ROWS rows is dealt to several blocks. Each block is one R-tree, packed by the sa
 minimum bounding box gives each coordinate an interval, and so bounds the inner product with an anchor from both sides.
 
 A search asks for the k best rows of an anchor's label (its positives), or for the k best rows of other labels inside
-each of its score windows (negatives: from half a positive's score to 0.95 of it). It is best first: nodes are taken from a
-queue by their upper bound; a node is dropped where its interval misses all windows, or lies strictly below the k-th score
-found in each that it meets. Anchors first visit the tile with the highest bound; what they find there sets the floors
+each of its score windows (negatives: from half a positive's score to 0.95 of it). It is best first: the leaf with the highest upper
+bound is read before the others; a node is dropped where its interval misses all windows, or lies strictly below the k-th score
+found in each that it meets. TOGETHER anchors go down a tree at once, level by level. Anchors first visit the tile with the highest bound; what they find there sets the floors
 below which other tiles are left out. Tiles are at most MAX_TILES boxes, so their boxes are broadcast; blocks and
 anchors meet in groups of at most some ROWS by ANCHORS rows, so no group grows with the table.
 
@@ -21,7 +21,6 @@ smaller vec_id, then to the smaller hash of the row. Fewer rows than asked for a
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -37,6 +36,7 @@ SAMPLE = 20_000
 MAX_TILES = 1024
 ROWS, ANCHORS = 8192, 1024  # rows of a block and anchors that meet it at once, about
 LEAF, FAN = 64, 8
+TOGETHER = 64  # anchors that search a tree at once
 DEPTH = 4  # coordinates that tiles are cut by, besides the label
 LOWEST, HIGHEST = -(2**62), 2**62
 ANSWER = "anchor_id long, anchor_key long, slot int, vec_id long, key long, score long"
@@ -156,37 +156,60 @@ class RTree:
         return np.concatenate(parts)
 
 
-def best_first(tree: RTree, x: np.ndarray, ids: np.ndarray, keys: np.ndarray, own: tuple[int, int], q: np.ndarray, label: int, same: bool, windows: list[list[int]], least: list[int], most: list[int], k: int) -> list[list[tuple[int, int, int]]]:
-    """Per window (floor, top): the k best (-score, vec_id, key) of the tree's rows x, of the same or of other labels, but not own."""
-    found: list[list[tuple[int, int, int]]] = [[] for _ in windows]
-    floors = [w[0] for w in windows]
-
-    def wanted(node: int) -> bool:
-        if same and not tree.first[node] <= label <= tree.last[node] or not same and tree.first[node] == label == tree.last[node]:
-            return False
-        return any(most[node] >= floor and least[node] <= top for floor, (_, top) in zip(floors, windows, strict=True))
-
-    queue = [(-most[0], 0)] if wanted(0) else []
-    while queue:
-        _, node = heapq.heappop(queue)
-        if not wanted(node):  # floors have risen since
-            continue
-        if node < tree.inner:
-            for child in range(*tree.children[node]):
-                if wanted(child):
-                    heapq.heappush(queue, (-most[child], child))
-            continue
-        at = slice((node - tree.inner) * LEAF, (node - tree.inner + 1) * LEAF)
-        scores = (x[at] @ q).astype(np.int64)
-        fits = ((tree.labels[at] == label) == same) & ~((ids[at] == own[0]) & (keys[at] == own[1]))
-        for j, (_, top) in enumerate(windows):
-            hits = np.flatnonzero(fits & (scores >= floors[j]) & (scores <= top))
-            if len(hits):
-                rows = zip((-scores[hits]).tolist(), ids[at][hits].tolist(), keys[at][hits].tolist(), strict=True)
-                found[j] = heapq.nsmallest(k, [*found[j], *rows])
-                if len(found[j]) == k:
-                    floors[j] = max(floors[j], -found[j][-1][0])
-    return found
+def descend(tree: RTree, q: np.ndarray, labels: np.ndarray, same: bool, of: np.ndarray, floor: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaves that some anchor wants, who wants them, their upper bounds), level by level: below a node that nobody wants nothing
+    is looked at. of: the anchor of each window (floor, top)."""
+    nodes = np.zeros(1, np.int64)
+    while True:
+        least, most = intervals(q, tree.low[nodes], tree.high[nodes])
+        first, last, label = tree.first[nodes], tree.last[nodes], labels[:, None]
+        held = (first <= label) & (label <= last) if same else ~((first == label) & (last == label))
+        met = np.zeros(held.shape, bool)
+        np.logical_or.at(met, of, (most[of] >= floor[:, None]) & (least[of] <= top[:, None]))
+        wanted = held & met
+        some = wanted.any(0)
+        if nodes[0] >= tree.inner or not some.any():
+            return nodes[some], wanted[:, some], most[:, some]
+        nodes = np.concatenate([np.arange(*tree.children[n]) for n in nodes[some].tolist()])
+
+
+def kth(scores: np.ndarray, fits: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of the scores that fit in each row, or the least number there is."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), np.iinfo(np.int64).min)
+    return np.partition(np.where(fits, scores, np.iinfo(np.int64).min), scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+
+def best_first(tree: RTree, x: np.ndarray, ids: np.ndarray, keys: np.ndarray, own: tuple[np.ndarray, np.ndarray], q: np.ndarray, labels: np.ndarray, same: bool, of: np.ndarray, floor: np.ndarray, top: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, row, score) of the k best of the tree's rows x in each window (floor, top) of an anchor `of`, of the same or of
+    other labels, but not own. All anchors search together: each reads its leaf with the highest bound, and what it finds there is
+    its floor when all descend again."""
+    exact = q.astype(np.int64)
+    leaves, wanted, most = descend(tree, exact, labels, same, of, floor, top)
+    if len(leaves):
+        best = leaves[np.where(wanted, most, np.iinfo(np.int64).min).argmax(1)] - tree.inner
+        rows = best[:, None] * LEAF + np.arange(LEAF)
+        there = rows < len(x)
+        rows = np.minimum(rows, len(x) - 1)
+        scores = np.einsum("ard,ad->ar", x[rows], q).astype(np.int64)
+        fits = there & ((tree.labels[rows] == labels[:, None]) == same) & ~((ids[rows] == own[0][:, None]) & (keys[rows] == own[1][:, None]))
+        floor = np.maximum(floor, kth(scores[of], fits[of] & (scores[of] <= top[:, None]), k))
+        leaves, wanted, most = descend(tree, exact, labels, same, of, floor, top)
+    if not len(leaves):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = ((leaves - tree.inner)[:, None] * LEAF + np.arange(LEAF)).ravel()
+    rows = rows[rows < len(x)]
+    scores = (q @ x[rows].T).astype(np.int64)
+    fits = ((tree.labels[rows] == labels[:, None]) == same) & ~((ids[rows] == own[0][:, None]) & (keys[rows] == own[1][:, None]))
+    scores, fits = scores[of], fits[of]
+    fits &= (scores >= floor[:, None]) & (scores <= top[:, None])
+    fits &= scores >= kth(scores, fits, k)[:, None]
+    window, at = np.nonzero(fits)
+    score, row = scores[window, at], rows[at]
+    order = np.lexsort((keys[row], ids[row], -score, window))
+    window, row, score = window[order], row[order], score[order]
+    keep = np.arange(len(window)) - np.searchsorted(window, window) < k
+    return window[keep], row[keep], score[keep]
 
 
 def boxes_of(tiled: DataFrame) -> list:
@@ -278,22 +301,23 @@ class Index:
         rows = self.rows.join(cuts, "tile").withColumn("block", F.pmod(F.xxhash64("vec_id", "key", F.lit(1)), "blocks")).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("blocks", "turns")
 
         def search(anchors: pa.Table, rows: pa.Table) -> pa.Table:
-            out: list[tuple] = []
+            out = [pa.table({c: pa.array([], pa.int32() if c == "slot" else pa.int64()) for c in ("anchor_id", "anchor_key", "slot", "vec_id", "key", "score")})]
             if anchors.num_rows and rows.num_rows:
                 x = matrix(rows.column("v"))
                 tree = RTree(rows.column("label").to_numpy(), x)
                 ids, keys = rows.column("vec_id").to_numpy()[tree.order], rows.column("key").to_numpy()[tree.order]
                 q = matrix(anchors.column("q"))
-                least, most = intervals(q, tree.low, tree.high)
-                least, most = least.tolist(), most.tolist()
                 kind = np.float64 if fast(q, x) else np.int64
                 x, q = tree.x.astype(kind), q.astype(kind)
-                for i, (name, key, label, windows) in enumerate(zip(*(anchors.column(c).to_pylist() for c in ("anchor_id", "anchor_key", "label", "windows")), strict=True)):
-                    found = best_first(tree, x, ids, keys, (name, key), q[i], label, same, [w[:2] for w in windows], least[i], most[i], k)
-                    out += [(name, key, slot, row, other, -score) for (_, _, slot), hits in zip(windows, found, strict=True) for score, row, other in hits]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
-            return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["anchor_id", "anchor_key", "slot", "vec_id", "key", "score"])
+                names, marks, labels = (anchors.column(c).to_numpy() for c in ("anchor_id", "anchor_key", "label"))
+                windows = anchors.column("windows").to_pylist()
+                for s in range(0, len(q), TOGETHER):
+                    part = slice(s, s + TOGETHER)
+                    of = np.repeat(np.arange(len(names[part])), [len(w) for w in windows[part]])
+                    floor, top, slot = np.array([w for some in windows[part] for w in some], np.int64).reshape(-1, 3).T
+                    at, row, score = best_first(tree, x, ids, keys, (names[part], marks[part]), q[part], labels[part], same, of, floor, top, k)
+                    out.append(pa.table({"anchor_id": names[part][of[at]], "anchor_key": marks[part][of[at]], "slot": slot[at].astype(np.int32), "vec_id": ids[row], "key": keys[row], "score": score}))
+            return pa.concat_tables(out)
 
         return met.groupBy(*parts).cogroup(rows.groupBy(*parts)).applyInArrow(search, ANSWER)
 
