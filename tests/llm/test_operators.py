@@ -629,6 +629,24 @@ def test_lm_scores_learn_from_long_texts_alone(spark):
     assert got.score > got.base
 
 
+def test_toxicity_weighs_few_terms_at_once(monkeypatch):
+    """A batch of long texts is weighed in pieces: memory follows HELD, and a longer text is weighed by itself."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sizes = [0, 3, 50, 0, 400, 7, 0, 60, 0]
+    terms = pa.array([rng.integers(0, 500, n).astype(np.int32).tolist() for n in [5, *sizes]], pa.list_(pa.int32())).slice(1)
+    machine, place = toxicity.FactorizationMachine(300), np.where(np.arange(500) < 300, np.arange(500), -1).astype(np.int32)
+    machine.linear = rng.normal(0, 1, 300)
+    whole = toxicity.judge(terms, place, machine)
+    held, plain = [], toxicity.presence
+    monkeypatch.setattr(toxicity, "presence", lambda offsets, flat, place: held.append((len(offsets) - 1, len(flat))) or plain(offsets, flat, place))
+    monkeypatch.setattr(toxicity, "HELD", 64)
+    assert np.array_equal(toxicity.judge(terms, place, machine), whole)
+    assert sum(n for n, _ in held) == len(sizes) and sum(n for _, n in held) == sum(sizes)
+    assert all(n <= 64 or n == 400 for _, n in held) and len(held) > 3
+
+
 def test_toxic_rows_go_whole(spark):
     """Columns beside id and text keep their names and values, also those that the operator uses itself."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("terms", F.lit("mine")).withColumn("th", F.col("doc_id") * 2).withColumn("row", F.lit(1))

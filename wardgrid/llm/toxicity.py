@@ -30,6 +30,7 @@ TERMS = 4000  # informative terms that get weights
 FACTORS = 8
 START_LETTERS = 4
 HELD_OUT_OF = 5
+HELD = 300_000  # terms that a task weighs at once; a text is never cut, so one longer than that is weighed by itself
 
 
 def term_columns(docs: DataFrame) -> DataFrame:
@@ -107,6 +108,25 @@ def presence(offsets: np.ndarray, flat: np.ndarray, place: np.ndarray) -> tuple[
     return both // (len(place) + 1), both % (len(place) + 1)
 
 
+def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents that hold some HELD terms together."""
+    start = 0
+    while start < len(offsets) - 1:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + HELD, "right")) - 1)
+        yield start, stop
+        start = stop
+
+
+def judge(terms: pa.ListArray, place: np.ndarray, machine: FactorizationMachine) -> np.ndarray:
+    """The score of each document of a batch; what it takes beside the batch does not grow with it."""
+    offsets, flat = terms.offsets.to_numpy(), terms.values.to_numpy()
+    score = np.empty(len(terms))
+    for s, e in pieces(offsets):
+        rows, at = presence(offsets[s : e + 1] - offsets[s], flat[offsets[s] : offsets[e]], place)
+        score[s:e] = machine.scores(rows, at, e - s)
+    return score
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, FactorizationMachine]:
     """(place of each hashed term or -1, fitted machine), from labelled rows outside the held-out fold."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", HELD_OUT_OF) != 0)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -130,10 +150,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Factor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            terms = b.column(1)
-            rows, at = presence(terms.offsets.to_numpy(), terms.values.to_numpy(), told.value)
-            edges = np.searchsorted(rows, np.arange(len(b) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(at.astype(np.int32)))], ["toxic", "terms"])
+            offsets, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+            for s, e in pieces(offsets):
+                rows, at = presence(offsets[s : e + 1] - offsets[s], flat[offsets[s] : offsets[e]], told.value)
+                edges = np.searchsorted(rows, np.arange(e - s + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.ListArray.from_arrays(pa.array(edges), pa.array(at.astype(np.int32)))], ["toxic", "terms"])
 
     got = sample.mapInArrow(run, "toxic int, terms array<int>").toArrow().combine_chunks()  # bounded: the sample's rows, at most TERMS terms each
     lists = got.column("terms").combine_chunks()
@@ -153,9 +174,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, machine = model.value
         for b in batches:
-            terms = b.column(3)
-            rows, at = presence(terms.offsets.to_numpy() - terms.offsets[0].as_py(), terms.flatten().to_numpy(), place)
-            score = machine.scores(rows, at, len(b))
+            score = judge(b.column(3), place, machine)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "th", "score", "predicted"])
 
     ready = term_columns(docs.select("doc_id", "text")).select("doc_id", (fold("doc_id", HELD_OUT_OF) == 0).alias("held_out"), F.xxhash64("text").alias("th"), "terms")
@@ -176,9 +195,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, machine = model.value
         for b in batches:
-            terms = b.column(1)
-            rows, at = presence(terms.offsets.to_numpy() - terms.offsets[0].as_py(), terms.flatten().to_numpy(), place)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(machine.scores(rows, at, len(b)) < 0.5))], ["row"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(judge(b.column(1), place, machine) < 0.5))], ["row"])
 
     ready = term_columns(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")).select("row", "terms")
     return ready.mapInArrow(run, schema).select("row.*")
