@@ -192,6 +192,37 @@ def test_near_duplicates(spark, odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def shuffled(spark) -> dict[int, int]:
+    """Bytes that each stage so far has written for shuffles."""
+    context, jvm = spark.sparkContext, spark.sparkContext._jvm
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_shuffles_of_prefix_pairs_carry_numbers(spark):
+    """Each shingle of an open text goes through two shuffles; 16-byte keys beside it cost more than the shingle."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(90)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:44], "x", *w[45:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = near_dedup.signatures(docs).select("doc_id", "key")
+    texts = near_dedup.staged(docs.join(seen, "doc_id").select("key", F.col("text").alias("norm")), "texts")
+    open_ = near_dedup.staged(texts.select("key", F.col("key").alias("component")), "open")
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        pairs = near_dedup.prefix_pairs(texts, open_).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    after = shuffled(spark)
+    of = {bytes(r.key): r.doc_id // 2 for r in seen.collect()}
+    assert len(pairs) == 400 and all(of[bytes(r.a)] == of[bytes(r.b)] for r in pairs)
+    assert sum(n for k, n in after.items() if k not in before) < 26 * sum(len(t.split()) for _, t in rows)
+
+
 def test_near_duplicates_where_one_side_repeats_lines(spark):
     rng, rows = random.Random(8), []
     for i in range(80):

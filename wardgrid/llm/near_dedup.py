@@ -160,30 +160,35 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def prefix_pairs(texts: DataFrame, open_: DataFrame) -> DataFrame:
     """(a, b) of open (key, component) that may be linked across components, by an exact prefix filter: of two sets
     that are similar enough, the rarest 1 - THRESHOLD of the one's shingles (and one more) meet the other's."""
-    sets = texts.join(open_, "key").select("key", "component", shingle_set("norm").alias("s"))
-    rows = sets.select("key", "component", F.size("s").alias("n"), F.explode("s").alias("s"))
-    met = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
+    # numbers stand for keys and components, as each shingle carries them through the shuffles
+    named = staged(open_.withColumn("no", F.monotonically_increasing_id()), "named")
+    group = named.groupBy("component").agg(F.min("no").alias("group"))
+    sets = texts.join(named.join(group, "component").select("key", "no", "group"), "key").select("key", "no", "group", shingle_set("norm").alias("s"))
+    sets = staged(sets, "sets")
+    met = sets.select("group", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("df > 1")
     met = staged(met.select("s", "df", (F.col("lo") < F.col("hi")).alias("across")), "shingles")
-    near = rows.join(met, "s").groupBy("key", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s", "across"))).alias("common"))
+    common = sets.select("no", F.explode("s").alias("s")).join(met, "s").groupBy("no").agg(F.array_sort(F.collect_list(F.struct("df", "s", "across"))).alias("common"))
+    near = common.join(sets.select("no", "key", "group", F.size("s").alias("n")), "no")
     alone = F.col("n") - F.size("common")  # shingles of this text alone lead the prefix
     prefix = F.greatest(F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1 - alone, F.lit(0)).cast("int")
-    post = near.select("key", "component", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), prefix)).alias("at", "c")).where("c.across")
+    post = near.select("key", "group", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), prefix)).alias("at", "c")).where("c.across")
     # `rest`: this shingle and those that follow it
-    post = post.select(F.col("c.s").alias("s"), "key", "component", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+    post = post.select(F.col("c.s").alias("s"), "key", "group", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
     post = staged(post, "prefixes")
-    other = post.select("s", F.col("key").alias("b"), F.col("component").alias("with"), F.col("n").alias("m"), F.col("rest").alias("rest_b"))
+    other = post.select("s", F.col("key").alias("b"), F.col("group").alias("with"), F.col("n").alias("m"), F.col("rest").alias("rest_b"))
     enough = F.least("rest", "rest_b") >= (F.col("n") + F.col("m")) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9  # what the first shared shingle leaves room for
-    pairs = post.join(other, "s").where((F.col("component") < F.col("with")) & (F.col("n") >= THRESHOLD * F.col("m")) & (F.col("m") >= THRESHOLD * F.col("n")) & enough)
+    pairs = post.join(other, "s").where((F.col("group") < F.col("with")) & (F.col("n") >= THRESHOLD * F.col("m")) & (F.col("m") >= THRESHOLD * F.col("n")) & enough)
     return pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
 
 
 def key_classes(docs: DataFrame, seen: DataFrame) -> DataFrame:
     """(key, component, class_id) of every key of the written signatures."""
     nodes = seen.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = staged(nodes, "nodes")
-    member = nodes.where("doc is not null").select("key", "doc", "size", F.explode(F.array_distinct("bands")).alias("bucket"))
-    crowd = staged(member.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "buckets")
-    member = staged(member.join(crowd, "bucket"), "members")
+    nodes = staged(nodes.withColumn("no", F.monotonically_increasing_id()), "nodes")
+    # most buckets hold one text: until those are gone, a row is a bucket and a number
+    laid = nodes.where("doc is not null").select("no", F.explode(F.array_distinct("bands")).alias("bucket"))
+    crowd = staged(laid.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "buckets")
+    member = staged(laid.join(crowd, "bucket").join(nodes.select("no", "key", "doc", "size"), "no").drop("no"), "members")
     central = staged(member.groupBy("key").agg(F.sum("crowd").alias("central")), "central")
     member = staged(member.join(central, "key"), "members")
     texts = staged(texts_of(docs, staged(member.select("key", F.col("doc").alias("doc_id")).distinct(), "wanted")), "texts")
