@@ -497,6 +497,24 @@ def test_attention_is_fitted_on_every_window(monkeypatch):
     assert sum(n for _, n in seen) == sum(2 * n + 1 for n in range(1, 400))  # one id a word and the end
 
 
+def test_learning_passes_over_each_window_once(monkeypatch):
+    """Expected counts and gradient steps come from one forward pass; an id that stands twice in a batch is projected once."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        scorer = lm_scoring.Scorer(f.read(), [("\n", 40), ("a", 100), ("bc", 50)], 200.0)
+    passes, projected = [], []
+    forward, project = lm_scoring.AttentionModel.forward, lm_scoring.AttentionModel.project
+    monkeypatch.setattr(lm_scoring.AttentionModel, "forward", lambda self, windows, first: passes.append(len(first)) or forward(self, windows, first))
+    monkeypatch.setattr(lm_scoring.AttentionModel, "project", lambda self, x: projected.append(len(x)) or project(self, x))
+    texts = ["a bc " * n for n in range(1, 200)]
+    windows = scorer.learn(texts, scorer.heat(), np.random.default_rng(1))
+    assert sum(passes) == windows and max(projected) <= 4
+    # each id is counted once, shared out over the classes
+    assert abs(scorer.seen.sum(dtype=float) - sum(2 * n + 1 for n in range(1, 200))) < 1
+    assert abs(scorer.word_seen.sum(dtype=float) - sum(2 * n + 1 for n in range(1, 200))) < 1
+
+
 @pytest.mark.parametrize("kind", ["offset", "copies", "tails"])
 def test_neighbours_that_codes_cannot_tell_apart(spark, kind):
     rng = np.random.default_rng(4)

@@ -14,7 +14,7 @@ spelling's, which is what it gets. So the probabilities of the training words an
 
 All training rows (crc32(doc_id as text) mod 7 is not 2) are learnt from, whole: word counts in one pass, the model in
 another. In that pass each task starts from the same model, reads its rows once, adds up expected counts of ids and words
-for each class over every window, and takes gradient steps for the attention on every window;
+for each class over every window, and takes gradient steps for the attention on every window, from one forward pass over both;
 sums are then added and weights averaged over all tasks, by keys. The common start is a short fit on at most START_DOCS texts, of
 long ones a stretch of START_CHARS, without which the classes of two tasks would not mean the same; none of its counts stays
 in the model, and its texts are learnt from whole in the pass like all others. The share of rare words is joined in, never cut off:
@@ -125,10 +125,19 @@ class Lexicon:
 
 def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct rows, sum of the values of each)."""
-    order = np.argsort(rows, kind="stable")
-    ranked = rows[order]
-    edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    return ranked[edge], np.add.reduceat(values[order], edge, axis=0)
+    order, edge, _ = groups(rows)
+    return rows[order[edge]], np.add.reduceat(values.take(order, 0), edge, axis=0)
+
+
+def groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stable order, where each distinct row begins in it, the number of each row among the distinct ones)."""
+    order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")  # 16 bits are sorted by radix
+    ranked = rows.take(order)
+    new = np.ones(len(rows), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    number = np.empty(len(rows), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), number
 
 
 def stepped(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,27 +182,24 @@ class AttentionModel:
         np.exp(scores, out=scores)
         summed = scores @ v
         total = summed[:, :, d:] + np.float32(1e-30)
-        hidden = np.tanh(own[:, :, :d] + summed[:, :, :d] / total).reshape(-1, d)
+        attended = summed[:, :, :d] / total
+        hidden = np.tanh(own[:, :, :d] + attended).reshape(-1, d)
         mix = hidden @ w["out"]
         mix += w["bias"]
         np.clip(mix, -60, 60, out=mix)
         np.exp(mix, out=mix)
         mix /= (mix @ np.ones(CLASSES, np.float32))[:, None]
-        return {"q": q, "k": k, "v": v[:, :, :d], "a": scores, "total": total, "h": hidden, "mix": mix}
+        return {"q": q, "k": k, "v": v[:, :, :d], "a": scores, "total": total, "attended": attended, "h": hidden, "mix": mix}
 
-    def read(self, ids: np.ndarray, following: np.ndarray, sizes: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None, batch: int = 128, sums: np.ndarray | None = None, blames: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, ids: np.ndarray, following: np.ndarray, sizes: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None, batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
         """Natural log of p(following[i] | ids up to i in its text), for texts laid end to end; the mixture at starts.
-        table: project() of all embeddings. If given, sums (classes, ids) gains the share of each class in the following
-        ids, and blames takes that share at starts."""
+        table: project() of all embeddings."""
         table = self.project(self.w["embed"]) if table is None else table
         place, first = stepped(sizes)
         nxt = np.zeros(len(first) * STRIDE, np.int64)
         here = np.zeros(len(nxt) + STRIDE, np.int64)  # before the first step, which begins a text, lies an empty one
         here[place + STRIDE], nxt[place] = ids, following
         p, mixes, wanted = np.empty(len(nxt), np.float32), np.empty((len(starts), CLASSES), np.float32), place[starts]
-        every = None if sums is None else np.empty((CLASSES, len(nxt)), np.float32)
-        real = np.zeros(len(nxt), np.float32)
-        real[place] = 1
         for i in range(0, len(first), batch):
             rows = table.take(here[i * STRIDE : (i + batch + 1) * STRIDE], 0)
             windows = np.lib.stride_tricks.sliding_window_view(rows, 2 * STRIDE, 0)[::STRIDE].transpose(0, 2, 1)
@@ -201,42 +207,41 @@ class AttentionModel:
             at = slice(i * STRIDE, i * STRIDE + len(mix))
             s, e = np.searchsorted(wanted, (at.start, at.stop))
             mixes[s:e] = mix.take(wanted[s:e] - at.start, 0)
-            if every is None:
-                p[at] = np.einsum("nk,nk->n", mix, self.emit.take(nxt[at], 0))
-            else:
-                mix *= self.emit.take(nxt[at], 0)
-                p[at] = mix @ np.ones(CLASSES, np.float32)
-                mix *= (real[at] / (p[at] + np.float32(1e-30)))[:, None]
-                blames[s:e] = mix.take(wanted[s:e] - at.start, 0)
-                every[:, at] = mix.T
-        if every is not None:
-            for k in range(CLASSES):
-                sums[k] += np.bincount(nxt, every[k], sums.shape[1])
+            p[at] = np.einsum("nk,nk->n", mix, self.emit.take(nxt[at], 0))
         return np.log(p[place] + np.float32(1e-30)), mixes
 
     def gradient(self, window: np.ndarray, first: np.ndarray, nxt: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradient of minus the mean log probability of the ids nxt that are there; rows and d_e are those of embeddings."""
-        w = self.w
-        x = w["embed"][window].reshape(-1, DEPTH)
-        got = self.forward(self.project(x).reshape(len(window), 2 * STRIDE, -1), first)
-        blame = got["mix"] * self.emit[nxt]
-        blame /= (blame @ np.ones(CLASSES, np.float32))[:, None] + np.float32(1e-30)
-        d_mix = (got["mix"] - blame) * (there[:, None] / np.float32(max(there.sum(), 1)))
-        grad = {"out": got["h"].T @ d_mix, "bias": d_mix.sum(0)}
-        d_in = ((d_mix @ w["out"].T) * (1 - got["h"] ** 2)).reshape(len(window), STRIDE, DEPTH)
-        a = got["a"] / got["total"]
-        d_a = d_in @ got["v"].transpose(0, 2, 1)
-        d_s = a * (d_a - np.einsum("bqk,bqk->bq", d_a, a)[:, :, None])
-        grad["near"] = np.bincount(np.maximum(self.gap, 0).ravel(), d_s.sum(0).ravel(), 2 * STRIDE).astype(np.float32)
+        """Gradient of minus the mean log probability of the ids nxt that are there; rows and d_e are those of embeddings.
+        Beside it, of each id of nxt: its probability p, the classes' mix before it, and their blame, the share of each in it."""
+        w, d = self.w, DEPTH
+        order, edge, number = groups(window.ravel())
+        rows = window.ravel()[order[edge]]
+        windows = self.project(w["embed"].take(rows, 0)).take(number, 0)  # an id is projected once
+        x = windows[:, :d]
+        got = self.forward(windows.reshape(len(window), 2 * STRIDE, -1), first)
+        blame = got["mix"] * self.emit.take(nxt, 0)
+        p = blame @ np.ones(CLASSES, np.float32)
+        blame *= (there / (p + np.float32(1e-30))).astype(np.float32)[:, None]
+        d_mix = got["mix"] * there[:, None]
+        d_mix -= blame
+        d_mix *= np.float32(1 / max(there.sum(), 1))
+        grad = {"out": got["h"].T @ d_mix, "bias": np.ones(len(d_mix), np.float32) @ d_mix}
+        d_in = ((d_mix @ w["out"].T) * (1 - got["h"] ** 2)).reshape(len(window), STRIDE, d)
+        # weights are unnormalised, so what comes back through them is divided by their sums
+        back = d_in / got["total"]
+        d_s = back @ got["v"].transpose(0, 2, 1)
+        d_s -= np.einsum("bqd,bqd->bq", back, got["attended"])[:, :, None]
+        d_s *= got["a"]
+        grad["near"] = np.bincount(np.maximum(self.gap, 0).ravel(), np.ones(len(d_s), np.float32) @ d_s.reshape(len(d_s), -1), 2 * STRIDE).astype(np.float32)
         # got["q"] holds the scale already
-        d_q = (d_s @ got["k"]).reshape(-1, DEPTH) * np.float32(DEPTH**-0.5)
-        d_k, d_v = (d_s.transpose(0, 2, 1) @ got["q"]).reshape(-1, DEPTH), (a.transpose(0, 2, 1) @ d_in).reshape(-1, DEPTH)
-        own = x.reshape(len(window), 2 * STRIDE, DEPTH)[:, STRIDE:].reshape(-1, DEPTH)
-        grad |= {"q": own.T @ d_q, "k": x.T @ d_k, "v": x.T @ d_v}
-        d_x = (d_k @ w["k"].T + d_v @ w["v"].T).reshape(len(window), 2 * STRIDE, DEPTH)
+        d_q = (d_s @ got["k"]).reshape(-1, d) * np.float32(d**-0.5)
+        d_kv = np.concatenate([d_s.transpose(0, 2, 1) @ got["q"], got["a"].transpose(0, 2, 1) @ back], 2).reshape(-1, 2 * d)
+        own = np.ascontiguousarray(x.reshape(len(window), 2 * STRIDE, d)[:, STRIDE:]).reshape(-1, d)
+        both = x.T @ d_kv
+        grad |= {"q": own.T @ d_q, "k": both[:, :d], "v": both[:, d:]}
+        d_x = (d_kv @ np.concatenate([w["k"].T, w["v"].T])).reshape(len(window), 2 * STRIDE, d)
         d_x[:, STRIDE:] += d_in + (d_q @ w["q"].T).reshape(d_in.shape)
-        grad["rows"], grad["d_e"] = row_sums(window.ravel(), d_x.reshape(-1, DEPTH))
-        return grad
+        return grad | {"rows": rows, "d_e": np.add.reduceat(d_x.reshape(-1, d).take(order, 0), edge, axis=0), "p": p, "mix": got["mix"], "blame": blame}
 
 
 class Scorer:
@@ -266,56 +271,70 @@ class Scorer:
         self.table = None
         return self
 
-    def parts(self, split: list[list[bytes]], shares: np.ndarray, learn: bool = False) -> tuple[np.ndarray, ...]:
-        """(place of each word or -1, the three probabilities of each), and what to learn from if asked."""
+    def parts(self, split: list[list[bytes]], shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each word or -1, the three probabilities of each)."""
         if self.table is None:
             self.table = self.model.project(self.model.w["embed"])
         sizes = np.array([len(s) for s in split])
         numbers = self.lexicon.numbers([w for s in split for w in s])
         before, ids, per, starts = self.lexicon.laid_out(numbers, sizes)
-        blames, sums = (np.empty((len(starts), CLASSES), np.float32), np.zeros((CLASSES, END_ID + 1), np.float32)) if learn else (None, None)
-        log_p, mixes = self.model.read(before, ids, per, starts, self.table, sums=sums, blames=blames)
+        log_p, mixes = self.model.read(before, ids, per, starts, self.table)
         at = self.lexicon.at[numbers]
+        return at, self.chances(at, sizes, starts, log_p, mixes, shares)
+
+    def chances(self, at: np.ndarray, sizes: np.ndarray, starts: np.ndarray, log_p: np.ndarray, mixes: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        """The three probabilities of each word, from those of its ids and the mixture where it begins."""
         # given that a word begins here, and that another begins where it ends
         begins = np.log(np.maximum((mixes @ self.opening).astype(float), 1e-30))
         ends = np.append(begins[1:], 0.0)
         ends[np.cumsum(sizes) - 1] = 0.0
         spelled = np.exp(np.clip(np.add.reduceat(log_p.astype(float), starts) + ends - begins, -700, 0))
-        p = np.stack([shares[at], np.einsum("nk,nk->n", mixes, self.by_class[self.row(at)]), spelled], 1)
-        return (at, p, before, ids, per, sums, blames) if learn else (at, p)
+        return np.stack([shares[at], np.einsum("nk,nk->n", mixes, self.by_class[self.row(at)]), spelled], 1)
 
     def row(self, at: np.ndarray) -> np.ndarray:
         last = len(self.by_class) - 1
         return np.where((at >= 0) & (at < last), at, last)
 
     def learn(self, texts: list[str], heat: dict[str, np.ndarray], rng: np.random.Generator, rate: float = 0.05, batch: int = 128) -> int:
-        """Adds the expected counts of all windows of some texts, then takes gradient steps on all of them, in batches dealt at
-        random. Returns how many windows there were."""
+        """Takes gradient steps on all windows of some texts, in batches dealt at random, then adds the expected counts that the
+        same passes gave. Returns how many windows there were."""
         split = [[*words(t), END] for t in texts]
-        at, p, before, ids, per, sums, blames = self.parts(split, self.without_self, True)
-        blame = p * self.weights
-        self.weight_sums = self.weight_sums + (blame / np.maximum(blame.sum(1, keepdims=True), 1e-300)).sum(0)
-        self.seen += sums.T
-        row = self.row(at)
-        own = row < len(self.word_seen)
-        if own.any():
-            rows, told = row_sums(row[own], blames[own])
-            self.word_seen[rows] += told
+        sizes = np.array([len(s) for s in split])
+        numbers = self.lexicon.numbers([w for s in split for w in s])
+        before, ids, per, starts = self.lexicon.laid_out(numbers, sizes)
         model, w = self.model, self.model.w
         place, first = stepped(per)
         here, nxt, real = np.zeros((len(first), STRIDE), np.int64), np.zeros((len(first), STRIDE), np.int64), np.zeros((len(first), STRIDE), bool)
         here.ravel()[place], nxt.ravel()[place], real.ravel()[place] = before, ids, True
+        p, mix, blame = np.empty(nxt.shape, np.float32), np.empty((*nxt.shape, CLASSES), np.float32), np.empty((*nxt.shape, CLASSES), np.float32)
         order = rng.permutation(len(first))
         for i in range(0, len(order), batch):
             some = order[i : i + batch]
             n = np.float32(max(real[some].sum(), 1))
             grad = model.gradient(np.concatenate([here[some - 1], here[some]], 1), first[some], nxt[some].ravel(), real[some].ravel())  # the step before a text's first one is masked
+            for all_, name in ((p, "p"), (mix, "mix"), (blame, "blame")):
+                all_[some] = grad.pop(name).reshape(len(some), *all_.shape[1:])
             rows, d_e = grad.pop("rows"), grad.pop("d_e")
-            heat["embed"][rows] += d_e**2 * n
-            w["embed"][rows] -= np.float32(rate) * d_e * np.sqrt(n) / np.sqrt(heat["embed"][rows])
+            d_e *= np.sqrt(n)
+            hot = heat["embed"].take(rows, 0)
+            hot += d_e**2
+            heat["embed"][rows] = hot
+            w["embed"][rows] -= np.float32(rate) * d_e / np.sqrt(hot)
             for name, g in grad.items():
                 heat[name] += g * g
                 w[name] -= np.float32(rate) * g / np.sqrt(heat[name])
+        at = self.lexicon.at[numbers]
+        wanted, blame = place[starts], blame.reshape(-1, CLASSES)
+        chances = self.chances(at, sizes, starts, np.log(p.ravel()[place] + np.float32(1e-30)), mix.reshape(-1, CLASSES).take(wanted, 0), self.without_self)
+        due = chances * self.weights
+        self.weight_sums = self.weight_sums + (due / np.maximum(due.sum(1, keepdims=True), 1e-300)).sum(0)
+        rows, told = row_sums(nxt.ravel(), blame)
+        self.seen[rows] += told
+        row = self.row(at)
+        own = row < len(self.word_seen)
+        if own.any():
+            rows, told = row_sums(row[own], blame.take(wanted[own], 0))
+            self.word_seen[rows] += told
         self.take(self.seen, self.word_seen, self.weight_sums, w)
         return len(first)
 
