@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline as cp
 from wardgrid.llm.near_dedup import near_duplicates
-from wardgrid.llm.toxicity import score_toxicity
+from wardgrid.llm.toxicity import drop_toxic, score_toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +34,21 @@ def test_stages_on_odd_tables(spark, rows):
     # the null and empty rows stay, as do one copy of the short text and the long one
     assert docs.count() == (5 if rows else 0)
     assert cp.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == (3 if rows else 0)
+
+
+def test_texts_are_not_sent_to_python_workers(spark):
+    """Whole rows went through the workers and back, which took an executor's memory twice over."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    some = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    padded = some.selectExpr("doc_id", "concat(text, repeat('-', 100000)) AS text", "'x' AS `a.b`")
+    kept = drop_toxic(padded, labels)
+    rejected = {r.doc_id for r in score_toxicity(some, labels).where("predicted = 1").collect()}
+    assert kept.columns == ["doc_id", "text", "a.b"]
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in some.collect()} - rejected
+
+    def sent(node) -> int:
+        metric = node.metrics().get("pythonDataSent")
+        own = metric.get().value() if metric.isDefined() else 0
+        return own + sum(sent(node.children().apply(i)) for i in range(node.children().size()))
+
+    assert 0 < sent(kept._jdf.queryExecution().executedPlan()) < some.count() * 50_000

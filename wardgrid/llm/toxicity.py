@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from wardgrid.llm.common import fold, let, staged, words_of
 
@@ -188,14 +187,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the machine does not reject, with all their columns. Each text is judged for itself, also where
-    rows share a doc_id or have none. Rows pass the machine whole, so nothing is joined and no text is shuffled."""
+    rows share a doc_id or have none. Only hashed terms are sent to Python workers: rows and texts stay in the executor's own,
+    bounded memory until their scores are back, and nothing is joined or shuffled."""
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
-    schema = StructType([StructField("row", docs.schema)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def toxic_score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         place, machine = model.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(judge(b.column(1), place, machine) < 0.5))], ["row"])
+        for terms in batches:
+            yield pa.array(judge(terms, place, machine))
 
     ready = term_columns(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")).select("row", "terms")
-    return ready.mapInArrow(run, schema).select("row.*")
+    return ready.where(toxic_score("terms") < 0.5).select("row.*")
