@@ -187,7 +187,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the machine does not reject, with all their columns. Each text is judged for itself, also where
-    rows share a doc_id or have none. Only hashed terms are sent to Python workers: rows and texts stay in the executor's own,
+    rows share a doc_id or have none. Only hashed terms, once each, are sent to Python workers: rows and texts stay in the executor's own,
     bounded memory until their scores are back, and nothing is joined or shuffled."""
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
 
@@ -198,4 +198,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.array(judge(terms, place, machine))
 
     ready = term_columns(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")).select("row", "terms")
-    return ready.where(toxic_score("terms") < 0.5).select("row.*")
+    return ready.where(toxic_score(F.array_distinct("terms")) < 0.5).select("row.*")
