@@ -729,3 +729,12 @@ def test_rows_go_by_id_and_text(spark, monkeypatch, most):
 def test_decontamination_reads_names_that_open_sentences(spark, item, text, found):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert decontamination.leaks(spark.createDataFrame([(5, text)], "doc_id long, text string"), bench).isEmpty() != found
+
+
+def test_reading_is_the_same_for_any_batch():
+    rng, sizes = np.random.default_rng(3), np.array([1, 40, 700, 16, 33])
+    ids, following, starts = rng.integers(0, 50, sizes.sum()), rng.integers(0, 50, sizes.sum()), np.array([0, 1, 41, 300, 741, 757])
+    model = lm_scoring.AttentionModel(50)
+    for batch in (1, 7, 128):
+        for a, b in zip(model.read(ids, following, sizes, starts), model.read(ids, following, sizes, starts, batch=batch), strict=True):
+            assert np.allclose(a, b, rtol=1e-5)

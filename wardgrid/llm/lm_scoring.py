@@ -191,7 +191,7 @@ class AttentionModel:
         mix /= (mix @ np.ones(CLASSES, np.float32))[:, None]
         return {"q": q, "k": k, "v": v[:, :, :d], "a": scores, "total": total, "attended": attended, "h": hidden, "mix": mix}
 
-    def read(self, ids: np.ndarray, following: np.ndarray, sizes: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None, batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, ids: np.ndarray, following: np.ndarray, sizes: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Natural log of p(following[i] | ids up to i in its text), for texts laid end to end; the mixture at starts.
         table: project() of all embeddings."""
         table = self.project(self.w["embed"]) if table is None else table
