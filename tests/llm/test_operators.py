@@ -738,3 +738,73 @@ def test_reading_is_the_same_for_any_batch():
     for batch in (1, 7, 128):
         for a, b in zip(model.read(ids, following, sizes, starts), model.read(ids, following, sizes, starts, batch=batch), strict=True):
             assert np.allclose(a, b, rtol=1e-5)
+
+
+def test_words_of_arrow_arrays_are_those_of_texts():
+    """Only the six white characters of ASCII part words, in whole arrays and in slices."""
+    import pyarrow as pa
+
+    texts = ["", "  ", "a b", " A\x0bB\x0c c\r\nd ", "x\x1cy\x1d z\x85 w\xa0v \u3000u", "\t", "ÉÀ Z", "", "q\x00r s", ""]
+    for s, e in ((0, 10), (1, 7), (5, 6), (3, 3), (7, 8)):
+        for array in (pa.array(texts, pa.string()).slice(s, e - s), pa.array(texts, pa.large_string()).slice(s, e - s)):
+            flat, sizes = lm_scoring.words_of(array)
+            want = [lm_scoring.words(t) for t in texts[s:e]]
+            assert [w.encode() for w in flat.to_pylist()] == [w for x in want for w in x] and sizes.tolist() == [len(x) for x in want]
+
+
+def test_a_word_is_looked_up_once_for_many_texts(monkeypatch):
+    """Learning and scoring look up distinct words, and give each text its own in order."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        scorer = lm_scoring.Scorer(f.read(), [("\n", 40), ("a", 100), ("bc", 50)], 200.0)
+    texts = ["a bc " * n for n in range(300)] + ["", "zyxq a zyxq", "A  BC"]
+    looked, numbers = [], lm_scoring.Lexicon.numbers
+    monkeypatch.setattr(lm_scoring.Lexicon, "numbers", lambda self, chunks: looked.append(len(chunks)) or numbers(self, chunks))
+    scorer.learn(texts, scorer.heat(), np.random.default_rng(1))
+    sizes, known, base, score, rare = scorer.score(pa.array(["x", *texts]).slice(1))
+    assert looked == [4, 4]  # a, bc, zyxq and the end
+    monkeypatch.undo()
+    assert sizes.tolist() == [len(t.split()) + 1 for t in texts] and [[r["word"] for r in x] for x in rare.to_pylist()] == [[w for w in t.split() if w == "zyxq"] for t in texts]
+    assert known.tolist() == [n - len(r) for n, r in zip(sizes.tolist(), rare.to_pylist(), strict=True)]
+    for i in (0, 1, 7, 40, 301, 302):
+        at, p = scorer.parts([[*lm_scoring.words(texts[i]), lm_scoring.END]], scorer.share)
+        assert np.isclose(np.log10((p @ scorer.weights)[at >= 0]).sum(), score[i], rtol=1e-4) and np.isclose(scorer.log_count[at[at >= 0]].sum(), base[i])
+        assert np.allclose([r["p"] for r in rare.to_pylist()[i]], p[at < 0, 2], rtol=1e-3)
+
+
+def test_gradient_reads_a_step_of_two_windows_once(monkeypatch):
+    """Windows in runs give the gradient of the same windows in any order, from fewer rows."""
+    m, rng, S = lm_scoring.AttentionModel(50), np.random.default_rng(4), lm_scoring.STRIDE
+    steps = rng.integers(0, 50, (3, 6, S))
+    window = np.concatenate([steps[:, :-1], steps[:, 1:]], 2).reshape(15, 2 * S)
+    first, nxt, there = rng.random(15) < 0.3, rng.integers(0, 50, (15, S)), rng.random((15, S)) < 0.9
+    held, plain = [], lm_scoring.groups
+    monkeypatch.setattr(lm_scoring, "groups", lambda rows: held.append(len(rows)) or plain(rows))
+    got = m.gradient(window, first, nxt.ravel(), there.ravel())
+    order = np.array([0, 2, 4, 1, 3, 14, 12, 10, 13, 11, 5, 7, 9, 6, 8])
+    want = m.gradient(window[order], first[order], nxt[order].ravel(), there[order].ravel())
+    assert held == [3 * 6 * S, 15 * 2 * S]
+    for name in ("q", "k", "v", "near", "out", "bias"):
+        assert np.allclose(got[name], want[name], rtol=1e-3, atol=1e-6), name
+    spread = lambda g: np.stack([g["d_e"][g["rows"] == i].sum(0) for i in range(50)])
+    assert np.allclose(spread(got), spread(want), rtol=1e-3, atol=1e-6)
+    assert np.allclose(got["p"].reshape(15, S)[order].ravel(), want["p"], rtol=1e-4)
+
+
+def test_words_keep_their_numbers_when_the_lexicon_forgets(monkeypatch):
+    """Spellings are right after the lexicon is emptied, and an end that is not among the frequent words is a rare word."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        scorer = lm_scoring.Scorer(f.read(), [("a", 100)], 200.0)
+    lexicon, chunks = scorer.lexicon, [f"w{i * 7919}" for i in range(50)]
+    monkeypatch.setattr(lm_scoring, "CACHE", 60)
+    for some in (chunks[:30], chunks[10:50], chunks[::-1], [*chunks[5:], *chunks[:9]]):
+        numbers = lexicon.numbers([w.encode() for w in some])
+        for w, n in zip(some, numbers.tolist(), strict=True):
+            assert lexicon.coder.decode(lexicon.ids[lexicon.start[n] : lexicon.start[n] + lexicon.length[n]].tolist()) == f" {w}"
+    rare = scorer.score(pa.array(["a w7 a", "", "w7"]))[4].to_pylist()
+    assert [[r["word"] for r in x] for x in rare] == [["w7", "\n"], ["\n"], ["w7", "\n"]]

@@ -27,12 +27,12 @@ a null doc_id counts as the text ''. An empty table gives no rows; without train
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,9 +51,10 @@ EPOCHS = 2
 PRIOR = 5.0  # ids that the share of all classes counts for in a class
 WORD_PRIOR = 2000.0
 RARE = pa.list_(pa.struct([("word", pa.string()), ("p", pa.float64())]))
+RUN = 4  # windows in a row that a batch of gradient steps takes at a time: longer runs cost less, but batches are less mixed
 LEARN_CHARS = 300_000  # texts that are learnt from at a time
 COLUMNS = 48  # numbers in a row of sums: CLASSES + DEPTH
-FLUSH = 200_000
+COUNT_CHARS = 8_000_000  # texts whose words are counted at a time
 CACHE = 200_000
 END_ID = 50256
 END = b"\n"  # no word holds it
@@ -64,6 +65,18 @@ def words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words() of all texts laid end to end, how many each text has); no text is null."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    sizes = lists.value_lengths().to_numpy().astype(np.int64)
+    flat = lists.flatten()
+    empty = np.flatnonzero(pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False))  # a text without words is split into one empty word
+    if len(empty):
+        sizes[np.searchsorted(np.cumsum(sizes), empty, side="right")] -= 1
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+    return flat, sizes
+
+
 class Lexicon:
     """Words by number, with their subword ids and their place among the frequent words; remembered for the life of a Python worker."""
 
@@ -97,21 +110,35 @@ class Lexicon:
         """The number of each word; new words are spelled first."""
         found = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(found < 0).tolist()
-        new = list({chunks[i] for i in missing})
+        new = list(dict.fromkeys([chunks[i] for i in missing]))
         if not new:
             return found
         if len(self.number) + len(new) > CACHE:
             self.forget()
-            missing, new = range(len(chunks)), list(set(chunks) - {END})
+            missing, new = range(len(chunks)), [w for w in dict.fromkeys(chunks) if w != END]
         spelled, length = self.spell(new)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
         self.start = np.append(self.start, len(self.ids) + np.cumsum(length) - length)
         self.length = np.append(self.length, length)
         self.ids = np.append(self.ids, spelled)
-        self.at = np.append(self.at, np.array([self.place.get(w, -1) for w in new], np.int64))
-        found[missing] = [self.number[chunks[i]] for i in missing]
+        self.at = np.append(self.at, np.fromiter(map(self.place.get, new, repeat(-1)), np.int64, len(new)))
+        found[missing] = range(len(self.number) - len(new), len(self.number)) if len(new) == len(missing) else [self.number[chunks[i]] for i in missing]
         return found
 
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(number of each word, words of each text; of each word its place in the last, distinct words) of texts that each end in END.
+        A word is looked up once, however often it stands there."""
+        flat, sizes = words_of(texts)
+        coded = flat.dictionary_encode()
+        distinct = pa.concat_arrays([coded.dictionary, pa.array([END.decode()], flat.type)])
+        found = self.numbers(distinct.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        code = np.full(len(flat) + len(sizes), len(distinct) - 1, np.int32)
+        sizes += 1
+        inside = np.ones(len(code), bool)
+        inside[np.cumsum(sizes) - 1] = False
+        code[inside] = coded.indices.to_numpy()
+        return found.take(code), sizes, code, distinct
+
     def laid_out(self, numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
         """(ids before, ids, ids of each text, first id of each word) of texts of `sizes` words laid end to end."""
         length = self.length[numbers]
@@ -126,7 +153,12 @@ class Lexicon:
 def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct rows, sum of the values of each)."""
     order, edge, _ = groups(rows)
-    return rows[order[edge]], np.add.reduceat(values.take(order, 0), edge, axis=0)
+    return rows[order[edge]], group_sums(values, order, edge)
+
+
+def group_sums(values: np.ndarray, order: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each group. Two neighbouring floats are added as one complex number, which takes half the additions."""
+    return np.add.reduceat(np.ascontiguousarray(values).view(np.complex64).take(order, 0), edge, axis=0).view(np.float32)
 
 
 def groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,6 +181,13 @@ def stepped(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, first
 
 
+def run_length(window: np.ndarray) -> int:
+    """The largest number of windows that form a run, if all windows come in runs of one length; else 1."""
+    breaks = np.flatnonzero((window[1:, :STRIDE] != window[:-1, STRIDE:]).any(1)) + 1
+    run = int(breaks[0]) if len(breaks) else len(window)
+    return run if len(window) % run == 0 and not (breaks % run).any() else 1
+
+
 class AttentionModel:
     """p(next id | ids before): one attention head, then a mixture of id distributions.
 
@@ -166,30 +205,40 @@ class AttentionModel:
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """Of each row of embeddings: itself, query, key, value and a one, whose weighted sum is the sum of weights."""
-        w = self.w
-        return np.concatenate([x, x @ (w["q"] * np.float32(DEPTH**-0.5)), x @ w["k"], x @ w["v"], np.ones((len(x), 1), np.float32)], 1)
+        w, d = self.w, DEPTH
+        out = np.empty((len(x), 4 * d + 1), np.float32)
+        out[:, :d], out[:, 4 * d] = x, 1
+        np.matmul(x, np.concatenate([w["q"] * np.float32(d**-0.5), w["k"], w["v"]], 1), out=out[:, d : 4 * d])
+        return out
 
     def forward(self, windows: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-        """For projected windows, (windows, 2 * STRIDE, 4 * DEPTH + 1). Weights stay unnormalised, as
+        """For projected windows, (..., 2 * STRIDE, 4 * DEPTH + 1), of which some begin a text. Weights stay unnormalised, as
         dividing DEPTH sums costs less. Scores are small sums of products, so exp() needs no shift; clips guard it."""
         w, d = self.w, DEPTH
-        own, k, v = windows[:, STRIDE:], windows[:, :, 2 * d : 3 * d], windows[:, :, 3 * d :]
-        q = own[:, :, d : 2 * d]
-        scores = q @ k.transpose(0, 2, 1)
+        own, k, v = windows[..., STRIDE:, :], windows[..., 2 * d : 3 * d], windows[..., 3 * d :]
+        q = own[..., d : 2 * d]
+        scores = q @ k.swapaxes(-1, -2)
         scores += w["near"][np.maximum(self.gap, 0)] + self.unseen
-        scores[first, :, :STRIDE] = -1e4
-        np.minimum(scores, np.float32(60), out=scores)
+        scores.reshape(-1, *self.gap.shape)[first, :, :STRIDE] = -1e4
+        np.clip(scores, -1e4, 60, out=scores)
         np.exp(scores, out=scores)
         summed = scores @ v
-        total = summed[:, :, d:] + np.float32(1e-30)
-        attended = summed[:, :, :d] / total
-        hidden = np.tanh(own[:, :, :d] + attended).reshape(-1, d)
+        total = summed[..., d:] + np.float32(1e-30)
+        attended = summed[..., :d] / total
+        hidden = (own[..., :d] + attended).reshape(-1, d)
+        # tanh(x) = 1 - 2 / (exp(2 * x) + 1)
+        np.clip(hidden, -20, 20, out=hidden)
+        hidden += hidden
+        np.exp(hidden, out=hidden)
+        hidden += np.float32(1)
+        np.divide(np.float32(-2), hidden, out=hidden)
+        hidden += np.float32(1)
         mix = hidden @ w["out"]
         mix += w["bias"]
         np.clip(mix, -60, 60, out=mix)
         np.exp(mix, out=mix)
-        mix /= (mix @ np.ones(CLASSES, np.float32))[:, None]
-        return {"q": q, "k": k, "v": v[:, :, :d], "a": scores, "total": total, "attended": attended, "h": hidden, "mix": mix}
+        mix *= (np.float32(1) / (mix @ np.ones(CLASSES, np.float32)))[:, None]
+        return {"q": q, "k": k, "v": v, "a": scores, "total": total, "attended": attended, "h": hidden, "mix": mix}
 
     def read(self, ids: np.ndarray, following: np.ndarray, sizes: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Natural log of p(following[i] | ids up to i in its text), for texts laid end to end; the mixture at starts.
@@ -212,36 +261,54 @@ class AttentionModel:
 
     def gradient(self, window: np.ndarray, first: np.ndarray, nxt: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of minus the mean log probability of the ids nxt that are there; rows and d_e are those of embeddings.
-        Beside it, of each id of nxt: its probability p, the classes' mix before it, and their blame, the share of each in it."""
+        Beside it, of each id of nxt: its probability p, the classes' mix before it, and their blame, the share of each in it.
+        Where windows come in runs of one length, each beginning with the step that the one before it ends with, a step that
+        two of them share is read once."""
         w, d = self.w, DEPTH
-        order, edge, number = groups(window.ravel())
-        rows = window.ravel()[order[edge]]
-        windows = self.project(w["embed"].take(rows, 0)).take(number, 0)  # an id is projected once
-        x = windows[:, :d]
-        got = self.forward(windows.reshape(len(window), 2 * STRIDE, -1), first)
+        run = run_length(window)
+        runs = len(window) // run
+        steps = np.empty((runs, run + 1, STRIDE), window.dtype)
+        steps[:, 0], steps[:, 1:] = window[::run, :STRIDE], window[:, STRIDE:].reshape(runs, run, STRIDE)
+        order, edge, number = groups(steps.ravel())
+        rows = steps.ravel()[order[edge]]
+        told = self.project(w["embed"].take(rows, 0)).take(number, 0)  # an id is projected once
+        laid = told.reshape(runs, (run + 1) * STRIDE, -1)
+        got = self.forward(np.lib.stride_tricks.sliding_window_view(laid, 2 * STRIDE, 1)[:, ::STRIDE].swapaxes(2, 3), first)
         blame = got["mix"] * self.emit.take(nxt, 0)
         p = blame @ np.ones(CLASSES, np.float32)
-        blame *= (there / (p + np.float32(1e-30))).astype(np.float32)[:, None]
-        d_mix = got["mix"] * there[:, None]
-        d_mix -= blame
-        d_mix *= np.float32(1 / max(there.sum(), 1))
+        blame *= (np.float32(1) / (p + np.float32(1e-30)))[:, None]
+        d_mix = got["mix"] - blame
+        away = np.flatnonzero(~there)
+        blame[away] = d_mix[away] = 0
+        d_mix *= np.float32(1 / max(len(there) - len(away), 1))
         grad = {"out": got["h"].T @ d_mix, "bias": np.ones(len(d_mix), np.float32) @ d_mix}
-        d_in = ((d_mix @ w["out"].T) * (1 - got["h"] ** 2)).reshape(len(window), STRIDE, d)
-        # weights are unnormalised, so what comes back through them is divided by their sums
-        back = d_in / got["total"]
-        d_s = back @ got["v"].transpose(0, 2, 1)
-        d_s -= np.einsum("bqd,bqd->bq", back, got["attended"])[:, :, None]
+        d_in = got["h"] ** 2
+        np.subtract(np.float32(1), d_in, out=d_in)
+        d_in *= d_mix @ w["out"].T
+        d_in = d_in.reshape(runs, run, STRIDE, d)
+        # weights are unnormalised, so what comes back through them is divided by their sums; what the sums themselves give meets the values' ones
+        both = np.empty((runs, run, STRIDE, d + 1), np.float32)
+        back = np.divide(d_in, got["total"], out=both[..., :d])
+        np.negative(np.einsum("rbqd,rbqd->rbq", back, got["attended"]), out=both[..., d])
+        d_s = both @ got["v"].swapaxes(2, 3)
         d_s *= got["a"]
-        grad["near"] = np.bincount(np.maximum(self.gap, 0).ravel(), np.ones(len(d_s), np.float32) @ d_s.reshape(len(d_s), -1), 2 * STRIDE).astype(np.float32)
+        grad["near"] = np.bincount(np.maximum(self.gap, 0).ravel(), np.ones(len(window), np.float32) @ d_s.reshape(len(window), -1), 2 * STRIDE).astype(np.float32)
         # got["q"] holds the scale already
         d_q = (d_s @ got["k"]).reshape(-1, d) * np.float32(d**-0.5)
-        d_kv = np.concatenate([d_s.transpose(0, 2, 1) @ got["q"], got["a"].transpose(0, 2, 1) @ back], 2).reshape(-1, 2 * d)
-        own = np.ascontiguousarray(x.reshape(len(window), 2 * STRIDE, d)[:, STRIDE:]).reshape(-1, d)
-        both = x.T @ d_kv
-        grad |= {"q": own.T @ d_q, "k": both[:, :d], "v": both[:, d:]}
-        d_x = (d_kv @ np.concatenate([w["k"].T, w["v"].T])).reshape(len(window), 2 * STRIDE, d)
-        d_x[:, STRIDE:] += d_in + (d_q @ w["q"].T).reshape(d_in.shape)
-        return grad | {"rows": rows, "d_e": np.add.reduceat(d_x.reshape(-1, d).take(order, 0), edge, axis=0), "p": p, "mix": got["mix"], "blame": blame}
+        each = np.empty((runs, run, 2 * STRIDE, 2 * d), np.float32)
+        np.matmul(d_s.swapaxes(2, 3), got["q"], out=each[..., :d])
+        np.matmul(got["a"].swapaxes(2, 3), back, out=each[..., d:])
+        d_kv = np.zeros((runs, run + 1, STRIDE, 2 * d), np.float32)
+        d_kv[:, 1:] = each[:, :, STRIDE:]
+        d_kv[:, :-1] += each[:, :, :STRIDE]
+        d_kv = d_kv.reshape(-1, 2 * d)
+        x = np.ascontiguousarray(told[:, :d])
+        own = x.reshape(runs, -1, d)[:, STRIDE:].reshape(-1, d)
+        grad |= {"q": own.T @ d_q, "k": x.T @ d_kv[:, :d], "v": x.T @ d_kv[:, d:]}
+        d_x = (d_kv @ np.concatenate([w["k"].T, w["v"].T])).reshape(steps.shape + (d,))
+        d_x[:, 1:] += d_in
+        d_x[:, 1:] += (d_q @ w["q"].T).reshape(d_in.shape)
+        return grad | {"rows": rows, "d_e": group_sums(d_x.reshape(-1, d), order, edge), "p": p, "mix": got["mix"], "blame": blame}
 
 
 class Scorer:
@@ -273,10 +340,11 @@ class Scorer:
 
     def parts(self, split: list[list[bytes]], shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of each word or -1, the three probabilities of each)."""
+        return self.parts_of(self.lexicon.numbers([w for s in split for w in s]), np.array([len(s) for s in split]), shares)
+
+    def parts_of(self, numbers: np.ndarray, sizes: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.table is None:
             self.table = self.model.project(self.model.w["embed"])
-        sizes = np.array([len(s) for s in split])
-        numbers = self.lexicon.numbers([w for s in split for w in s])
         before, ids, per, starts = self.lexicon.laid_out(numbers, sizes)
         log_p, mixes = self.model.read(before, ids, per, starts, self.table)
         at = self.lexicon.at[numbers]
@@ -295,25 +363,28 @@ class Scorer:
         last = len(self.by_class) - 1
         return np.where((at >= 0) & (at < last), at, last)
 
-    def learn(self, texts: list[str], heat: dict[str, np.ndarray], rng: np.random.Generator, rate: float = 0.05, batch: int = 128) -> int:
-        """Takes gradient steps on all windows of some texts, in batches dealt at random, then adds the expected counts that the
-        same passes gave. Returns how many windows there were."""
-        split = [[*words(t), END] for t in texts]
-        sizes = np.array([len(s) for s in split])
-        numbers = self.lexicon.numbers([w for s in split for w in s])
+    def learn(self, texts: list[str] | pa.Array, heat: dict[str, np.ndarray], rng: np.random.Generator, rate: float = 0.05, batch: int = 128) -> int:
+        """Takes gradient steps on all windows of some texts, in batches of runs of RUN windows dealt at random, then adds the expected
+        counts that the same passes gave. Returns how many windows there were."""
+        numbers, sizes, _, _ = self.lexicon.read(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
         before, ids, per, starts = self.lexicon.laid_out(numbers, sizes)
         model, w = self.model, self.model.w
         place, first = stepped(per)
         here, nxt, real = np.zeros((len(first), STRIDE), np.int64), np.zeros((len(first), STRIDE), np.int64), np.zeros((len(first), STRIDE), bool)
         here.ravel()[place], nxt.ravel()[place], real.ravel()[place] = before, ids, True
-        p, mix, blame = np.empty(nxt.shape, np.float32), np.empty((*nxt.shape, CLASSES), np.float32), np.empty((*nxt.shape, CLASSES), np.float32)
-        order = rng.permutation(len(first))
+        whole = len(first) // RUN
+        order = np.append((rng.permutation(whole)[:, None] * RUN + np.arange(RUN)).ravel(), np.arange(whole * RUN, len(first)))
+        # from here on all lie as they are dealt; the step before a text's first one is masked
+        window, first, nxt, real = np.concatenate([here[order - 1], here[order]], 1), first[order], nxt[order].ravel(), real[order].ravel()
+        dealt = np.empty(len(order), np.int64)
+        dealt[order] = np.arange(len(order)) * STRIDE
+        place = dealt[place // STRIDE] + place % STRIDE
+        p, mix, blame = np.empty(len(nxt), np.float32), np.empty((len(nxt), CLASSES), np.float32), np.empty((len(nxt), CLASSES), np.float32)
         for i in range(0, len(order), batch):
-            some = order[i : i + batch]
+            some = slice(i * STRIDE, (i + batch) * STRIDE)
             n = np.float32(max(real[some].sum(), 1))
-            grad = model.gradient(np.concatenate([here[some - 1], here[some]], 1), first[some], nxt[some].ravel(), real[some].ravel())  # the step before a text's first one is masked
-            for all_, name in ((p, "p"), (mix, "mix"), (blame, "blame")):
-                all_[some] = grad.pop(name).reshape(len(some), *all_.shape[1:])
+            grad = model.gradient(window[i : i + batch], first[i : i + batch], nxt[some], real[some])
+            p[some], mix[some], blame[some] = grad.pop("p"), grad.pop("mix"), grad.pop("blame")
             rows, d_e = grad.pop("rows"), grad.pop("d_e")
             d_e *= np.sqrt(n)
             hot = heat["embed"].take(rows, 0)
@@ -324,11 +395,11 @@ class Scorer:
                 heat[name] += g * g
                 w[name] -= np.float32(rate) * g / np.sqrt(heat[name])
         at = self.lexicon.at[numbers]
-        wanted, blame = place[starts], blame.reshape(-1, CLASSES)
-        chances = self.chances(at, sizes, starts, np.log(p.ravel()[place] + np.float32(1e-30)), mix.reshape(-1, CLASSES).take(wanted, 0), self.without_self)
+        wanted = place[starts]
+        chances = self.chances(at, sizes, starts, np.log(p[place] + np.float32(1e-30)), mix.take(wanted, 0), self.without_self)
         due = chances * self.weights
         self.weight_sums = self.weight_sums + (due / np.maximum(due.sum(1, keepdims=True), 1e-300)).sum(0)
-        rows, told = row_sums(nxt.ravel(), blame)
+        rows, told = row_sums(nxt, blame)
         self.seen[rows] += told
         row = self.row(at)
         own = row < len(self.word_seen)
@@ -344,9 +415,8 @@ class Scorer:
     def start(self, texts: list[str]) -> Scorer:
         """The common start of all tasks."""
         rng, heat = np.random.default_rng(9), self.heat()
-        split = [b"".join([b" " + w for w in words(t)]) for t in texts]
-        if split:
-            numbers = self.lexicon.numbers([w for s in split for w in s.split()])
+        if texts:
+            numbers = self.lexicon.numbers([w for t in texts for w in words(t)])
             each = np.bincount(self.lexicon.ids[np.repeat(self.lexicon.start[numbers], self.lexicon.length[numbers])], minlength=END_ID + 1).astype(np.float32)
             noise = 0.5 + rng.random((END_ID + 1, CLASSES), np.float32)
             self.take(each[:, None] / max(each.sum(), 1) * noise * 50, self.word_seen, self.weight_sums, self.model.w)
@@ -354,62 +424,54 @@ class Scorer:
             if epoch:  # what early, unfitted classes were given is worth little
                 self.seen *= np.float32(0.2)
                 self.word_seen *= np.float32(0.2)
-            for s, e in blocks(texts, 60_000):
+            for s, e in blocks(pa.array(texts, pa.large_string()), 60_000):
                 self.learn(texts[s:e], heat, rng)
         return self
 
     def state(self) -> tuple:
         return self.seen, self.word_seen, self.weight_sums, self.model.w
 
-    def score(self, texts: list[str]) -> list[tuple[int, int, float, float, list[dict]]]:
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """Of each text: tokens; known ones, sum of log10(count + 1), log10 probability of the frequent ones; the others, with the
         probability of their spelling."""
-        split = [[*words(t), END] for t in texts]
-        sizes = np.array([len(s) for s in split])
-        at, p = self.parts(split, self.share)
+        numbers, sizes, code, distinct = self.lexicon.read(texts)
+        at, p = self.parts_of(numbers, sizes, self.share)
         edge = np.cumsum(sizes) - sizes
         often = at >= 0
         known, base, score = (np.add.reduceat(np.where(often, x, 0), edge) for x in (self.known[at].astype(np.int64), self.log_count[at], np.log10(p @ self.weights)))
-        rare: list[list[dict]] = [[] for _ in texts]
-        doc, spelled = np.repeat(np.arange(len(texts)), sizes), p[:, 2].tolist()
-        for i in np.flatnonzero(~often).tolist():
-            rare[doc[i]].append({"word": split[doc[i]][i - edge[doc[i]]].decode(), "p": spelled[i]})
-        return list(zip(sizes.tolist(), known.tolist(), base.tolist(), score.tolist(), rare, strict=True))
+        others = np.flatnonzero(~often)
+        rare = pa.StructArray.from_arrays([distinct.take(pa.array(code[others])).cast(pa.string()), pa.array(p[others, 2])], ["word", "p"])
+        ends = np.append(0, np.cumsum(np.add.reduceat((~often).astype(np.int32), edge))).astype(np.int32)
+        return sizes, known, base, score, pa.ListArray.from_arrays(pa.array(ends), rare)
 
 
 _SCORERS: dict[int, Scorer] = {}
 
 
-def blocks(texts: list[str], chars: int = 200_000) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars or i == len(texts) - 1:
-            yield start, i + 1
-            start, size = i + 1, 0
+def blocks(texts: pa.Array, chars: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts of some `chars` bytes."""
+    edges = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        end = min(int(np.searchsorted(edges, (edges[start - 1] if start else 0) + chars)) + 1, len(texts))
+        yield start, end
+        start = end
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """(word, n_train, n_all) over the rows (text, train); the end is the word '\\n'. Each task sums first."""
+    """(word, n_train, n_all) over the rows (text, train); the end is the word '\\n'. Each task sums COUNT_CHARS at a time first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: tuple[Counter, Counter] = (Counter(), Counter())  # held out, training
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for train, seen in enumerate(sums):
-                if seen:
-                    n = np.fromiter(seen.values(), np.int64, len(seen))
-                    yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen]), pa.array(n * train), pa.array(n)], ["word", "n_train", "n_all"])
-                    seen.clear()
-
         for b in batches:
-            for text, train in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen = sums[train]
-                seen.update(words(text))
-                seen[END] += 1
-                if len(seen) > FLUSH:
-                    yield from flush()
-        yield from flush()
+            for s, e in blocks(b.column(0), COUNT_CHARS):
+                part = b.slice(s, e - s)
+                for train in (False, True):
+                    texts = part.column(0).filter(pc.equal(part.column(1), train))
+                    if len(texts):
+                        seen = words_of(texts)[0].value_counts()
+                        word = pa.concat_arrays([seen.field(0).cast(pa.string()), pa.array([END.decode()])])
+                        n = np.append(seen.field(1).to_numpy(), len(texts))
+                        yield pa.RecordBatch.from_arrays([word, pa.array(n * train), pa.array(n)], ["word", "n_train", "n_all"])
 
     return rows.select("text", "train").mapInArrow(run, "word string, n_train long, n_all long").groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
 
@@ -465,21 +527,21 @@ def learn_all(train: DataFrame, scorer: Scorer, words_told: Broadcast) -> Scorer
         seen, word_seen, weight_sums, w = begun
         own.take(seen.copy(), word_seen.copy(), weight_sums.copy(), {name: x.copy() for name, x in w.items()})
         heat, rng, windows, visits = own.heat(), np.random.default_rng(11), 0, np.zeros(END_ID + 1)
-        waiting: list[str] = []
+        waiting: list[pa.Array] = []
         size = 0
 
         def flush() -> None:
             nonlocal windows, size
             before = own.seen.sum(1)
-            windows += own.learn(waiting, heat, rng)
+            windows += own.learn(pa.concat_arrays(waiting), heat, rng)
             visits[:] += np.maximum(own.seen.sum(1) - before, 0)
             waiting.clear()
             size = 0
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                waiting.append(text)
-                size += len(text)
+            for s, e in blocks(b.column(0), LEARN_CHARS):
+                waiting.append(b.column(0).slice(s, e - s))
+                size += pc.sum(pc.binary_length(waiting[-1])).as_py()
                 if size >= LEARN_CHARS:
                     flush()
         if waiting:
@@ -550,11 +612,11 @@ def score_texts(docs: DataFrame, tokenizer_file: str | None = None, top: int = T
         own = worker_scorer(words_told).take(*shared.value)
         part, done = TaskContext.get().partitionId() << 40, 0
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(1)
             for s, e in blocks(texts):
-                n, known_n, base, score, rare = zip(*own.score(texts[s:e]), strict=True)
+                n, known_n, base, score, rare = own.score(texts.slice(s, e - s))
                 row = part + done + np.arange(s, e)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), b.column(2).slice(s, e - s), pa.array(row), pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, RARE)], ["doc_id", "train", "row", "n_tokens", "known", "base", "score", "rare"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), b.column(2).slice(s, e - s), pa.array(row), pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), rare.cast(RARE)], ["doc_id", "train", "row", "n_tokens", "known", "base", "score", "rare"])
             done += len(texts)
 
     scored = staged(rows.mapInArrow(run, f"doc_id {kind}, train boolean, row long, n_tokens long, known long, base double, score double, rare array<struct<word:string,p:double>>"), "scored")
